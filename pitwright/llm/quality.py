@@ -110,7 +110,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """The rows of docs that are kept, with the cleaned text (and its length in length_col, if given), columns as in docs."""
     columns = docs.columns
-    out = judge(docs, id_col, text_col, keep=columns).where("kept")
+    # the row number keeps the optimizer from moving the filter below the columns it is made of, which would repeat their work
+    out = judge(docs, id_col, text_col, keep=columns).withColumn("row", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("row") >= 0))
     at = {c: F.col(f"__{i}") for i, c in enumerate(columns)}
     at[text_col] = F.col("cleaned")
     if length_col in at:
