@@ -48,9 +48,7 @@ def row_key(df: DataFrame) -> list[Column]:
     return [F.xxhash64(F.lit(1), *cols).alias("__k1"), F.xxhash64(F.lit(2), *cols, F.lit(3)).alias("__k2")]
 
 
-def free_name(df: DataFrame, wanted: str) -> str:
-    """wanted, or wanted with underscores in front until df has no such column."""
-    names = {c.lower() for c in df.columns}
-    while wanted.lower() in names:
-        wanted = "_" + wanted
-    return wanted
+def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns c0, c1, ..., and these by the names they had: other columns can then be added under any name."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitwright.llm.common import cut, row_key
+from pitwright.llm.common import cut, positional, row_key
 from pitwright.llm.quality import shifted
 
 #: Fixed positions are 1; of weight 6 and spans 9 and 10.
@@ -81,7 +81,9 @@ def find(docs: DataFrame, benchmark: DataFrame, keys: list[str], text_col: str =
 
 def without(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of docs in whose text no benchmark item is found."""
+    columns = docs.columns
+    docs, at = positional(docs)
     k1, k2 = row_key(docs)
     keyed = docs.select("*", k1, k2)
-    found = cut(find(keyed, benchmark, ["__k1", "__k2"], text_col, **options).select("__k1", "__k2").distinct(), "contaminated")
-    return keyed.join(found, ["__k1", "__k2"], "left_anti").drop("__k1", "__k2")
+    found = cut(find(keyed, benchmark, ["__k1", "__k2"], at[text_col], **options).select("__k1", "__k2").distinct(), "contaminated")
+    return keyed.join(found, ["__k1", "__k2"], "left_anti").drop("__k1", "__k2").toDF(*columns)

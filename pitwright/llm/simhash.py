@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitwright.llm.common import LOWER, UPPER, cut, row_key
+from pitwright.llm.common import LOWER, UPPER, cut, positional, row_key
 from pitwright.llm.graph import components
 
 #: Points of the sample that grows the tree, and blocks of a shard that one task compares.
@@ -313,6 +313,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, **sizes) -> DataFrame:
     """The rows of docs without near-duplicates: of each component the row with the smallest id stays (among equal ids
     the one with the smaller hash over all columns; of repeated rows, one)."""
+    columns = docs.columns
+    docs, at = positional(docs)
+    id_col, text_col = at[id_col], at[text_col]
     k1, k2 = row_key(docs)
     own = cut(docs.select(F.col(id_col).alias("id"), k1, k2, wide_fingerprint(F.col(text_col), shingle).alias("w")).select("id", "__k1", "__k2", "w.*").withColumn("node", F.xxhash64("fp", "e1", "e2", "e3", "size")), "fingerprints")
     mins = cut(own.groupBy("node", "fp", "e1", "e2", "e3", "size").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "__k1", "__k2")).alias("least")), "distinct")
@@ -320,5 +323,5 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = cut(mins.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least")).select(F.col("least.__k1").alias("w1"), F.col("least.__k2").alias("w2")), "kept")
     kept = docs.select("*", k1, k2).join(best, (F.col("__k1") == F.col("w1")) & (F.col("__k2") == F.col("w2"))).drop("w1", "w2")
     if own.groupBy("__k1", "__k2").count().where("count > 1").isEmpty():
-        return kept.drop("__k1", "__k2")
-    return kept.dropDuplicates(["__k1", "__k2"]).drop("__k1", "__k2")
+        return kept.drop("__k1", "__k2").toDF(*columns)
+    return kept.dropDuplicates(["__k1", "__k2"]).drop("__k1", "__k2").toDF(*columns)
