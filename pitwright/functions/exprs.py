@@ -108,9 +108,21 @@ def impact(trade: Column, adv: Column) -> Column:
 
 
 def exit_gate(dm: Column, de: Column) -> Column:
-    """True: leave. Unknown holds."""
-    return F.coalesce(~((de > 0) & (dm < de)), F.lit(False))
+    """True: leave. If either is unknown, hold."""
+    return F.when(dm.isNotNull() & de.isNotNull(), ~((de > 0) & (dm < de))).otherwise(False)
 
 
 def state_label(de: Column, dm: Column) -> Column:
-    return F.when((de > 0) & (dm > 0), "growth").when((de > 0) & (dm <= 0), "neglect").when((de <= 0) & (dm > 0), "hope").when((de <= 0) & (dm <= 0), "decline")
+    """By the changes of earnings and of the multiple; unknown counts as decline."""
+    return F.when((de > 0) & (dm <= 0), "neglect").when((de > 0) & (dm > 0), "growth").when((de <= 0) & (dm > 0), "hope").otherwise("decline")
+
+
+# The sales tax from each day on; before the first day its rate holds too.
+SALES_TAX = (("2016-01-01", 0.0030), ("2019-06-03", 0.0025), ("2021-01-01", 0.0023), ("2023-01-01", 0.0020), ("2024-01-01", 0.0018), ("2025-01-01", 0.0015))
+
+
+def sales_tax(day: Column) -> Column:
+    out = F.lit(SALES_TAX[0][1])
+    for start, rate in SALES_TAX[1:]:
+        out = F.when(day >= F.lit(start).cast("date"), F.lit(rate)).otherwise(out)
+    return out

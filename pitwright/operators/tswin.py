@@ -79,13 +79,15 @@ def drawdown(df: DataFrame, r: str, keys: list[str], time: str) -> DataFrame:
     return a.withColumn("drawdown", F.col("wealth") / F.col("peak") - 1)
 
 
-def hac_t(df: DataFrame, x: str, keys: list[str], time: str, least: int = 12, lags: int = 4) -> DataFrame:
-    """keys, n and t: Newey-West t of the mean, Bartlett weights. lags: fixed here; 4 (n / 100) ^ (2/9) for the usual rule."""
+def hac_t(df: DataFrame, x: str, keys: list[str], time: str, least: int = 12, most: int = 12) -> DataFrame:
+    """keys, n and t: Newey-West t of the mean with Bartlett weights over floor(4 (n / 100) ^ (2/9)) lags, which are at most `most` up
+    to 14,000 rows of a key."""
     w, o = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(time)
-    a = df.where(F.col(x).isNotNull()).withColumn("__e", F.col(x) - F.avg(x).over(w))
-    g = a.select("*", *(F.lag("__e", k).over(o).alias(f"__l{k}") for k in range(1, lags + 1)))
+    a = df.where(F.col(x).isNotNull()).withColumn("__e", F.col(x) - F.avg(x).over(w)).withColumn("__L", F.floor(4 * F.pow(F.count("*").over(w) / 100, F.lit(2 / 9))))
+    g = a.select("*", *(F.lag("__e", k).over(o).alias(f"__l{k}") for k in range(1, most + 1)))
     s = F.sum(F.col("__e") * F.col("__e"))
-    for k in range(1, lags + 1):
-        s = s + 2 * (1 - k / (lags + 1)) * F.coalesce(F.sum(F.col("__e") * F.col(f"__l{k}")), F.lit(0.0))
+    for k in range(1, most + 1):
+        share = F.greatest(1 - k / (F.col("__L") + 1), F.lit(0.0))
+        s = s + 2 * F.coalesce(F.sum(share * F.col("__e") * F.col(f"__l{k}")), F.lit(0.0))
     n = F.count("*")
     return g.groupBy(*keys).agg(n.alias("n"), F.when((n >= least) & (s > 0), F.avg(x) / F.sqrt(s / n / n)).alias("t"))

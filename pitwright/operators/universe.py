@@ -28,3 +28,45 @@ def seasoning(securities: DataFrame, calendar: DataFrame, days: int = 250) -> Da
     at = securities.join(F.broadcast(c), F.col("day") >= F.col("listing_date")).groupBy("code", "listing_date").agg(F.min("rn").alias("rn0"))
     out = at.join(F.broadcast(c.withColumnRenamed("rn", "rn1")), F.col("rn1") == F.col("rn0") + days, "left")
     return out.select("code", F.when(F.col("listing_date") < first, F.date_add("listing_date", 365)).otherwise(F.coalesce("day", F.lit("2100-01-01").cast("date"))).alias("seasoned"))
+
+
+def funnel(df: DataFrame, gates: dict[str, str], keys: list[str] | None = None) -> DataFrame:
+    """(place, gate, mean, least, most, kept): how many rows of a month pass each gate and all before it; kept: the mean against the gate before.
+
+    gates: name to a boolean SQL expression, in order.
+    """
+    flags, upto = [], F.lit(True)
+    for name, rule in gates.items():
+        upto = upto & F.coalesce(F.expr(rule), F.lit(False))
+        flags.append(F.sum(upto.cast("long")).alias(name))
+    m = df.groupBy("month").agg(*flags)
+    rows = F.explode(F.array(*(F.struct(F.lit(k + 1).alias("place"), F.lit(g).alias("gate"), F.col(g).alias("n")) for k, g in enumerate(gates)))).alias("x")
+    a = m.select(rows).select("x.*").groupBy("place", "gate").agg(F.avg("n").alias("mean"), F.min("n").alias("least"), F.max("n").alias("most"))
+    before = F.lag("mean").over(Window.orderBy("place"))  # a row for each gate
+    return a.withColumn("kept", F.when(before > 0, F.col("mean") / before))
+
+
+def whole_snapshots(snapshots: DataFrame, day: str = "snap_date", least: float = 0.8) -> DataFrame:
+    """snapshots without those days that hold fewer rows than this share of the median day."""
+    sizes = snapshots.groupBy(day).agg(F.count("*").alias("__n"))  # a row for each day
+    keep = sizes.withColumn("__mid", F.median("__n").over(Window.partitionBy())).where(F.col("__n") >= least * F.col("__mid")).select(day)
+    return snapshots.join(F.broadcast(keep), day, "left_semi")
+
+
+def inferred_delistings(snapshots: DataFrame, listed: DataFrame, days: int = 200) -> DataFrame:
+    """(code, delisting_date): the end of the month after a code was last seen, if that is over `days` before the last snapshot, the
+    market it was last seen in is covered to the end, and it isn't listed now. snapshots: code, market, snap_date."""
+    seen = snapshots.groupBy("code").agg(F.max("snap_date").alias("last"), F.max_by("market", F.struct("snap_date", "market")).alias("market"))
+    markets = snapshots.groupBy("market").agg(F.max("snap_date").alias("covered"))  # a row for each market
+    covered = markets.withColumn("end", F.max("covered").over(Window.partitionBy())).where(F.col("covered") >= F.date_sub("end", days)).select("market", "end")
+    gone = seen.join(F.broadcast(covered), "market").where(F.col("last") < F.date_sub("end", days)).join(listed.select("code").distinct(), "code", "left_anti")
+    return gone.select("code", F.last_day(F.date_add("last", 1)).alias("delisting_date"))
+
+
+def master(sources: DataFrame, conflict_days: int = 5) -> DataFrame:
+    """One row for each code: name, market and industry of the first source that has them, the first and last listing day, the last delisting
+    day, the sources, and whether listing days differ by more than conflict_days. sources: priority, source, code, name, market,
+    industry, listing_date, delisting_date."""
+    first = lambda c: F.min_by(c, F.when(F.trim(c) != "", F.col("priority"))).alias(c)
+    conflict = F.coalesce(F.datediff(F.max("listing_date"), F.min("listing_date")) > conflict_days, F.lit(False))
+    return sources.groupBy("code").agg(first("name"), first("market"), first("industry"), F.min("listing_date").alias("listing_date"), F.max("delisting_date").alias("delisting_date"), F.array_join(F.array_sort(F.collect_set("source")), "+").alias("sources"), conflict.alias("conflict"))

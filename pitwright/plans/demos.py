@@ -250,8 +250,12 @@ def drawdown(spark, sf):
     return tswin.drawdown(m, "m", ["arm"], "month").select("month", r("wealth").alias("wealth"), r("drawdown").alias("drawdown"))
 
 
-@demo(f"""with a as (select code, month, ret - avg(ret) over (partition by code) as e, ret from {_RET} q where ret is not null), l as (select *, lag(e, 1) over w as l1, lag(e, 2) over w as l2, lag(e, 3) over w as l3, lag(e, 4) over w as l4 from a window w as (partition by code order by month)),
- s as (select code, count(*) as n, avg(ret) as m, sum(e * e) + 1.6 * coalesce(sum(e * l1), 0) + 1.2 * coalesce(sum(e * l2), 0) + 0.8 * coalesce(sum(e * l3), 0) + 0.4 * coalesce(sum(e * l4), 0) as s from l group by code) select code, n, case when n >= 12 and s > 0 then round(m / sqrt(s / n / n), 4) end as t from s""")
+_LAGS = ", ".join(f"lag(e, {k}) over w as l{k}" for k in range(1, 6))
+_SUMS = " + ".join(f"2 * coalesce(sum(greatest(1 - {k} / (lags + 1), 0) * e * l{k}), 0)" for k in range(1, 6))
+
+
+@demo(f"""with a as (select code, month, ret - avg(ret) over (partition by code) as e, ret, floor(4 * pow(count(*) over (partition by code) / 100, 2.0 / 9)) as lags from {_RET} q where ret is not null),
+ l as (select *, {_LAGS} from a window w as (partition by code order by month)), s as (select code, count(*) as n, avg(ret) as m, sum(e * e) + {_SUMS} as s from l group by code) select code, n, case when n >= 12 and s > 0 then round(m / sqrt(s / n / n), 4) end as t from s""")
 def hac_t(spark, sf):
     return tswin.hac_t(returns(spark, sf), "ret", ["code"], "month").select("code", "n", r("t").alias("t"))
 

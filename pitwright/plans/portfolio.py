@@ -9,31 +9,66 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitwright.functions.exprs import SALES_TAX
 
-def picks(df: DataFrame, arm: list[str], signal: str, share: float = 0.05, low: int = 5, high: int = 25) -> DataFrame:
-    """The best k rows of each arm and month, k a share of the eligible rows between low and high; ties by code."""
+
+def flagged(df: DataFrame, arm: list[str], signal: str, share: float = 0.05, low: int = 5, high: int = 25) -> DataFrame:
+    """df with place and picked 0/1: the best k rows of each arm and month, k a share of the eligible rows between low and high; ties by
+    code, rows without a signal last and never picked."""
     keys = [*arm, "month"]
-    n = F.count("*").over(Window.partitionBy(*keys))
+    n = F.count(signal).over(Window.partitionBy(*keys))
     k = F.greatest(F.lit(low), F.least(F.lit(high), F.bround(n * share).cast("int")))
-    a = df.where(F.col(signal).isNotNull()).withColumn("__k", k).withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(signal), "code")))
-    return a.where("place <= __k").drop("__k")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(signal).desc_nulls_last(), "code"))
+    a = df.withColumn("__k", k).withColumn("place", place)
+    return a.withColumn("picked", (F.col(signal).isNotNull() & (F.col("place") <= F.col("__k"))).cast("int")).drop("__k")
+
+
+def picks(df: DataFrame, arm: list[str], signal: str, share: float = 0.05, low: int = 5, high: int = 25) -> DataFrame:
+    return flagged(df.where(F.col(signal).isNotNull()), arm, signal, share, low, high).where("picked = 1").drop("picked")
+
+
+# Fixed values of a small account: its size, the largest share of a name, the part of a day's trade taken, the least cap, commission.
+ACCOUNT, CAP, TAKEN, LEAST_CAP, COMMISSION = 30_000_000, 0.12, 0.10, 0.01, 1.5e-4
+
+
+def raw_weights(df: DataFrame, keys: list[str], signal: str) -> DataFrame:
+    """df with raw: shares of each group before caps, by distance above the median, the sharper the wider signals are spread."""
+    w = Window.partitionBy(*keys)
+    a = df.withColumn("__s", F.coalesce(F.col(signal), F.lit(0.0)))
+    a = a.withColumn("__d", F.col("__s") - F.median("__s").over(w)).withColumn("__spread", F.avg(F.abs("__d")).over(w))
+    p = F.pow(F.greatest(F.col("__d"), F.lit(0.0)) + 1e-9, F.least(F.lit(2.0), 0.5 + 8 * F.col("__spread")))
+    a = a.withColumn("__p", F.when(F.col("__spread") < 1e-6, 1.0).otherwise(p))
+    return a.withColumn("raw", F.col("__p") / F.sum("__p").over(w)).drop("__s", "__d", "__spread", "__p")
 
 
-def weights(signal: np.ndarray, adv: np.ndarray, account: float, cap: float = 0.12) -> np.ndarray:
+def turnover(weights: DataFrame, months: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, month and turnover: the sum of changes of weight against the month before; weights: keys, month, code, w.
+
+    Each weight is counted for at its month and against at the next one, so that names that left need no outer join.
+    months: the months of the plan, a short list.
+    """
+    at = months.select("month", F.row_number().over(Window.orderBy("month")).alias("__i"))
+    here = weights.join(F.broadcast(at), "month").select(*keys, "code", "__i", "w")
+    both = here.unionAll(here.select(*keys, "code", (F.col("__i") + 1).alias("__i"), (-F.col("w")).alias("w")))
+    net = both.groupBy(*keys, "__i", "code").agg(F.abs(F.sum("w")).alias("d")).groupBy(*keys, "__i").agg(F.sum("d").alias("turnover"))
+    return net.join(F.broadcast(at), "__i").select(*keys, "month", "turnover")
+
+
+def weights(signal: np.ndarray, adv: np.ndarray, account: float, cap: float = CAP) -> np.ndarray:
     """Shares by distance above the median, capped by size and liquidity; what the caps leave is dealt again, the rest is cash."""
     if not len(signal):
         return np.zeros(0)
-    spread = np.abs(signal - np.median(signal)).mean()
-    raw = np.maximum(signal - np.median(signal), 0) ** min(2.0, 0.5 + 8 * spread) if spread >= 1e-6 else np.ones(len(signal))
-    raw = raw if raw.sum() > 0 else np.ones(len(signal))
-    limit = np.minimum(cap, np.where(np.nan_to_num(adv) > 0, np.maximum(0.1 * np.nan_to_num(adv) / account, 0.01), cap))
+    above = signal - np.median(signal)
+    spread = np.abs(above).mean()
+    raw = (np.maximum(above, 0) + 1e-9) ** min(2.0, 0.5 + 8 * spread) if spread >= 1e-6 else np.ones(len(signal))
+    adv = np.nan_to_num(adv)
+    limit = np.minimum(cap, np.where(adv > 0, np.maximum(TAKEN * adv / account, LEAST_CAP), cap))
     w, free = np.zeros(len(signal)), np.ones(len(signal), dtype=bool)
-    for _ in range(24):
+    while free.any():
         left = 1 - w[~free].sum()
-        if not free.any() or left <= 1e-12:
+        if left <= 1e-12:
             break
-        part = raw * free
-        share = left * part / part.sum() if part.sum() > 0 else np.where(free, left / free.sum(), 0)
+        share = left * raw * free / raw[free].sum()
         over = free & (share > limit)
         w = np.where(free, np.minimum(share, limit), w)
         if not over.any():
@@ -42,32 +77,49 @@ def weights(signal: np.ndarray, adv: np.ndarray, account: float, cap: float = 0.
     return w
 
 
-def backtest(panel: DataFrame, arm: str = "arm", account: float = 1e9, hold: int = 24, most: int = 25) -> DataFrame:
-    """(arm, month, names, turnover, ret): held names stay until they exit, age out or rank too low; new picks join them.
+def cost_rate(change: np.ndarray, adv: np.ndarray, tax: float, account: float) -> np.ndarray:
+    """Cost of each change of weight, as a share of it: commission, square-root impact, and the tax on sales."""
+    impact = np.where(adv > 0, 0.10 * np.sqrt(np.minimum(1.0, np.abs(change) * account / np.where(adv > 0, adv, 1))), 0.02)
+    return COMMISSION + impact + np.where(change < 0, tax, 0.0)
+
+
+def tax_on(day) -> float:
+    return [rate for start, rate in SALES_TAX if str(day)[:10] >= start or start == SALES_TAX[0][0]][-1]
+
+
+def backtest(panel: DataFrame, arm: str = "arm", account: float = ACCOUNT, hold: int = 24, most: int = 25) -> DataFrame:
+    """(arm, month, names, turnover, cost, ret_gross, ret): held names stay until they exit, age out or rank too low; new picks join.
 
-    panel: arm, month, code, signal, picked 0/1, exits 0/1, adv, fwd_ret, only of codes that an arm ever picks: the state runs
-    from month to month, so an arm is a task, and scale comes from the number of arms.
+    panel: arm, month, code, signal, picked 0/1, exits 0/1, adv, fwd_ret and, if known, delisting_date, only of codes that an
+    arm ever picks: the state runs from month to month, so an arm is a task, and scale comes from the number of arms. A
+    missing return counts as 0, and as -1 in the month of a delisting.
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: dict = {}
+        held: dict = {}  # months held so far
         before: dict = {}
         out = []
         for month, g in sorted(pdf.groupby("month"), key=lambda x: x[0]):
             g = g.sort_values("code").set_index("code")
-            stay = {c: a + 1 for c, a in held.items() if c in g.index and not g.at[c, "exits"] and a + 1 < hold}
-            now = {**{c: 1 for c in g.index[g["picked"] == 1]}, **stay}
-            best = sorted(now, key=lambda c: (-(g.at[c, "signal"] if pd.notna(g.at[c, "signal"]) else -1.0), c))[:most]
-            held = {c: now[c] for c in best}
-            h = g.loc[best]
-            w = weights(h["signal"].fillna(0).to_numpy(float), h["adv"].to_numpy(float), account)
-            ww = dict(zip(best, w, strict=True))
-            turn = sum(abs(ww.get(c, 0) - before.get(c, 0)) for c in sorted({*ww, *before}))
-            out.append((pdf[arm].iloc[0], month, len(best), float(turn), float((w * h["fwd_ret"].fillna(0).to_numpy(float)).sum())))
+            stay = [c for c, a in held.items() if c in g.index and not g.at[c, "exits"] and a < hold]
+            target = g.loc[sorted({*g.index[g["picked"] == 1], *stay})].reset_index()
+            target = target.sort_values(["signal", "code"], ascending=[False, True], na_position="last").head(most).set_index("code")
+            ww = dict(zip(target.index, weights(target["signal"].fillna(0).to_numpy(float), target["adv"].to_numpy(float), account), strict=True))
+            names = sorted({*ww, *before})
+            change = np.array([ww.get(c, 0.0) - before.get(c, 0.0) for c in names])
+            adv = np.nan_to_num(np.array([g["adv"].get(c, 0.0) for c in names], dtype=float))
+            cost = float((np.abs(change) * cost_rate(change, adv, tax_on(month), account)).sum())
+            r = target["fwd_ret"].to_numpy(float)
+            if "delisting_date" in target:
+                first, gone = pd.Timestamp(month), pd.to_datetime(target["delisting_date"])
+                r = np.where(np.isnan(r) & ((gone > first) & (gone <= first + pd.offsets.MonthEnd(1))).to_numpy(), -1.0, r)
+            gross = float((np.array([ww[c] for c in target.index]) * np.nan_to_num(r)).sum())
+            out.append((pdf[arm].iloc[0], month, len(ww), float(np.abs(change).sum()), cost, gross, gross - cost))
+            held = {c: held.get(c, -1) + 1 for c in ww}
             before = ww
-        return pd.DataFrame(out, columns=[arm, "month", "names", "turnover", "ret"])
+        return pd.DataFrame(out, columns=[arm, "month", "names", "turnover", "cost", "ret_gross", "ret"])
 
-    return panel.groupBy(arm).applyInPandas(fold, f"{arm} string, month date, names long, turnover double, ret double")
+    return panel.groupBy(arm).applyInPandas(fold, f"{arm} string, month date, names long, turnover double, cost double, ret_gross double, ret double")
 
 
 def statistics(returns: DataFrame, arm: str, r: str, per_year: int = 12) -> DataFrame:

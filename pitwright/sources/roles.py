@@ -20,6 +20,14 @@ ROLES = {
         cast(period_end + case when q = 4 then interval 90 day else interval 45 day end as date) as knowledge_date
         from (select l_suppkey as code, year(l_shipdate) as yr, quarter(l_shipdate) as q, sum(l_extendedprice) as rev, sum(l_extendedprice * (1 - l_discount) * 0.7) as cost, sum(l_quantity) as qty, max(last_day(cast(l_shipdate as date))) as period_end
         from {lineitem} where (l_suppkey + quarter(l_shipdate)) % 17 <> 0 group by l_suppkey, year(l_shipdate), quarter(l_shipdate)) g""",
+    "fund": """select code, period_end, knowledge_date, case when full_year then rev end as revenue_ttm, case when full_year then cogs end as cogs_ttm, case when full_year then rev - cogs - spent end as op_income_ttm,
+        case when full_year then (rev - cogs) / 4 - taxed end as net_income_ttm, case when full_year then (rev - cogs) / 5 end as cfo_ttm, case when full_year then spent end as capex_ttm, case when full_year then taxed end as dep_ttm,
+        qty * 300 as inventory, tax_q * 3 as receivable, disc_q as payable, rev_q + qty * 500 as assets, rev_q - disc_q * 8 as equity, rev_q * 0.4 as ppe, taxed as payroll, disc_q * 8 as liabilities, lines + 20 as employees
+        from (select code, period_end, qty, rev_q, tax_q, disc_q, cast(period_end + case when q = 4 then interval 90 day else interval 45 day end as date) as knowledge_date, count(*) over w = 4 as full_year,
+        sum(rev_q) over w as rev, sum(cogs_q) over w as cogs, sum(disc_q) over w as spent, sum(tax_q) over w as taxed, sum(lines_q) over w as lines
+        from (select l_suppkey as code, year(l_shipdate) as yr, quarter(l_shipdate) as q, sum(l_extendedprice) as rev_q, sum(l_extendedprice * (1 - l_discount) * 0.7) as cogs_q, sum(l_extendedprice * l_discount) as disc_q, sum(l_extendedprice * l_tax) as tax_q,
+        sum(l_quantity) as qty, count(*) as lines_q, max(last_day(cast(l_shipdate as date))) as period_end from {lineitem} group by l_suppkey, year(l_shipdate), quarter(l_shipdate)) g
+        window w as (partition by code order by yr, q rows between 3 preceding and current row)) h""",
     "reports": """select o_orderkey as uid, l_suppkey as code, o_custkey % 60 as analyst, cast(o_orderdate as date) as pub_date, case when o_orderkey % 7 <> 0 then max(o_totalprice) end as target, max(o_orderpriority) as kind
         from {orders} join {lineitem} on l_orderkey = o_orderkey group by o_orderkey, l_suppkey, o_custkey % 60, cast(o_orderdate as date)""",
     "trade": """select last_day(cast(o_orderdate as date)) as month, p_type as hs, r_name as grp, sum(l_extendedprice) as usd, sum(l_quantity) as wgt from {lineitem} join {orders} on o_orderkey = l_orderkey join {part} on p_partkey = l_partkey
