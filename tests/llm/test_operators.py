@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import itertools
+import os
 import random
 import re
 import zlib
@@ -11,8 +12,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pitwright.llm import decontamination, html_extraction, license_scan, packing, quality, sharding, simhash, toxicity, url_filter, warc
+from pitwright.llm import checks, decontamination, html_extraction, license_scan, packing, quality, queries, sharding, simhash, toxicity, url_filter, warc
 
+DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, __k1 string, fp int, shard string"
 
 
@@ -263,3 +265,28 @@ def test_pipeline_stages(spark, tmp_path):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == set(range(40))
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="tables are absent")
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_queries_equal_sql(spark, name):
+    con = pytest.importorskip("duckdb").connect()
+    for table in ("documents", "pages"):
+        con.execute(f"create view {table} as select * from read_parquet('{DATA}/{table}.parquet')")
+    df = queries.QUERIES[name](spark, DATA)
+    rel = con.execute(queries.ORACLE[name])
+    at = [[d[0] for d in rel.description].index(c) for c in df.columns]
+    assert sorted((tuple(r) for r in df.collect()), key=repr) == sorted((tuple(r[i] for i in at) for r in rel.fetchall()), key=repr)
+
+
+def test_sql_of_the_url_filter_walks_aliases(spark):
+    con = pytest.importorskip("duckdb").connect()
+    con.execute("create table pages (page_id bigint, url varchar, html varchar)")
+    link = '<head><link href="{}" rel=canonical></head>'
+    rows = [(1, "http://a.test/x", link.format("http://bad.test/1")), (2, "https://A.test/y#f", '<meta http-equiv="refresh" content="0; url=/x">'), (3, "http://c.test/", link.format("//bad.test/2?a=1&amp;b=2")), (4, "http://good.test/", link.format("http://bad.test/2?a=1&b=2")), (5, None, None), (6, "no-scheme", ""), (7, "http://free.test/a/b", link.format("c"))]
+    con.executemany("insert into pages values (?, ?, ?)", rows)
+    rules = [("block", "bad.test/"), ("allow", "good.test/")]
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), rules)
+    want = con.execute(checks.op3(rules)).fetchall()
+    assert sorted(map(tuple, got.select("page_id", "host", "path", "rule", "verdict", "carried").collect())) == sorted(want)
+    assert {r[0]: r[4] for r in want} == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "allow", 7: "allow"}
