@@ -23,6 +23,11 @@ def dlog(now: Column, before: Column) -> Column:
     return F.when((now > 0) & (before > 0), F.log(now) - F.log(before))
 
 
+def clip(c: Column, low: float, high: float) -> Column:
+    """NULL stays NULL, which least and greatest alone would pass over."""
+    return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(low)), F.lit(high)))
+
+
 def row_mean(*cs: Column) -> Column:
     """Mean of the values that are there; NULL if none is."""
     n = sum((c.isNotNull().cast("int") for c in cs), F.lit(0))

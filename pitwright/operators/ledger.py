@@ -50,6 +50,14 @@ def ledger_merge(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.min("uid").alias("uid"), union_atoms(F.col("source")).alias("source"), F.min("pub_date").alias("pub_date"), longest.alias("title"), F.max("target").alias("target"))
 
 
+# Labels of rows that sum up others.
+SUBTOTALS = ("합계", "계", "소계", "총계")
+
+
+def without_subtotals(df: DataFrame, label: str) -> DataFrame:
+    return df.where(~F.coalesce(F.regexp_replace(label, r"\s", "").isin(*SUBTOTALS), F.lit(False)))
+
+
 def fuzzy_match(left: DataFrame, right: DataFrame, name: str, code: str, block: int = 2, least: float = 92) -> DataFrame:
     """(name, code, score): the best right name among those with the same first letters, if it is close enough."""
     r = right.select(F.col(name).alias("__r"), F.col(code), F.substring(name, 1, block).alias("__b"))
