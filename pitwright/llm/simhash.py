@@ -10,9 +10,10 @@ link is lost, and no group of copies is ever expanded into pairs.
 
 Two rules of linking, each a conjunction of metrics:
 - bits: 64-bit fingerprints that differ in at most `within` bits (the tree splits by Hamming distance);
-- similarity s: 256-bit fingerprints whose estimated cosine, cos(pi * bits / 256), is at least s, and shingle counts
-  of a ratio of at least s. So wide a radius holds most of a random 64-bit neighbourhood, where no Hamming sphere can
-  prune; there the tree splits by the logarithm of the shingle count, which is a metric as well.
+- similarity s: the Jaccard similarity of the sets of shingles is at least s. 256-bit fingerprints within a radius that
+  a pair at s passes but for six standard deviations, and set sizes of a ratio of at least s, only name candidates; see
+  `verified`. So wide a radius holds most of a random 64-bit neighbourhood, where no Hamming sphere can prune; there the
+  tree splits by the logarithm of the set's size, which is a metric as well.
 
 Defined results: a null or empty text has fingerprint zero and links like any other; repeated rows and copies share
 a fingerprint; an empty table gives an empty result; null ids take part, but are never a component's id unless all
@@ -43,8 +44,11 @@ LEAF, LEAF_UNTIL, LEAF_POWER = 12_000, 50_000, 0.4
 #: A split must shrink the comparisons to this share, or the node stays a shard.
 WORTH = 0.9
 MAX_DEPTH = 24
-#: Of 64 bits, a pair of cosine 0.8 or more by 256 bits differs in no more than this in all but a few in a thousand cases.
-FIRST_WORD = 22
+#: Candidates may differ in this many standard deviations more bits, of the first 64 and of all 256, than a pair at the similarity.
+FIRST_ROOM, ROOM = 5, 6
+#: Rows of a cluster of candidates that one task compares: those apart from its hub, and all.
+APART, ALL = 256, 1_024
+BROADCAST_NODES = 200_000
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _LANES = np.uint64(0x0101010101010101)
@@ -95,13 +99,13 @@ def fingerprint(text: Column, shingle: int = 3) -> Column:
 
 
 def wide_fingerprint(text: Column, shingle: int = 5) -> Column:
-    """struct(fp, e1, e2, e3, size): a 256-bit SimHash in four longs and the number of shingles (1 at least)."""
+    """struct(fp, e1, e2, e3, size): a 256-bit SimHash of the set of shingles in four longs and the set's size (1 at least)."""
 
     @F.pandas_udf("fp long, e1 long, e2 long, e3 long, size long")
     def simhash(texts: pd.Series) -> pd.DataFrame:
         out, sizes = np.zeros((len(texts), 4), dtype=np.uint64), np.ones(len(texts), dtype=np.int64)
         for k, t in enumerate(texts):
-            h = shingle_hashes(t, shingle)
+            h = np.unique(shingle_hashes(t, shingle))
             mixed = (h ^ (h >> np.uint64(31)))[:, None] * _MIX[None, :]
             out[k] = majority(np.concatenate([h[:, None], mixed ^ (mixed >> np.uint64(29))], axis=1))
             sizes[k] = max(1, len(h))
@@ -112,7 +116,7 @@ def wide_fingerprint(text: Column, shingle: int = 5) -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """When two points link. within: bits of 64; total, ratio: bits of 256 and ratio of sizes, or None."""
+    """When two points link (for similarity: may link). within: bits of 64; total, ratio: bits of 256 and ratio of sizes, or None."""
 
     within: int
     total: int | None = None
@@ -124,7 +128,8 @@ class Rule:
 
     @staticmethod
     def similarity(s: float) -> Rule:
-        return Rule(FIRST_WORD, int(256 * math.acos(s) / math.pi), s)
+        p = math.acos(min(1.0, 2 * s / (1 + s))) / math.pi  # of a bit to differ, for sets of equal size; less for others
+        return Rule(*(int(n * p + room * math.sqrt(n * p * (1 - p))) for n, room in ((64, FIRST_ROOM), (256, ROOM))), s)
 
     @property
     def reach(self) -> float:
@@ -299,6 +304,73 @@ def links(points: DataFrame, rule: Rule, sample: int = SAMPLE, leaf: int = LEAF,
     return cells.select(*columns, "shard", "cross", "i", "j", "part").groupBy("shard", "cross", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two arrays without repeats; 1 for two empty ones."""
+    n = len(np.intersect1d(a, b, assume_unique=True))
+    return n / (len(a) + len(b) - n) if len(a) + len(b) else 1.0
+
+
+def shingle_set(text: Column, shingle: int) -> Column:
+    @F.pandas_udf("array<long>")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts], dtype=object)
+
+    return of(text)
+
+
+def linked_apart(words: np.ndarray, sets: list[np.ndarray], part: np.ndarray, hub: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
+    """Places (i, j) of a spanning forest of the true links of part 0 to part 1; places with `hub` are linked already."""
+    label = np.arange(len(words))
+    if hub.any():
+        label[hub] = np.flatnonzero(hub)[0]
+    log_size = np.log(np.maximum(1, np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))))
+    others, out = np.flatnonzero(part == 1), []
+    for i in np.flatnonzero(part == 0).tolist():
+        bits = np.bitwise_count(words[others] ^ words[i]).sum(axis=1)
+        near = np.flatnonzero((bits <= rule.total) & (np.abs(log_size[others] - log_size[i]) <= rule.reach))
+        for j in others[near[np.argsort(bits[near], kind="stable")]].tolist():
+            if label[i] != label[j] and jaccard(sets[i], sets[j]) >= rule.ratio:
+                label[label == label[j]] = label[i]
+                out.append((i, j))
+    return out
+
+
+def verified(roots: DataFrame, points: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): links of nodes whose sets of shingles have a Jaccard similarity of rule.ratio or more, as many as join each
+    component. roots: (node, root) of the clusters that the candidates make; sets: (node, sh) of their nodes.
+
+    Each node is compared with its cluster's hub, the root. Those that link to it need no comparison among each other; the
+    others are compared with the whole cluster, in blocks, but for pairs that aren't candidates or are joined already.
+    """
+    floor = F.lit(rule.ratio)
+
+    @F.pandas_udf("double")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([jaccard(np.asarray(x, dtype=np.int64), np.asarray(y, dtype=np.int64)) for x, y in zip(a, b, strict=True)], dtype=float)
+
+    members = cut(roots.join(points.select("node", "fp", "e1", "e2", "e3"), "node").join(sets, "node"), "members")
+    hubs = cut(members.where("node = root").select(F.col("root").alias("of"), F.col("sh").alias("hub_sh")), "hubs")
+    judged = cut(members.join(hubs, F.col("root") == F.col("of")).select(*members.columns, (alike("sh", "hub_sh") >= floor).alias("hub")), "judged")
+    star = judged.where("hub and node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    sizes = judged.groupBy("root").agg(F.sum((~F.col("hub")).cast("int")).alias("apart"), F.count("*").alias("n")).where("apart > 0")
+    sizes = cut(sizes.select(F.col("root").alias("of"), F.ceil(F.col("apart") / APART).cast("int").alias("ni"), F.ceil(F.col("n") / ALL).cast("int").alias("nj")), "apart")
+    rows = judged.join(sizes, F.col("root") == F.col("of"))
+    own = lambda n: F.pmod(F.xxhash64("node", F.lit(11)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["root", "node", "fp", "e1", "e2", "e3", "sh", "hub"]
+    cells = rows.where("not hub").select(*columns, own("ni").alias("i"), every("nj").alias("j"), F.lit(0).alias("part"))
+    cells = cells.unionAll(rows.select(*columns, every("ni").alias("i"), own("nj").alias("j"), F.lit(1).alias("part")))
+
+    def compare(b: pd.DataFrame) -> pd.DataFrame:
+        # a node that is in both parts is linked to itself by a similarity of 1, which joins its two places
+        words = np.ascontiguousarray(b[["fp", "e1", "e2", "e3"]].to_numpy(np.int64)).view(np.uint64)
+        pairs = linked_apart(words, [np.asarray(x, dtype=np.int64) for x in b["sh"]], b["part"].to_numpy(), b["hub"].to_numpy(bool), rule)
+        node = b["node"].to_numpy(np.int64)
+        return pd.DataFrame([(node[i], node[j]) for i, j in pairs if node[i] != node[j]], columns=["a", "b"], dtype=np.int64)
+
+    return star.unionAll(cells.groupBy("root", "i", "j").applyInPandas(compare, "a long, b long"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, within: int = 3, **sizes) -> DataFrame:
     """(id, fp long, component_id): one row for each row of docs; component_id is the smallest id reachable over links."""
     own = cut(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), shingle).alias("fp")), "fingerprints")
@@ -311,15 +383,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, **sizes) -> DataFrame:
-    """The rows of docs without near-duplicates: of each component the row with the smallest id stays (among equal ids
-    the one with the smaller hash over all columns; of repeated rows, one)."""
+    """The rows of docs without near-duplicates (Jaccard similarity of the sets of shingles): of each component the row with
+    the smallest id stays (among equal ids the one with the smaller hash over all columns; of repeated rows, one)."""
     columns = docs.columns
     docs, at = positional(docs)
     id_col, text_col = at[id_col], at[text_col]
     k1, k2 = row_key(docs)
     own = cut(docs.select(F.col(id_col).alias("id"), k1, k2, wide_fingerprint(F.col(text_col), shingle).alias("w")).select("id", "__k1", "__k2", "w.*").withColumn("node", F.xxhash64("fp", "e1", "e2", "e3", "size")), "fingerprints")
     mins = cut(own.groupBy("node", "fp", "e1", "e2", "e3", "size").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "__k1", "__k2")).alias("least")), "distinct")
-    roots = cut(components(links(mins.drop("least"), Rule.similarity(similarity), **sizes), "a", "b"), "roots")
+    rule = Rule.similarity(similarity)
+    clusters = cut(components(links(mins.drop("least"), rule, **sizes), "a", "b"), "clusters")
+    named = cut(clusters.join(mins, "node").select("node", F.col("least.__k1").alias("w1"), F.col("least.__k2").alias("w2")), "representatives")
+    few = F.broadcast(named) if named.count() <= BROADCAST_NODES else named
+    texts = docs.select(k1, k2, F.col(text_col).alias("__text")).join(few, (F.col("__k1") == F.col("w1")) & (F.col("__k2") == F.col("w2"))).select("node", "__text").dropDuplicates(["node"])
+    roots = cut(components(verified(clusters, mins, texts.select("node", shingle_set(F.col("__text"), shingle).alias("sh")), rule), "a", "b"), "roots")
     best = cut(mins.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least")).select(F.col("least.__k1").alias("w1"), F.col("least.__k2").alias("w2")), "kept")
     kept = docs.select("*", k1, k2).join(best, (F.col("__k1") == F.col("w1")) & (F.col("__k2") == F.col("w2"))).drop("w1", "w2")
     if own.groupBy("__k1", "__k2").count().where("count > 1").isEmpty():

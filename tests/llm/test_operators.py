@@ -76,6 +76,28 @@ def test_near_copies_of_similarity(spark):
     assert kept == [3, 7, 9]
 
 
+def test_near_copies_are_verified_on_their_shingles(spark, monkeypatch):
+    """Pairs about the threshold, in chains and with small blocks: kept is what the components of the true links keep."""
+    monkeypatch.setattr(simhash, "APART", 2, raising=False)
+    monkeypatch.setattr(simhash, "ALL", 3, raising=False)
+    items = []
+    for k in range(16):
+        words = prose(40 + k, 200).split()
+        for v, step in enumerate((0, 80, 50, 36, 27, 22)):
+            changed = [f"new{k}{v}{i}" if step and i % step == step - 1 else w for i, w in enumerate(words)]
+            items.append((100 * k + v, " ".join(changed)))
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in items}
+    label = {i: i for i in sets}
+    tested = [(i, j, len(sets[i] & sets[j]) / len(sets[i] | sets[j])) for i, j in itertools.combinations(sets, 2)]
+    assert sum(0.65 <= s < 0.8 for _, _, s in tested) >= 16 and sum(0.8 <= s < 0.9 for _, _, s in tested) >= 16
+    for _ in range(8):
+        for i, j, s in tested:
+            if s >= 0.8:
+                label[i] = label[j] = min(label[i], label[j])
+    got = sorted(r["doc_id"] for r in simhash.one_of_each(docs_of(spark, items)).collect())
+    assert got == sorted(set(label.values()))
+
+
 def best_capacity(sizes, shards):
     low = max(sizes)
     while True:
