@@ -7,7 +7,8 @@ differ become slots, and texts that are equal on all pages stay template. No alt
 union-free. Alignment is associative up to the order of siblings: every task folds its pages into one expression for each
 host, and the expressions of a host are folded in two more rounds, so a hot host is never in one task page by page.
 
-The wrapper shows which regions are the article: furniture is named by tags, roles and class words, by regions that are
+The wrapper shows which regions are the article: furniture is named by tags, roles and class words (these never mark html,
+body, main or article, nor a region that on most of its pages holds most of the text outside of links), by regions that are
 mostly links, and by template texts outside of paragraphs; the article is the <article> or <main> region that holds text, or
 else the element into which most slot text descends. Each page is then read along its host's wrapper.
 
@@ -52,6 +53,10 @@ CLASS_WORDS = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer cookie cookies consent gdpr "
     "notice popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments disqus widget toolbar pagination pager skip paywall masthead".split()
 )
+#: Of them, those that name what may be longer than the article, not how a page is laid out; and the shares of a page's text from which on class words don't count.
+ASIDE_WORDS = set("ad ads advert adverts advertisement advertising cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login related recommended comment comments disqus paywall".split())
+MOST = {"c": 0.5, "t": 0.9}
+NEVER_BY_CLASS = {"html", "body", "main", "article"}
 TEXTUAL = set("p h1 h2 h3 h4 h5 h6 blockquote pre li td th dd dt figcaption".split())
 CONTAINERS = set("div section table tbody tr td center span ul ol li".split())
 
@@ -69,7 +74,8 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def parse(html: str | None) -> Element:
-    """The page as a tree; elements that furniture's names mark have marks 'x', articles 'a', others ''."""
+    """The page as a tree; elements that furniture's names mark have marks 'x', those that only class words mark 'c' or, by
+    ASIDE_WORDS, 't' (inline ones 'x'), articles 'a', others ''."""
     root = Element("#page", "#page", "")
     stack, at = [root], 0
     html = html or ""
@@ -109,9 +115,13 @@ def parse(html: str | None) -> Element:
         words = {w.lower() for w in _WORD.findall(classes + " " + ident)} if classes or ident else set()
         inside = any(e.marks == "a" for e in stack)
         marks = ""
-        if name in FURNITURE or role in ROLES or words & CLASS_WORDS or "hidden" in a or a.get("aria-hidden") == "true" or (name == "header" and not inside) or ("header" in words and not inside):
+        article = name in ("article", "main") or role in ("main", "article") or a.get("itemprop", "").lower() == "articlebody"
+        named = name not in NEVER_BY_CLASS and (words & CLASS_WORDS or ("header" in words and not inside))
+        if name in FURNITURE or role in ROLES or "hidden" in a or a.get("aria-hidden") == "true" or (name == "header" and not inside) or (named and name in INLINE):
             marks = "x"
-        elif name in ("article", "main") or role in ("main", "article") or a.get("itemprop", "").lower() == "articlebody":
+        elif named:
+            marks = "t" if words & ASIDE_WORDS else "c"
+        elif article:
             marks = "a"
         e = Element(name, name + ("." + ".".join(sorted(re.sub(r"\d+", "0", c) for c in classes.split())) if classes.strip() else "") + (f"#{re.sub(r'[0-9]+', '0', ident)}" if ident else ""), marks)
         stack[-1].kids.append(e)
@@ -129,12 +139,17 @@ def _chars(e: Element, link: bool = False) -> tuple[int, int]:
         if isinstance(k, str):
             n = len(k.strip())
             text, links = text + n, links + n * link
-        elif k.marks != "x":
+        elif k.marks not in ("x", "c", "t"):
             a, b = _chars(k, link or k.name == "a")
             text, links = text + a, links + b
     return text, links
 
 
+def _unlinked(e: Element) -> int:
+    """Characters of text outside of links below e, without what tags and roles mark as furniture."""
+    return sum(len(k.strip()) if isinstance(k, str) else 0 if k.marks == "x" or k.name == "a" else _unlinked(k) for k in e.kids)
+
+
 def signs(e: Element) -> list[tuple[str, Element]]:
     """The element children with signatures that tell siblings apart: plain containers by what they hold and, if few, by place."""
     kids = [k for k in e.kids if not isinstance(k, str) and k.name not in INLINE and k.name != "br"]
@@ -155,9 +170,11 @@ def signs(e: Element) -> list[tuple[str, Element]]:
 
 
 # An expression: n pages, t characters of own text, l of those in links, c hash of own text (None: a slot), q quantifier,
-# m marks, k signatures in order with their expressions.
-def expression(e: Element) -> dict:
+# m marks, o pages where a region that class words mark holds most of the text, k signatures in order with their expressions.
+def expression(e: Element, whole: int | None = None) -> dict:
+    """whole: the page's characters outside of links."""
     text, links = [], 0
+    whole = _unlinked(e) if whole is None else whole
 
     def gather(x: Element, link: bool) -> None:
         nonlocal links
@@ -172,13 +189,13 @@ def expression(e: Element) -> dict:
     gather(e, e.name == "a")
     kids: dict[str, dict] = {}
     for sign, k in signs(e):
-        x = expression(k)
+        x = expression(k, whole)
         if sign in kids:
             kids[sign] = merge(kids[sign], x, repeated=True)
         else:
             kids[sign] = x
     own = " ".join(text)
-    return {"n": 1, "t": len(own), "l": links, "c": zlib.crc32(own.encode("utf-8", "replace")), "q": "", "m": e.marks, "g": e.name, "k": kids}
+    return {"n": 1, "t": len(own), "l": links, "c": zlib.crc32(own.encode("utf-8", "replace")), "q": "", "m": e.marks, "o": int(e.marks in MOST and _unlinked(e) > MOST[e.marks] * whole), "g": e.name, "k": kids}
 
 
 def _quantifier(a: str, b: str, plus: bool, optional: bool) -> str:
@@ -186,25 +203,32 @@ def _quantifier(a: str, b: str, plus: bool, optional: bool) -> str:
     return "*" if plus and optional else "+" if plus else "?" if optional else ""
 
 
-def merge(a: dict, b: dict, repeated: bool = False) -> dict:
-    """The expression that fits what a fits and what b fits; repeated: both are on one page, one after the other."""
+def merge(a: dict, b: dict, repeated: bool = False, one_page: bool = False) -> dict:
+    """The expression that fits what a fits and what b fits; repeated: both are on one page, one after the other; one_page:
+    both are on one page, inside of such."""
+    one_page = one_page or repeated
+    pages = lambda x, y: max(x, y) if one_page else x + y
     kids: dict[str, dict] = {}
     for sign, x in a["k"].items():
         if sign in b["k"]:
-            kids[sign] = merge(x, b["k"][sign])
+            kids[sign] = merge(x, b["k"][sign], one_page=one_page)
         else:
             kids[sign] = x | {"q": _quantifier(x["q"], "", False, True)}
     for sign, x in b["k"].items():
         if sign not in kids:
             kids[sign] = x | {"q": _quantifier(x["q"], "", False, True)}
-    return {"n": max(a["n"], b["n"]) if repeated else a["n"] + b["n"], "t": a["t"] + b["t"], "l": a["l"] + b["l"], "c": a["c"] if a["c"] == b["c"] else None, "q": _quantifier(a["q"], b["q"], repeated, False), "m": a["m"], "g": a["g"], "k": kids}
+    return {"n": pages(a["n"], b["n"]), "t": a["t"] + b["t"], "l": a["l"] + b["l"], "c": a["c"] if a["c"] == b["c"] else None, "q": _quantifier(a["q"], b["q"], repeated, False), "m": a["m"], "o": pages(a["o"], b["o"]), "g": a["g"], "k": kids}
 
 
 def decide(wrapper: dict) -> dict:
-    """What to do in each region: {"d": drop, "r": article root, "k": children}; regions that aren't named are read."""
+    """What to do in each region: {"d": drop, "o": read in spite of class words, "r": article root, "k": children}; regions
+    that aren't named are read, unless marked."""
+
+    def furniture(x: dict) -> bool:
+        return x["m"] == "x" or (x["m"] in MOST and 2 * x["o"] <= x["n"])
 
     def mass(x: dict) -> tuple[int, int]:
-        if x["m"] == "x":
+        if furniture(x):
             return 0, 0
         t, n = x["t"], x["l"]
         for k in x["k"].values():
@@ -217,8 +241,10 @@ def decide(wrapper: dict) -> dict:
         out: dict = {}
         total, links = mass(x)
         template = wrapper["n"] >= TEMPLATE_PAGES and x["n"] == wrapper["n"] and x["c"] is not None and x["t"] > 0 and not x["k"] and x["g"] not in TEXTUAL
-        if x["m"] == "x" or template or (not inside and total and links > LINK_SHARE * total and x["g"] in CONTAINERS):
+        if furniture(x) or template or (not inside and total and links > LINK_SHARE * total and x["g"] in CONTAINERS):
             return {"d": 1}
+        if x["m"] in MOST:
+            out["o"] = 1
         kids = {sign: y for sign, k in x["k"].items() if (y := drop(k, inside))}
         if kids:
             out["k"] = kids
@@ -265,7 +291,7 @@ def blocks(page: Element, decisions: dict) -> list[str]:
                 out.append(s)
             parts.clear()
 
-        if y.get("d") or e.marks == "x":
+        if y.get("d") or e.marks == "x" or (e.marks in MOST and not y.get("o")):
             return
         inside = inside or bool(y.get("r"))
         named = {id(k): sign for sign, k in signs(e)}

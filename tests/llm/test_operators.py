@@ -238,6 +238,26 @@ def test_html_main_text(spark):
     assert got[10] == "" and got[11] == "" and got[12] == "plain <text" and got[13] == "A\nb"
 
 
+@pytest.mark.parametrize("page", [
+    "<body class='single has-sidebar'>{}<div class=sidebar><p>Other things</p></div></body>",
+    "<body><main class='content with-sidebar'>{}</main><div class=sidebar><p>Other things</p></div></body>",
+    "<body><article class='post no-comments'>{}</article></body>",
+    "<body><div id='content-sidebar-wrap'><div class=post>{}</div><div id=sidebar><p>Other things</p></div></div></body>",
+    "<body><div class='header-fixed nav-left'><div class='post'>{}</div></div><div class=footer><p>Imprint of the site</p></div></body>",
+])
+@pytest.mark.parametrize("n", [1, 6])
+def test_class_words_do_not_hide_the_article(spark, page, n):
+    body = "<h1>Title {0}</h1><p>The text of article {0} is long enough to be most of the page.</p>"
+    rows = [(k, f"http://h.test/{k}", page.format(body.format(k))) for k in range(n)]
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Title {k}\nThe text of article {k} is long enough to be most of the page." for k in range(n)}
+
+
+def test_long_asides_do_not_replace_the_article():
+    page = html_extraction.parse("<body><div class=post><p>A short article.</p></div><div class=comments><p>" + "Chat and more chat. " * 5 + "</p></div></body>")
+    assert html_extraction.blocks(page, html_extraction.decide(html_extraction.expression(page))) == ["A short article."]
+
+
 def test_wrapper_has_optionals_and_repeats():
     a = html_extraction.expression(html_extraction.parse("<body><div class=x><p>1</p></div></body>"))
     b = html_extraction.expression(html_extraction.parse("<body><div class=x><p>1</p><p>2</p><h2>t</h2></div></body>"))
