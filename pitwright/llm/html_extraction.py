@@ -4,7 +4,10 @@ A page is a stream of tokens: tags, signed with name, classes and id, and texts.
 level of nesting: of two aligned elements with equal signatures the contents are aligned in turn; a signature that only
 one of them has becomes optional (?), one that follows itself becomes a repeated group (+, or * if both); texts that
 differ become slots, and texts that are equal on all pages stay template. No alternatives arise, so the expression is
-union-free. Alignment is associative up to the order of siblings: every task folds its pages into one expression for each
+union-free. Of a region that may be template outside of paragraphs, the most frequent texts are counted by page (in
+COUNTERS mergeable counters, each too low by at most the pages without the text divided by COUNTERS); what stands on
+TEMPLATE_SHARE of the pages that have the region's parent is template, other texts of the region stay. Alignment is
+associative up to the order of siblings and to that bound: every task folds its pages into one expression for each
 host, and the expressions of a host are folded in two more rounds, so a hot host is never in one task page by page.
 
 The wrapper shows which regions are the article: furniture is named by tags, roles and class words (these never mark html,
@@ -32,8 +35,9 @@ from pyspark.sql import functions as F
 from pitwright.llm.common import cut
 from pitwright.llm.url_filter import host_of
 
-#: Template text outside of paragraphs is furniture from so many pages on; an element of this share of link text is a menu.
-TEMPLATE_PAGES, LINK_SHARE, DESCEND = 5, 0.6, 0.6
+#: Template text outside of paragraphs is furniture from so many pages on, if it stands on this share of them; an element of this share of link text is a menu.
+TEMPLATE_PAGES, TEMPLATE_SHARE, LINK_SHARE, DESCEND = 5, 0.8, 0.6, 0.6
+COUNTERS = 16
 #: A task hands its expressions on when it has so many hosts.
 HOSTS_AT_ONCE, ROUND = 5_000, 32
 
@@ -58,6 +62,7 @@ ASIDE_WORDS = set("ad ads advert adverts advertisement advertising cookie cookie
 MOST = {"c": 0.5, "t": 0.9}
 NEVER_BY_CLASS = {"html", "body", "main", "article"}
 TEXTUAL = set("p h1 h2 h3 h4 h5 h6 blockquote pre li td th dd dt figcaption".split())
+NO_TEMPLATE = TEXTUAL | {"html", "body", "main", "article", "#page"}
 CONTAINERS = set("div section table tbody tr td center span ul ol li".split())
 
 
@@ -170,11 +175,10 @@ def signs(e: Element) -> list[tuple[str, Element]]:
 
 
 # An expression: n pages, t characters of own text, l of those in links, c hash of own text (None: a slot), q quantifier,
-# m marks, o pages where a region that class words mark holds most of the text, k signatures in order with their expressions.
-def expression(e: Element, whole: int | None = None) -> dict:
-    """whole: the page's characters outside of links."""
+# s pages by hash of own text (the most frequent), m marks, o pages where a region that class words mark holds most of the text, k signatures in order with their expressions.
+def own_text(e: Element) -> tuple[str, int]:
+    """The text of e outside of regions below it, and its characters in links."""
     text, links = [], 0
-    whole = _unlinked(e) if whole is None else whole
 
     def gather(x: Element, link: bool) -> None:
         nonlocal links
@@ -187,6 +191,19 @@ def expression(e: Element, whole: int | None = None) -> dict:
                 gather(k, link or k.name == "a")
 
     gather(e, e.name == "a")
+    return " ".join(text), links
+
+
+def _hash(own: str) -> int:
+    return zlib.crc32(own.encode("utf-8", "replace"))
+
+
+def expression(e: Element, whole: int | None = None) -> dict:
+    """whole: the page's characters outside of links. A page without text counts as no page."""
+    if whole is None and e.name == "#page" and not any(_chars(e)) and not _unlinked(e):
+        return {"n": 0, "t": 0, "l": 0, "c": _hash(""), "s": {}, "q": "", "m": e.marks, "o": 0, "g": e.name, "k": {}}
+    whole = _unlinked(e) if whole is None else whole
+    own, links = own_text(e)
     kids: dict[str, dict] = {}
     for sign, k in signs(e):
         x = expression(k, whole)
@@ -194,8 +211,8 @@ def expression(e: Element, whole: int | None = None) -> dict:
             kids[sign] = merge(kids[sign], x, repeated=True)
         else:
             kids[sign] = x
-    own = " ".join(text)
-    return {"n": 1, "t": len(own), "l": links, "c": zlib.crc32(own.encode("utf-8", "replace")), "q": "", "m": e.marks, "o": int(e.marks in MOST and _unlinked(e) > MOST[e.marks] * whole), "g": e.name, "k": kids}
+    c = _hash(own)
+    return {"n": 1, "t": len(own), "l": links, "c": c, "s": {str(c): 1} if own and not kids and e.name not in NO_TEMPLATE else {}, "q": "", "m": e.marks, "o": int(e.marks in MOST and _unlinked(e) > MOST[e.marks] * whole), "g": e.name, "k": kids}
 
 
 def _quantifier(a: str, b: str, plus: bool, optional: bool) -> str:
@@ -203,9 +220,24 @@ def _quantifier(a: str, b: str, plus: bool, optional: bool) -> str:
     return "*" if plus and optional else "+" if plus else "?" if optional else ""
 
 
+def _counts(a: dict[str, int], b: dict[str, int], one_page: bool) -> dict[str, int]:
+    """Of both, the COUNTERS most frequent at most: what the first one beyond them has is taken from all (Misra and Gries)."""
+    if not a or not b:
+        return a or b
+    out = dict(a)
+    for h, n in b.items():
+        out[h] = max(out.get(h, 0), n) if one_page else out.get(h, 0) + n
+    if len(out) > COUNTERS:
+        less = sorted(out.values(), reverse=True)[COUNTERS]
+        out = {h: n - less for h, n in out.items() if n > less}
+    return out
+
+
 def merge(a: dict, b: dict, repeated: bool = False, one_page: bool = False) -> dict:
     """The expression that fits what a fits and what b fits; repeated: both are on one page, one after the other; one_page:
     both are on one page, inside of such."""
+    if not a["n"] or not b["n"]:
+        return a if a["n"] else b
     one_page = one_page or repeated
     pages = lambda x, y: max(x, y) if one_page else x + y
     kids: dict[str, dict] = {}
@@ -217,11 +249,11 @@ def merge(a: dict, b: dict, repeated: bool = False, one_page: bool = False) -> d
     for sign, x in b["k"].items():
         if sign not in kids:
             kids[sign] = x | {"q": _quantifier(x["q"], "", False, True)}
-    return {"n": pages(a["n"], b["n"]), "t": a["t"] + b["t"], "l": a["l"] + b["l"], "c": a["c"] if a["c"] == b["c"] else None, "q": _quantifier(a["q"], b["q"], repeated, False), "m": a["m"], "o": pages(a["o"], b["o"]), "g": a["g"], "k": kids}
+    return {"n": pages(a["n"], b["n"]), "t": a["t"] + b["t"], "l": a["l"] + b["l"], "c": a["c"] if a["c"] == b["c"] else None, "s": _counts(a["s"], b["s"], one_page), "q": _quantifier(a["q"], b["q"], repeated, False), "m": a["m"], "o": pages(a["o"], b["o"]), "g": a["g"], "k": kids}
 
 
 def decide(wrapper: dict) -> dict:
-    """What to do in each region: {"d": drop, "o": read in spite of class words, "r": article root, "k": children}; regions
+    """What to do in each region: {"d": drop, "t": drop if its own text has one of these hashes, "o": read in spite of class words, "r": article root, "k": children}; regions
     that aren't named are read, unless marked."""
 
     def furniture(x: dict) -> bool:
@@ -236,16 +268,17 @@ def decide(wrapper: dict) -> dict:
             t, n = t + a, n + b
         return t, n
 
-    def drop(x: dict, inside: bool) -> dict:
+    def drop(x: dict, inside: bool, above: int) -> dict:
         inside = inside or x["m"] == "a"
         out: dict = {}
         total, links = mass(x)
-        template = wrapper["n"] >= TEMPLATE_PAGES and x["n"] == wrapper["n"] and x["c"] is not None and x["t"] > 0 and not x["k"] and x["g"] not in TEXTUAL
-        if furniture(x) or template or (not inside and total and links > LINK_SHARE * total and x["g"] in CONTAINERS):
+        if furniture(x) or (not inside and total and links > LINK_SHARE * total and x["g"] in CONTAINERS):
             return {"d": 1}
         if x["m"] in MOST:
             out["o"] = 1
-        kids = {sign: y for sign, k in x["k"].items() if (y := drop(k, inside))}
+        if above >= TEMPLATE_PAGES and (found := sorted(int(h) for h, n in x["s"].items() if n >= TEMPLATE_SHARE * above)):
+            out["t"] = found
+        kids = {sign: y for sign, k in x["k"].items() if (y := drop(k, inside, x["n"]))}
         if kids:
             out["k"] = kids
         return out
@@ -264,9 +297,9 @@ def decide(wrapper: dict) -> dict:
         return found
 
     def kept(x: dict, y: dict) -> int:
-        return 0 if y.get("d") else x["t"] - x["l"] + sum(kept(k, y.get("k", {}).get(sign, {})) for sign, k in x["k"].items())
+        return 0 if y.get("d") or y.get("t") else x["t"] - x["l"] + sum(kept(k, y.get("k", {}).get(sign, {})) for sign, k in x["k"].items())
 
-    out = drop(wrapper, False)
+    out = drop(wrapper, False, wrapper["n"])
     if not roots(wrapper, out):
         x, y, whole = wrapper, out, kept(wrapper, out)
         while True:
@@ -295,6 +328,8 @@ def blocks(page: Element, decisions: dict) -> list[str]:
             return
         inside = inside or bool(y.get("r"))
         named = {id(k): sign for sign, k in signs(e)}
+        if y.get("t") and not named and _hash(own_text(e)[0]) in y["t"]:
+            return
 
         def inline(x: Element) -> None:
             for k in x.kids:

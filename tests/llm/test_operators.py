@@ -1,6 +1,7 @@
 """The corpus operators against brute force, round trips and hand-made cases, with nulls, empties, ties and repeated rows."""
 
 import base64
+import functools
 import hashlib
 import itertools
 import os
@@ -258,6 +259,28 @@ def test_long_asides_do_not_replace_the_article():
     assert html_extraction.blocks(page, html_extraction.decide(html_extraction.expression(page))) == ["A short article."]
 
 
+def test_template_goes_on_hosts_with_deviating_pages(spark):
+    """Empty, broken and error pages, variants and missing regions don't keep a notice in the texts of all the others."""
+    page = "<body><div class=post><h1>Title {0}</h1><div class=hint>{1}</div><p>The text of article {0}, which goes on for a while.</p></div></body>"
+    note = "Read this on our app"
+    rows = [(k, page.format(k, note)) for k in range(40)] + [(50, None), (51, ""), (52, "<body><h1>Not found</h1></body>"), (53, page.format(53, "A remark of its own")), (54, page.format(54, "").replace("<div class=hint></div>", ""))]
+    df = spark.createDataFrame([(k, f"http://h.test/{k}", h) for k, h in rows], "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"].split("\n") for r in html_extraction.extract(df).collect()}
+    for k in (*range(40), 54):
+        assert got[k] == [f"Title {k}", f"The text of article {k}, which goes on for a while."]
+    assert got[53] == ["Title 53", "A remark of its own", "The text of article 53, which goes on for a while."]
+    assert got[50] == got[51] == [""]
+
+
+def test_counters_of_texts_hold_the_frequent_one():
+    rnd = random.Random(4)
+    texts = ["same"] * 850 + [f"other {k}" for k in range(150)]
+    rnd.shuffle(texts)
+    parts = [html_extraction.expression(html_extraction.parse(f"<body><div>{t}</div></body>")) for t in texts]
+    x = functools.reduce(html_extraction.merge, parts)["k"]["body"]["k"]["div"]
+    assert len(x["s"]) <= html_extraction.COUNTERS and 850 - 150 / html_extraction.COUNTERS <= max(x["s"].values()) <= 850
+
+
 def test_wrapper_has_optionals_and_repeats():
     a = html_extraction.expression(html_extraction.parse("<body><div class=x><p>1</p></div></body>"))
     b = html_extraction.expression(html_extraction.parse("<body><div class=x><p>1</p><p>2</p><h2>t</h2></div></body>"))
