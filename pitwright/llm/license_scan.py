@@ -6,8 +6,9 @@ templates by sparse dot products. A document's licence is the best one of its he
 mostly are licence text, or are named like it, are licence files: their directory's licence (the most frequent, ties in
 order of name) goes to the documents below it that have none, from the nearest such directory.
 
-Terms that no template has count with the weight of a term seen once. The terms of the templates are a fixed, small set,
-and their frequencies are broadcast; lines and documents are joined by shuffling, unless counted small.
+Terms that no template has are weighted by their own frequencies as well. The terms of the templates are a fixed, small
+set, and their frequencies are broadcast; those of all terms, lines and documents are joined by shuffling, unless counted
+small.
 
 Defined results: null and empty texts have no header; a null directory is the root; repeated rows are judged alike;
 without any header every licence is null; an empty table gives an empty result; extra columns are passed over.
@@ -60,11 +61,11 @@ def licence_of_lines(lines: DataFrame) -> DataFrame:
     t_terms = templates.select("template", F.explode(terms_of(F.col("text"))).alias("term")).groupBy("template", "term").agg(F.count("*").alias("tf"))
     spread = lines.select("line", "n", F.explode(terms_of(F.col("line"))).alias("term")).groupBy("line", "n", "term").agg(F.count("*").alias("tf"))
     total = F.lit(int(lines.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]))
-    df = spread.join(F.broadcast(t_terms.select("term").distinct()), "term").groupBy("term").agg(F.sum("n").alias("df"))
+    df = cut(spread.groupBy("term").agg(F.sum("n").alias("df")), "frequencies")
+    of_terms = F.broadcast(df) if df.count() <= BROADCAST_LINES else df
     weight = F.log((1.0 + total) / (1.0 + F.coalesce(F.col("df"), F.lit(1)))) + 1.0
     idf = cut(t_terms.select("term").distinct().join(df, "term", "left").select("term", weight.alias("idf")), "idf")
-    other = F.log((1.0 + total) / F.lit(2.0)) + 1.0
-    w = spread.join(F.broadcast(idf), "term", "left").select("line", "term", (F.col("tf") * F.coalesce("idf", other)).alias("w"))
+    w = spread.join(of_terms, "term").select("line", "term", (F.col("tf") * weight).alias("w"))
     norms = w.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     t = t_terms.join(F.broadcast(idf), "term").select("template", "term", (F.col("tf") * F.col("idf")).alias("tw"))
     t_norm = t.groupBy("template").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("t_norm"))

@@ -309,6 +309,23 @@ def test_licences_are_inherited_from_the_nearest_directory(spark):
     assert got == {1: ("MIT", "."), 2: ("MIT", "/a"), 3: ("GPL-3.0", "."), 4: ("GPL-3.0", "/a/b/c"), 5: (None, None), 6: ("Apache-2.0", "."), 7: (None, None)}
 
 
+def test_licence_terms_are_weighted_by_their_own_frequencies(spark):
+    """Against plain Python; words outside of the templates that stand in every header weigh little, however large the corpus."""
+    counts = {f"Copyright (c) 2020 Foo{k}. All rights reserved.": 900 for k in range(20)} | {"This file is part of Foo and is licensed under the Apache License, Version 2.0.": 5_000, "Released under the MIT License.": 700}
+    terms = lambda x: [w for w in re.split("[^a-z0-9]+", x.lower()) if w]
+    total, df = sum(counts.values()), {}
+    for line, n in counts.items():
+        for w in set(terms(line)):
+            df[w] = df.get(w, 0) + n
+    vector = lambda x: {w: terms(x).count(w) * (np.log((1 + total) / (1 + df.get(w, 1))) + 1) for w in set(terms(x))}
+    cosine = lambda a, b: sum(v * b.get(w, 0) for w, v in a.items()) / np.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+    lines = spark.createDataFrame(list(counts.items()), "line string, n long")
+    got = {r["line"]: r for r in license_scan.licence_of_lines(lines).collect()}
+    for line in counts:
+        s, k, name = max((round(cosine(vector(line), vector(text)), 6), -k, name) for k, (name, text) in enumerate(license_scan.TEMPLATES))
+        assert got[line]["licence"] == name and abs(got[line]["similarity"] - s) < 2e-6
+
+
 def test_empty_tables(spark):
     docs, pages = docs_of(spark, []), spark.createDataFrame([], "page_id long, url string, html string")
     benchmark, labels = spark.createDataFrame([], "item_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int")
