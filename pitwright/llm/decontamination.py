@@ -5,11 +5,15 @@ fix its position. Each position of each training text is hashed under each mask
 benchmark; around a hit both texts are laid side by side on the hit's diagonal, and the item is found there if in some
 window of WINDOW words (or in the whole item, if it is shorter) at least SIMILARITY of the words agree.
 
+The masks lose nothing: where at most a fifth of n >= 5 words differ, one of the n / 5 runs of five words has at most one
+that differs, and for each of its places some mask fixes four others of the five. Items of up to three words, in which
+none may differ, have one seed, of all their words. In scripts without spaces each character is a word.
+
 Seeds of the benchmark, and the distinct diagonals that they hit, are each counted before they are joined: up to
 BROADCAST_SEEDS rows are broadcast, so that no text is shuffled; more are joined by shuffling hashes, or texts by row.
 
-Defined results: null and empty texts have no seeds and no hits; a benchmark item of fewer words than the shortest span
-can't be found by a seed and is not looked for; equal rows of training texts are found alike; equal items are found
+Defined results: null and empty texts have no seeds and no hits; a benchmark item without words is not
+looked for; equal rows of training texts are found alike; equal items are found
 under each of their ids. Extra columns are passed over.
 """
 
@@ -21,14 +25,19 @@ from pyspark.sql import functions as F
 from pitwright.llm.common import cut, positional, row_key
 from pitwright.llm.quality import shifted
 
-#: Fixed positions are 1; of weight 6 and spans 9 and 10.
-MASKS = ("110110101", "1011001011")
+#: Fixed positions are 1; each four of five words, those without the first or the last one being the same.
+MASKS = ("1111", "10111", "11011", "11101")
+#: Whole items of fewer words than the shortest mask.
+SHORT = ("1", "11", "111")
+UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
 WINDOW, SIMILARITY = 20, 0.8
 BROADCAST_SEEDS = 500_000
 
 
 def words_of(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+    lowered = F.lower(F.coalesce(text, F.lit("")))
+    apart = F.when(lowered.rlike(UNSPACED), F.regexp_replace(lowered, UNSPACED, " $1 ")).otherwise(lowered)
+    return F.array_remove(F.split(apart, r"[^\p{L}\p{N}]+"), "")
 
 
 def seeds(rows: DataFrame, masks: tuple[str, ...], keys: list[str]) -> DataFrame:
@@ -36,7 +45,7 @@ def seeds(rows: DataFrame, masks: tuple[str, ...], keys: list[str]) -> DataFrame
     span = max(map(len, masks))
     at = F.arrays_zip(*(c.alias(f"w{j}") for j, c in enumerate(shifted(F.col("words"), span))))
     spread = rows.select(*keys, F.posexplode(at).alias("pos", "at"))
-    hashes = [F.when(F.col(f"at.w{len(m) - 1}").isNotNull(), F.xxhash64(F.lit(k), *(F.col(f"at.w{j}") for j, bit in enumerate(m) if bit == "1"))) for k, m in enumerate(masks)]
+    hashes = [F.when(F.col(f"at.w{len(m) - 1}").isNotNull(), F.xxhash64(F.lit(m), *(F.col(f"at.w{j}") for j, bit in enumerate(m) if bit == "1"))) for m in masks]
     return spread.select(*keys, "pos", F.explode(F.array(*hashes)).alias("seed")).where("seed is not null")
 
 
@@ -66,12 +75,17 @@ def find(docs: DataFrame, benchmark: DataFrame, keys: list[str], text_col: str =
     """keys, item_id, n_matched, similarity (of the best window) and first_word (the word of the text beside the item's first
     word; below 0 if the text begins within the item): a row for each text and item found in it."""
     items = benchmark.select(F.col(item_id).alias("item_id"), words_of(F.col(item_text)).alias("item_words"))
-    own = cut(seeds(items.withColumnRenamed("item_words", "words"), masks, ["item_id"]).select("item_id", F.col("pos").alias("ipos"), "seed"), "seeds")
+    own = seeds(items.withColumnRenamed("item_words", "words"), masks, ["item_id"])
+    lengths = {r[0] for r in items.select(F.size("item_words")).where(F.size("item_words").between(1, len(SHORT))).distinct().collect()}
+    short = tuple(m for m in SHORT if len(m) in lengths)
+    for m in short:
+        own = own.unionAll(seeds(items.where(F.size("item_words") == len(m)).withColumnRenamed("item_words", "words"), (m,), ["item_id"]))
+    own = cut(own.select("item_id", F.col("pos").alias("ipos"), "seed"), "seeds")
     # the row's own hash finds its text again: a row may lack an id, or share it
     k1, k2 = (k.alias(f"__row{i}") for i, k in enumerate(row_key(docs)))
     rows = docs.select(k1, k2, words_of(F.col(text_col)).alias("words"))
     few = own.count() <= limit
-    hits = seeds(rows, masks, ["__row0", "__row1"]).join(F.broadcast(own) if few else own, "seed")
+    hits = seeds(rows, masks + short, ["__row0", "__row1"]).join(F.broadcast(own) if few else own, "seed")
     places = cut(hits.select("__row0", "__row1", "item_id", (F.col("pos") - F.col("ipos")).alias("shift")).distinct(), "hits")
     placed = places.join(F.broadcast(items) if few else items, "item_id")
     texts = docs.select(*keys, k1, k2, F.col(text_col).alias("__text"))

@@ -214,6 +214,26 @@ def test_decontamination_tolerates_substitutions(spark, limit):
     assert sorted(r["doc_id"] for r in decontamination.without(docs, benchmark, limit=limit).collect()) == [3, 4, 5]
 
 
+def test_masks_keep_a_seed_of_every_allowed_pattern():
+    fixed = [[j for j, bit in enumerate(m) if bit == "1"] for m in decontamination.MASKS]
+    for n in range(4, decontamination.WINDOW + 1):
+        most = next(t for t in range(n, -1, -1) if n - t >= decontamination.SIMILARITY * n)
+        places = [{at + j for j in f} for m, f in zip(decontamination.MASKS, fixed) for at in range(n - len(m) + 1)]
+        for changed in itertools.combinations(range(n), most):
+            assert any(p.isdisjoint(changed) for p in places), (n, changed)
+
+
+@pytest.mark.parametrize("limit", [1_000, 0])
+def test_short_and_unspaced_items_are_found(spark, limit):
+    nine, ten = prose(21, 9), prose(22, 10)
+    wrong = lambda t, *at: " ".join("wrong" if k in at else w for k, w in enumerate(t.split()))
+    benchmark = spark.createDataFrame([(1, "lone"), (2, "two words"), (3, "just three words"), (4, "now four words here"), (5, nine), (6, ten), (7, "这是一个没有空格的句子"), (8, "...")], "item_id long, text string")
+    around = lambda t: prose(23, 6) + " " + t + " " + prose(24, 6)
+    texts = [(1, around("lone")), (2, around("Two words")), (3, around("just three words")), (4, around("now four words here")), (5, around(wrong(nine, 4))), (6, around(wrong(ten, 3, 6))), (7, "前面这是一个没有空格的句子后面"), (8, around(wrong(ten, 2, 5, 8))), (9, around("two other words")), (10, None)]
+    got = decontamination.find(docs_of(spark, texts), benchmark, ["doc_id"], limit=limit).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(k, k) for k in range(1, 8)]
+
+
 def test_aliases_carry_decisions(spark):
     link = '<head><link href="{}" rel=canonical></head>'
     pages = [
