@@ -161,7 +161,7 @@ def vetoes_table(spark, sf):
 
 @demo(f"select 'V6' as rule, sum(case when adv20 >= 50000 and close > 0 then 0 else 1 end)::bigint as n, round(avg(case when adv20 >= 50000 and close > 0 then 0.0 else 1.0 end), 6) as share from {_FP} a")
 def veto_fired(spark, sf):
-    return vetoes.fired(vetoes.vetoes(fpanel(spark, sf), 50_000)).where("rule = 'V6'").select("rule", "n", r("share", 6).alias("share"))
+    return vetoes.fired(vetoes.vetoes(fpanel(spark, sf), 50_000)).select("rule", "n", r("share", 6).alias("share"))
 
 
 _Q = """(select *, sign(target - lag(target) over (partition by code, analyst order by pub_date, uid)) as rev from ({reports}) q)"""

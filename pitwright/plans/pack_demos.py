@@ -176,8 +176,10 @@ def account_pivot(spark, sf):
 
 @demo("select s.code, yr, q from ({security}) s, (select unnest(range(1993, 1998)) as yr) y, (select unnest(range(1, 5)) as q) k where not exists (select 1 from ({statements}) t where t.code = s.code and t.yr = y.yr and t.q = k.q)")
 def todo_antijoin(spark, sf):
-    wanted = role(spark, sf, "security").select("code", F.explode(F.sequence(F.lit(1993), F.lit(1997))).alias("yr")).select("code", F.col("yr").cast("int").alias("yr"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("q"))
-    return wanted.join(role(spark, sf, "statements"), ["code", "yr", "q"], "left_anti")
+    statements = role(spark, sf, "statements")
+    years = statements.agg(F.min("yr").alias("first"), F.max("yr").alias("last")).where("first is not null")
+    wanted = role(spark, sf, "security").crossJoin(F.broadcast(years)).select("code", F.explode(F.sequence("first", "last")).alias("yr")).select("code", F.col("yr").cast("int").alias("yr"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("q"))
+    return wanted.join(statements, ["code", "yr", "q"], "left_anti")
 
 
 @demo("select month, uid, code from (select *, row_number() over (partition by month order by pub_date desc, uid, code) as n from (select *, last_day(pub_date) as month from ({reports}) q) a) b where n <= 30")

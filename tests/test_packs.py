@@ -1,15 +1,17 @@
 """Packs and report entities against hand-made cases."""
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from pitwright.functions.exprs import clip
 from pitwright.operators import entity, ledger
-from pitwright.plans import packs
+from pitwright.plans import axis_demos, demos, pack_demos, packs  # noqa: F401
 
 D = dt.date
+DATA = "/root/testdata/sf0.01"
 
 
 def test_clip_keeps_null(spark):
@@ -57,3 +59,13 @@ def test_authors_and_links(spark):
 def test_subtotals_go_and_nulls_stay(spark):
     df = spark.createDataFrame([("합 계",), ("staff",), (None,), ("소계",)], "label string")
     assert {r["label"] for r in ledger.without_subtotals(df, "label").collect()} == {"staff", None}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="tables are absent")
+def test_gaps_of_all_years_and_all_veto_rules(spark):
+    held = {tuple(r) for r in demos.role(spark, DATA, "statements").select("code", "yr", "q").collect()}
+    codes = [r["code"] for r in demos.role(spark, DATA, "security").select("code").collect()]
+    years = {yr for _, yr, _ in held}
+    want = sorted((c, yr, q) for c in codes for yr in range(min(years), max(years) + 1) for q in range(1, 5) if (c, yr, q) not in held)
+    assert sorted(map(tuple, demos.QUERIES["todo_antijoin"](spark, DATA).select("code", "yr", "q").collect())) == want
+    assert sorted(r["rule"] for r in demos.QUERIES["veto_fired"](spark, DATA).collect()) == [f"V{k}" for k in range(1, 9)]
