@@ -11,22 +11,37 @@ from pyspark.sql import types as T
 
 _FALLBACK: dict[str, str] = {}
 
+#: Up to so many bytes of a counted table are broadcast; beyond it tables are joined by shuffling.
+BROADCAST_BYTES = 32 << 20
+
 #: A to Z and a to z, for lower-casing that leaves every other letter alone.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one (per application) only where that is unset."""
-    conf = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of this application in the one that spark.checkpoint.dir names. Where that is unset: a temporary one in local
+    mode, where all tasks see it, and an error on a cluster."""
+    conf, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
     if conf:
-        return conf.rstrip("/")
-    app = spark.sparkContext.applicationId
+        return f"{conf.rstrip('/')}/llm-{app}"
+    if not (spark.sparkContext.master or "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if app not in _FALLBACK:
         _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="llm-shared-")
     return _FALLBACK[app]
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application's operators have written between their steps. Their results read these tables: call it
+    when they have been written elsewhere."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(shared_dir(spark))
+    if store.get_file_info(path).type == fs.FileType.Directory:
+        store.delete_dir_contents(path)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -43,9 +58,11 @@ def ascii_lower(c: Column) -> Column:
 
 
 def row_key(df: DataFrame) -> list[Column]:
-    """Two 64-bit hashes over all columns: equal for repeated rows, apart for all others."""
+    """Two 64-bit hashes over all columns (maps left out): equal for repeated rows, apart for all others. As the hash passes over
+    nulls, which columns are null is hashed as well."""
     cols = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
-    return [F.xxhash64(F.lit(1), *cols).alias("__k1"), F.xxhash64(F.lit(2), *cols, F.lit(3)).alias("__k2")]
+    nulls = F.concat(F.lit(""), *(c.isNull().cast("string") for c in cols))
+    return [F.xxhash64(F.lit(1), nulls, *cols).alias("__k1"), F.xxhash64(F.lit(2), nulls, *cols, F.lit(3)).alias("__k2")]
 
 
 def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
