@@ -1,9 +1,14 @@
 """Minimax contiguous partition of atomic groups into shards, with DataFrame functions only.
 
-Equal texts are one group, and groups are ordered by the digest of their text. The smallest capacity is searched for at
-which greedy cutting (each shard takes groups as long as they fit) needs no more than the given number of shards; there
-the groups are cut. Greedy steps are questions to the written table of running sums, "the last group that ends at or
-before x", asked for many capacities in one job: the driver holds a handful of numbers.
+Equal texts are one group, and groups are ordered by the digest of their text. The smallest capacity is searched for by
+bisection: a capacity is feasible if greedy cutting (each shard takes groups as long as they fit) needs no more than the
+given number of shards; there the groups are cut.
+
+A greedy step asks the written table of running sums for "the last group that ends at or before x". The driver holds the
+ends in at most BINS ranges, each with its least and greatest end: a step into a gap between ranges, or into a range of one
+or two ends, is exact, any other lies between two bounds. Bisection with both bounds leaves an interval of capacities; the
+ranges that its steps fall into are then split, in one job for all of them, until capacity and cuts are exact. Each round
+narrows the ranges by a factor of hundreds, so a handful of jobs finish at any size.
 
 Running sums are made without a window over everything: rows are dealt by ranges of the digest (and the id, so that a hot
 group lies in many ranges), summed within each range, and raised by the sums of the ranges before it, of which there are
@@ -16,57 +21,111 @@ than shards leave shards empty; repeated rows and equal ids get slots of their o
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitwright.llm.common import cut
 
-#: Capacities that one job tries.
-WIDTH = 32
+#: Ranges of ends that a job hands to the driver.
+BINS = 4_096
+
+
+def _dealt(df: DataFrame, order: list[str]) -> DataFrame:
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return cut(df.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()), "ranges")
 
 
-def _running(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
-    """df with, for each item of sums, a column named by its key: the sum of its value's column up to and with this row."""
-    spark = df.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = cut(df.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+def _running(dealt: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
+    """dealt with, for each item of sums, a column named by its key: the sum of its value's column up to and with this row."""
     totals = dealt.groupBy("__range").agg(*(F.sum(c).alias(f"__{c}") for c in dict.fromkeys(sums.values()))).orderBy("__range").collect()
     before, start = [], dict.fromkeys(sums.values(), 0)
     for r in totals:
         before.append((r["__range"], *start.values()))
         start = {c: n + r[f"__{c}"] for c, n in start.items()}
-    offsets = spark.createDataFrame(before, "__range int, " + ", ".join(f"__{c} long" for c in start))  # a row for each range
+    offsets = dealt.sparkSession.createDataFrame(before, "__range int, " + ", ".join(f"__{c} long" for c in start))  # a row for each range
     w = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = dealt.join(F.broadcast(offsets), "__range")
-    return out.select(*df.columns, *((F.sum(c).over(w) + F.col(f"__{c}")).alias(k) for k, c in sums.items()))
+    return out.select(*(c for c in dealt.columns if c != "__range"), *((F.sum(c).over(w) + F.col(f"__{c}")).alias(k) for k, c in sums.items()))
 
 
-def _ends(ends: DataFrame, starts: list[int], capacities: list[int], reach: int) -> list[int]:
-    """For each start and capacity: the largest running sum up to start + capacity (the start itself if there is none)."""
-    xs = [s + c for s, c in zip(starts, capacities, strict=True)]
-    near = ends.where((F.col("end") > min(xs) - reach) & (F.col("end") <= max(xs)))
-    got = near.agg(*(F.max(F.when(F.col("end") <= x, F.col("end"))).alias(f"x{k}") for k, x in enumerate(xs))).first()
-    return [s if g is None else max(s, g) for s, g in zip(starts, got, strict=True)]
+@dataclass
+class Ends:
+    """What is known of the ends: ranges in order, each with its bin, its least and greatest end and how many it holds."""
 
+    bin: np.ndarray
+    least: np.ndarray
+    most: np.ndarray
+    n: np.ndarray
+
+    def up_to(self, x: int) -> tuple[int, int]:
+        """(an end at or before x, a bound of the last such end); 0 where there is none."""
+        k = int(np.searchsorted(self.least, x, side="right")) - 1
+        if k < 0:
+            return 0, 0
+        if self.most[k] <= x:
+            return int(self.most[k]), int(self.most[k])
+        return int(self.least[k]), int(self.least[k]) if self.n[k] <= 2 else x
+
+    def path(self, capacity: int, shards: int, bound: int) -> list[int]:
+        """Greedy cuts with the ends that are known (bound 0), or with their bounds (1)."""
+        at, out = 0, []
+        for _ in range(shards):
+            at = max(at, self.up_to(at + capacity)[bound])
+            out.append(at)
+        return out
 
-def minimax_cuts(ends: DataFrame, total: int, largest: int, shards: int) -> tuple[int, list[int]]:
+    def least_capacity(self, low: int, high: int, total: int, shards: int, bound: int) -> int:
+        """The least capacity from low to high whose path reaches the total; high is taken to."""
+        while low < high:
+            mid = (low + high) // 2
+            if self.path(mid, shards, bound)[-1] >= total:
+                high = mid
+            else:
+                low = mid + 1
+        return low
+
+    def open_ranges(self, low: int, high: int, shards: int) -> np.ndarray:
+        """Whether the steps of paths with capacities from low to high can fall within a range."""
+        starts, ends = [0, *self.path(low, shards, 0)[:-1]], [0, *self.path(high, shards, 1)[:-1]]
+        hit = np.zeros(len(self.n), dtype=bool)
+        for a, b in zip(starts, ends, strict=True):
+            hit |= (self.most > a + low) & (self.least <= b + high)
+        return hit & (self.n > 2)
+
+
+def _ranges(ends: DataFrame, total: int, bins: int, known: Ends | None = None, split: np.ndarray | None = None) -> Ends:
+    """All ends in `bins` ranges of equal width, or those that are marked in `split` cut anew, the others as known."""
+    of = F.floor(F.col("end") / F.lit(-(-total // bins))).cast("long")
+    if known is None:
+        rows = ends.groupBy(of.alias("bin")).agg(F.min("end").alias("least"), F.max("end").alias("most"), F.count("*").alias("n")).collect()
+        old = np.zeros((0, 4), dtype=np.int64)
+    else:
+        marked = np.flatnonzero(split)
+        pieces = max(2, bins // len(marked))
+        parts = [(int(known.bin[k]), int(known.least[k]), int(known.most[k]), -(-(int(known.most[k]) - int(known.least[k]) + 1) // pieces)) for k in marked]
+        windows = ends.sparkSession.createDataFrame(parts, "bin long, low long, high long, width long")  # at most as many rows as ranges
+        near = ends.where(F.col("end").between(min(p[1] for p in parts), max(p[2] for p in parts))).select("end", of.alias("bin"))
+        placed = near.join(F.broadcast(windows), "bin").where("end between low and high")
+        rows = placed.groupBy("bin", "low", F.floor((F.col("end") - F.col("low")) / F.col("width")).alias("piece")).agg(F.min("end").alias("least"), F.max("end").alias("most"), F.count("*").alias("n")).select("bin", "least", "most", "n").collect()
+        old = np.stack([known.bin, known.least, known.most, known.n], axis=1)[~split]
+    table = np.concatenate([np.array([tuple(r) for r in rows], dtype=np.int64).reshape(-1, 4), old])
+    return Ends(*np.ascontiguousarray(table[np.argsort(table[:, 1], kind="stable")].T))
+
+
+def minimax_cuts(ends: DataFrame, total: int, largest: int, shards: int, bins: int = BINS) -> tuple[int, list[int]]:
     """(capacity, running sums at which shards end). ends: column end, the running sums of groups; largest: the largest group."""
     low = max(largest, -(-total // shards))
-    high = min(total, low + largest)  # cutting greedily leaves less than the largest group unused in each shard
-    cuts: dict[int, list[int]] = {}
+    high = min(total, low + largest)  # feasible: cutting greedily leaves less than the largest group unused in each shard
+    known = _ranges(ends, total, bins)
     while True:
-        tries = sorted({low + (high - low) * k // (WIDTH - 1) for k in range(WIDTH)}) if high > low else [low]
-        at = {c: [0] for c in tries}
-        for _ in range(shards):
-            for c, e in zip(tries, _ends(ends, [at[c][-1] for c in tries], tries, largest), strict=True):
-                at[c].append(e)
-        feasible = [c for c in tries if at[c][-1] >= total]
-        best = feasible[0]
-        cuts[best] = at[best][1:]
-        worse = [c for c in tries if c < best]
-        if not worse or worse[-1] + 1 == best:
-            return best, cuts[best]
-        low, high = worse[-1] + 1, best
+        low, high = known.least_capacity(low, high, total, shards, 1), known.least_capacity(low, high, total, shards, 0)
+        split = known.open_ranges(low, high, shards)
+        if not split.any():
+            return high, known.path(high, shards, 0)
+        known = _ranges(ends, total, bins, known, split)
 
 
 def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -76,9 +135,10 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     crc = F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
     key = F.when(text.isNull(), F.lit("")).otherwise(F.sha2(text, 256))
     rows = docs.select(F.col(id_col).alias("id"), size.alias("size"), crc.alias("crc"), key.alias("key"))
-    ranked = cut(_running(rows.withColumn("one", F.lit(1).cast("long")), ["key", "id"], {"rank": "one"}), "ranked")
-    groups = ranked.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+    dealt = _dealt(rows.withColumn("one", F.lit(1).cast("long")), ["key", "id"])
+    groups = _dealt(dealt.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")), ["key"])
     ends = cut(_running(groups, ["key"], {"end": "bytes", "last": "rows"}).select("key", "bytes", "end", "last"), "ends")
+    ranked = _running(dealt, ["key", "id"], {"rank": "one"})
     total, largest = ends.agg(F.coalesce(F.max("end"), F.lit(0)), F.coalesce(F.max("bytes"), F.lit(1))).first()
     _, cuts = minimax_cuts(ends, total, largest, shards) if total else (0, [])
     last = {r["end"]: r for r in ends.where(F.col("end").isin(sorted(set(cuts) - {0}))).collect()}  # one for each shard at most
