@@ -5,12 +5,14 @@ fix its position. Each position of each training text is hashed under each mask
 benchmark; around a hit both texts are laid side by side on the hit's diagonal, and the item is found there if in some
 window of WINDOW words (or in the whole item, if it is shorter) at least SIMILARITY of the words agree.
 
-The masks lose nothing: where at most a fifth of n >= 5 words differ, one of the n / 5 runs of five words has at most one
-that differs, and for each of its places some mask fixes four others of the five. Items of up to three words, in which
-none may differ, have one seed, of all their words. In scripts without spaces each character is a word.
+The masks lose nothing: of n >= 5 words of which at most a fifth differ, cut into n / 5 runs of five, a run with one word
+that differs keeps a seed, as for each place some mask fixes the four others, and for each further one that differs another
+run has none and keeps five. So each diagonal to be found has n / 5 seeds or more (n: the item's words, 20 at most), and
+those with fewer are passed over unread. Items of up to three words, in which none may differ, have one seed, of all their
+words. In scripts without spaces each character is a word.
 
-Seeds of the benchmark, and the distinct diagonals that they hit, are each counted before they are joined: up to
-BROADCAST_SEEDS rows are broadcast, so that no text is shuffled; more are joined by shuffling hashes, or texts by row.
+Seeds and texts of the benchmark, and the diagonals that are left, are each counted before they are joined: up to
+BROADCAST_BYTES of them are broadcast, so that no text is shuffled; more are joined by shuffling hashes, or texts by row.
 
 Defined results: null and empty texts have no seeds and no hits; a benchmark item without words is not
 looked for; equal rows of training texts are found alike; equal items are found
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitwright.llm.common import cut, positional, row_key
+from pitwright.llm.common import BROADCAST_BYTES, cut, positional, row_key
 from pitwright.llm.quality import shifted
 
 #: Fixed positions are 1; each four of five words, those without the first or the last one being the same.
@@ -31,7 +33,8 @@ MASKS = ("1111", "10111", "11011", "11101")
 SHORT = ("1", "11", "111")
 UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
 WINDOW, SIMILARITY = 20, 0.8
-BROADCAST_SEEDS = 500_000
+#: Bytes that a row of seeds or of diagonals takes where it is broadcast, at most.
+ROW_BYTES = 96
 
 
 def words_of(text: Column) -> Column:
@@ -71,26 +74,33 @@ def _verified(hits: DataFrame, keys: list[str]) -> DataFrame:
     return a.groupBy(*keys, "item_id").agg(top).select(*keys, "item_id", F.col("top.n_matched").cast("long").alias("n_matched"), F.col("top.similarity").alias("similarity"), (-F.col("top.back")).cast("long").alias("first_word"))
 
 
-def find(docs: DataFrame, benchmark: DataFrame, keys: list[str], text_col: str = "text", item_id: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, limit: int = BROADCAST_SEEDS) -> DataFrame:
+def seeds_needed(words: Column) -> Column:
+    """So many seeds has each diagonal on which an item of these words is to be found, at least."""
+    return F.greatest(F.floor(F.least(F.size(words), F.lit(WINDOW)) / 5), F.lit(1)).cast("int")
+
+
+def find(docs: DataFrame, benchmark: DataFrame, keys: list[str], text_col: str = "text", item_id: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, limit: int = BROADCAST_BYTES) -> DataFrame:
     """keys, item_id, n_matched, similarity (of the best window) and first_word (the word of the text beside the item's first
     word; below 0 if the text begins within the item): a row for each text and item found in it."""
     items = benchmark.select(F.col(item_id).alias("item_id"), words_of(F.col(item_text)).alias("item_words"))
-    own = seeds(items.withColumnRenamed("item_words", "words"), masks, ["item_id"])
-    lengths = {r[0] for r in items.select(F.size("item_words")).where(F.size("item_words").between(1, len(SHORT))).distinct().collect()}
+    worded = items.withColumnRenamed("item_words", "words").withColumn("needed", seeds_needed(F.col("words")))
+    own = seeds(worded, masks, ["item_id", "needed"])
+    size = F.coalesce(F.sum(F.octet_length(F.array_join("item_words", " ")) + 16 * F.size("item_words") + ROW_BYTES), F.lit(0))
+    item_bytes, lengths = items.agg(size, F.collect_set(F.when(F.size("item_words").between(1, len(SHORT)), F.size("item_words")))).first()
     short = tuple(m for m in SHORT if len(m) in lengths)
     for m in short:
-        own = own.unionAll(seeds(items.where(F.size("item_words") == len(m)).withColumnRenamed("item_words", "words"), (m,), ["item_id"]))
-    own = cut(own.select("item_id", F.col("pos").alias("ipos"), "seed"), "seeds")
+        own = own.unionAll(seeds(worded.where(F.size("words") == len(m)), (m,), ["item_id", "needed"]))
+    own = cut(own.select("item_id", "needed", F.col("pos").alias("ipos"), "seed"), "seeds")
     # the row's own hash finds its text again: a row may lack an id, or share it
     k1, k2 = (k.alias(f"__row{i}") for i, k in enumerate(row_key(docs)))
     rows = docs.select(k1, k2, words_of(F.col(text_col)).alias("words"))
-    few = own.count() <= limit
-    hits = seeds(rows, masks + short, ["__row0", "__row1"]).join(F.broadcast(own) if few else own, "seed")
-    places = cut(hits.select("__row0", "__row1", "item_id", (F.col("pos") - F.col("ipos")).alias("shift")).distinct(), "hits")
-    placed = places.join(F.broadcast(items) if few else items, "item_id")
+    hits = seeds(rows, masks + short, ["__row0", "__row1"]).join(F.broadcast(own) if own.count() * ROW_BYTES <= limit else own, "seed")
+    diagonals = hits.groupBy("__row0", "__row1", "item_id", "needed", (F.col("pos") - F.col("ipos")).alias("shift")).count()
+    places = cut(diagonals.where(F.col("count") >= F.col("needed")).select("__row0", "__row1", "item_id", "shift"), "hits")
     texts = docs.select(*keys, k1, k2, F.col(text_col).alias("__text"))
-    laid = texts.join(F.broadcast(placed) if places.count() <= limit else placed, ["__row0", "__row1"])
-    return _verified(laid.select("*", words_of(F.col("__text")).alias("words")), keys)
+    laid = texts.join(F.broadcast(places) if places.count() * ROW_BYTES <= limit else places, ["__row0", "__row1"])
+    placed = laid.join(F.broadcast(items) if item_bytes <= limit else items, "item_id")
+    return _verified(placed.select("*", words_of(F.col("__text")).alias("words")), keys)
 
 
 def without(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
