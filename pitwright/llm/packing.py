@@ -4,8 +4,9 @@ A document's tokens are its ids and an end id. Full windows are cut off its fron
 the sum over levels of the squared number of partially filled windows at that level becomes least: with n[h] windows
 filled to h, moving one from h to h + s changes the sum by 2 * (n[h + s] - n[h]) + 2 (less where h + s is full). The
 level array holds the open windows of a task, at most one document rest for each piece; a window is written when it is
-full. What is open at the end of a task's rows is laid end to end, cut into full windows, and the last rest into windows
-whose lengths are powers of two, which need no padding.
+full. At the end of a task's rows the level array is emptied from both ends: the emptiest windows are dissolved, and their
+pieces are cut to fill up the fullest ones, so that what moves is no more than what the open windows lack; the last rest is
+cut into windows whose lengths are powers of two, which need no padding.
 
 Rows are packed where they lie: tasks don't exchange documents, and the window ids of a task begin with its number.
 
@@ -73,18 +74,35 @@ class Packer:
             n[h + s] += 1
 
     def finish(self) -> None:
-        window, room = [], self.length
-        rest = [p for h in sorted(self.open, reverse=True) for pieces in self.open[h] for p in pieces]
-        left = sum(len(p[2]) for p in rest)
-        room = self._room(left)
-        for doc, start, ids, total in rest:
-            while len(ids):
-                part, ids = ids[:room], ids[room:]
-                window.append((doc, start, part, total))
-                start, room, left = start + len(part), room - len(part), left - len(part)
-                if not room:
-                    self.close(window)
-                    window, room = [], self._room(left)
+        """Close what is open: the emptiest windows are dissolved, and their pieces cut to fill up the fullest ones, which keep
+        what they hold. Only the rest of the last one is laid into windows of powers of two."""
+        windows = [(h, pieces) for h in sorted(self.open) for pieces in self.open[h]]
+        left: list[tuple] = []
+        while windows and (len(windows) > 1 or left):
+            if not left:
+                left = windows.pop(0)[1]
+            room = self.length - windows[-1][0]
+            doc, start, ids, total = left.pop(0)
+            if len(ids) > room:
+                left.insert(0, (doc, start + room, ids[room:], total))
+            filled, pieces = windows[-1][0] + min(room, len(ids)), [*windows[-1][1], (doc, start, ids[:room], total)]
+            if filled == self.length:
+                windows.pop()
+                self.close(pieces)
+            else:
+                windows[-1] = (filled, pieces)
+        left = left or [p for _, pieces in windows for p in pieces]
+        size = sum(len(p[2]) for p in left)
+        while size:
+            room, window = self._room(size), []
+            size -= room
+            while room:
+                doc, start, ids, total = left.pop(0)
+                window.append((doc, start, ids[:room], total))
+                if len(ids) > room:
+                    left.insert(0, (doc, start + room, ids[room:], total))
+                room -= len(window[-1][2])
+            self.close(window)
         self.open.clear()
         self.counts[:] = 0
 
