@@ -10,10 +10,11 @@ link is lost, and no group of copies is ever expanded into pairs.
 
 Two rules of linking, each a conjunction of metrics:
 - bits: 64-bit fingerprints that differ in at most `within` bits (the tree splits by Hamming distance);
-- similarity s: the Jaccard similarity of the sets of shingles is at least s. 256-bit fingerprints within a radius that
-  a pair at s passes but for six standard deviations, and set sizes of a ratio of at least s, only name candidates; see
-  `verified`. So wide a radius holds most of a random 64-bit neighbourhood, where no Hamming sphere can prune; there the
-  tree splits by the logarithm of the set's size, which is a metric as well.
+- similarity s: the cosine of the sets of shingles, which is what the bits of a SimHash estimate (the shared shingles over
+  the geometric mean of both sizes), is at least s. 256-bit fingerprints within a radius that a pair at s passes but for six
+  standard deviations, and set sizes of a ratio of at least s squared, only name candidates; see `verified`. So wide a radius
+  holds most of a random 64-bit neighbourhood, where no Hamming sphere can prune; there the tree splits by the logarithm of
+  the set's size, which is a metric as well.
 
 Defined results: a null or empty text has fingerprint zero and links like any other; repeated rows and copies share
 a fingerprint; an empty table gives an empty result; null ids take part, but are never a component's id unless all
@@ -44,7 +45,7 @@ LEAF, LEAF_UNTIL, LEAF_POWER = 12_000, 50_000, 0.4
 #: A split must shrink the comparisons to this share, or the node stays a shard.
 WORTH = 0.9
 MAX_DEPTH = 24
-#: Candidates may differ in this many standard deviations more bits, of the first 64 and of all 256, than a pair at the similarity.
+#: Candidates may differ in this many standard deviations more bits, of the first 128 and of all 256, than a pair at the similarity.
 FIRST_ROOM, ROOM = 5, 6
 #: Rows of a cluster of candidates that one task compares: those apart from its hub, and all.
 APART, ALL = 256, 1_024
@@ -116,11 +117,17 @@ def wide_fingerprint(text: Column, shingle: int = 5) -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """When two points link (for similarity: may link). within: bits of 64; total, ratio: bits of 256 and ratio of sizes, or None."""
+    """When two points link (for similarity: may link). within: bits of the first `words` longs; total, ratio: bits of 256 and ratio
+    of sizes, or None; cosine: the similarity that a link is verified at."""
 
     within: int
     total: int | None = None
     ratio: float | None = None
+    cosine: float | None = None
+
+    @property
+    def words(self) -> int:
+        return 1 if self.total is None else 2
 
     @staticmethod
     def bits(within: int) -> Rule:
@@ -128,8 +135,8 @@ class Rule:
 
     @staticmethod
     def similarity(s: float) -> Rule:
-        p = math.acos(min(1.0, 2 * s / (1 + s))) / math.pi  # of a bit to differ, for sets of equal size; less for others
-        return Rule(*(int(n * p + room * math.sqrt(n * p * (1 - p))) for n, room in ((64, FIRST_ROOM), (256, ROOM))), s)
+        p = math.acos(min(1.0, s)) / math.pi  # of a bit to differ
+        return Rule(*(int(n * p + room * math.sqrt(n * p * (1 - p))) for n, room in ((128, FIRST_ROOM), (256, ROOM))), s * s, s)
 
     @property
     def reach(self) -> float:
@@ -188,7 +195,8 @@ def grow(sample: Points, total: int, rule: Rule, leaf: int = LEAF) -> Node:
     def split(pts: Points, side: np.ndarray, cross: bool, depth: int) -> Node:
         if len(pts) * scale > leaf and depth < MAX_DEPTH and len(pts) >= 32:
             best, least = None, WORTH * _work(side, cross)
-            tries = [("bits", pts.fp[(k * 2654435761) % len(pts)], rule.within) for k in range(8)]
+            # (a vantage for similarity would have to reach as far as the first 64 bits alone can differ: all of them)
+            tries = [("bits", pts.fp[(k * 2654435761) % len(pts)], rule.within) for k in range(8)] if rule.total is None else []
             if rule.ratio:
                 tries += [("size", float(pts.log_size.min()) - 1, rule.reach)]
             for metric, vantage, reach in tries:
@@ -250,10 +258,11 @@ def forest(wide: np.ndarray, log_size: np.ndarray, part: np.ndarray, same: bool,
     cols = rows if same else np.flatnonzero(part == 1)
     label = np.arange(len(wide))
     step = max(1, (1 << 20) // max(1, len(cols)))
-    right = wide[cols, 0]
+    right = [np.ascontiguousarray(wide[cols, k]) for k in range(rule.words)]
     for at in range(0, len(rows), step):
         own = rows[at : at + step]
-        i, j = np.nonzero(np.bitwise_count(wide[own, 0][:, None] ^ right[None, :]) <= rule.within)
+        bits = sum(np.bitwise_count(wide[own, k][:, None] ^ right[k][None, :]) for k in range(rule.words))
+        i, j = np.nonzero(bits <= rule.within)
         i, j = own[i], cols[j]
         ahead = label[i] != label[j]
         i, j = i[ahead], j[ahead]
@@ -304,10 +313,11 @@ def links(points: DataFrame, rule: Rule, sample: int = SAMPLE, leaf: int = LEAF,
     return cells.select(*columns, "shard", "cross", "i", "j", "part").groupBy("shard", "cross", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two arrays without repeats; 1 for two empty ones."""
-    n = len(np.intersect1d(a, b, assume_unique=True))
-    return n / (len(a) + len(b) - n) if len(a) + len(b) else 1.0
+def cosine(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two arrays without repeats, as sets; 1 for two empty ones."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    return len(np.intersect1d(a, b, assume_unique=True)) / math.sqrt(len(a) * len(b))
 
 
 def shingle_set(text: Column, shingle: int) -> Column:
@@ -329,24 +339,24 @@ def linked_apart(words: np.ndarray, sets: list[np.ndarray], part: np.ndarray, hu
         bits = np.bitwise_count(words[others] ^ words[i]).sum(axis=1)
         near = np.flatnonzero((bits <= rule.total) & (np.abs(log_size[others] - log_size[i]) <= rule.reach))
         for j in others[near[np.argsort(bits[near], kind="stable")]].tolist():
-            if label[i] != label[j] and jaccard(sets[i], sets[j]) >= rule.ratio:
+            if label[i] != label[j] and cosine(sets[i], sets[j]) >= rule.cosine:
                 label[label == label[j]] = label[i]
                 out.append((i, j))
     return out
 
 
 def verified(roots: DataFrame, points: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b): links of nodes whose sets of shingles have a Jaccard similarity of rule.ratio or more, as many as join each
+    """(a, b): links of nodes whose sets of shingles have a cosine of rule.cosine or more, as many as join each
     component. roots: (node, root) of the clusters that the candidates make; sets: (node, sh) of their nodes.
 
     Each node is compared with its cluster's hub, the root. Those that link to it need no comparison among each other; the
     others are compared with the whole cluster, in blocks, but for pairs that aren't candidates or are joined already.
     """
-    floor = F.lit(rule.ratio)
+    floor = F.lit(rule.cosine)
 
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(np.asarray(x, dtype=np.int64), np.asarray(y, dtype=np.int64)) for x, y in zip(a, b, strict=True)], dtype=float)
+        return pd.Series([cosine(np.asarray(x, dtype=np.int64), np.asarray(y, dtype=np.int64)) for x, y in zip(a, b, strict=True)], dtype=float)
 
     members = cut(roots.join(points.select("node", "fp", "e1", "e2", "e3"), "node").join(sets, "node"), "members")
     hubs = cut(members.where("node = root").select(F.col("root").alias("of"), F.col("sh").alias("hub_sh")), "hubs")
@@ -383,7 +393,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, **sizes) -> DataFrame:
-    """The rows of docs without near-duplicates (Jaccard similarity of the sets of shingles): of each component the row with
+    """The rows of docs without near-duplicates (cosine of the sets of shingles): of each component the row with
     the smallest id stays (among equal ids the one with the smaller hash over all columns; of repeated rows, one)."""
     columns = docs.columns
     docs, at = positional(docs)
