@@ -5,8 +5,9 @@ large a part of its characters, or that fails the base rules, is rejected.
 
 - punctuation: a line of words without a letter; or with more runs of symbols or doubled marks than SYMBOL_SHARE of its
   words; or with LONG words or more and no sentence mark;
-- navigation: two or more separators that stand alone, at least one to every four words;
-- boilerplate: a short line (up to SHORT words) with one of BOILERPLATE.
+- navigation: two or more separators (bars, arrows, dots between words; dashes, slashes and angles that stand alone), at least
+  one to every four words;
+- boilerplate: a short line (up to SHORT words) with one of BOILERPLATE, in English, German, French or Spanish.
 
 Defined results: a null text counts as empty; an empty text has no words, fails the base rules and cleans to ''; rows are
 judged one by one, so repeated rows get equal results; extra columns are passed over.
@@ -18,15 +19,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8  # the windows are hashed by doubling: a power of two
-SYMBOL_SHARE, LONG, SHORT = 0.3, 60, 25
+SYMBOL_SHARE, LONG, SHORT = 0.3, 40, 25
 #: A document goes if less than this share of its characters is left.
 MIN_LEFT = 0.5
 
 #: Phrases of page furniture.
 BOILERPLATE = (
     "all rights reserved|cookie policy|cookie settings|accept cookies|uses cookies|privacy policy|terms of use|terms of service|terms and conditions|"
-    "click here|read more|share this|sign up|sign in|log in|subscribe to|newsletter|powered by|enable javascript|skip to content|back to top|lorem ipsum"
+    "click here|read more|share this|sign up|sign in|log in|subscribe to|newsletter|powered by|enable javascript|skip to content|back to top|lorem ipsum|"
+    "alle rechte vorbehalten|cookie-einstellungen|cookies akzeptieren|verwendet cookies|datenschutzerklärung|nutzungsbedingungen|allgemeine geschäftsbedingungen|hier klicken|weiterlesen|mehr erfahren|jetzt anmelden|abonnieren|nach oben|zum inhalt springen|"
+    "tous droits réservés|politique de confidentialité|politique de cookies|accepter les cookies|utilise des cookies|conditions d.utilisation|mentions légales|cliquez ici|lire la suite|en savoir plus|se connecter|s.inscrire|s.abonner|retour en haut|aller au contenu|"
+    "todos los derechos reservados|política de privacidad|política de cookies|aceptar cookies|utiliza cookies|términos de uso|términos y condiciones|aviso legal|haga clic aquí|haz clic aquí|leer más|seguir leyendo|iniciar sesión|suscríbete|volver arriba|saltar al contenido"
 )
+BARS = r"[|»›·•→]|(?:^|[ \t])[>/-](?:$|[ \t])"
 _SPACE = r"[ \t\n\x0B\f\r]"
 
 
@@ -57,7 +62,7 @@ def judged_lines(lines: Column) -> Column:
             x.alias("x"),
             F.regexp_count(x, F.lit(r"[^ \t\n\x0B\f\r]+")).alias("n"),
             F.regexp_count(x, F.lit(r"[#*$%&|<>=_~^]+|[!?]{2,}")).alias("marks"),
-            F.regexp_count(x, F.lit(r"(^|[ \t])[|>/-]($|[ \t])")).alias("bars"),
+            F.regexp_count(x, F.lit(BARS)).alias("bars"),
         ),
     )
 
