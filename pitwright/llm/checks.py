@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pitwright.llm.license_scan import CUE, FILE_SHARE, TEMPLATES, THRESHOLD
-from pitwright.llm.quality import BOILERPLATE
+from pitwright.llm.decontamination import SIMILARITY, WINDOW
+from pitwright.llm.license_scan import CONTENT, DENSITY, FILE_SHARE, FILES, SHORT_LINE, TEMPLATES, THRESHOLD
+from pitwright.llm.quality import BARS, BOILERPLATE, LONG
+from pitwright.llm.url_filter import CANONICAL, REFRESH
 
 _SPACE = r"[ \t\n\x0B\f\r]"
 
@@ -16,9 +18,9 @@ twice as (select row, i from (select row, i, count(*) over (partition by row, h)
 steps as (select row, least(8, coalesce(lead(i) over (partition by row order by i) - i, 8)) as k from twice),
 rep as (select row, sum(k) as n_repeat_words from steps group by row),
 l as (select row, unnest(lines) as x, unnest(range(1, len(lines) + 1)) as i from w),
-c as (select *, len(regexp_extract_all(x, '[^ \t\n\x0B\f\r]+')) as n, len(regexp_extract_all(x, '[#*$%&|<>=_~^]+|[!?]{{2,}}')) as marks, len(regexp_extract_all(x, '(?:^|[ \t])[|>/-](?:$|[ \t])')) as bars from l),
+c as (select *, len(regexp_extract_all(x, '[^ \t\n\x0B\f\r]+')) as n, len(regexp_extract_all(x, '[#*$%&|<>=_~^]+|[!?]{{2,}}')) as marks, len(regexp_extract_all(x, '{BARS}')) as bars from l),
 j as (select *, not (
-   (n > 0 and (marks > 0.3 * n or not regexp_matches(x, '\p{{L}}') or (n >= 60 and not regexp_matches(x, '[.!?;:]'))))
+   (n > 0 and (marks > 0.3 * n or not regexp_matches(x, '\p{{L}}') or (n >= {LONG} and not regexp_matches(x, '[.!?;:]'))))
    or (bars >= 2 and 4 * bars >= n) or (n <= 25 and regexp_matches(lower(x), '{BOILERPLATE}'))) as good from c),
 g as (select row, count(case when n > 0 then 1 end) - count(distinct case when n > 0 then x end) as n_dup_lines,
    coalesce(sum(case when good then length(x) end), 0) + greatest(count(case when good then 1 end) - 1, 0) as n_left from j group by row),
@@ -48,8 +50,8 @@ def op3(rules: list[tuple[str, str]]) -> str:
     resolved = f"""case when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') then t when starts_with(t, '//') then 'x:' || t when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') then null
         when starts_with(t, '/') then 'x://' || {host("url")} || t when starts_with(t, '#') then null when starts_with(t, '?') then 'x://' || {host("url")} || {path("url")} || t else 'x://' || {host("url")} || {folder} || t end"""
     tag = lambda name, mark, value: f"""nullif(replace(regexp_extract(regexp_extract(html, '(?is)<{name}\\b[^>]*?\\b{mark}\\b[^>]*>', 0), '{value}', 1), '&amp;', '&'), '')"""
-    canonical = tag("link", "rel\\s*=\\s*[\"'']?canonical", "(?is)\\bhref\\s*=\\s*[\"'']?([^\"''\\s>]+)")
-    refresh = tag("meta", "http-equiv\\s*=\\s*[\"'']?refresh", "(?is)\\burl\\s*=\\s*[\"'']?([^\"''\\s>;]+)")
+    canonical = tag("link", CANONICAL.replace("'", "''"), "(?is)\\bhref\\s*=\\s*[\"'']?([^\"''\\s>]+)")
+    refresh = tag("meta", REFRESH.replace("'", "''"), "(?is)\\burl\\s*=\\s*[\"'']?([^\"''\\s>;]+)")
     return f"""
 with recursive named as (select url, {canonical} as t from pages union all select url, {refresh} from pages), targets as (select {node("url")} as src, {resolved} as target from named where t is not null),
 e as (select distinct src, {node("target")} as dst from targets where src is not null and target is not null), both_ways as (select src, dst from e where src <> dst union select dst, src from e where src <> dst and dst is not null),
@@ -70,23 +72,74 @@ select page_id, payload_bytes, payload_digest, case when page_id = first_id then
 
 
 def op10() -> str:
-    """Headers weighted over all documents, their best templates, then the nearest directory above that has a licence file."""
-    templates = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(TEMPLATES))
-    terms = lambda c: f"unnest(list_filter(string_split_regex(lower({c}), '[^a-z0-9]+'), lambda x: x <> ''))"
+    """Headers weighted over all documents, their best templates and those of whole licence files, then the nearest directory above
+    that has a licence file."""
+    values = lambda texts: ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(texts))
+    split = lambda c: f"list_filter(string_split_regex(lower({c}), '[^a-z0-9]+'), lambda x: x <> '')"
     words = lambda c: rf"len(regexp_extract_all({c}, '[^ \t\n\x0B\f\r]+'))"
+
+    def scored(p: str, key: str, templates: str, spread: str) -> str:
+        """{p}best: the best template of each key of spread (key, term, tf)."""
+        return f"""{p}tt as (select template, term, count(*) as tf from (select template, unnest({split("text")}) as term from {templates}) a group by all),
+{p}w as (select {key}, s.term, tf * (ln((1 + total) / (1 + coalesce(df, 1))) + 1) as w from {spread} s left join df on df.term = s.term, total), {p}norms as (select {key}, sqrt(sum(w * w)) as norm from {p}w group by {key}),
+{p}tw as (select template, x.term, tf * (ln((1 + total) / (1 + coalesce(df, 1))) + 1) as tw from {p}tt x left join df on df.term = x.term, total), {p}t_norm as (select template, sqrt(sum(tw * tw)) as t_norm from {p}tw group by template),
+{p}dots as (select {key}, template, sum(w * tw) as dot from {p}w w join {p}tw tw on tw.term = w.term group by all),
+{p}ranked as (select o.{key}, licence, round(dot / norm / t_norm, 6) as similarity, row_number() over (partition by o.{key} order by round(dot / norm / t_norm, 6) desc, o.template) as k from {p}dots o join {p}norms n on n.{key} = o.{key} join {p}t_norm x on x.template = o.template join {templates} t on t.template = o.template),
+{p}best as (select {key}, licence, similarity from {p}ranked where k = 1 and similarity >= {THRESHOLD})"""
+
     return f"""
-with t(template, licence, text) as (values {templates}), tt as (select template, term, count(*) as tf from (select template, {terms("text")} as term from t) a group by all),
+with t(template, licence, text) as (values {values(TEMPLATES)}), f(template, licence, text) as (values {values(FILES)}),
 d as (select row_number() over () as row, doc_id, coalesce(text, '') as text, list_filter(string_split(coalesce(source, '') || '/' || coalesce(lang, ''), '/'), lambda x: x <> '') as parts from documents),
-h as (select row, line from (select row, unnest(string_split(text, chr(10))) as line from d) a where regexp_matches(line, '{CUE}')), lines as (select line, count(*) as n from h group by line), total as (select coalesce(sum(n), 0) as total from lines),
-s as (select line, n, term, count(*) as tf from (select line, n, {terms("line")} as term from lines) a group by all),
-df as (select term, sum(n) as df from s where term in (select term from tt) group by term), idf as (select x.term, ln((1 + total) / (1 + coalesce(df, 1))) + 1 as idf from (select distinct term from tt) x left join df on df.term = x.term, total),
-w as (select line, s.term, tf * coalesce(idf, ln((1 + total) / 2) + 1) as w from s left join idf on idf.term = s.term, total), norms as (select line, sqrt(sum(w * w)) as norm from w group by line),
-tw as (select template, tt.term, tf * idf as tw from tt join idf on idf.term = tt.term), t_norm as (select template, sqrt(sum(tw * tw)) as t_norm from tw group by template),
-dots as (select line, template, sum(w * tw) as dot from w join tw on tw.term = w.term group by all),
-best as (select line, licence, similarity from (select dots.line, licence, round(dot / norm / t_norm, 6) as similarity, row_number() over (partition by dots.line order by round(dot / norm / t_norm, 6) desc, dots.template) as k from dots join norms on norms.line = dots.line join t_norm on t_norm.template = dots.template join t on t.template = dots.template) a where k = 1 and similarity >= {THRESHOLD}),
-own as (select row, max((similarity, licence)) as b, sum({words("h.line")}) as licence_words from h join best on best.line = h.line group by row),
-j as (select doc_id, parts, array_to_string(parts, '/') as directory, b[2] as own_licence, b[1] as similarity, coalesce(licence_words >= {FILE_SHARE} * {words("text")}, false) as is_file from d left join own on own.row = d.row),
+l as (select row, line, {split("line")} as terms from (select row, unnest(string_split(text, chr(10))) as line from d) a),
+known as (select row, line, len(list_intersect(terms, {list(CONTENT)})) as known, len(list_distinct(terms)) as n from l),
+h as (select row, line from known where (known >= 2 or (known = 1 and n <= {SHORT_LINE})) and {DENSITY} * known >= n), lines as (select line, count(*) as n from h group by line), total as (select coalesce(sum(n), 0) as total from lines),
+s as (select line, n, term, count(*) as tf from (select line, n, unnest({split("line")}) as term from lines) a group by all), df as (select term, sum(n) as df from s group by term),
+{scored("l_", "line", "t", "s")},
+whole as (select d.row, text from d join (select row, sum({words("line")}) as n from h group by row) x on x.row = d.row where x.n >= {FILE_SHARE} * {words("text")}),
+fs as (select row, term, count(*) as tf from (select row, unnest({split("text")}) as term from whole) a group by all),
+{scored("f_", "row", "f", "fs")},
+own as (select row, max((similarity, licence)) as b from (select row, similarity, licence from h join l_best on l_best.line = h.line union all select row, similarity, licence from f_best) a group by row),
+j as (select doc_id, parts, array_to_string(parts, '/') as directory, b[2] as own_licence, b[1] as similarity, b is not null and d.row in (select row from whole) as is_file from d left join own on own.row = d.row),
 given as (select directory as path, own_licence as given from (select directory, own_licence, row_number() over (partition by directory order by count(*) desc, own_licence) as k from j where is_file group by directory, own_licence) a where k = 1),
 up as (select directory, k as depth, array_to_string(parts[1:k], '/') as path from (select distinct directory, parts from j) a, unnest(range(0, len(parts) + 1)) as u(k)),
 near as (select directory, given, path from (select directory, given, up.path, row_number() over (partition by directory order by depth desc) as k from up join given on given.path = up.path) a where k = 1)
 select doc_id, j.directory, own_licence, similarity, is_file, coalesce(own_licence, given) as licence, case when own_licence is not null then '.' when given is not null then '/' || path end as licence_from from j left join near on near.directory = j.directory"""
+
+
+def op2() -> str:
+    """No seeds: every word of a text is laid beside every equal word of an item, and the matches are counted on each diagonal."""
+    unspaced = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
+    words = rf"list_filter(string_split_regex(regexp_replace(lower(coalesce(text, '')), '{unspaced}', ' \1 ', 'g'), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+    return f"""
+with d as (select row_number() over () as row, doc_id, {words} as w from documents), i as (select item_id, {words} as w from benchmark), dw as (select row, unnest(w) as word, unnest(range(len(w))) as pos from d),
+iw as (select item_id, least(len(w), {WINDOW}) as width, unnest(w) as word, unnest(range(len(w))) as ipos from i), m as (select row, item_id, width, pos - ipos as shift, ipos from dw join iw on iw.word = dw.word),
+far as (select row, item_id, shift from m group by row, item_id, shift having count(*) >= {SIMILARITY} * min(width)),
+c as (select row, item_id, width, shift, count(*) over (partition by row, item_id, shift order by ipos range between width - 1 preceding and current row) as k from m semi join far using (row, item_id, shift)),
+g as (select row, item_id, shift, max(k) / min(width) as similarity, count(*) as n_matched, max(k) as k, min(width) as width from c group by row, item_id, shift having max(k) >= {SIMILARITY} * min(width)),
+top as (select *, row_number() over (partition by row, item_id order by similarity desc, n_matched desc, shift) as n from g)
+select doc_id, item_id, n_matched, round(similarity, 6) as similarity, shift as first_word from top join d on d.row = top.row where n = 1"""
+
+
+def op7(shards: int = 8, tries: int = 64, rounds: int = 4) -> str:
+    """The least capacity among `tries` of them, then between it and the one before, and so on; each is cut by joins to the ends."""
+    table = []
+    for k in range(256):
+        for _ in range(8):
+            k = k >> 1 ^ (0xEDB88320 if k & 1 else 0)
+        table.append(k)
+    digit = lambda n: f"(strpos('0123456789ABCDEF', substr(h, {n}, 1)) - 1)"
+    octets = f"list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: 16 * {digit(1)} + {digit(2)})"
+    crc = f"xor(list_reduce(list_prepend(4294967295::bigint, {octets}), lambda c, b: xor(c >> 8, {table}[(xor(c, b) & 255) + 1])), 4294967295)"
+    steps = lambda p, start: ", ".join([f"{p}0 as ({start})", *(f"{p}{k} as (select s.cap, s.total, greatest(s.reached, coalesce(e.ending, 0)) as reached from {p}{k - 1} s asof left join e on s.reached + s.cap >= e.ending)" for k in range(1, shards + 1))])
+    search = [
+        steps(f"r{r}s", f"select distinct low + (high - low) * j // {tries - 1} as cap, total, 0::bigint as reached from p{r}, (select unnest(range({tries})) as j) t") + f""",
+p{r + 1} as (select coalesce(max(case when reached < total then cap end) + 1, min(cap)) as low, min(case when reached >= total then cap end) as high, min(total) as total from r{r}s{shards})"""
+        for r in range(rounds)
+    ]
+    return f"""
+with d as (select doc_id, text, case when text is null then 1 else octet_length(encode(text)) + 1 end::bigint as size, case when text is null then '' else sha256(text) end as key, ({crc})::bigint as text_crc32 from documents),
+g as (select key, sum(size)::bigint as bytes from d group by key), e as (select key, (sum(bytes) over (order by key))::bigint as ending from g),
+p0 as (select greatest(big, (total + {shards - 1}) // {shards}) as low, least(total, greatest(big, (total + {shards - 1}) // {shards}) + big) as high, total from (select max(bytes) as big, sum(bytes)::bigint as total from g) a),
+{", ".join(search)}, {steps("f", f"select high as cap, total, 0::bigint as reached from p{rounds}")},
+cuts as ({" union all ".join(f"select reached from f{k}" for k in range(1, shards + 1))}), placed as (select e.key, (select count(*) from cuts where reached < e.ending)::int as shard from e)
+select doc_id, size, text_crc32, 'bytes' as law, shard, (row_number() over (partition by shard order by d.key, doc_id) - 1)::bigint as slot, null::int as grown_shard from d join placed on placed.key = d.key"""

@@ -315,6 +315,15 @@ def test_quality_cleans_lines_and_keeps_columns(spark):
     assert list(got[0].asDict()) == df.columns
 
 
+def test_lines_go_in_each_language_and_form(spark):
+    body = "\n".join(prose(k, 25) + "." for k in range(6))
+    bad = ["Alle Rechte vorbehalten.", "Lire la suite", "Todos los derechos reservados", "Conditions d’utilisation", "Home | About | Contact", "Start » Blog » Archiv", "Home|About|Help", "A · B · C", "a / b / c - d", "keyword " * 45, "!!! ### $$$ word"]
+    good = ["We use either/or and well-known words here.", "x > 3 holds", "A line - with one dash.", "Nous lisons la suite demain matin."[:33]]
+    rows = [(k, body + "\n" + x) for k, x in enumerate(bad + good)]
+    got = {r["doc_id"]: r["text"] for r in quality.clean(docs_of(spark, rows)).collect()}
+    assert [got[k] == body for k in range(len(rows))] == [True] * len(bad) + [False] * len(good)
+
+
 @pytest.mark.parametrize("limit", [1_000, 0])
 def test_decontamination_tolerates_substitutions(spark, limit):
     item = prose(9, 40)
@@ -364,6 +373,31 @@ def test_aliases_carry_decisions(spark):
     assert got == {1: (None, "block"), 2: (None, "block"), 3: (None, "allow"), 4: ("good.test/", "allow"), 5: (None, "allow"), 6: (None, "allow"), 7: (None, "allow")}
 
 
+def test_long_lists_of_rules_are_joined(spark):
+    """Against plain Python, with ties, rules on top domains, and hosts above hosts."""
+    rnd = random.Random(6)
+    hosts = ["a.test", "b.a.test", "c.b.a.test", "test", "d.test", "x.org"]
+    rules = sorted({(rnd.choice(["allow", "block"]), f"{rnd.choice(hosts)}/{'/'.join(rnd.choices('pqrst', k=rnd.randrange(4)))}") for _ in range(900)})
+    assert len(rules) > url_filter.INLINE_RULES
+    urls = [f"http://{rnd.choice([*hosts, 'e.c.b.a.test', 'xa.test'])}/{'/'.join(rnd.choices('pqrst', k=rnd.randrange(6)))}?q" for _ in range(200)] + [None, "none", "http://"]
+
+    def plain(url):
+        host, _, path = ((url or "").partition("://")[2].partition("?")[0]).partition("/")
+        path = "/" + path if "://" in (url or "") and "/" in url.partition("://")[2] else ""
+        fit = [(-len(t), t, kind) for kind, t in rules for at, _, p in [t.partition("/")] if (host == at or host.endswith("." + at)) and path.startswith("/" + p)]
+        return (min(fit)[1], min(fit)[2]) if fit else (None, "allow")
+
+    df = spark.createDataFrame([(k, u, None) for k, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(df, rules).collect()}
+    assert got == {k: plain(u) for k, u in enumerate(urls)}
+
+
+def test_canonical_may_stand_among_other_relations(spark):
+    rows = [(1, "http://a.test/1", '<link rel="alternate canonical" href="http://bad.test/">'), (2, "http://a.test/2", "<link href='http://bad.test/' rel='canonical next'>"), (3, "http://a.test/3", "<link rel=canonicals href=http://bad.test/>")]
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), [("block", "bad.test/")])
+    assert {r["page_id"]: r["verdict"] for r in got.collect()} == {1: "block", 2: "block", 3: "allow"}
+
+
 def test_html_main_text(spark):
     page = "<html><head><title>T</title></head><body><div class='cookie-notice'>We use cookies</div><nav><a href=/>Home</a></nav><div id=wrap><div class='post'><h1>Title {0}</h1><p>First  <b>bo</b>ld &amp; {0} long text here<br>next<p>Second {0} paragraph of text</div><div class=comments><p>Nice {0}</p></div><aside>More</aside></div><form><label>Mail</label></form><script>var a='</p>';</script><footer>&copy; x</footer></body>"
     rows = [(k, "http://h.test/" + str(k), page.format(k)) for k in range(6)] + [(10, None, None), (11, "http://h.test/z", ""), (12, "http://i.test/", "<p>plain &lt;text"), (13, "http://j.test", "<nav><a>x</a></nav><article><h2>A</h2><p>b</article>")]
@@ -553,6 +587,26 @@ def test_licences_are_inherited_from_the_nearest_directory(spark):
     assert got == {1: ("MIT", "."), 2: ("MIT", "/a"), 3: ("GPL-3.0", "."), 4: ("GPL-3.0", "/a/b/c"), 5: (None, None), 6: ("Apache-2.0", "."), 7: (None, None)}
 
 
+def wrapped(text, width):
+    words, lines = text.split(), [[]]
+    for w in words:
+        if len(" ".join([*lines[-1], w])) > width:
+            lines.append([])
+        lines[-1].append(w)
+    return "\n".join(map(" ".join, lines))
+
+
+def test_each_template_is_found_by_its_own_text(spark):
+    """One-line notices, and whole licence texts that are wrapped, also in a document with other text."""
+    own = [(name, text) for name, text in license_scan.TEMPLATES] + [(name, wrapped(text, 60)) for name, text in license_scan.FILES]
+    rows = [(k, f"d{k}", "x", text) for k, (_, text) in enumerate(own)] + [(100, "e", "x", prose(3, 80) + "\n" + own[2][1]), (101, "e", "y", "\n".join(prose(k, 12) for k in range(9)) + "\nThe work of a free person is in use and of this form."), (102, "f", "LICENSE", wrapped("Foo\nCopyright 2020 Bar\n" + license_scan.FILES[0][1], 50))]
+    df = spark.createDataFrame(rows, "doc_id long, dir string, name string, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan(df, F.col("dir"), F.col("name")).collect()}
+    assert [got[k]["own_licence"] for k in range(len(own))] == [name for name, _ in own]
+    assert got[100]["own_licence"] == "MIT" and got[101]["own_licence"] is None
+    assert got[102]["own_licence"] == "MIT" and got[102]["is_file"]
+
+
 def test_licence_terms_are_weighted_by_their_own_frequencies(spark):
     """Against plain Python; words outside of the templates that stand in every header weigh little, however large the corpus."""
     counts = {f"Copyright (c) 2020 Foo{k}. All rights reserved.": 900 for k in range(20)} | {"This file is part of Foo and is licensed under the Apache License, Version 2.0.": 5_000, "Released under the MIT License.": 700}
@@ -597,7 +651,7 @@ def test_pipeline_stages(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_queries_equal_sql(spark, name):
     con = pytest.importorskip("duckdb").connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "benchmark"):
         con.execute(f"create view {table} as select * from read_parquet('{DATA}/{table}.parquet')")
     df = queries.QUERIES[name](spark, DATA)
     rel = con.execute(queries.ORACLE[name])
