@@ -2,7 +2,8 @@
 
 P(grade >= k | x) = sigmoid(w.x - theta_k) with one weight vector w for all thresholds and theta_1 < theta_2 < ...;
 the expected severity is the sum of these probabilities over k. Features are the distinct words of the whole text and
-their first 3 to 6 letters (marked ~), as far as they are associated with the labels of the sample.
+their first 3 to 6 letters, marked ~, and ~2 and ~3 where so many words of the text begin with them: as far as they are
+associated with the labels of the sample.
 
 A document is rejected at the probability of grade 1 or more that gives the best mean of caught and spared documents out of
 fold: the sample is dealt into FOLDS parts, and each part is scored by a model whose words, grades and weights come from the
@@ -19,7 +20,9 @@ get equal scores. Extra columns are passed over.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,12 +40,22 @@ REJECT_AT = 0.5
 FOLDS, GRADES = 4, 3
 
 WORD = re.compile(r"[^\W\d_]+")
-STEMS = (3, 4, 5, 6)
+STEMS, REPEATS = (3, 4, 5, 6), 3
+
+
+def words_and_stems(text: str | None) -> tuple[set[str], Iterator[tuple[str, int]]]:
+    """The distinct words of a text, and each beginning of words with its number of words."""
+    words = WORD.findall((text or "").lower())
+    return set(words), (x for k in STEMS for x in Counter([w[:k] for w in words if len(w) > k]).items())
+
+
+def marked(stem: str, n: int) -> list[str]:
+    return [stem + "~", *(f"{stem}~{k}" for k in range(2, min(n, REPEATS) + 1))]
 
 
 def features(text: str | None) -> set[str]:
-    words = set(WORD.findall((text or "").lower()))
-    return words.union(*({w[:k] + "~" for w in words if len(w) > k} for k in STEMS))
+    words, stems = words_and_stems(text)
+    return words.union(*(marked(s, n) for s, n in stems))
 
 
 @dataclass(frozen=True)
@@ -52,8 +65,17 @@ class OrdinalModel:
     cut: float = REJECT_AT
 
     def margins(self, texts) -> np.ndarray:
-        known = self.words.keys()
-        return np.array([sum(self.words[w] for w in sorted(known & features(t))) for t in texts], dtype=float)
+        known, stems = self.words.keys(), {w.partition("~")[0] for w in self.words if "~" in w}
+
+        def margin(text: str | None) -> float:
+            words, begun = words_and_stems(text)
+            found = [self.words[w] for w in known & words]
+            for s, n in begun:
+                if s in stems:
+                    found += [self.words[w] for w in marked(s, n) if w in known]
+            return math.fsum(found)  # the same in any order
+
+        return np.array([margin(t) for t in texts], dtype=float)
 
     def at_least(self, margins: np.ndarray) -> np.ndarray:
         """One column for each threshold: P(grade >= k)."""
