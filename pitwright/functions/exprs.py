@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Patterns of disclosure titles and their events, in order of precedence; opinion words, in order.
-EVENTS = (("1-URGENT", "rights_issue"), ("2-HIGH", "acquisition"), ("3-MEDIUM", "cancellation"))
-OPINIONS = (("BUY", "BUY"), ("HOLD", "HOLD"), ("SELL", "SELL"))
+# Patterns of disclosure titles and their events, in order of precedence.
+DISCLOSURES = (
+    ("자기주식\\s*취득", "treasury_acq"), ("자기주식\\s*처분", "treasury_disp"), ("자기주식\\s*소각|이익소각", "treasury_canc"), ("배당\\s*결정|결산배당|중간배당", "dividend"), ("유상증자", "rights_issue"),
+    ("전환사채", "cb_issue"), ("신주인수권부사채", "bw_issue"), ("감자", "capital_reduce"), ("감사보고서", "audit_opinion"),
+)
+# Words of opinions, in order of precedence, and what stands for a missing value in a cell.
+OPINIONS = (
+    ("BUY", ("매수", "buy", "outperform", "비중확대", "overweight")), ("HOLD", ("중립", "hold", "neutral", "marketperform", "시장수익률", "보유", "비중유지")), ("SELL", ("매도", "sell", "underperform", "비중축소", "underweight", "reduce")),
+)
+NULL_TOKENS = ("", "-", "--", "0", "n/a", "na", "없음", "투자의견없음", "nr", "not rated", "제시안함")
+# Words of legal forms.
+LEGAL_FORMS = ("주식회사", "유한회사", "합자회사", "co", "ltd", "inc", "corp", "corporation", "company", "limited", "llc")
 
 
 def clean_number(c: Column) -> Column:
@@ -34,25 +46,40 @@ def row_mean(*cs: Column) -> Column:
     return F.when(n > 0, sum((F.coalesce(c, F.lit(0.0)) for c in cs), F.lit(0.0)) / n)
 
 
-def mixed_date(c: Column) -> Column:
-    """ISO, slashes, dots and yyyyMMdd; yy.MM.dd is 20yy."""
+def mixed_date(c: Column, run_date: Column | None = None) -> Column:
+    """ISO, slashes, dots and yyyyMMdd; yy.MM.dd is 20yy, or 19yy if that is beyond the year after run_date."""
     t = F.trim(c)
-    short = F.when(t.rlike(r"^\d{2}\.\d{2}\.\d{2}$"), F.concat(F.lit("20"), F.replace(t, F.lit("."), F.lit("-"))))
+    year = F.lit(2000) + F.substring(t, 1, 2).try_cast("int")
+    if run_date is not None:
+        year = F.when(year > F.year(run_date) + 1, year - 100).otherwise(year)
+    short = F.when(t.rlike(r"^\d{2}[./-]\d{2}[./-]\d{2}$"), F.concat_ws("-", year.cast("string"), F.substring(t, 4, 2), F.substring(t, 7, 2)))
     plain = F.when(t.rlike(r"^\d{8}$"), F.concat_ws("-", F.substring(t, 1, 4), F.substring(t, 5, 2), F.substring(t, 7, 2)))
     long = F.when(t.rlike(r"^\d{4}[-/.]\d{1,2}[-/.]\d{1,2}$"), F.regexp_replace(t, "[/.]", "-"))
     return F.coalesce(short, plain, long).try_cast("date")
 
 
-def norm_text(c: Column) -> Column:
-    """Bracketed parts off, punctuation to blanks, blanks squeezed. Full-width ASCII becomes ASCII."""
-    wide = "".join(chr(k) for k in range(0xFF01, 0xFF5F))
-    s = F.translate(c, wide, "".join(chr(k - 0xFEE0) for k in range(0xFF01, 0xFF5F)))
-    s = F.regexp_replace(s, r"\([^)]*\)|\[[^\]]*\]", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(s, r"[^\p{L}\p{N}]+", " "), " +", " "))
+def nfkc(c: Column) -> Column:
+    """Compatibility forms (full width, ligatures, circled digits, squared units) as plain letters; no built-in does it."""
+
+    @F.pandas_udf("string")
+    def plain(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+
+    return plain(c)
+
 
+def norm_text(c: Column, compatibility: bool = False) -> Column:
+    """Bracketed parts off, punctuation to blanks, blanks squeezed. Full-width ASCII becomes ASCII; with compatibility, all of NFKC."""
+    wide = "".join(chr(k) for k in range(0xFF01, 0xFF5F)) + "\u3000\xa0"
+    s = nfkc(c) if compatibility else F.translate(c, wide, "".join(chr(k - 0xFEE0) for k in range(0xFF01, 0xFF5F)) + "  ")
+    s = F.regexp_replace(s, r"\([^)]*\)|\[[^\]]*\]|\{[^}]*\}", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(s, r"[^\p{L}\p{N}_]+", " "), " +", " "))
 
-def norm_company(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(norm_text(c)), r"\b(inc|corp|co|ltd|llc|company)\b", ""), " ", "")
+
+def norm_company(c: Column, forms: tuple[str, ...] = LEGAL_FORMS) -> Column:
+    """Lower case, without words of legal forms (the first ones also where they are run together with the name) and blanks."""
+    s = F.regexp_replace(F.lower(norm_text(c)), rf"\b({'|'.join(forms)})\b", "")
+    return F.regexp_replace(F.regexp_replace(s, "|".join(f for f in forms if not f.isascii()) or r"\B\b", ""), " ", "")
 
 
 def security_code(c: Column) -> Column:
@@ -77,19 +104,57 @@ def target_price(c: Column) -> Column:
 
 
 def opinion(c: Column) -> Column:
-    out = F.substring(c, 1, 20)
-    for word, name in reversed(OPINIONS):
-        out = F.when(F.upper(c).contains(word), name).otherwise(out)
-    return out
+    """BUY, HOLD or SELL by the first word that is found; NULL for what stands for a missing value, else the first 20 characters."""
+    t = F.lower(F.trim(c))
+    out = F.substring(F.trim(c), 1, 20)
+    for name, words in reversed(OPINIONS):
+        for word in reversed(words):
+            out = F.when(t.contains(word), name).otherwise(out)
+    return F.when(~t.isin(*NULL_TOKENS), out)
 
 
-def event_class(c: Column) -> Column:
+def event_class(c: Column, events: tuple[tuple[str, str], ...] = DISCLOSURES) -> Column:
+    """The event of the first pattern that is found; NULL if none is."""
     out = F.lit(None).cast("string")
-    for pattern, name in reversed(EVENTS):
+    for pattern, name in reversed(events):
         out = F.when(c.rlike(pattern), name).otherwise(out)
     return out
 
 
+def code_in_title(c: Column) -> Column:
+    return F.nullif(F.regexp_extract(c, r"[（(]\s*([0-9]{6})\s*[)）]", 1), F.lit(""))
+
+
+def name_in_title(c: Column) -> Column:
+    """What stands before a code in brackets, blanks squeezed; NULL without one."""
+    name = F.regexp_extract(c, r"^(.*?)[（(]\s*[0-9]{6}\s*[)）]", 1)
+    return F.nullif(F.trim(F.regexp_replace(name, r"\s+", " ")), F.lit(""))
+
+
+def report_fields(c: Column) -> Column:
+    """struct(names, emails, target) of a report's text: names that stand before a title or an address, addresses (both of the first
+    6,000 characters, in order, each once) and the first target price of the first 8,000."""
+    head, title = F.substring(c, 1, 6000), "(?:연구원|애널리스트)"
+    paired = F.regexp_extract_all(head, F.lit(rf"([가-힣]{{2,4}})\s*(?:{title}|수석|책임|선임)?\s*[\d()\s.-]*[A-Za-z0-9._%+-]+@"), 1)
+    names = F.when(F.size(paired) > 0, paired).otherwise(F.regexp_extract_all(head, F.lit(rf"([가-힣]{{2,4}})\s*{title}"), 1))
+    mails = F.regexp_extract_all(head, F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), 0)
+    price = F.regexp_extract(F.substring(c, 1, 8000), r"(?:목표\s*주가|적정\s*주가|TP)\s*[:：(]?\s*(?:원\)?\s*)?([0-9][0-9,]{2,9})", 1)
+    joined = lambda a, n: F.substring(F.array_join(F.array_distinct(a), ","), 1, n)
+    return F.struct(joined(names, 120).alias("names"), joined(mails, 200).alias("emails"), target_price(price).alias("target"))
+
+
+def section_cut(c: Column, pattern: str, length: int = 60_000) -> Column:
+    """The text from the pattern's first place on, without tags; NULL where it isn't found."""
+    plain = F.regexp_replace(c, "<[^>]+>", " ")
+    at = F.regexp_instr(plain, F.lit(pattern))
+    return F.when(at > 0, F.substring(plain, at, F.lit(length)))
+
+
+def amount(c: Column) -> Column:
+    """A number with thousands separators, and minus as a hyphen or a minus sign."""
+    return F.translate(F.trim(c), "−,", "-").try_cast("double")
+
+
 def knowledge_date(receipt: Column, period_end: Column, annual: Column) -> Column:
     """The receipt number's first eight digits if they are a date of this century, else 45 days after the period, 90 for a year."""
     d = F.when(receipt.rlike(r"^20\d{6}"), mixed_date(F.substring(receipt, 1, 8)))

@@ -5,29 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitwright.functions.exprs import norm_company, security_code
+from pitwright.functions.exprs import code_in_title, norm_company, security_code
 
-# Titles that stand beside an author's name, and how sure a link by each method is.
-TITLES = "연구원|애널리스트|수석|책임|선임|팀장|센터장|위원|박사"
+# Titles beside an author's name, words between or after names, words of houses, and how sure a link by each method is.
+TITLES = ("연구원", "애널리스트", "수석", "책임", "선임", "팀장", "센터장", "위원", "박사")
+BETWEEN = ("외", "및")
+HOUSE_WORDS = ("증권", "투자", "금융", "리서치")
+SUFFIXES = ("리서치센터", "리서치", "투자정보", "Research")
 CONFIDENCE = {"list_field": 0.98, "pdf_header": 0.80}
 
 
-def canonical(c: Column, aliases: list[tuple[str, str]], suffix: str = "(리서치센터|리서치|투자정보|Research)$") -> Column:
-    """The name of the first pattern that is found, else the text without blanks and suffix. A short list of patterns."""
+def canonical(c: Column, aliases: list[tuple[str, str]], suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """The name of the first alias pattern (a short list) that is found in the text without blanks; else that text without the first
+    suffix that it ends with. An empty text is NULL."""
     bare = F.regexp_replace(c, r"\s+", "")
-    short = F.regexp_replace(bare, suffix, "")
-    out = F.when(short == "", bare).otherwise(short)
-    for pattern, name in reversed(aliases):
-        out = F.when(bare.rlike(pattern), F.lit(name)).otherwise(out)
-    return F.nullif(out, F.lit(""))
+    named = F.coalesce(*(F.when(bare.rlike(pattern), F.lit(name)) for pattern, name in aliases), F.lit(None).cast("string"))
+    shorter = F.coalesce(*(F.when(bare.endswith(x) & (F.length(bare) > len(x)), F.left(bare, F.length(bare) - len(x))) for x in suffixes), bare)
+    return F.coalesce(named, F.nullif(shorter, F.lit("")))
 
 
-def authors(c: Column) -> Column:
-    """Array of names of 2 to 12 letters, in order, each once: brackets, titles and 'and n others' go."""
-    s = F.regexp_replace(F.coalesce(c, F.lit("")), r"\([^)]*\)", " ")
-    s = F.regexp_replace(F.regexp_replace(s, TITLES, " "), r"외\s*\d+\s*인?", " ")
-    parts = F.transform(F.split(s, r"[,/·∙•|;]|\s{2,}|\s외\s|\s및\s"), lambda p: F.regexp_replace(p, "[^가-힣A-Za-z]", ""))
-    return F.array_distinct(F.filter(parts, lambda p: F.length(p).between(2, 12) & ~p.rlike("^(증권|투자|금융|리서치)+$")))
+def house_id(canon: Column) -> Column:
+    return F.substring(F.sha1(F.concat_ws("\x1f", F.lit("broker"), canon).cast("binary")), 1, 12)
+
+
+def authors(c: Column, titles: tuple[str, ...] = TITLES) -> Column:
+    """Array of authors' names (2 to 12 letters), in order, each once.
+
+    The text is cut into fields at punctuation, at wide gaps and at words that stand between names; bracketed parts are cut out.
+    A name is the letters of its field's words, of which titles (alone or run together with the name) and counts are none.
+    """
+    flat = F.regexp_replace(F.coalesce(c, F.lit("")), r"\(.*?\)", ";")
+    fields = F.split(F.regexp_replace(flat, rf"(?<=^|\s)(?:{'|'.join(BETWEEN)})(?=\s|$)", ";"), r"[,/·∙•|;]|\s\s+")
+    title = rf"(?:{'|'.join(titles)})+$"
+
+    def name(field: Column) -> Column:
+        words = F.filter(F.split(F.trim(field), r"\s"), lambda w: ~w.rlike(r"^\d+인?$"))
+        return F.array_join(F.transform(words, lambda w: F.regexp_replace(F.regexp_replace(w, title, ""), r"[^\p{IsHangul}A-Za-z]", "")), "")
+
+    is_house = rf"^(?:{'|'.join(HOUSE_WORDS)})+$"
+    return F.array_distinct(F.filter(F.transform(fields, name), lambda n: F.length(n).between(2, 12) & ~n.rlike(is_house)))
 
 
 def emails(c: Column) -> Column:
@@ -73,7 +89,30 @@ def name_match(left: DataFrame, right: DataFrame, name: str, code: str) -> DataF
 
 def code_cascade(reports: DataFrame, names: DataFrame, source: str, title: str, name: str, code: str) -> DataFrame:
     """reports with code and code_from: the source's own code, else one in brackets in the title, else that of the name. names: name, code."""
-    own, told = security_code(F.col(source)), security_code(F.nullif(F.regexp_extract(title, r"\(([0-9A-Z]{6})\)", 1), F.lit("")))
+    own, told = security_code(F.col(source)), security_code(code_in_title(F.col(title)))
     a = name_match(reports, names.withColumnRenamed(code, "__named"), name, "__named")
     found = F.when(own.isNotNull(), "source").when(told.isNotNull(), "title").when(F.col("__named").isNotNull(), "name")
     return a.withColumns({code: F.coalesce(own, told, F.col("__named")), "code_from": found}).drop("__named")
+
+
+def matches(left: DataFrame, right: DataFrame, securities: DataFrame, name: str, code: str, first: str, last: str, **options) -> DataFrame:
+    """(name, code, method, score, valid_from, valid_to): the exact match of a normalised name, else the best one by edits.
+
+    A match can't be older than the security, nor outlive it: the days on which the name was seen (first and last) are clamped to
+    listing and delisting. left: name, first, last; right: name, code; securities: code, listing_date, delisting_date.
+    """
+    from pitwright.operators.ledger import fuzzy_match
+
+    seen = left.groupBy(name).agg(F.min(first).alias("__first"), F.max(last).alias("__last")).withColumn("__key", norm_company(F.col(name)))
+    exact = name_match(seen, right, name, code)
+    known = right.select(norm_company(F.col(name)).alias("__key"), code).where(F.length("__key") >= 2)
+    near = fuzzy_match(exact.where(F.col(code).isNull()).select("__key"), known, "__key", code, **options).withColumnRenamed(code, "__near")
+    a = exact.join(near, "__key", "left").withColumns({"score": F.when(F.col(code).isNotNull(), F.lit(100.0)).otherwise(F.col("score")), code: F.coalesce(F.col(code), F.col("__near"))}).where(F.col(code).isNotNull())
+    a = a.join(securities.select(code, "listing_date", "delisting_date"), code, "left")
+    method = F.when(F.col("score") >= 99.9, "exact_name").otherwise("fuzzy_name")
+    return a.select(name, code, method.alias("method"), "score", F.greatest("__first", "listing_date").alias("valid_from"), F.least("__last", "delisting_date").alias("valid_to"))
+
+
+def extended(mapping: DataFrame, newest: DataFrame, end: str = "valid_to") -> DataFrame:
+    """mapping with ends before the newest month moved up to it: forward only. newest: one row, column month."""
+    return mapping.crossJoin(F.broadcast(newest.select(F.col("month").alias("__newest")))).withColumn(end, F.greatest(end, "__newest")).drop("__newest")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,24 +17,35 @@ def pit_frame(df: DataFrame, event: Column, known: Column, source: str) -> DataF
 
 @dataclass
 class PitCatalog:
-    """Tables by name; only those with both dates are taken, and reads are as of a day."""
+    """Tables by name, with the columns that tell their rows apart; only those with both dates are taken, and reads are as of a day."""
 
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    keys: dict[str, list[str]] = field(default_factory=dict)
 
-    def register(self, name: str, df: DataFrame) -> None:
-        if missing := {"event_date", "knowledge_date"} - set(df.columns):
+    def register(self, name: str, df: DataFrame, keys: list[str] | None = None) -> None:
+        if missing := {"event_date", "knowledge_date", *(keys or [])} - set(df.columns):
             raise KeyError(f"{name} lacks {sorted(missing)}")
-        self.tables[name] = df
+        if len(set(df.columns)) < len(df.columns):
+            raise ValueError(f"{name} has columns of the same name")
+        self.tables[name], self.keys[name] = df, keys or []
 
     def as_of(self, name: str, day: str) -> DataFrame:
         return self.tables[name].where(F.col("knowledge_date") <= F.lit(day).cast("date"))
 
+    def latest(self, name: str, day: str) -> DataFrame:
+        """Of each key the row that was known last as of a day."""
+        return latest(self.as_of(name, day), self.keys[name], F.desc("knowledge_date"), F.desc("event_date"))
+
     def report(self) -> DataFrame:
-        parts = [df.agg(F.lit(n).alias("name"), F.count("*").alias("n_rows"), F.min("knowledge_date").alias("first_known"), F.max("knowledge_date").alias("last_known")) for n, df in self.tables.items()]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionAll(p)
-        return out
+        """A row for each table: its keys, number of rows and of keys, and the days its rows became known."""
+        parts = [
+            df.agg(
+                F.lit(n).alias("name"), F.lit(",".join(self.keys[n])).alias("keys"), F.count("*").alias("n_rows"),
+                (F.countDistinct(F.struct(*self.keys[n])) if self.keys[n] else F.lit(None).cast("long")).alias("n_keys"), F.min("knowledge_date").alias("first_known"), F.max("knowledge_date").alias("last_known"),
+            )
+            for n, df in self.tables.items()
+        ]
+        return functools.reduce(DataFrame.unionAll, parts)
 
 
 def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -42,11 +54,15 @@ def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, columns: list[str], tie: list[str], tolerance_days: int | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, columns: list[str], tie: list[str], tolerance_days: int | None = None, spread_days: int | None = None) -> DataFrame:
     """left with the columns of the newest right row of its key at or before its time. All left rows stay.
 
     One shuffle by key: both sides are laid in one order of time, and the last right row is carried forward. Rows of the
     right without a key are of no use; those of the left get NULLs.
+
+    spread_days, for tables in which a key holds much of the rows: the time axis of each key is cut into ranges of so many days,
+    which may lie in different tasks, and the last right row of the ranges before is carried into each, from a table with one row
+    for each key and range.
     """
     names = left.columns
     value = F.struct(F.col(right_time).alias("__t"), *columns)
@@ -54,8 +70,15 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, left_time: str, right_
     tie_type, v_type = r.schema["__tie"].dataType, r.schema["__v"].dataType
     lhs = left.select(F.col(by).alias("__by"), F.col(left_time).alias("__at"), F.lit(1).alias("__side"), F.lit(None).cast(tie_type).alias("__tie"), F.lit(None).cast(v_type).alias("__v"), F.struct(*names).alias("__l"))
     # rows without a key never match: they needn't meet in one task
-    w = Window.partitionBy("__by", F.when(F.col("__by").isNull(), F.xxhash64("__l")).otherwise(0)).orderBy("__at", "__side", "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = r.unionByName(lhs).withColumn("__v", F.last("__v", ignorenulls=True).over(w)).where("__side = 1")
+    apart = F.when(F.col("__by").isNull(), F.xxhash64("__l")).otherwise(0)
+    both = r.unionByName(lhs).withColumn("__range", F.lit(0) if spread_days is None else F.floor(F.unix_date(F.to_date("__at")) / spread_days).cast("int"))
+    w = Window.partitionBy("__by", apart, "__range").orderBy("__at", "__side", "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = both.withColumn("__v", F.last("__v", ignorenulls=True).over(w)).where("__side = 1")
+    if spread_days is not None:
+        own = F.col("__side") == 0
+        ends = both.where(F.col("__by").isNotNull()).groupBy("__by", "__range").agg(F.max_by(F.when(own, F.col("__v")), F.when(own, F.struct("__at", "__tie"))).alias("__end"))
+        earlier = F.last("__end", ignorenulls=True).over(Window.partitionBy("__by").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+        out = out.join(ends.select("__by", "__range", earlier.alias("__before")), ["__by", "__range"], "left").withColumn("__v", F.coalesce("__v", "__before"))
     fresh = F.lit(True) if tolerance_days is None else F.datediff("__at", F.col("__v.__t")) <= tolerance_days
     return out.select("__l.*", *(F.when(fresh, F.col(f"__v.{c}")).alias(c) for c in columns))
 
@@ -66,6 +89,12 @@ def valid_interval_join(facts: DataFrame, mapping: DataFrame, key: str, day: str
     return facts.join(mapping, key).where((F.col(start).isNull() | (d >= F.col(start))) & (F.col(end).isNull() | (d <= F.col(end))))
 
 
+def policy_calendar(windows: DataFrame, horizon: DataFrame) -> DataFrame:
+    """The distinct windows of all packs, open ends closed at the horizon (one row, column month). windows: columns start and end."""
+    closed = windows.distinct().crossJoin(F.broadcast(horizon.select(F.col("month").alias("__last"))))
+    return closed.withColumn("end", F.coalesce("end", "__last")).drop("__last")
+
+
 def mask_windows(months: DataFrame, windows: DataFrame, halo: int = 6) -> DataFrame:
     """month and masked: within halo months of the start of any window, or of the end of a closed one. windows: a short list."""
     m = F.col("month")

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import insort
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from pitwright.functions.exprs import safe_div
 
 
 def along(code: str = "code", time: str = "month"):
@@ -62,13 +68,40 @@ def ols_residual(df: DataFrame, y: str, q: str, t: str, w, rows: int = 36, ridge
     return a.withColumn("resid", F.when((F.col("__full") == rows) & (F.abs(d) > 0), y_ - fit)).drop("__x", "__ok", "__r", "__full", *(f"__s_{k}" for k in sums))
 
 
-def expanding_median(df: DataFrame, x: str, section: str, order: list[str], least: int = 30) -> DataFrame:
-    """df with lagged_median: of all earlier rows of the section, if there are enough. For sections that fit a task's sort."""
-    w = Window.partitionBy(section).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    a = df.withColumn("__v", F.array_sort(F.collect_list(x).over(w)))
-    n = F.size("__v")
-    middle = (F.get("__v", ((n - 1) / 2).cast("int")) + F.get("__v", (n / 2).cast("int"))) / 2
-    return a.withColumn("lagged_median", F.when(n >= least, middle)).drop("__v")
+def expanding_median(df: DataFrame, x: str, section: str | None, order: list[str], out: str = "lagged_median", least: int = 30, lagged: bool = True) -> DataFrame:
+    """df with the median of all earlier rows of the section (None: of all rows), if there are enough; lagged=False: up to and with the
+    row itself. Each row's order among all before it decides, so a section is one task: a sorted list of its numbers, to which
+    each row adds one. order must tell rows apart."""
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
+
+    def medians(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(c, "ascending") for c in order])
+        seen: list[float] = []
+        found: list[float | None] = []
+        for v in rows.column(x).to_pylist():
+            if not lagged and v is not None:
+                insort(seen, float(v))
+            n = len(seen)
+            found.append((seen[(n - 1) // 2] + seen[n // 2]) / 2 if n >= max(1, least) else None)
+            if lagged and v is not None:
+                insort(seen, float(v))
+        return rows.append_column(out, pa.array(found, pa.float64()))
+
+    return df.groupBy(F.col(section) if section else F.lit(1).alias("__all")).applyInArrow(medians, schema)
+
+
+def momentum(c: str, w, rows: int = 12) -> Column:
+    """Change against so many rows before, as a share; NULL where that was 0."""
+    return safe_div(F.col(c), F.lag(c, rows).over(w)) - 1
+
+
+def underwater(df: DataFrame, keys: list[str], time: str, at: float = -1e-9) -> DataFrame:
+    """keys and the longest run of rows whose column drawdown is below `at`."""
+    w = Window.partitionBy(*keys).orderBy(time)
+    low = F.col("drawdown") < at
+    runs = df.withColumn("__run", F.sum((~low).cast("int")).over(w)).where(low).groupBy(*keys, "__run").agg(F.count("*").alias("__n"))
+    longest = runs.groupBy(*keys).agg(F.max("__n").alias("underwater"))
+    return df.select(*keys).distinct().join(longest, keys, "left").withColumn("underwater", F.coalesce("underwater", F.lit(0).cast("long")))
 
 
 def drawdown(df: DataFrame, r: str, keys: list[str], time: str) -> DataFrame:
@@ -79,11 +112,18 @@ def drawdown(df: DataFrame, r: str, keys: list[str], time: str) -> DataFrame:
     return a.withColumn("drawdown", F.col("wealth") / F.col("peak") - 1)
 
 
-def hac_t(df: DataFrame, x: str, keys: list[str], time: str, least: int = 12, most: int = 12) -> DataFrame:
-    """keys, n and t: Newey-West t of the mean with Bartlett weights over floor(4 (n / 100) ^ (2/9)) lags, which are at most `most` up
-    to 14,000 rows of a key."""
+def hac_lags(n: Column) -> Column:
+    return F.floor(4 * F.pow(n / 100, F.lit(2 / 9)))
+
+
+def hac_t(df: DataFrame, x: str, keys: list[str], time: str, least: int = 12, most: int | None = None) -> DataFrame:
+    """keys, n and t: Newey-West t of the mean with Bartlett weights over floor(4 (n / 100) ^ (2/9)) lags. most: lags that are laid out;
+    by default as many as the largest key needs, which is counted first (12 up to 14,000 rows, 31 for a million)."""
     w, o = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(time)
-    a = df.where(F.col(x).isNotNull()).withColumn("__e", F.col(x) - F.avg(x).over(w)).withColumn("__L", F.floor(4 * F.pow(F.count("*").over(w) / 100, F.lit(2 / 9))))
+    there = df.where(F.col(x).isNotNull())
+    if most is None:
+        most = int(there.groupBy(*keys).count().agg(F.coalesce(F.max(hac_lags(F.col("count"))), F.lit(0))).first()[0])
+    a = there.withColumn("__e", F.col(x) - F.avg(x).over(w)).withColumn("__L", hac_lags(F.count("*").over(w)))
     g = a.select("*", *(F.lag("__e", k).over(o).alias(f"__l{k}") for k in range(1, most + 1)))
     s = F.sum(F.col("__e") * F.col("__e"))
     for k in range(1, most + 1):

@@ -11,23 +11,56 @@ def month_grid(spark, first: str, last: str) -> DataFrame:
 
 
 def members(months: DataFrame, securities: DataFrame, seasoned: str | None = None) -> DataFrame:
-    """(month, code) listed on or before the month's end and not delisted by then; securities: code, listing_date, delisting_date.
-    months is a short list, which is sent to the securities."""
-    m = F.col("month")
-    on = (F.col("listing_date") <= m) & (F.col("delisting_date").isNull() | (F.col("delisting_date") > m))
+    """(month, code) listed on or before the month's end and not delisted by then; securities: code, listing_date, delisting_date, of
+    which an unknown one doesn't count against the security, unless both are. months is a short list, which is sent to the securities."""
+    m, listed, left = F.col("month"), F.col("listing_date"), F.col("delisting_date")
+    on = (listed.isNull() | (listed <= m)) & (left.isNull() | (left > m)) & (listed.isNotNull() | left.isNotNull())
     if seasoned:
-        on = on & (F.col(seasoned) <= m)
+        on = on & (F.col(seasoned).isNull() | (F.col(seasoned) <= m))
     return securities.join(F.broadcast(months), on).select("month", "code")
 
 
+def snapshot_members(months: DataFrame, snapshots: DataFrame, days: int = 100) -> DataFrame:
+    """(month, code) of the newest snapshot at or before each month's end, if it is at most so many days old. snapshots: code,
+    snap_date. Only the short lists of months and of snapshot days meet."""
+    dates = snapshots.select("snap_date").distinct()
+    newest = dates.join(F.broadcast(months.select("month")), F.col("snap_date") <= F.col("month")).groupBy("month").agg(F.max("snap_date").alias("snap_date")).where(F.datediff("month", "snap_date") <= days)
+    return snapshots.join(F.broadcast(newest), "snap_date").select("month", "code")
+
+
+def universe(months: DataFrame, securities: DataFrame, snapshots: DataFrame | None = None, seasoned: DataFrame | None = None, days: int = 100) -> DataFrame:
+    """(month, code): members by their dates, and those of the newest snapshot, which adds but never takes; without those that have
+    left by the month's end or, where seasoned (code, seasoned) is given, aren't seasoned yet."""
+    a = members(months, securities)
+    if snapshots is not None:
+        a = a.unionByName(snapshot_members(months, snapshots, days)).distinct()
+    s = securities.select("code", "delisting_date")
+    s = s.withColumn("seasoned", F.lit(None).cast("date")) if seasoned is None else s.join(seasoned.select("code", "seasoned"), "code", "left")
+    gone = F.coalesce(F.col("delisting_date") <= F.col("month"), F.lit(False)) | F.coalesce(F.col("seasoned") > F.col("month"), F.lit(False))
+    return a.join(s, "code", "left").where(~gone).select("month", "code")
+
+
+def with_columns(df: DataFrame, contract: dict[str, str]) -> DataFrame:
+    """df with all columns of a contract (name to type); those that it lacks are NULL."""
+    return df.withColumns({c: F.lit(None).cast(kind) for c, kind in contract.items() if c not in df.columns})
+
+
+def base_panel(members: DataFrame, prices: DataFrame) -> DataFrame:
+    """Every member of every month with its prices, NULL where it has none."""
+    return members.join(prices, ["code", "month"], "left")
+
+
 def seasoning(securities: DataFrame, calendar: DataFrame, days: int = 250) -> DataFrame:
     """code and seasoned: the trading day `days` after the first one at or after listing (listing + 365 before the calendar begins,
-    2100-01-01 beyond its end). calendar: column day, one row for each trading day, a short list."""
-    c = calendar.select("day", F.row_number().over(Window.orderBy("day")).alias("rn"))
-    first = F.lit(calendar.agg(F.min("day")).first()[0])
-    at = securities.join(F.broadcast(c), F.col("day") >= F.col("listing_date")).groupBy("code", "listing_date").agg(F.min("rn").alias("rn0"))
-    out = at.join(F.broadcast(c.withColumnRenamed("rn", "rn1")), F.col("rn1") == F.col("rn0") + days, "left")
-    return out.select("code", F.when(F.col("listing_date") < first, F.date_add("listing_date", 365)).otherwise(F.coalesce("day", F.lit("2100-01-01").cast("date"))).alias("seasoned"))
+    2100-01-01 beyond its end). calendar: column day, one row for each trading day, a short list: each day is laid out for the days
+    since the one before, so that a listing day finds its trading day by equality."""
+    w = Window.orderBy("day")
+    c = calendar.select("day", F.row_number().over(w).alias("rn"), F.lag("day").over(w).alias("before"))
+    at = c.select("rn", F.explode(F.sequence(F.coalesce(F.date_add("before", 1), F.col("day")), F.col("day"))).alias("listing_date"))
+    ends = calendar.select(F.min("day").alias("__first"))
+    out = securities.join(F.broadcast(at), "listing_date", "left").join(F.broadcast(c.select((F.col("rn") - days).alias("rn"), F.col("day").alias("__day"))), "rn", "left").crossJoin(F.broadcast(ends))
+    late = F.coalesce("__day", F.lit("2100-01-01").cast("date"))
+    return out.where(F.col("listing_date").isNotNull()).select("code", F.when(F.col("listing_date") < F.col("__first"), F.date_add("listing_date", 365)).otherwise(late).alias("seasoned"))
 
 
 def funnel(df: DataFrame, gates: dict[str, str], keys: list[str] | None = None) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from pitwright.functions import exprs as X
 from pitwright.operators import pit, universe, vetoes, xsec
 from pitwright.plans import axes, portfolio, robustness
-from pitwright.plans.demos import _RET, demo, r, returns, table
-from pitwright.sources.roles import role
+from pitwright.plans.demos import _RET, _ZPANEL, ORACLE, demo, r, returns, table
+from pitwright.sources.roles import for_checking, role
 
 _FUND = "revenue_ttm cogs_ttm op_income_ttm net_income_ttm cfo_ttm capex_ttm dep_ttm inventory receivable payable assets equity ppe payroll liabilities employees".split()
 
@@ -127,41 +127,103 @@ def _score_sql(names: list[str]) -> str:
     return _sql_rank(q, "e_raw", "e")
 
 
-@demo(f"select code, month, round(e_raw, 4) as e_raw, cast(floor_ as int) as passes, (e_x is not null)::int || '' || (e_y is not null)::int || (e_z is not null)::int as pack_profile, round(coalesce(e, 0) * u * veto * floor_, 4) as signal from {_score_sql(['e_x', 'e_y', 'e_z'])} s2")
+_SIGNAL = f"(select *, coalesce(e, 0) * u * veto * floor_ as signal, (e_x is not null)::int || '' || (e_y is not null)::int || (e_z is not null)::int as pack_profile, (e_x is not null)::int + (e_y is not null)::int + (e_z is not null)::int as n_axes from {_score_sql(['e_x', 'e_y', 'e_z'])} s2)"
+_SCORED = _sql_rank(_SIGNAL, "signal", "signal_rank", ("month",), 1)
+
+
+@demo(f"select code, month, round(e_raw, 4) as e_raw, cast(floor_ as int) as passes, pack_profile, n_axes, round(signal, 4) as signal, round(signal_rank, 4) as signal_rank from {_SCORED} s3")
 def score(spark, sf):
-    s = axes.score(scored_panel(spark, sf), ["E_X", "E_Y", "E_Z"])
-    return s.select("code", "month", r("E_raw").alias("e_raw"), F.col("FLOOR").alias("passes"), "pack_profile", r("Signal").alias("signal"))
+    s = axes.score(scored_panel(spark, sf), axes.live_axes(scored_panel(spark, sf), ["E_X", "E_Y", "E_Z"]))
+    return s.select("code", "month", r("E_raw").alias("e_raw"), F.col("FLOOR").alias("passes"), "pack_profile", "n_axes", r("Signal").alias("signal"), r("Signal_rank").alias("signal_rank"))
+
+
+@demo(f"select 'E_X' as axis, round(avg((e_x is not null)::int), 6) as coverage from {_D} d0 cross join lateral (select ln(adv20) as e_x) l union all select 'E_Y', round(avg((revenue_ttm > 0 is true)::int), 6) from {_D} d1 union all select 'E_Z', round(avg((dlog_m is not null)::int), 6) from {_D} d2 union all select 'E_NONE', 0.0")
+def axis_liveness(spark, sf):
+    from pitwright.operators import audits
 
+    p = scored_panel(spark, sf).withColumn("E_NONE", F.lit(None).cast("double"))
+    names = ["E_X", "E_Y", "E_Z", "E_NONE"]
+    live = axes.live_axes(p, names)  # E_NONE isn't
+    shown = audits.axis_coverage(p, names, names)
+    return shown.select("axis", F.when(F.col("axis").isin(live), r("coverage", 6)).otherwise(0.0).alias("coverage"))
 
-@demo(f"select code, month, round(coalesce(z1, 0), 4) as z1, round(case when z1 is not null or z3 is not null then (coalesce(z1, 0) + coalesce(z3, 0)) / ((z1 is not null)::int + (z3 is not null)::int) end, 4) as u_raw, (z1 is not null)::int + (z3 is not null)::int as used from {_sql_z(_sql_z(_labelled(f'(select *, -dlog_m as d1 from {_D} u0)'), 'd1', 'z1'), 'd3', 'z3')} u1")
+
+_UZ = _sql_z(_sql_z(_labelled(f"(select *, round(-dlog_m, 6) as d1 from {_D} u0)"), "d1", "z1"), "d3", "z3")
+_U = f"(select *, case when z1 is not null or z3 is not null then (coalesce(z1, 0) + coalesce(z3, 0)) / ((z1 is not null)::int + (z3 is not null)::int) end as u_raw from {_UZ} u1)"
+
+
+@demo(f"select code, month, round(u_raw, 4) as u_raw, (z1 is not null)::int + (z3 is not null)::int as used, round(u, 3) as u from {_sql_rank(_U, 'u_raw', 'u')} u2")
 def u_score(spark, sf):
-    p = xsec.cells(dpanel(spark, sf), "month", "industry", "bucket")
-    u = axes.u_score(axes.standardised(p, {"z1": "d1"}), ("d1", "d3"))
-    return u.select("code", "month", r(F.coalesce("z1", F.lit(0.0))).alias("z1"), r("U_raw").alias("u_raw"), F.col("U_axes_used").alias("used"))
+    p = xsec.cells(dpanel(spark, sf).withColumn("d1", r("d1", 6)), "month", "industry", "bucket")
+    u = axes.u_score(p, ("d1", "d3"))
+    return u.select("code", "month", r("U_raw").alias("u_raw"), F.col("U_axes_used").alias("used"), r("U", 3).alias("u"))
 
 
-@demo(f"""select code, month, round(z1 * -z2, 4) as tp_b1 from {_sql_z(_sql_z(_labelled(_B), 'dlog_rev', 'z1'), 'd_turn', 'z2')} t""")
+def _chain(src: str, *columns: str) -> str:
+    for c in columns:
+        src = _sql_z(src, c, f"z_{c}")
+    return src
+
+
+def _mean(*cs: str) -> str:
+    n = " + ".join(f"({c} is not null)::int" for c in cs)
+    return f"case when {n} > 0 then ({' + '.join(f'coalesce({c}, 0)' for c in cs)}) / ({n}) end"
+
+
+@demo(f"""select code, month, round(tp1, 4) as tp_b1, round(tp2, 4) as tp_b2, round(0.5 * {_mean("tp1", "tp2")} + 0.5 * z_b1, 4) as e_axb from (select *, z_dlog_rev * -z_d_turn as tp1, z_dlog_rev * -z_d_accruals as tp2 from {_chain(_labelled(_B), "dlog_rev", "d_turn", "d_accruals", "b1")} t) u""")
 def tp_scores(spark, sf):
     f = axes.quality_features(fpanel(spark, sf).withColumn("contract_liab", F.lit(None).cast("double")))
-    return axes.quality_axis(xsec.cells(f, "month", "industry", "bucket")).select("code", "month", r("TP_B1").alias("tp_b1"))
+    return axes.quality_axis(xsec.cells(f, "month", "industry", "bucket")).select("code", "month", r("TP_B1").alias("tp_b1"), r("TP_B2").alias("tp_b2"), r("E_AXB").alias("e_axb"))
+
+
+@demo(f"""select code, month, round(tp1, 4) as tp_c1, round(tp2, 4) as tp_c2, round(0.5 * {_mean("tp1", "tp2")} + 0.5 * z_c3, 4) as e_axc from (select *, z_dlog_ic * z_d_roic as tp1, z_dlog_emp * z_d_va as tp2 from {_chain(_labelled(_C), "dlog_ic", "d_roic", "dlog_emp", "d_va", "c3")} t) u""")
+def tp_resources(spark, sf):
+    f = axes.resource_features(fpanel(spark, sf).withColumn("intangible", F.lit(None).cast("double")))
+    return axes.resource_axis(xsec.cells(f, "month", "industry", "bucket")).select("code", "month", r("TP_C1").alias("tp_c1"), r("TP_C2").alias("tp_c2"), r("E_AXC").alias("e_axc"))
+
+
+@demo(f"""with t as (select z_dlog_rev * -z_d_turn as a, z_dlog_rev * -z_d_accruals as b from {_chain(_labelled(_B), "dlog_rev", "d_turn", "d_accruals")} t0), n as (select count(*) as n from t)
+ select 'TP_B1' as product, count(a) as n, round(avg(a), 4) as mean, count(*) filter (a > 1) as fired, round(count(*) filter (a > 1) / max(n.n), 6) as share from t, n union all select 'TP_B2', count(b), round(avg(b), 4), count(*) filter (b > 1), round(count(*) filter (b > 1) / max(n.n), 6) from t, n""")
+def tp_fire_stats(spark, sf):
+    from pitwright.operators import audits
+
+    f = axes.quality_features(fpanel(spark, sf).withColumn("contract_liab", F.lit(None).cast("double")))
+    t = audits.fired_products(axes.quality_axis(xsec.cells(f, "month", "industry", "bucket")), ["TP_B1", "TP_B2"])
+    return t.select("product", "n", r("mean").alias("mean"), "fired", r("share", 6).alias("share"))
 
 
 _V = f"""(select *, d_rev > 0 and abs(d_rev) > 1e-12 and (coalesce(inventory - lag(inventory, 12) over w, 0) + coalesce(receivable - lag(receivable, 12) over w, 0)) / d_rev > 1.5 as bad1,
- sum(dilution) over (partition by code order by month rows between 2 preceding and current row) > 0 as bad3 from
- (select *, revenue_ttm - lag(revenue_ttm, 12) over w as d_rev, case when code % 6 = month(month) % 6 and net_flow < 0 then 1 else 0 end as dilution from {_FP} a {_W}) b {_W})"""
+ sum(dilution) over (partition by code order by month rows between 2 preceding and current row) > 0 as bad3, n1 > quantile_cont(n1, 0.9) over (partition by month) and d_eff_tax < -0.03 as bad8 from
+ (select *, revenue_ttm - lag(revenue_ttm, 12) over w as d_rev, case when code % 6 = month(month) % 6 and net_flow < 0 then 1 else 0 end as dilution, case when code % 4 <> 1 then floor(adv20 / 100) end as n1, (code % 9 - 5) / 50 as d_eff_tax from {_FP} a {_W}) b {_W})"""
+_VS = f"""(select code, month, case when bad1 then 0 else 1 end as v1, case when code % 5 <> 2 and month(month) % 4 >= 2 then 0 else 1 end as v2, case when bad3 then 0 else 1 end as v3, case when equity <= 0 or code % 29 = 3 then 0 else 1 end as v5,
+ case when adv20 >= 50000 and close > 0 then 1 else 0 end as v6, case when code % 8 <> 6 and (code % 50) / 50 < 0.05 then 0 else 1 end as v7, case when bad8 then 0 else 1 end as v8 from {_V} c)"""
 
 
-@demo(f"""select code, month, v1, v3, v5, v6, v1 * v3 * v5 * v6 as veto from (select code, month, case when bad1 then 0 else 1 end as v1, case when bad3 then 0 else 1 end as v3, case when equity <= 0 or code % 29 = 3 then 0 else 1 end as v5, case when adv20 >= 50000 and close > 0 then 1 else 0 end as v6 from {_V} c) d""")
+def vetoed(spark, sf):
+    k, m = F.col("code"), F.month("month")
+    p = fpanel(spark, sf).withColumns(
+        {
+            "dilution": F.when((k % 6 == m % 6) & (F.col("net_flow") < 0), 1).otherwise(0), "bad_3q": F.when(k % 5 != 2, m % 4 - 1), "sim_risk_pct": F.when(k % 8 != 6, (k % 50) / 50),
+            "n1": F.when(k % 4 != 1, F.floor(F.col("adv20") / 100).cast("double")), "d_eff_tax": (k % 9 - 5) / 50,
+        }
+    )
+    return vetoes.vetoes(p, 50_000, role(spark, sf, "security").where("code % 29 = 3").select("code"))
+
+
+@demo(f"select *, v1 * v2 * v3 * v5 * v6 * v7 * v8 as veto from {_VS} d")
 def vetoes_table(spark, sf):
-    p = fpanel(spark, sf).withColumn("dilution", F.when((F.col("code") % 6 == F.month("month") % 6) & (F.col("net_flow") < 0), 1).otherwise(0))
-    listed = role(spark, sf, "security").where("code % 29 = 3").select("code")
-    v = vetoes.vetoes(p, 50_000, listed)
-    return v.select("code", "month", *(F.col(f"V{k}").alias(f"v{k}") for k in (1, 3, 5, 6)), F.col("VETO").alias("veto"))
+    return vetoed(spark, sf).select("code", "month", *(F.col(f"V{k}").alias(f"v{k}") for k in (1, 2, 3, 5, 6, 7, 8)), F.col("VETO").alias("veto"))
 
 
-@demo(f"select 'V6' as rule, sum(case when adv20 >= 50000 and close > 0 then 0 else 1 end)::bigint as n, round(avg(case when adv20 >= 50000 and close > 0 then 0.0 else 1.0 end), 6) as share from {_FP} a")
+@demo(" union all ".join(f"select 'V{k}' as rule, {'count(*) * 0' if k == 4 else f'count(*) filter (v{k} = 0)'} as n, round({'avg(0.0)' if k == 4 else f'avg((v{k} = 0)::int)'}, 6) as share from {_VS} d{k}" for k in range(1, 9)))
 def veto_fired(spark, sf):
-    return vetoes.fired(vetoes.vetoes(fpanel(spark, sf), 50_000)).select("rule", "n", r("share", 6).alias("share"))
+    return vetoes.fired(vetoed(spark, sf)).select("rule", "n", r("share", 6).alias("share"))
+
+
+@demo(f"select code, month, round(case when code % 7 > 0 and (code % 7) / 7 >= 0.5 then adv20 end, 2) as kept from {_FP} a")
+def theta_gate(spark, sf):
+    p = fpanel(spark, sf).withColumn("theta", F.when(F.col("code") % 7 > 0, (F.col("code") % 7) / 7))
+    return p.select("code", "month", r(vetoes.pack_gate("adv20", "theta"), 2).alias("kept"))
 
 
 _Q = """(select *, sign(target - lag(target) over (partition by code, analyst order by pub_date, uid)) as rev from ({reports}) q)"""
@@ -241,13 +303,6 @@ def picked(spark, sf):
     return p.select("arm", "month", "code", "signal", (1.0 / F.count("*").over(Window.partitionBy("month"))).alias("w"))
 
 
-@demo(f"""with m as (select month, row_number() over (order by month) as i from (select distinct month from ({{panel}}) p) a), h as (select m.month, i, code, w from {_PICKS} q join m on m.month = q.month)
- select m.month, round(sum(abs(d)), 6) as turnover from (select coalesce(x.i, y.i + 1) as i, coalesce(x.w, 0) - coalesce(y.w, 0) as d from h x full join h y on x.code = y.code and x.i = y.i + 1) z join m on m.i = z.i group by m.month""")
-def trade_cost(spark, sf):
-    months = role(spark, sf, "panel").select("month").distinct()
-    return portfolio.turnover(picked(spark, sf), months, ["arm"]).select("month", r("turnover", 6).alias("turnover"))
-
-
 @demo(f"""select month, code, round(p / sum(p) over (partition by month), 6) as raw from (select month, code, case when spread < 1e-6 then 1 else pow(greatest(d, 0) + 1e-9, least(2, 0.5 + 8 * spread)) end as p from
  (select *, avg(abs(d)) over (partition by month) as spread from (select month, code, signal - median(signal) over (partition by month) as d from (select month, code, volume / 1000 as signal, row_number() over (partition by month order by volume desc, code) as place from {_RET} a) b where place <= 5) c) e) f""")
 def raw_weights(spark, sf):
@@ -255,9 +310,11 @@ def raw_weights(spark, sf):
     return portfolio.raw_weights(p, ["month"], "signal").select("month", "code", r("raw", 6).alias("raw"))
 
 
-@demo("select day, case when day >= date '1999-01-01' then 0.003 else 0.003 end as rate from (select distinct day from ({daily}) d) x")
+@demo("""select day, case when later < date '2019-06-03' then 0.003 when later < date '2021-01-01' then 0.0025 when later < date '2023-01-01' then 0.0023 when later < date '2024-01-01' then 0.002 when later < date '2025-01-01' then 0.0018 else 0.0015 end as rate
+ from (select distinct day, cast(day + interval 276 month as date) as later from ({daily}) d) x""")
 def sales_tax(spark, sf):
-    return role(spark, sf, "daily").select("day").distinct().select("day", X.sales_tax(F.col("day")).alias("rate"))
+    """The days of the table 23 years on, so that they meet all steps."""
+    return role(spark, sf, "daily").select("day").distinct().select("day", X.sales_tax(F.add_months("day", 276)).alias("rate"))
 
 
 def plan_panel(spark, sf):
@@ -283,10 +340,10 @@ def block_pbo(spark, sf):
 
 
 @demo(f"""with m as (select month, avg(ret) > 0 as up from {_RET} a where ret is not null group by month), h as (select q.*, up, row_number() over w - 1 < count(*) over (partition by arm) // 2 as first from {_MONTHS} q join m on m.month = q.month window w as (partition by arm order by q.month)),
- x as (select arm, ret, case when first then 'first_half' else 'second_half' end as regime from h union all select arm, ret, case when up then 'market_up' else 'market_down' end from h) select arm, regime, count(*) as n, round(avg(ret), 6) as mean_ret, round(avg((ret > 0)::int), 6) as hit_rate from x group by all having count(*) >= 6""")
+ x as (select arm, ret, case when first then 'first_half' else 'second_half' end as regime from h union all select arm, ret, case when up then 'market_up' else 'market_down' end from h union all select arm, ret, case when month < date '1998-06-01' then 'before' else 'from' end from h) select arm, regime, count(*) as n, round(avg(ret), 6) as mean_ret, round(avg((ret > 0)::int), 6) as hit_rate from x group by all having count(*) >= 6""")
 def regimes(spark, sf):
     up = returns(spark, sf).where("ret is not null").groupBy("month").agg((F.avg("ret") > 0).alias("up"))
-    return robustness.regimes(month_returns(spark, sf), up).select("arm", "regime", "n", r("mean_ret", 6).alias("mean_ret"), r("hit_rate", 6).alias("hit_rate"))
+    return robustness.regimes(month_returns(spark, sf), up, split="1998-06-01").select("arm", "regime", "n", r("mean_ret", 6).alias("mean_ret"), r("hit_rate", 6).alias("hit_rate"))
 
 
 @demo()
@@ -302,16 +359,21 @@ def leak_test(spark, sf):
     return robustness.compared(robustness.run(robustness.leak_arms(plan_panel(spark, sf).select(*_PLAN))), "base")
 
 
+def with_returns(spark, sf):
+    ret = returns(spark, sf).select("code", "month", F.col("ret").alias("fwd_ret"))
+    return scored_panel(spark, sf).join(ret, ["code", "month"], "left")
+
+
 @demo()
 def noise_test(spark, sf):
-    return robustness.compared(robustness.run(robustness.noise_arms(plan_panel(spark, sf).select(*_PLAN), [1, 2, 3])), "base")
+    return robustness.compared(robustness.run(robustness.noise_arms(with_returns(spark, sf), [1, 2, 3], ["E_X", "E_Y", "E_Z"])), "base")
 
 
 @demo()
 def product_test(spark, sf):
-    p = axes.standardised(scored_panel(spark, sf), {"z_x": "E_X", "z_y": "E_Y"})
-    p = p.join(returns(spark, sf).select("code", "month", F.col("ret").alias("fwd_ret")), ["code", "month"], "left")
-    return robustness.compared(robustness.run(robustness.product_arms(p, "z_x", "z_y")), "sum")
+    p = axes.standardised(with_returns(spark, sf), {"z_x": "E_X", "z_y": "E_Y", "z_z": "E_Z"})
+    p = p.withColumns({"TP_1": F.col("z_x") * F.col("z_y"), "TP_2": F.col("z_x") * F.col("z_z")})
+    return robustness.compared(robustness.run(robustness.product_arms(p, ["TP_1", "TP_2"], ["E_X", "E_Y"])), "plain")
 
 
 @demo()
@@ -371,3 +433,10 @@ def factor_returns(spark, sf):
 def verdict_table(spark, sf):
     t = month_returns(spark, sf).groupBy("arm").agg(F.avg("ret").alias("mean_ret"), F.count("*").alias("n"))
     return robustness.verdicts(t, F.col("mean_ret") > 0, False, "positive mean").select("subject", "test", "passed", F.col("metrics")["n"].alias("n"))
+
+
+# ---- the flagship, which demos.py defines, in the other engine
+
+_FLAG = _sql_z(_sql_z(_labelled(f"(select p.*, ln(ytd_revenue) as lr from {_ZPANEL} p asof left join ({{statements}}) s on p.code = s.code and p.month >= s.knowledge_date)"), "x", "z1"), "lr", "z2")
+ORACLE["flagship"] = for_checking(f"""select month, code, place, signal from (select *, row_number() over (partition by month order by signal desc, code) as place, greatest(5, least(25, cast(round_even(count(*) over (partition by month) * 0.05, 0) as int))) as k
+ from (select month, code, round(z1 * z2, 6) as signal from {_FLAG} f) g where signal is not null) h where place <= k""")

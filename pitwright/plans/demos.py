@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitwright.functions import exprs as X
-from pitwright.operators import ledger, pit, tswin, universe, xsec
+from pitwright.operators import ledger, pit, prices, ranks, tswin, universe, xsec
 from pitwright.plans import portfolio
 from pitwright.sources.roles import for_checking, role
 
@@ -44,13 +44,17 @@ def norm_text(spark, sf):
     return s.select("s_suppkey", F.lower(X.norm_text(F.col("s_name"))).alias("clean"), X.security_code(F.concat(F.col("s_suppkey").cast("string"), F.lit(".KS"))).alias("code"), r(ratio, 6).alias("ratio"))
 
 
-@demo("select o_orderkey, count(*) as n, min(cast(o_orderdate as date)) as day, max(case when o_orderkey % 3 = 3 then 1 else 0 end) as failures from orders group by o_orderkey")
+@demo("""select o_orderkey, case when k < 5 then d when k = 5 and year(d) <= 1996 then cast(d as date) end as day, (k >= 6 or (k = 5 and year(d) > 1996))::int as failed from (select o_orderkey, cast(o_orderdate as date) as d, o_orderkey % 8 as k from orders) o""")
 def norm_dates(spark, sf):
-    o = table(spark, sf, "orders")
-    k = F.col("o_orderkey") % 3
-    text = F.when(k == 0, F.date_format("o_orderdate", "yyyyMMdd")).when(k == 1, F.date_format("o_orderdate", "yyyy.MM.dd")).otherwise(F.date_format("o_orderdate", "yyyy/MM/dd"))
-    day = X.mixed_date(text)
-    return o.groupBy("o_orderkey").agg(F.count("*").alias("n"), F.min(day).alias("day"), F.max(F.when(day.isNull(), 1).otherwise(0)).alias("failures"))
+    """Each order's day as written by different sources; two digits of a year beyond the run's next one are of the last century, so that days
+    after 1996, written as of this century, would be wrong and are shown as failed, like texts that are no days."""
+    k, d = F.col("o_orderkey") % 8, F.to_date("o_orderdate")
+    text = F.lit("n/a")
+    for n, form in enumerate(("yyyyMMdd", "yyyy.MM.dd", "yyyy/MM/dd", "yyyy-MM-dd", "yy.MM.dd")):
+        text = F.when(k == n, F.date_format(d, form)).otherwise(text)
+    text = F.when(k == 5, F.when(F.year(d) > 1996, F.concat(F.date_format(d, "yyyy"), F.lit(".13.40"))).otherwise(F.date_format(d, "yy-MM-dd"))).when(k == 6, "").otherwise(text)
+    day = X.mixed_date(text, F.lit("2002-06-30").cast("date"))
+    return table(spark, sf, "orders").select("o_orderkey", day.alias("day"), day.isNull().cast("int").alias("failed"))
 
 
 @demo("""select code, count(*) as n, count(bucket) as has_bucket, min(bucket) as bucket from (select code, case when employees is null then 'unknown' when employees >= 1000 then '1000+' when employees >= 300 then '300-999'
@@ -60,23 +64,35 @@ def size_buckets(spark, sf):
     return s.groupBy("code").agg(F.count("*").alias("n"), F.count("bucket").alias("has_bucket"), F.min("bucket").alias("bucket"))
 
 
-@demo("select last_day(d) as month from (select unnest(generate_series(date '1995-01-31', date '2001-11-30', interval 1 month)) as d) g")
+@demo("select last_day(cast(d as date)) as month from (select unnest(generate_series(date_trunc('month', min(day)), date_trunc('month', max(day)), interval 1 month)) as d from ({daily}) p) g")
 def month_grid(spark, sf):
-    first, last = role(spark, sf, "panel").agg(F.min("month"), F.max("month")).first()
-    return universe.month_grid(spark, "1995-01-31", "2001-11-30").where((F.col("month") >= F.lit(first) - F.expr("interval 2 month")) & F.lit(last).isNotNull())
+    first, last = role(spark, sf, "daily").agg(F.min("day").cast("string"), F.max("day").cast("string")).first()
+    return universe.month_grid(spark, first, last)
+
+
+#: Event patterns for the priorities of the test tables' orders.
+PRIORITIES = (("1-URGENT", "rights_issue"), ("2-HIGH", "acquisition"), ("3-MEDIUM", "cancellation"))
+
+
+@demo("select uid, case k when 0 then 'treasury_canc' when 1 then 'rights_issue' when 2 then 'cb_issue' when 3 then 'dividend' when 4 then 'treasury_acq' end as event from (select distinct uid, uid % 6 as k from ({reports}) q) a")
+def disclosure_class(spark, sf):
+    k, title = F.col("uid") % 6, F.lit("정정신고")
+    for n, t in enumerate(("주요사항보고서(자기주식 소각 결정)", "유상증자결정 및 감자", "전환사채권발행결정", "현금ㆍ현물배당 결정", "자기주식  취득 후 이익소각")):
+        title = F.when(k == n, t).otherwise(title)
+    return role(spark, sf, "reports").select("uid").distinct().select("uid", X.event_class(title).alias("event"))
 
 
 @demo("""select code, month, event, count(*) as n from (select code, last_day(pub_date) as month, case when kind like '1-URGENT%' then 'rights_issue' when kind like '2-HIGH%' then 'acquisition' when kind like '3-MEDIUM%' then 'cancellation' end as event from ({reports}) q) z where event is not null group by code, month, event""")
 def event_class(spark, sf):
-    e = role(spark, sf, "reports").select("code", F.last_day("pub_date").alias("month"), X.event_class(F.col("kind")).alias("event"))
+    e = role(spark, sf, "reports").select("code", F.last_day("pub_date").alias("month"), X.event_class(F.col("kind"), PRIORITIES).alias("event"))
     return e.where("event is not null").groupBy("code", "month", "event").agg(F.count("*").alias("n"))
 
 
 @demo("""select code, month, sum(case when kind like '1-URGENT%' then 1 else 0 end) as rights_issue, sum(case when kind like '2-HIGH%' then 1 else 0 end) as acquisition, sum(case when kind like '3-MEDIUM%' then 1 else 0 end) as cancellation
  from (select *, last_day(pub_date) as month from ({reports}) q) z group by code, month""")
 def event_pivot(spark, sf):
-    e = role(spark, sf, "reports").select("code", F.last_day("pub_date").alias("month"), X.event_class(F.col("kind")).alias("event"))
-    names = [n for _, n in X.EVENTS]
+    e = role(spark, sf, "reports").select("code", F.last_day("pub_date").alias("month"), X.event_class(F.col("kind"), PRIORITIES).alias("event"))
+    names = [n for _, n in PRIORITIES]
     wide = e.groupBy("code", "month").pivot("event", names).count()
     return wide.select("code", "month", *(F.coalesce(n, F.lit(0)).cast("decimal(38,0)").alias(n) for n in names))
 
@@ -90,18 +106,18 @@ def pit_frame(spark, sf):
     return pit.pit_frame(s, F.col("period_end"), F.col("knowledge_date"), "statements").select("code", "yr", "q", "event_date", "knowledge_date", "_src")
 
 
-@demo("select 'statements' as name, count(*) as n_rows, min(knowledge_date) as first_known, max(knowledge_date) as last_known from ({statements}) s")
+@demo("select 'statements' as name, 'code,yr,q' as keys, count(*) as n_rows, count(distinct (code, yr, q)) as n_keys, min(knowledge_date) as first_known, max(knowledge_date) as last_known from ({statements}) s")
 def pit_report(spark, sf):
     c = pit.PitCatalog()
-    c.register("statements", role(spark, sf, "statements").withColumn("event_date", F.col("period_end")))
+    c.register("statements", role(spark, sf, "statements").withColumn("event_date", F.col("period_end")), ["code", "yr", "q"])
     return c.report()
 
 
 @demo("select code, yr, q from (select *, row_number() over (partition by code order by knowledge_date desc, period_end desc) as n from ({statements}) s where knowledge_date <= date '1998-06-15') x where n = 1")
 def asof_latest(spark, sf):
     c = pit.PitCatalog()
-    c.register("s", role(spark, sf, "statements").withColumn("event_date", F.col("period_end")))
-    return pit.latest(c.as_of("s", "1998-06-15"), ["code"], F.desc("knowledge_date"), F.desc("period_end")).select("code", "yr", "q")
+    c.register("s", role(spark, sf, "statements").withColumn("event_date", F.col("period_end")), ["code"])
+    return c.latest("s", "1998-06-15").select("code", "yr", "q")
 
 
 @demo("select p.code, p.month, s.yr, s.q, round(s.ytd_revenue, 2) as ytd_revenue from ({panel}) p asof left join ({statements}) s on p.code = s.code and p.month >= s.knowledge_date")
@@ -111,6 +127,16 @@ def asof_join(spark, sf):
     return out.withColumn("ytd_revenue", r("ytd_revenue", 2))
 
 
+@demo("select p.code, p.day, s.yr, s.q, round(s.ytd_revenue, 2) as ytd_revenue from (select case when code % 3 = 0 then 0 when code % 7 = 0 then null else code end as code, day from ({daily}) d) p asof left join (select case when code % 3 = 0 then 0 else code end as code, yr, q, ytd_revenue, knowledge_date + (code % 11)::int as known from ({statements}) s where code % 3 <> 0 or code = 3) s on p.code = s.code and p.day >= s.known")
+def asof_join_spread(spark, sf):
+    """A key that holds a third of all rows, in ranges of half a year."""
+    code = F.when(F.col("code") % 3 == 0, 0)
+    d = role(spark, sf, "daily").select(code.when(F.col("code") % 7 == 0, None).otherwise(F.col("code")).alias("code"), "day")
+    s = role(spark, sf, "statements").where("code % 3 <> 0 or code = 3").withColumn("known", F.date_add("knowledge_date", (F.col("code") % 11).cast("int")))
+    s = s.withColumn("code", code.otherwise(F.col("code")))
+    return pit.asof_join(d, s, "code", "day", "known", ["yr", "q", "ytd_revenue"], ["period_end"], spread_days=183).withColumn("ytd_revenue", r("ytd_revenue", 2))
+
+
 @demo("""select code, month, members, cast(spend as double) as spend from (select s.code, m.month, count(*) as members, round(sum(price), 2) as spend from (select c_custkey, last_day(cast(o_orderdate as date)) as month, o_totalprice as price from orders join customer on c_custkey = o_custkey) m
  join (select c_custkey as ck, c_custkey % 10 as code, case when c_custkey % 11 <> 0 then date '1996-01-31' end as valid_from, case when c_custkey % 7 <> 0 then date '1999-12-31' end as valid_to from customer) s on ck = c_custkey
  where (valid_from is null or month >= valid_from) and (valid_to is null or month <= valid_to) group by s.code, m.month) x""")
@@ -201,10 +227,19 @@ def rolling_slope(spark, sf):
     return role(spark, sf, "panel").withColumn("rn", F.row_number().over(w)).select("code", "month", r(tswin.slope("volume", "rn", w)).alias("slope"))
 
 
-@demo()
+_OLS = """(select code, month, px as y, ln(volume) as x, t, count(px) over v as full_, count(*) over v as n, sum(ln(volume)) over v as sx, sum(t) over v as st, sum(ln(volume) * ln(volume)) over v as sxx, sum(ln(volume) * t) over v as sxt, sum(t * t) over v as stt, sum(px) over v as sy, sum(ln(volume) * px) over v as sxy, sum(t * px) over v as sty
+ from (select *, (row_number() over (partition by code order by month))::double as t from ({panel}) p) a window v as (partition by code order by month rows between 35 preceding and current row))"""
+_RIDGED = f"(select *, n + k as a, sxx + k as e, stt + k as i from (select *, 1e-8 * greatest(1, abs(n + sxx + stt) / 3) as k from {_OLS} b) c)"
+
+
+def _det(a, b, c, d, e, f, g, h, i):
+    return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+
+@demo(f"""select code, month, case when full_ = 36 then round(y - ({_det("sy", "sx", "st", "sxy", "e", "sxt", "sty", "sxt", "i")} + {_det("a", "sy", "st", "sx", "sxy", "sxt", "st", "sty", "i")} * x + {_det("a", "sx", "sy", "sx", "e", "sxy", "st", "sxt", "sty")} * t) / {_det("a", "sx", "st", "sx", "e", "sxt", "st", "sxt", "i")}, 4) end as resid from {_RIDGED} d""")
 def rolling_ols(spark, sf):
     p = role(spark, sf, "panel").withColumn("t", F.row_number().over(tswin.along()))
-    return tswin.ols_residual(p, "px", "volume", "t", tswin.along()).select("code", "month", r("resid", 6).alias("resid"))
+    return tswin.ols_residual(p, "px", "volume", "t", tswin.along()).select("code", "month", r("resid").alias("resid"))
 
 
 @demo("select code, month, round(last_value(v ignore nulls) over (partition by code order by month rows between 11 preceding and current row), 4) as held from (select code, month, case when month(month) = 12 then volume end as v from ({panel}) p) a")
@@ -230,24 +265,57 @@ def expanding_median(spark, sf):
     return tswin.expanding_median(role(spark, sf, "panel"), "volume", "code", ["month"]).select("code", "month", r("lagged_median").alias("lagged_median"))
 
 
-_RET = "(select code, month, case when lead(px) over w > 0 and px > 0 then least(0.5, greatest(-0.5, lead(px) over w / px - 1)) end as ret, amount, volume from ({panel}) p window w as (partition by code order by month))"
+#: Daily rows without some months of some codes, so that next rows are far and next months missing.
+_GAPS = "(select * from ({daily}) d0 where (month(day) + year(day) + code) % 13 <> 5)"
+_PRICES = """(select code, month, signal_day, close, adv20, exec_px, case when lead(month) over w = last_day(cast(month + interval 1 day as date)) and abs(exec_px) > 1e-12 then lead(exec_px) over w / exec_px - 1 end as fwd_ret from
+ (select code, month, x.d as signal_day, x.c as close, x.a as adv20, coalesce(case when x.n - x.d <= 10 then x.o end, x.c) as exec_px from (select code, last_day(day) as month, max_by({'d': day, 'c': close_px, 'a': adv20, 'o': next_open, 'n': next_day}, day) as x from
+ (select *, case when count(amount) over v >= 10 then avg(amount) over v end as adv20, lead(open_px) over w as next_open, lead(day) over w as next_day from """ + _GAPS + """ d1 window w as (partition by code order by day), v as (partition by code order by day rows between 19 preceding and current row)) d2
+ group by code, last_day(day)) d3) d4 window w as (partition by code order by month))"""
+_RET = f"(select p.code, p.month, fwd_ret as ret, p.amount, p.volume from ({{panel}}) p join {_PRICES} q on q.code = p.code and q.month = p.month)"
+
+
+def gapped(spark, sf):
+    return role(spark, sf, "daily").where("(month(day) + year(day) + code) % 13 <> 5")
 
 
 def returns(spark, sf):
-    nxt = F.lead("px").over(tswin.along())
-    ret = F.when((nxt > 0) & (F.col("px") > 0), F.least(F.lit(0.5), F.greatest(F.lit(-0.5), nxt / F.col("px") - 1)))
-    return role(spark, sf, "panel").select("code", "month", ret.alias("ret"), "amount", "volume")
+    """The panel of the months with prices, and what they return if traded at the executable price."""
+    q = prices.month_panel(gapped(spark, sf)).select("code", "month", F.col("fwd_ret").alias("ret"))
+    return role(spark, sf, "panel").join(q, ["code", "month"]).select("code", "month", "ret", "amount", "volume")
 
 
-@demo(f"select code, month, round(ret, 6) as fwd_ret from {_RET} a")
+@demo(f"select code, month, signal_day, round(close, 8) as close, round(adv20, 8) as adv20, round(exec_px, 8) as exec_px, round(fwd_ret, 8) as fwd_ret from {_PRICES} a")
 def price_panel(spark, sf):
-    return returns(spark, sf).select("code", "month", r("ret", 6).alias("fwd_ret"))
+    p = prices.month_panel(gapped(spark, sf))
+    return p.select("code", "month", "signal_day", *(r(c, 8).alias(c) for c in ("close", "adv20", "exec_px", "fwd_ret")))
+
+
+@demo("select code, day, round(close_px / lag(close_px) over w - 1, 6) as ret1d, lead(day) over w as next_day from " + _GAPS + " d window w as (partition by code order by day)")
+def daily_returns(spark, sf):
+    return prices.daily_features(gapped(spark, sf)).select("code", "day", r("ret1d", 6).alias("ret1d"), "next_day")
+
 
+@demo("select code, month, round(px / lag(px, 12) over (partition by code order by month) - 1, 6) as mom12 from ({panel}) p")
+def momentum_12(spark, sf):
+    return role(spark, sf, "panel").select("code", "month", r(tswin.momentum("px", tswin.along()), 6).alias("mom12"))
 
-@demo(f"""select month, round(wealth, 4) as wealth, round(wealth / greatest(1, max(wealth) over (order by month)) - 1, 4) as drawdown from (select month, exp(sum(ln(1 + m)) over (order by month)) as wealth from (select month, avg(ret) as m from {_RET} a where ret is not null group by month) b) c""")
+
+_MEANS = f"(select month, avg(ret) / 20 as m from {_RET} a where ret is not null group by month)"
+_DOWN = f"(select month, wealth, wealth / greatest(1, max(wealth) over (order by month)) - 1 as dd from (select month, exp(sum(ln(1 + m)) over (order by month)) as wealth from {_MEANS} b) c)"
+
+
+def month_means(spark, sf):
+    return returns(spark, sf).where("ret is not null").groupBy("month").agg((F.avg("ret") / 20).alias("m")).withColumn("arm", F.lit("base"))
+
+
+@demo(f"select month, round(wealth, 4) as wealth, round(dd, 4) as drawdown from {_DOWN} d")
 def drawdown(spark, sf):
-    m = returns(spark, sf).where("ret is not null").groupBy("month").agg(F.avg("ret").alias("m")).withColumn("arm", F.lit("base"))
-    return tswin.drawdown(m, "m", ["arm"], "month").select("month", r("wealth").alias("wealth"), r("drawdown").alias("drawdown"))
+    return tswin.drawdown(month_means(spark, sf), "m", ["arm"], "month").select("month", r("wealth").alias("wealth"), r("drawdown").alias("drawdown"))
+
+
+@demo(f"select 'base' as arm, coalesce(max(n), 0) as underwater from (select count(*) as n from (select dd < -1e-9 as low, row_number() over (order by month) - row_number() over (partition by dd < -1e-9 order by month) as run from {_DOWN} d) e where low group by run) f")
+def underwater(spark, sf):
+    return tswin.underwater(tswin.drawdown(month_means(spark, sf), "m", ["arm"], "month"), ["arm"], "month")
 
 
 _LAGS = ", ".join(f"lag(e, {k}) over w as l{k}" for k in range(1, 6))
@@ -306,12 +374,28 @@ def month_type_coverage(spark, sf):
     return ledger.set_coverage(o, "month", "o_orderpriority", kinds).select("month", F.col("missing").cast("long").alias("missing"))
 
 
-@demo("select key, min(uid) as uid, case when count(distinct src) = 2 then 'a+b' else min(src) end as source, min(d) as pub_date, round(max(p), 2) as target from (select o_custkey as key, o_orderkey as uid, 'a' as src, cast(o_orderdate as date) as d, o_totalprice as p from orders where o_orderkey % 3 < 2 union all select o_custkey, o_orderkey, 'b', cast(o_orderdate as date), o_totalprice from orders where o_orderkey % 3 > 0) x group by key")
+_TWO = """(select o_custkey as key, o_orderkey as uid, 'a' as src, cast(o_orderdate as date) as d, o_totalprice as p, o_clerk as words, o_orderpriority || repeat('x', o_orderkey % 3) as title from (select *, case when o_orderkey % 5 = 0 then 'nan' else o_orderstatus end as o_clerk from orders) o where o_orderkey % 3 < 2
+ union all select o_custkey, o_orderkey, 'b', cast(o_orderdate as date), o_totalprice, case when o_orderkey % 5 = 0 then 'nan' else o_orderstatus end, o_orderpriority || repeat('x', o_orderkey % 3) from orders where o_orderkey % 3 > 0)"""
+
+
+@demo(f"""select key, min(uid) as uid, case when count(distinct src) = 2 then 'a+b' else min(src) end as source, min(d) as pub_date, round(max(p), 2) as target, min(case when words <> 'nan' then words end) as words, min((100 - length(title), title)).title as title
+ from (select *, title as t from {_TWO} y) x group by key""".replace("min((100 - length(title), title)).title", "min(lpad((100 - length(title))::varchar, 3, '0') || title)[4:]"))
 def ledger_merge(spark, sf):
-    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("uid"), F.to_date("o_orderdate").alias("pub_date"), F.col("o_orderstatus").alias("title"), F.col("o_totalprice").alias("target"))
+    k = F.col("o_orderkey")
+    words = F.when(k % 5 == 0, "nan").otherwise(F.col("o_orderstatus"))
+    title = F.concat("o_orderpriority", F.repeat(F.lit("x"), (k % 3).cast("int")))
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("key"), k.alias("uid"), F.to_date("o_orderdate").alias("pub_date"), title.alias("title"), words.alias("words"), F.col("o_totalprice").alias("target"))
     a, b = o.where("uid % 3 < 2").withColumn("source", F.lit("a")), o.where("uid % 3 > 0").withColumn("source", F.lit("b"))
-    once = ledger.ledger_merge(a.unionByName(b), "key")
-    return ledger.ledger_merge(once.unionByName(a), "key").select("key", "uid", "source", "pub_date", r("target", 2).alias("target"))
+    once = ledger.ledger_merge(a.unionByName(b), "key", words=["words"])
+    again = ledger.ledger_merge(once.unionByName(a, allowMissingColumns=True), "key", words=["words"])
+    return again.select("key", "uid", "source", "pub_date", r("target", 2).alias("target"), "words", "title")
+
+
+@demo("select key, count(*) as n from (select sha1(strftime(pub_date, '%Y%m%d') || chr(31) || kind || chr(31) || code || chr(31) || 'On ' || kind2) as key from (select *, replace(kind, '-', ' ') as kind2 from ({reports}) q) a) b group by key")
+def dedup_keys(spark, sf):
+    title = F.concat(F.lit("On  ["), F.col("uid"), F.lit("] "), F.col("kind"))
+    q = role(spark, sf, "reports").select(ledger.dedup_key(F.col("pub_date"), F.col("kind"), F.col("code").cast("string"), title).alias("key"))
+    return q.groupBy("key").agg(F.count("*").alias("n"))
 
 
 @demo("select name, code, score from (select l.name, s_suppkey as code, round(100 * (1 - levenshtein(l.name, s_name) / length(s_name)), 6) as score, row_number() over (partition by l.name order by levenshtein(l.name, s_name), s_suppkey) as n from (select distinct replace(s_name, '#0', '#1') as name from supplier) l join supplier on substr(l.name, 1, 11) = substr(replace(s_name, '#0', '#1'), 1, 11) where 100 * (1 - levenshtein(l.name, s_name) / length(s_name)) >= 92) x where n = 1")
@@ -392,12 +476,6 @@ def topn_month(spark, sf):
     return portfolio.picks(signals(spark, sf), ["arm"], "signal").select("month", "code", "place")
 
 
-@demo(f"select month, round(avg(ret), 6) as ret, count(*) as names from (select *, row_number() over (partition by month order by volume desc, code) as place from {_RET} a) b where place <= 5 and ret is not null group by month")
-def portfolio_returns(spark, sf):
-    p = portfolio.picks(signals(spark, sf), ["arm"], "signal", low=5, high=5)
-    return p.where("ret is not null").groupBy("month").agg(r(F.avg("ret"), 6).alias("ret"), F.count("*").alias("names"))
-
-
 @demo()
 def backtest(spark, sf):
     s = signals(spark, sf)
@@ -408,12 +486,6 @@ def backtest(spark, sf):
     return portfolio.backtest(panel)
 
 
-@demo(f"select code, count(ret) as n, round(avg(case when ret > 0 then 1.0 else 0.0 end), 6) as hit_rate, round(stddev_samp(ret) * sqrt(12), 4) as vol from {_RET} a where ret is not null group by code")
-def perf_stats(spark, sf):
-    p = portfolio.statistics(returns(spark, sf).where("ret is not null"), "code", "ret")
-    return p.select("code", "n", r("hit_rate", 6).alias("hit_rate"), r("vol").alias("vol"))
-
-
 @demo(f"select year(month) as yr, round(exp(sum(ln(1 + m))) - 1, 4) as ret, count(*) as months from (select month, avg(ret) as m from {_RET} a where ret is not null group by month) b group by year(month)")
 def yearly_perf(spark, sf):
     m = returns(spark, sf).where("ret is not null").groupBy("month").agg(F.avg("ret").alias("m"))
@@ -433,26 +505,27 @@ def bh_fdr(spark, sf):
     return portfolio.bh_fdr(s.select("code", (1 / (1 + F.abs("m") * F.col("n"))).alias("p")), "p", 0.3).select("code", "passed")
 
 
-@demo(f"select code, round(sum(ret), 4) as total, case when row_number() over (order by sum(ret) desc, code) <= greatest(1, count(*) over () / 10) then 1 else 0 end as top10 from {_RET} a where ret is not null group by code")
+@demo(f"""with c as (select code, sum(ret / 10) as s from {_RET} a where ret is not null group by code), o as (select *, row_number() over (order by s desc, code) as k, count(*) over () as n, sum(s) over () as base from c),
+ q as (select unnest([0.01, 0.05, 0.1]) as top), k as (select top, greatest(1, round_even((select max(n) from o) * top, 0))::bigint as names from q) select top, names, round(sum(case when k <= names then s else 0 end), 4) as part, round(sum(case when k > names then s else 0 end), 4) as rest from k, o group by top, names""")
 def tail_contrib(spark, sf):
-    c = returns(spark, sf).where("ret is not null").groupBy("code").agg(F.sum("ret").alias("s"))
-    n = c.count()
-    top = F.row_number().over(Window.orderBy(F.desc("s"), "code")) <= max(1, n / 10)  # a row for each code
-    return c.select("code", r("s").alias("total"), top.cast("int").alias("top10"))
+    held = returns(spark, sf).where("ret is not null").select("code", F.lit(0.1).alias("w"), "ret")
+    t = portfolio.tail_contribution(held, "code", "w", "ret")
+    return t.select("top", "names", r("part").alias("part"), r("rest").alias("rest"))
 
 
 # ---- the flagship: point-in-time join, cell score, product, picks of the month
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    from pitwright.plans.axes import standardised
+
     p = zpanel(spark, sf)
     s = role(spark, sf, "statements")
     a = pit.asof_join(p, s, "code", "month", "knowledge_date", ["ytd_revenue", "qty"], ["period_end"])
-    c = xsec.cells(a, "month", "industry", "bucket")
-    c = xsec.ladder(c, "x", ["cell", "cell_l2", "cell_l3"], "z1")
-    c = xsec.ladder(c.withColumn("lr", F.log("ytd_revenue")), "lr", ["cell", "cell_l2", "cell_l3"], "z2")
-    scored = c.withColumn("signal", F.col("z1") * F.col("z2")).withColumn("arm", F.lit("base"))
-    return portfolio.picks(scored, ["arm"], "signal").select("month", "code", "place", r("signal", 6).alias("signal"))
+    c = xsec.cells(a.withColumn("lr", F.log("ytd_revenue")), "month", "industry", "bucket")
+    c = standardised(c, {"z1": "x", "z2": "lr"})
+    scored = c.withColumn("signal", r(F.col("z1") * F.col("z2"), 6)).withColumn("arm", F.lit("base"))
+    return portfolio.picks(scored, ["arm"], "signal").select("month", "code", "place", "signal")
 
 
 QUERIES["flagship"] = flagship

@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pitwright.functions import exprs as X
-from pitwright.operators import entity, ledger, pit, xsec
-from pitwright.plans import axes, packs
+from pitwright.operators import entity, ledger, pit, ranks, xsec
+from pitwright.plans import axes, packs, portfolio
 from pitwright.plans.axis_demos import _FP, _dlog, _div, _labelled, _r, _sql_z, _W, fpanel, rounded
-from pitwright.plans.demos import demo, r, table
+from pitwright.plans.demos import PRIORITIES, demo, r, table
 from pitwright.sources.roles import role
 
 # ---- packs
@@ -52,7 +52,7 @@ def capital_panel(spark, sf):
     f = axes.resource_features(fpanel(spark, sf).withColumn("intangible", F.lit(None).cast("double")))
     f = f.withColumns({"dividend_paid_ttm": F.col("payroll"), "treasury_buy_ttm": F.col("dep_ttm"), "rnd_ttm": F.lit(None).cast("double")})
     named = {"rights_issue": "treasury_acq", "acquisition": "treasury_canc"}
-    e = role(spark, sf, "reports").select("code", F.last_day("pub_date").alias("month"), X.event_class(F.col("kind")).alias("event")).replace(named, subset=["event"])
+    e = role(spark, sf, "reports").select("code", F.last_day("pub_date").alias("month"), X.event_class(F.col("kind"), PRIORITIES).alias("event")).replace(named, subset=["event"])
     return packs.capital_features(f, e)
 
 
@@ -107,6 +107,13 @@ def alias_canon(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", entity.canonical(raw, [("First", "first"), ("second", "second"), ("First|second", "never")]).alias("canon"))
 
 
+@demo("select name, substr(sha1('broker' || chr(31) || name), 1, 12) as house from (select distinct case when s_nationkey % 2 = 0 then '미래에셋증권' else 'house' || s_nationkey end as name from supplier) s")
+def house_ids(spark, sf):
+    k = F.col("s_nationkey")
+    names = table(spark, sf, "supplier").select(entity.canonical(F.when(k % 2 == 0, "대우 증권").otherwise(F.concat(F.lit("house "), k, F.lit(" 리서치센터"))), [("대우증권", "미래에셋증권")]).alias("name")).distinct()
+    return names.select("name", entity.house_id(F.col("name")).alias("house"))
+
+
 @demo("""with n as (select c_custkey, regexp_replace(n_name, '[^A-Za-z]', '', 'g') as a, regexp_replace(r_name, '[^A-Za-z]', '', 'g') as b from customer join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey),
  x as (select c_custkey, a as name, 0 as place from n where length(a) between 2 and 12 union all select c_custkey, b, case when length(a) between 2 and 12 then 1 else 0 end from n where length(b) between 2 and 12 and a <> b) select c_custkey, name, case when place = 0 then 'lead' else 'co' end as role from x""")
 def split_explode(spark, sf):
@@ -156,30 +163,46 @@ def text_fields(spark, sf):
     return e.select("doc_id", F.size("e").cast("long").alias("n"), F.array_join("e", ",").alias("emails"))
 
 
-@demo("select s_suppkey, s_name as title, case when s_suppkey % 2 = 0 and s_suppkey > 0 then cast(s_suppkey * 1000 as double) end as target, case when s_suppkey % 3 = 0 then 'BUY' else 'Neutral' end as opinion from supplier")
+@demo("""select s_suppkey, s_name as title, case when s_suppkey % 2 = 0 and s_suppkey > 0 then cast(s_suppkey * 1000 as double) end as target, case s_suppkey % 4 when 0 then 'BUY' when 1 then 'HOLD' when 2 then 'Wait and see for a w' end as opinion, case when s_suppkey % 3 = 0 then '00593' || s_suppkey % 10 end as told, case when s_suppkey % 3 = 0 then 'Firm ' || s_suppkey end as firm from supplier""")
 def norm_report(spark, sf):
     k = F.col("s_suppkey")
-    s = table(spark, sf, "supplier")
     price = F.when(k % 2 == 0, F.concat(F.format_number(k * 1000, 0), F.lit("원"))).otherwise("0")
-    return s.select(k, X.undo_repeat(F.concat("s_name", "s_name")).alias("title"), X.target_price(price).alias("target"), X.opinion(F.when(k % 3 == 0, "Strong Buy").otherwise("Neutral")).alias("opinion"))
+    said = F.when(k % 4 == 0, "Strong Buy").when(k % 4 == 1, "중립").when(k % 4 == 2, "Wait and see for a while").otherwise("Not Rated")
+    title = F.when(k % 3 == 0, F.concat(F.lit("Firm  "), k, F.lit(" (00593"), k % 10, F.lit(") goes up"))).otherwise(F.concat(F.lit("On (5930) "), k))
+    return table(spark, sf, "supplier").select(k, X.undo_repeat(F.concat("s_name", "s_name")).alias("title"), X.target_price(price).alias("target"), X.opinion(said).alias("opinion"), X.code_in_title(title).alias("told"), X.name_in_title(title).alias("firm"))
 
 
-# ---- tables, audits, cards
+@demo("""select s_suppkey, case when s_suppkey % 2 = 0 then '홍길동,김유신' else '이순신' end as names, case when s_suppkey % 2 = 0 then 'a' || s_suppkey || '@x.co.kr,b@y.com' else 'only@z.kr' end as emails, case when s_suppkey % 3 = 0 then cast(s_suppkey * 100 + 1000 as double) end as target from supplier where s_suppkey > 0""")
+def report_texts(spark, sf):
+    k = F.col("s_suppkey")
+    who = F.when(k % 2 == 0, F.concat(F.lit("홍길동 연구원 (02-123-4567) a"), k, F.lit("@x.co.kr\n김유신 b@y.com 김유신 b@y.com"))).otherwise("애널리스트 이순신 연구원 / only@z.kr")
+    text = F.concat(who, F.when(k % 3 == 0, F.concat(F.lit(" 목표 주가: "), F.format_number(k * 100 + 1000, 0), F.lit("원"))).otherwise(" 목표주가 없음"))
+    return table(spark, sf, "supplier").where("s_suppkey > 0").select(k, X.report_fields(text).alias("x")).select("s_suppkey", "x.names", "x.emails", "x.target")
+
+
+@demo("select s_suppkey, 'kg 12 Fi Corp' as wide, 'abc' || s_suppkey as firm from supplier")
+def norm_wide(spark, sf):
+    k = F.col("s_suppkey")
+    wide = F.concat(F.lit("㎏ ①②　ﬁ（"), k, F.lit(") Ｃｏｒｐ"))
+    s = table(spark, sf, "supplier").select(k, X.norm_text(wide, compatibility=True).alias("wide"), X.norm_company(F.concat(F.lit("주식회사 ＡＢＣ "), k, F.lit(" Co., Ltd."))).alias("firm"))
+    return s.withColumn("wide", F.replace("wide", F.lit("fi"), F.lit("Fi")))
+
 
+@demo("select page_id, substr(substr(t, strpos(t, ' the ')), 1, 200) as part from (select page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') as t from pages) p where strpos(t, ' the ') > 0")
+def section_extract(spark, sf):
+    return table(spark, sf, "pages").select("page_id", X.section_cut(F.col("html"), " the ", 200).alias("part")).where("part is not null")
 
-@demo("select l_orderkey, round(max(case when l_linestatus = 'F' then v end), 2) as f, round(max(case when l_linestatus = 'O' then v end), 2) as o, min(n) as first_line from (select l_orderkey, l_linestatus, min(l_linenumber) as n, max(l_extendedprice) as v from lineitem group by all) x group by l_orderkey")
-def account_pivot(spark, sf):
-    a = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linestatus").agg(F.max_by("l_extendedprice", F.abs("l_extendedprice")).alias("v"), F.min("l_linenumber").alias("n"))
-    wide = a.groupBy("l_orderkey").pivot("l_linestatus", ["F", "O"]).agg(F.first("v").alias("v"), F.min("n").alias("n"))
-    return wide.select("l_orderkey", r("F_v", 2).alias("f"), r("O_v", 2).alias("o"), F.least("F_n", "O_n").alias("first_line"))
+
+# ---- tables, audits, cards
 
 
-@demo("select s.code, yr, q from ({security}) s, (select unnest(range(1993, 1998)) as yr) y, (select unnest(range(1, 5)) as q) k where not exists (select 1 from ({statements}) t where t.code = s.code and t.yr = y.yr and t.q = k.q)")
+@demo("""select code, yr, q, row_number() over (order by yr desc, firm, code, q) as place from (select s.code, s.name as firm, yr, q from ({security}) s, (select unnest(range((select min(yr) from ({statements}) a), (select max(yr) + 1 from ({statements}) b))) as yr) y, (select unnest(range(1, 5)) as q) k
+ where not exists (select 1 from ({statements}) t where t.code = s.code and t.yr = y.yr and t.q = k.q)) x""")
 def todo_antijoin(spark, sf):
     statements = role(spark, sf, "statements")
     years = statements.agg(F.min("yr").alias("first"), F.max("yr").alias("last")).where("first is not null")
-    wanted = role(spark, sf, "security").crossJoin(F.broadcast(years)).select("code", F.explode(F.sequence("first", "last")).alias("yr")).select("code", F.col("yr").cast("int").alias("yr"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("q"))
-    return wanted.join(statements, ["code", "yr", "q"], "left_anti")
+    wanted = role(spark, sf, "security").crossJoin(F.broadcast(years)).select("code", "name", F.explode(F.sequence("first", "last")).alias("yr")).select("code", "name", F.col("yr").cast("int").alias("yr"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("q"))
+    return ledger.pending(wanted, statements, ["code", "yr", "q"], "yr", "name").select("code", "yr", "q", "place")
 
 
 @demo("select month, uid, code from (select *, row_number() over (partition by month order by pub_date desc, uid, code) as n from (select *, last_day(pub_date) as month from ({reports}) q) a) b where n <= 30")
@@ -195,26 +218,39 @@ def knowledge_date(spark, sf):
     return s.select("code", "yr", "q", X.knowledge_date(receipt, F.col("period_end"), F.col("q") == 4).alias("known"))
 
 
-@demo("select * from (select month, code, volume, row_number() over (order by volume desc, code) as place from ({panel}) p where month = (select max(month) from ({panel}) m)) x where place <= 5")
+@demo("select month, code, place, round(signal, 4) as signal, volume as e_volume, round(net_flow, 2) as e_flow from (select *, row_number() over (order by volume desc, code) as place, volume as signal from ({panel}) p where month = (select max(month) from ({panel}) m)) x where place <= 5")
 def diag_card(spark, sf):
-    p = role(spark, sf, "panel").select("month", "code", "volume")
-    top = p.join(p.agg(F.max("month").alias("month")), "month").orderBy(F.desc("volume"), "code").limit(5)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("volume"), "code")))  # five rows
+    c = portfolio.latest_card(role(spark, sf, "panel").withColumn("signal", F.col("volume")), "signal", ["volume", "net_flow"], 5)
+    return c.select("month", "code", "place", r("signal").alias("signal"), F.col("evidence.volume").alias("e_volume"), r("evidence.net_flow", 2).alias("e_flow"))
 
 
 @demo("select code, firm, adv, row_number() over (order by adv desc, code) as place from (select d.code, s.name as firm, round(median(amount), 2) as adv from ({daily}) d join ({security}) s on s.code = d.code group by d.code, s.name) x")
 def liquidity_priority(spark, sf):
     d = role(spark, sf, "daily").groupBy("code").agg(r(F.median("amount"), 2).alias("adv"))
     s = role(spark, sf, "security").select("code", F.col("name").alias("firm"))
-    return d.join(s, "code").withColumn("place", F.row_number().over(Window.orderBy(F.desc("adv"), "code"))).select("code", "firm", "adv", "place")  # a row for each code
+    return ranks.global_rank(d.join(s, "code"), "adv", "place", F.col("code"), descending=True).select("code", "firm", "adv", "place")
+
+
+_OLD = "(select o_custkey as k, min(o_comment2) as v from (select o_custkey, case when o_orderkey % 4 = 1 then ' ' else 'v' || o_orderkey % 10 end as o_comment2 from orders where o_orderkey % 2 = 1) a group by o_custkey)"
+_NEW = "(select o_custkey as k, min(v) as v from (select o_custkey, 'v' || o_orderkey % 10 as v from orders where o_orderkey % 2 = 0 and o_orderkey % 3 > 0) b group by o_custkey)"
 
 
-@demo("select o_custkey, coalesce(b, a) as kept from (select o_custkey, max(o_orderkey) filter (o_orderkey % 2 = 0) as b, max(o_orderkey) filter (o_orderkey % 2 = 1) as a from orders group by o_custkey) x where a is not null")
+def fill_tables(spark, sf):
+    o, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    value = F.concat(F.lit("v"), k % 10)
+    old = o.where(k % 2 == 1).groupBy(F.col("o_custkey").alias("k")).agg(F.min(F.when(k % 4 == 1, " ").otherwise(value)).alias("v"))
+    new = o.where(k % 2 == 0).select(F.col("o_custkey").alias("k"), F.when(k % 3 > 0, value).otherwise("  ").alias("v"))
+    return old, new
+
+
+@demo(f"select o.k, coalesce(n.v, o.v) as v from {_OLD} o left join {_NEW} n on n.k = o.k")
 def coalesce_merge(spark, sf):
-    o = table(spark, sf, "orders")
-    old = o.where("o_orderkey % 2 = 1").groupBy("o_custkey").agg(F.max("o_orderkey").alias("a"))
-    new = o.where("o_orderkey % 2 = 0").groupBy("o_custkey").agg(F.max("o_orderkey").alias("b"))
-    return old.join(new, "o_custkey", "left").select("o_custkey", F.coalesce("b", "a").alias("kept"))
+    return ledger.filled(*fill_tables(spark, sf), "k", "v", ["v"])[0]
+
+
+@demo(f"select o.k, o.v as old, n.v as new from {_OLD} o join {_NEW} n on n.k = o.k where trim(o.v) <> '' and o.v <> n.v")
+def merge_conflicts(spark, sf):
+    return ledger.filled(*fill_tables(spark, sf), "k", "v", ["v"])[1]
 
 
 @demo("select code, yr, q from ({statements}) s where knowledge_date <= date '1996-06-30'")

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitwright.functions.exprs import SALES_TAX
+from pitwright.functions.exprs import SALES_TAX, impact, sales_tax
+from pitwright.operators import ranks, tswin
 
 
 def flagged(df: DataFrame, arm: list[str], signal: str, share: float = 0.05, low: int = 5, high: int = 25) -> DataFrame:
@@ -23,10 +24,22 @@ def flagged(df: DataFrame, arm: list[str], signal: str, share: float = 0.05, low
     return a.withColumn("picked", (F.col(signal).isNotNull() & (F.col("place") <= F.col("__k"))).cast("int")).drop("__k")
 
 
+def eligible(df: DataFrame, signal: str, price: str = "exec_px") -> DataFrame:
+    """The rows that may be picked: no veto, over the floor, with a signal and a price to trade at."""
+    return df.where((F.col("VETO") == 1) & (F.col("FLOOR") == 1) & F.col(signal).isNotNull() & F.col(price).isNotNull())
+
+
 def picks(df: DataFrame, arm: list[str], signal: str, share: float = 0.05, low: int = 5, high: int = 25) -> DataFrame:
     return flagged(df.where(F.col(signal).isNotNull()), arm, signal, share, low, high).where("picked = 1").drop("picked")
 
 
+def latest_card(panel: DataFrame, signal: str, evidence: list[str], n: int = 5) -> DataFrame:
+    """(month, code, place, signal, evidence): the best n rows of the newest month, with the columns that speak for them as a struct."""
+    newest = panel.agg(F.max("month").alias("month"))
+    top = panel.join(F.broadcast(newest), "month").select("month", "code", F.col(signal).alias("signal"), F.struct(*evidence).alias("evidence")).orderBy(F.col("signal").desc_nulls_last(), "code").limit(n)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.col("signal").desc_nulls_last(), "code")))  # n rows
+
+
 # Fixed values of a small account: its size, the largest share of a name, the part of a day's trade taken, the least cap, commission.
 ACCOUNT, CAP, TAKEN, LEAST_CAP, COMMISSION = 30_000_000, 0.12, 0.10, 0.01, 1.5e-4
 
@@ -41,19 +54,6 @@ def raw_weights(df: DataFrame, keys: list[str], signal: str) -> DataFrame:
     return a.withColumn("raw", F.col("__p") / F.sum("__p").over(w)).drop("__s", "__d", "__spread", "__p")
 
 
-def turnover(weights: DataFrame, months: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, month and turnover: the sum of changes of weight against the month before; weights: keys, month, code, w.
-
-    Each weight is counted for at its month and against at the next one, so that names that left need no outer join.
-    months: the months of the plan, a short list.
-    """
-    at = months.select("month", F.row_number().over(Window.orderBy("month")).alias("__i"))
-    here = weights.join(F.broadcast(at), "month").select(*keys, "code", "__i", "w")
-    both = here.unionAll(here.select(*keys, "code", (F.col("__i") + 1).alias("__i"), (-F.col("w")).alias("w")))
-    net = both.groupBy(*keys, "__i", "code").agg(F.abs(F.sum("w")).alias("d")).groupBy(*keys, "__i").agg(F.sum("d").alias("turnover"))
-    return net.join(F.broadcast(at), "__i").select(*keys, "month", "turnover")
-
-
 def weights(signal: np.ndarray, adv: np.ndarray, account: float, cap: float = CAP) -> np.ndarray:
     """Shares by distance above the median, capped by size and liquidity; what the caps leave is dealt again, the rest is cash."""
     if not len(signal):
@@ -122,10 +122,78 @@ def backtest(panel: DataFrame, arm: str = "arm", account: float = ACCOUNT, hold:
     return panel.groupBy(arm).applyInPandas(fold, f"{arm} string, month date, names long, turnover double, cost double, ret_gross double, ret double")
 
 
-def statistics(returns: DataFrame, arm: str, r: str, per_year: int = 12) -> DataFrame:
-    n = F.count(r)
-    growth = F.exp(F.sum(F.log(1 + F.col(r))))
-    return returns.groupBy(arm).agg(n.alias("n"), (F.pow(growth, per_year / n) - 1).alias("cagr"), (F.stddev_samp(r) * per_year**0.5).alias("vol"), F.avg((F.col(r) > 0).cast("double")).alias("hit_rate"))
+def statistics(returns: DataFrame, arm: str, r: str, time: str = "month", per_year: int = 12, riskless: float = 0.0) -> DataFrame:
+    """A row for each arm: n, cagr, vol, sharpe and sortino (over the riskless rate), mdd, calmar, hit_rate, mean, t (Newey-West), underwater
+    (months), total; and the means of names, turnover and cost where returns has them. A missing return counts as 0."""
+    a = returns.withColumn("__r", F.coalesce(r, F.lit(0.0)))
+    down = tswin.drawdown(a, "__r", [arm], time)
+    x = F.col("__r")
+    n, growth = F.count("*"), F.exp(F.sum(F.log(1 + x)))
+    cagr = F.pow(growth, per_year / n) - 1
+    low = F.stddev_samp(F.when(x < 0, x)) * per_year**0.5
+    means = [F.avg(c).alias(c) for c in ("names", "turnover", "cost") if c in returns.columns]
+    s = down.groupBy(arm).agg(n.alias("n"), cagr.alias("cagr"), (F.stddev_samp(x) * per_year**0.5).alias("vol"), low.alias("__low"), F.min("drawdown").alias("mdd"), F.avg((x > 0).cast("double")).alias("hit_rate"), F.avg(x).alias("mean"), (growth - 1).alias("total"), *means)
+    s = s.join(tswin.hac_t(a, "__r", [arm], time).select(arm, "t"), arm).join(tswin.underwater(down, [arm], time), arm)
+    over = F.col("cagr") - riskless
+    ratios = {"sharpe": F.when(F.col("vol") > 0, over / F.col("vol")), "sortino": F.when(F.col("__low") > 0, over / F.col("__low")), "calmar": F.when(F.col("mdd") < 0, F.col("cagr") / F.abs("mdd"))}
+    return s.withColumns(ratios).drop("__low")
+
+
+def held_returns(weights: DataFrame, returns: DataFrame, securities: DataFrame) -> DataFrame:
+    """weights (arm, month, code, w) with ret: of a name without return 0, but -1 in the month after which it is gone; returns: code, month,
+    fwd_ret; securities: code, delisting_date."""
+    a = weights.join(returns.select("code", "month", "fwd_ret"), ["code", "month"], "left").join(securities.select("code", "delisting_date"), "code", "left")
+    gone = (F.col("delisting_date") > F.col("month")) & (F.col("delisting_date") <= F.last_day(F.add_months(F.trunc("month", "month"), 1)))
+    return a.withColumn("ret", F.coalesce("fwd_ret", F.when(gone, F.lit(-1.0)), F.lit(0.0))).drop("fwd_ret", "delisting_date")
+
+
+def tail_contribution(held: DataFrame, code: str, w: str, r: str, shares: tuple[float, ...] = (0.01, 0.05, 0.10)) -> DataFrame:
+    """(top, names, part, rest): what the best share of names gave in all, and what the others did. Names are ranked by ranges."""
+    c = held.groupBy(code).agg(F.sum(F.col(w) * F.col(r)).alias("__s"))
+    ranked = ranks.global_rank(c, "__s", "__k", F.col(code), descending=True)
+    total = c.agg(F.count("*").alias("__n"))
+    tops = F.explode(F.array(*(F.struct(F.lit(q).alias("top"), F.greatest(F.lit(1), F.bround(F.col("__n") * q)).cast("long").alias("names")) for q in shares))).alias("x")
+    a = ranked.crossJoin(F.broadcast(total.select(tops).select("x.*")))  # a few shares
+    part = lambda on: F.sum(F.when(on, F.col("__s")).otherwise(0.0))
+    return a.groupBy("top", "names").agg(part(F.col("__k") <= F.col("names")).alias("part"), part(F.col("__k") > F.col("names")).alias("rest"))
+
+
+def capped_weights(df: DataFrame, keys: list[str], signal: str, adv: str, account: float = 30_000_000) -> DataFrame:
+    """df with w: raw_weights under the caps of size and liquidity; what the caps leave is dealt again among the others, the rest is cash.
+
+    In closed form: names are capped in order of raw / cap, most excessive first; the first k are capped for the least k at which
+    none of the others, sharing what is left by raw, goes over its cap. A group is the names of one portfolio.
+    """
+    liquid = F.coalesce(F.col(adv), F.lit(0.0))
+    cap = F.least(F.lit(CAP), F.when(liquid > 0, F.greatest(TAKEN * liquid / account, F.lit(LEAST_CAP))).otherwise(CAP))
+    a = raw_weights(df, keys, signal).withColumn("__cap", cap).withColumn("__x", F.col("raw") / F.col("__cap"))
+    w = Window.partitionBy(*keys).orderBy(F.desc("__x"), F.desc("raw"), "code")
+    before, rest = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(0, Window.unboundedFollowing)
+    used, raw_left = F.coalesce(F.sum("__cap").over(before), F.lit(0.0)), F.sum("raw").over(rest)
+    share = F.greatest(1 - used, F.lit(0.0)) / raw_left
+    a = a.withColumn("__share", share).withColumn("__fits", F.col("raw") * F.col("__share") <= F.col("__cap"))
+    level = F.first(F.when(F.col("__fits"), F.col("__share")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    a = a.withColumn("__level", level).withColumn("w", F.when(F.col("__level").isNull(), F.col("__cap")).otherwise(F.least(F.col("__cap"), F.col("raw") * F.col("__level"))))
+    return a.drop("__cap", "__x", "__share", "__fits", "__level")
+
+
+def trade_costs(weights: DataFrame, months: DataFrame, keys: list[str], account: float = 30_000_000) -> DataFrame:
+    """keys, month, turnover and cost: of each change of weight against the month before commission, square-root impact, and the tax of
+    the day on sales. weights: keys, month, code, w, adv. months: the months of the plan, a short list."""
+    at = months.select("month", F.row_number().over(Window.orderBy("month")).alias("__i"))
+    here = weights.join(F.broadcast(at), "month").select(*keys, "code", "__i", "w", "adv")
+    both = here.unionAll(here.select(*keys, "code", (F.col("__i") + 1).alias("__i"), (-F.col("w")).alias("w"), F.lit(None).cast("double").alias("adv")))
+    net = both.groupBy(*keys, "__i", "code").agg(F.sum("w").alias("d"), F.max("adv").alias("adv")).join(F.broadcast(at), "__i")
+    rate = COMMISSION + impact(F.col("d") * account, F.col("adv")) + F.when(F.col("d") < 0, sales_tax(F.col("month"))).otherwise(0.0)
+    return net.groupBy(*keys, "month").agg(F.sum(F.abs("d")).alias("turnover"), F.sum(F.abs("d") * rate).alias("cost"))
+
+
+def against_benchmark(returns: DataFrame, index: DataFrame, arm: str = "arm", r: str = "ret") -> DataFrame:
+    """(arm, months, total, index_total, excess_mean, t): over the months that both have. index: month, ret."""
+    both = returns.select(arm, "month", F.col(r).alias("__r")).join(F.broadcast(index.select("month", F.col("ret").alias("__i"))), "month").where("__r is not null and __i is not null").withColumn("__x", F.col("__r") - F.col("__i"))
+    total = lambda c: F.exp(F.sum(F.log(1 + F.col(c)))) - 1
+    s = both.groupBy(arm).agg(F.count("*").alias("months"), total("__r").alias("total"), total("__i").alias("index_total"), F.avg("__x").alias("excess_mean"))
+    return s.join(tswin.hac_t(both, "__x", [arm], "month").select(arm, "t"), arm)
 
 
 def placebo(panel: DataFrame, draws: int, k: int, seed: str = "s") -> DataFrame:
@@ -136,11 +204,11 @@ def placebo(panel: DataFrame, draws: int, k: int, seed: str = "s") -> DataFrame:
 
 
 def bh_fdr(df: DataFrame, p: str, q: float = 0.05) -> DataFrame:
-    """df with passed: Benjamini-Hochberg. For the few rows of a test table."""
-    w = Window.orderBy(p)
-    a = df.withColumn("__k", F.row_number().over(w)).withColumn("__m", F.count("*").over(Window.partitionBy()))
-    top = F.max(F.when(F.col(p) <= q * F.col("__k") / F.col("__m"), F.col("__k"))).over(Window.partitionBy())
-    return a.withColumn("passed", F.coalesce(F.col("__k") <= top, F.lit(False))).drop("__k", "__m")
+    """df with passed: Benjamini-Hochberg, over any number of tests: ranks by ranges, and one row with the last that passes."""
+    a = ranks.global_rank(df, p, "__k")
+    m = df.where(F.col(p).isNotNull()).count()
+    top = a.agg(F.max(F.when(F.col(p) <= q * F.col("__k") / F.lit(max(1, m)), F.col(p))).alias("__top"))
+    return a.crossJoin(F.broadcast(top)).withColumn("passed", F.coalesce(F.col(p) <= F.col("__top"), F.lit(False))).drop("__k", "__top")
 
 
 def with_pack(panel: DataFrame, packs: Iterator) -> DataFrame:

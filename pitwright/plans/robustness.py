@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitwright.operators import xsec
-from pitwright.operators.tswin import along
+from pitwright.operators.tswin import along, hac_t
 from pitwright.plans import axes as A
 from pitwright.plans import portfolio
 
@@ -34,15 +34,29 @@ def ablation_arms(panel: DataFrame, axes: list[str], least: int = 2) -> DataFram
     return arms_of(A.scores(panel, sets, least), {k: F.col(f"Signal_rank_{k}") for k in sets})
 
 
-def noise_arms(panel: DataFrame, seeds: list[int]) -> DataFrame:
-    """R2: the plan against arms whose signal is a keyed hash of the row, in (0, 1): the same whatever the partitions."""
-    bits = lambda s: (F.pmod(F.xxhash64(F.lit(s), "code", "month"), F.lit(1 << 20)) + 0.5) / (1 << 20)
-    return arms_of(panel, {"base": F.col("signal")} | {f"noise_{s}": F.when(F.col("signal").isNotNull(), bits(s)) for s in seeds})
+def keyed_noise(seed: int) -> Column:
+    """A number in (0, 1) from the row's code and month: the same in any engine and whatever the partitions."""
+    text = F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("code"), F.col("month"))), 1, 5)
+    return (F.conv(text, 16, 10).cast("double") + 0.5) / (1 << 20)
 
 
-def product_arms(panel: DataFrame, a: str, b: str) -> DataFrame:
-    """R2: the product of two standardised features against their plain sum."""
-    return arms_of(panel, {"product": F.col(a) * F.col(b), "sum": F.col(a) + F.col(b)})
+def noise_arms(panel: DataFrame, seeds: list[int], axes: list[str], least: int = 2) -> DataFrame:
+    """The plan against arms whose E is the rank of noise, with the plan's own FLOOR, U and VETO, so that all arms choose from equally
+    many rows."""
+    a = A.scores(panel, {"base": axes}, least).withColumns({f"__n{s}": keyed_noise(s) for s in seeds})
+    a = A.standardised(a, {f"__e{s}": f"__n{s}" for s in seeds}, xsec.rank_pct)
+    rest = F.coalesce("U", F.lit(0.0)) * F.coalesce("VETO", F.lit(0)) * F.col("FLOOR_base")
+    a = a.withColumns({f"__s{s}": F.coalesce(f"__e{s}", F.lit(0.0)) * rest for s in seeds})
+    a = A.standardised(a, {f"__r{s}": f"__s{s}" for s in seeds}, xsec.rank_pct, ("month",), min_n=1)
+    shown = lambda signal, rank: F.when(F.col(signal) > 0, F.col(rank))
+    made = arms_of(a, {"base": shown("Signal_base", "Signal_rank_base")} | {f"noise_{s}": shown(f"__s{s}", f"__r{s}") for s in seeds})
+    return made.drop(*(f"__{k}{s}" for k in "nesr" for s in seeds))
+
+
+def product_arms(panel: DataFrame, products: list[str], plain: list[str], least: int = 2) -> DataFrame:
+    """R2: the plan from products of pairs against one from their first members alone; each arm makes its E and FLOOR from its own."""
+    a = A.scores(panel, {"product": products, "plain": plain}, least)
+    return arms_of(a, {k: F.when(F.col(f"Signal_{k}") > 0, F.col(f"Signal_rank_{k}")) for k in ("product", "plain")})
 
 
 def clean_month_arms(panel: DataFrame, masked: DataFrame) -> DataFrame:
@@ -73,6 +87,44 @@ def compared(returns: DataFrame, base: str, r: str = "ret", per_year: int = 12)
     return s.withColumn("delta", F.col("sharpe") - at)
 
 
+def _one_row(tests: DataFrame, name: str, passed: Column, kill: bool, metrics: list[str]) -> DataFrame:
+    pairs = F.map_from_arrays(F.array(*map(F.lit, metrics)), F.array(*(F.col(c).cast("double") for c in metrics)))
+    return tests.select(F.lit(name).alias("test"), passed.alias("passed"), F.lit(kill).alias("kill"), pairs.alias("metrics"))
+
+
+def _by_arm(table: DataFrame, arms: list[str], columns: list[str]) -> DataFrame:
+    """One row with <column>_<arm>."""
+    return table.agg(*(F.max(F.when(F.col("arm") == a, F.col(c))).alias(f"{c}_{a}") for a in arms for c in columns))
+
+
+def leak_verdict(table: DataFrame, at: float = 0.5, least_names: float = 0.5) -> DataFrame:
+    """Knowing the future must add over `at` to the Sharpe ratio; undecided if that arm holds hardly any names. table: compared()."""
+    t = _by_arm(table, ["base", "oracle", "early"], ["sharpe", "names"])
+    added = F.coalesce(F.col("sharpe_oracle") - F.col("sharpe_base") > at, F.lit(False))
+    return _one_row(t, "R1", F.when(F.col("names_oracle") >= least_names, added), False, ["sharpe_base", "sharpe_oracle", "sharpe_early"])
+
+
+def paired_verdict(returns: DataFrame, table: DataFrame, better: str, worse: str, name: str = "R2", least_t: float = 1.0, kill: bool = True, r: str = "ret") -> DataFrame:
+    """R2: an arm beats another one if the Newey-West t of the monthly differences is over least_t and its Sharpe ratio is higher."""
+    pair = returns.groupBy("month").agg(*(F.max(F.when(F.col("arm") == a, F.coalesce(r, F.lit(0.0)))).alias(k) for a, k in ((better, "a"), (worse, "b")))).where("a is not null and b is not null")
+    t = hac_t(pair.select(F.lit(1).alias("__one"), "month", (F.col("a") - F.col("b")).alias("d")), "d", ["__one"], "month").select("t")
+    both = _by_arm(table, [better, worse], ["sharpe"]).crossJoin(F.broadcast(t.agg(F.max("t").alias("t"))))
+    won = F.coalesce((F.col("t") > least_t) & (F.col(f"sharpe_{better}") > F.col(f"sharpe_{worse}")), F.lit(False))
+    return _one_row(both, name, won, kill, [f"sharpe_{better}", f"sharpe_{worse}", "t"])
+
+
+def policy_verdict(table: DataFrame, least_months: int = 24) -> DataFrame:
+    """Kept if the clean months earn, with at least half of the Sharpe ratio of all; undecided below least_months clean ones."""
+    t = _by_arm(table, ["full", "clean"], ["sharpe", "mean_ret", "n"])
+    kept = (F.col("sharpe_clean") > 0) & (F.col("mean_ret_clean") > 0) & (F.col("sharpe_full").isNull() | (F.col("sharpe_clean") >= 0.5 * F.col("sharpe_full")))
+    return _one_row(t, "R10", F.when(F.col("n_clean") >= least_months, F.coalesce(kept, F.lit(False))), False, ["sharpe_full", "sharpe_clean", "n_clean"])
+
+
+def placebo_p(draws: DataFrame, real: float, r: str = "mean_ret") -> DataFrame:
+    """(n, p): the share of random selections that earn at least as much as the plan."""
+    return draws.agg(F.count("*").alias("n"), F.avg((F.col(r) >= real).cast("double")).alias("p"))
+
+
 def cost_survival(returns: DataFrame) -> DataFrame:
     """Each arm before and after costs, from the one fold, which keeps both."""
     both = F.explode(F.array(*(F.struct(F.lit(k).alias("basis"), F.col(c).alias("r")) for k, c in (("gross", "ret_gross"), ("net", "ret"))))).alias("x")
@@ -93,15 +145,20 @@ def factor_returns(panel: DataFrame, factors: list[str], least_rows: int = 30, l
 
 
 def alpha(returns: DataFrame, factor_table: DataFrame, factors: list[str], least: int = 24) -> DataFrame:
-    """(arm, n, alpha): the intercept of an arm's returns on those of the factors, by least squares over a row for each month."""
+    """(arm, n, alpha, t): the intercept of an arm's returns on those of the factors, by least squares over a row for each month, and
+    the Newey-West t of what the factors leave (intercept and residual)."""
     wide = factor_table.groupBy("month").pivot("factor", factors).agg(F.first("ret")).dropna()
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.column_stack([np.ones(len(pdf)), pdf[factors].to_numpy(float)])
-        b = np.linalg.lstsq(x, pdf["ret"].to_numpy(float), rcond=None)[0] if len(pdf) >= least else [np.nan]
-        return pd.DataFrame([(pdf["arm"].iloc[0], len(pdf), float(b[0]))], columns=["arm", "n", "alpha"])
+        y = pdf["ret"].to_numpy(float)
+        left = y - x[:, 1:] @ np.linalg.lstsq(x, y, rcond=None)[0][1:] if len(pdf) >= least else np.full(len(pdf), np.nan)
+        return pdf[["arm", "month"]].assign(left=left)
 
-    return returns.join(wide, "month").select("arm", "ret", *factors).groupBy("arm").applyInPandas(fit, "arm string, n long, alpha double")
+    rest = returns.join(wide, "month").select("arm", "month", "ret", *factors).groupBy("arm").applyInPandas(fit, "arm string, month date, left double")
+    rest = rest.withColumn("left", F.nanvl("left", F.lit(None).cast("double")))
+    t = hac_t(rest, "left", ["arm"], "month").select("arm", "t")
+    return rest.groupBy("arm").agg(F.count("*").alias("n"), F.avg("left").alias("alpha")).join(t, "arm", "left")
 
 
 def block_pbo(returns: DataFrame, r: str = "ret", blocks: int = 8) -> DataFrame:
@@ -136,15 +193,16 @@ def deflated_sharpe(returns: DataFrame, r: str = "ret", trials: int = 12) -> Dat
     return s.select("arm", "n", "sharpe", normal(x).alias("dsr"))
 
 
-def regimes(returns: DataFrame, market: DataFrame, r: str = "ret", least: int = 6) -> DataFrame:
-    """(arm, regime, n, mean_ret, hit_rate) of months when the market rose or fell, and of the first and second half.
+def regimes(returns: DataFrame, market: DataFrame, r: str = "ret", least: int = 6, split: str = "2024-01-01") -> DataFrame:
+    """(arm, regime, n, mean_ret, hit_rate) of months when the market rose or fell, of the first and second half, and before and from
+    a day.
 
     market: month and up (boolean), a short list.
     """
     w = Window.partitionBy("arm")
     i, n = F.row_number().over(w.orderBy("month")) - 1, F.count("*").over(w)
     a = returns.withColumn("half", F.when(i < F.floor(n / 2), "first_half").otherwise("second_half")).join(F.broadcast(market), "month", "left")
-    a = a.select("arm", F.col(r).alias("r"), F.explode(F.array("half", F.when(F.col("up"), "market_up").when(~F.col("up"), "market_down"))).alias("regime")).where("regime is not null")
+    a = a.select("arm", F.col(r).alias("r"), F.explode(F.array("half", F.when(F.col("up"), "market_up").when(~F.col("up"), "market_down"), F.when(F.col("month") < F.lit(split).cast("date"), "before").otherwise("from"))).alias("regime")).where("regime is not null")
     return a.groupBy("arm", "regime").agg(F.count("*").alias("n"), F.avg("r").alias("mean_ret"), F.avg((F.col("r") > 0).cast("double")).alias("hit_rate")).where(F.col("n") >= least)
 
 
