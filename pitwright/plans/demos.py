@@ -516,11 +516,12 @@ def tail_contrib(spark, sf):
 # ---- the flagship: point-in-time join, cell score, product, picks of the month
 
 
-def flagship(spark: SparkSession, sf: str) -> DataFrame:
+def flagship(spark: SparkSession, sf: str, statements: DataFrame | None = None) -> DataFrame:
+    """Picks of each month by the product of two scores, of which one is of the newest statements that were known."""
     from pitwright.plans.axes import standardised
 
     p = zpanel(spark, sf)
-    s = role(spark, sf, "statements")
+    s = role(spark, sf, "statements") if statements is None else statements
     a = pit.asof_join(p, s, "code", "month", "knowledge_date", ["ytd_revenue", "qty"], ["period_end"])
     c = xsec.cells(a.withColumn("lr", F.log("ytd_revenue")), "month", "industry", "bucket")
     c = standardised(c, {"z1": "x", "z2": "lr"})

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pitwright.functions import exprs as X
 from pitwright.operators import tswin, universe, vetoes
-from pitwright.plans import axis_demos, demos, portfolio, robustness
+from pitwright.plans import axis_demos, plan_demos, demos, portfolio, robustness
 from tests.test_panel import DATA, _plain, duck  # noqa: F401
 
 D = dt.date

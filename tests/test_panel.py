@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pitwright.functions import exprs as X
 from pitwright.operators import ledger, pit, tswin, xsec
 from pitwright.plans import demos, portfolio
+from pitwright.sources.roles import role
 
 DATA = "/root/testdata/sf0.001"
 D = dt.date
@@ -123,4 +124,10 @@ def test_demo_equals_sql(spark, duck, name):
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="tables are absent")
 def test_flagship_uses_nothing_before_it_is_known(spark):
-    assert demos.flagship(spark, DATA).count() > 0
+    """Statements that become known after a day, changed beyond recognition, change nothing up to that day, and something after it."""
+    day = D(1997, 6, 30)
+    s = role(spark, DATA, "statements")
+    changed = s.withColumn("ytd_revenue", F.when(F.col("knowledge_date") > F.lit(day), F.col("ytd_revenue") * (1 + F.col("code") % 5 * 7)).otherwise(F.col("ytd_revenue")))
+    a, b = ([tuple(r) for r in demos.flagship(spark, DATA, x).orderBy("month", "code").collect()] for x in (s, changed))
+    assert [r for r in a if r[0] <= day] == [r for r in b if r[0] <= day]
+    assert [r for r in a if r[0] > day] != [r for r in b if r[0] > day]
