@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pitwright.functions import exprs as X
 from pitwright.operators import entity, ledger, pit, ranks, xsec
 from pitwright.plans import axes, packs, portfolio
-from pitwright.plans.axis_demos import _FP, _dlog, _div, _labelled, _r, _sql_z, _W, fpanel, rounded
+from pitwright.plans.axis_demos import _FP, _chain, _div, _dlog, _labelled, _mean, _r, _W, fpanel, rounded
 from pitwright.plans.demos import PRIORITIES, demo, r, table
 from pitwright.sources.roles import role
 
@@ -56,11 +56,29 @@ def capital_panel(spark, sf):
     return packs.capital_features(f, e)
 
 
-@demo(f"select code, month, {_r('p1', 'p2', 'p3')}, round(acq_size, 6) as acq_size, round(z1 * z2, 4) as tp_p1 from {_sql_z(_sql_z(_labelled(_CAP), 'p1', 'z1'), 'p2', 'z2')} t")
+_CAPS = f"""(select *, debt - lag(debt, 12) over w as p4 from (select *, {_div("liabilities", "equity")} as debt from {_CAP} c0) c1 {_W})"""
+_CAPZ = f"(select *, z_p1 * z_p2 as tp1, case when z_acq_size > 0 then z_acq_size end * z_p3 as tp2, z_p1 * -z_p4 as tp3 from {_chain(_labelled(_CAPS), 'p1', 'p2', 'p3', 'acq_size', 'p4')} c2)"
+
+
+@demo(f"select code, month, {_r('p1', 'p2', 'p3', 'p4')}, round(acq_size, 6) as acq_size, round(tp1, 4) as tp_p1, round(tp2, 4) as tp_p2, round(tp3, 4) as tp_p3, round({_mean('tp1', 'tp2', 'tp3')}, 4) as e_c from {_CAPZ} t")
 def pack_capital(spark, sf):
-    f = xsec.cells(capital_panel(spark, sf), "month", "industry", "bucket").withColumns({f"{c}_": F.col(c) for c in ("p1", "p2", "p3", "acq_size")})
+    columns = ("p1", "p2", "p3", "p4", "acq_size")
+    f = xsec.cells(capital_panel(spark, sf), "month", "industry", "bucket").withColumns({f"{c}_": F.col(c) for c in columns})
     a = packs.capital_axis(f)
-    return a.select("code", "month", *(r(f"{c}_").alias(c) for c in ("p1", "p2", "p3")), r("acq_size_", 6).alias("acq_size"), r("TP_P1").alias("tp_p1"))
+    return a.select("code", "month", *(r(f"{c}_").alias(c) for c in columns[:4]), r("acq_size_", 6).alias("acq_size"), *(r(c).alias(c.lower()) for c in ("TP_P1", "TP_P2", "TP_P3", "E_C")))
+
+
+_NE = f"""(select n.*, s.industry, case when s.employees >= 500 then 'big' else 'small' end as bucket, case when mw / ib > 0.1 and mw / ib < 10 then mw / ib end as n2, -loss_up as n3, coalesce(n_places - lag(n_places, 12) over v > 0 and n1 > 0, false)::int as n4, round((n.code % 7 - 3) * month(n.month) / 10, 6) as d_va, least(2, members / 400) as theta_n
+ from {_N} n join ({{security}}) s on s.code = n.code window v as (partition by n.code order by n.month))"""
+_NZ = f"(select *, z_n1 * z_n2 as tp1, z_n1 * z_n3 as tp2, z_n4 * z_n1 as tp3, z_n1 * z_d_va as tp4 from {_chain(_labelled(_NE), 'n1', 'n2', 'n3', 'n4', 'd_va')} n2)"
+
+
+@demo(f"select code, month, {', '.join(f'round(tp{k}, 4) as tp_n{k}' for k in (1, 2, 3, 4))}, round({_mean('tp1', 'tp2', 'tp3', 'tp4')} * coalesce(least(1, case when theta_n > 0 then theta_n end), 0), 4) as e_n from {_NZ} t")
+def pack_employment(spark, sf):
+    s = role(spark, sf, "security").select("code", "industry", F.when(F.col("employees") >= 500, "big").otherwise("small").alias("bucket"))
+    f = packs.employment_features(work_panel(spark, sf)).join(s, "code").withColumn("d_va_per_emp", r((F.col("code") % 7 - 3) * F.month("month") / 10, 6))
+    a = packs.employment_axis(xsec.cells(f, "month", "industry", "bucket"))
+    return a.select("code", "month", *(r(f"TP_N{k}").alias(f"tp_n{k}") for k in (1, 2, 3, 4)), r("E_N").alias("e_n"))
 
 
 _MAP = "(select distinct p_type as hs, p_partkey % 20 + 1 as code, 0.4 as weight from part)"
@@ -88,13 +106,13 @@ def pack_trade(spark, sf):
     return rounded(f.withColumn("theta", F.col("theta_X")), ["code", "month"], ["x1", "x3_1", "x3_2", "theta"], 6)
 
 
-@demo()
+@demo(f"select code, month, round({_mean('tp1', 'tp2', 'tp3')}, 4) as e_c, null::double as e_x from {_CAPZ} t")
 def pack_registry(spark, sf):
     held = packs.Packs()
     held.register("C", lambda p: packs.capital_axis(p), [("2024-02-26", None)])
     held.register("X", packs.customs_features, [("2018-01-01", "2019-12-31")])
     held.disable("X", "no customs table")
-    return held.apply(xsec.cells(capital_panel(spark, sf), "month", "industry", "bucket")).select("code", "month", r("E_C").alias("e_c"), "E_X")
+    return held.apply(xsec.cells(capital_panel(spark, sf), "month", "industry", "bucket")).select("code", "month", r("E_C").alias("e_c"), F.col("E_X").alias("e_x"))
 
 
 # ---- names, authors, codes
