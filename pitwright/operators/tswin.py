@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitwright.functions.exprs import safe_div
+from pitwright.sources.files import scratch
 
 
 def along(code: str = "code", time: str = "month"):
@@ -68,26 +69,74 @@ def ols_residual(df: DataFrame, y: str, q: str, t: str, w, rows: int = 36, ridge
     return a.withColumn("resid", F.when((F.col("__full") == rows) & (F.abs(d) > 0), y_ - fit)).drop("__x", "__ok", "__r", "__full", *(f"__s_{k}" for k in sums))
 
 
-def expanding_median(df: DataFrame, x: str, section: str | None, order: list[str], out: str = "lagged_median", least: int = 30, lagged: bool = True) -> DataFrame:
+def _written(df: DataFrame) -> DataFrame:
+    """df from a table in the shared folder: numbers of partitions in it stay what they are when a task is run again."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _median_history(placed: DataFrame, n: int) -> DataFrame:
+    """(__s, __block, __n, __lo, __x, __k): of the __n numbers in earlier blocks of a section those that can still become a median within the
+    block, as runs of equal numbers; __lo lie before them. placed: __s, __block, __x, in n blocks."""
+    numbers = placed.groupBy("__s", "__block", "__x").agg(F.count("__x").alias("__k"))
+    numbers = _written(numbers.where("__x is not null").repartitionByRange(n, "__s", "__x").withColumn("__bucket", F.spark_partition_id()))
+    in_order = Window.partitionBy("__s").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    asking = placed.groupBy("__s", "__block").agg(F.count("__x").alias("__m")).withColumn("__n", F.sum("__m").over(in_order)).where("__n > 0")
+    # each number of the block moves the middle by half a place at most
+    asking = asking.select("__s", "__block", "__n", F.greatest(F.lit(0), F.floor((F.col("__n") - F.col("__m") - 1) / 2)).alias("__lo"), F.least(F.col("__n") - 1, F.floor((F.col("__n") + F.col("__m")) / 2)).alias("__hi"))
+    sums = numbers.groupBy("__s", "__bucket", "__block").agg(F.sum("__k").alias("__k"))
+    grid = asking.join(sums.select("__s", "__bucket").distinct(), "__s").select("__s", "__block", "__bucket", "__n", "__lo", "__hi", F.lit(0).cast("long").alias("__k"))
+    both = grid.unionByName(sums, allowMissingColumns=True).groupBy("__s", "__block", "__bucket").agg(F.max("__n").alias("__n"), F.max("__lo").alias("__lo"), F.max("__hi").alias("__hi"), F.sum("__k").alias("__k"))
+    earlier = Window.partitionBy("__s", "__bucket").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    held = both.withColumn("__held", F.sum("__k").over(earlier)).where("__n is not null and __held > 0")
+    below = Window.partitionBy("__s", "__block").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = held.withColumn("__below", F.sum("__held").over(below) - F.col("__held")).where("__below <= __hi and __below + __held > __lo")
+    wanted = held.select("__s", "__bucket", F.col("__block").alias("__of"), "__n", "__lo", "__hi", "__below")
+    found = numbers.join(wanted, ["__s", "__bucket"]).where("__block < __of").groupBy("__s", "__of", "__bucket", "__n", "__lo", "__hi", "__below", "__x").agg(F.sum("__k").alias("__k"))
+    upto = Window.partitionBy("__s", "__of", "__bucket").orderBy("__x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.col("__below") + F.sum("__k").over(upto)
+    taken = F.least(end, F.col("__hi") + 1) - F.greatest(end - F.col("__k"), F.col("__lo"))
+    return found.select("__s", F.col("__of").alias("__block"), "__n", "__lo", "__x", taken.alias("__k")).where("__k > 0")
+
+
+def expanding_median(df: DataFrame, x: str, section: str | None, order: list[str], out: str = "lagged_median", least: int = 30, lagged: bool = True, rows: int = 50_000) -> DataFrame:
     """df with the median of all earlier rows of the section (None: of all rows), if there are enough; lagged=False: up to and with the
-    row itself. Each row's order among all before it decides, so a section is one task: a sorted list of its numbers, to which
-    each row adds one. order must tell rows apart."""
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
+    row itself. order must tell rows apart.
 
-    def medians(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([(c, "ascending") for c in order])
+    The rows lie in the order of section and time in blocks of about `rows`, which divide long sections. What came before a block
+    can give it only numbers near its middle, about as many as the block has rows; they are found by counts of blocks and ranges
+    of numbers, so no task holds a section. The counts are as many as the square of a section's blocks.
+    """
+    names, schema = df.columns, T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
+    n = max(1, -(-df.count() // rows))
+    s = F.to_json(F.struct(section)) if section else F.lit("")
+    placed = df.withColumns({"__s": s, "__x": F.col(x).cast("double")}).repartitionByRange(n, "__s", *order).withColumn("__block", F.spark_partition_id())
+
+    def medians(block: pa.Table, history: pa.Table | None = None) -> pa.Table:
+        block = block.sort_by([(c, "ascending") for c in order])
         seen: list[float] = []
+        before = hidden = 0
+        if history is not None and len(history):
+            history = history.sort_by("__x")
+            before, hidden = history["__n"][0].as_py(), history["__lo"][0].as_py()
+            seen = [v for v, k in zip(history["__x"].to_pylist(), history["__k"].to_pylist(), strict=True) for _ in range(k)]
         found: list[float | None] = []
-        for v in rows.column(x).to_pylist():
+        for v in block["__x"].to_pylist():
             if not lagged and v is not None:
-                insort(seen, float(v))
-            n = len(seen)
-            found.append((seen[(n - 1) // 2] + seen[n // 2]) / 2 if n >= max(1, least) else None)
+                insort(seen, v)
+                before += 1
+            found.append((seen[(before - 1) // 2 - hidden] + seen[before // 2 - hidden]) / 2 if before >= max(1, least) else None)
             if lagged and v is not None:
-                insort(seen, float(v))
-        return rows.append_column(out, pa.array(found, pa.float64()))
-
-    return df.groupBy(F.col(section) if section else F.lit(1).alias("__all")).applyInArrow(medians, schema)
+                insort(seen, v)
+                before += 1
+        return block.select(names).append_column(out, pa.array(found, pa.float64()))
+
+    if n == 1:  # nothing lies before the only block
+        return placed.groupBy("__s", "__block").applyInArrow(lambda block: medians(block), schema)
+    placed = _written(placed)
+    history = _median_history(placed.select("__s", "__block", "__x"), n)
+    return placed.groupBy("__s", "__block").cogroup(history.groupBy("__s", "__block")).applyInArrow(medians, schema)
 
 
 def momentum(c: str, w, rows: int = 12) -> Column:

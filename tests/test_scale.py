@@ -35,16 +35,25 @@ def test_asof_join_with_a_hot_key_ties_and_nulls(spark, spread):
         assert got[i] == ((best[2], best[3]) if best else (None, None))
 
 
-def test_expanding_medians(spark):
+@pytest.mark.parametrize("rows", [50_000, 40, 7, 1])
+def test_expanding_medians(spark, rows):
+    """Sections of one block and of many, one without a name, a number that a third of all rows have, in and out of order."""
     rnd = random.Random(4)
-    rows = [(f"s{k % 2}", k, None if k % 9 == 0 else rnd.choice([1.5, 2.0, 7.25, rnd.random()])) for k in range(120)]
-    df = spark.createDataFrame(rows, "section string, t int, x double")
-    got = {r["t"]: r for r in tswin.expanding_median(tswin.expanding_median(df, "x", "section", ["t"], "a", 5), "x", None, ["t"], "b", 1, lagged=False).collect()}
-    for s, t, _ in rows:
-        before = [x for r, k, x in rows if r == s and k < t and x is not None]
-        upto = [x for _, k, x in rows if k <= t and x is not None]
+    spread = [1.5, 2.0, 7.25, rnd.random, lambda: -rnd.random() * 9, lambda: float(len(data))]
+    data = []
+    for k in range(150):
+        v = rnd.choice(spread)
+        data.append((None if k % 31 == 0 else "hot" if k % 3 else f"s{k % 4}", k, None if k % 9 == 0 or 60 < k < 70 else v() if callable(v) else v))
+    df = spark.createDataFrame(rnd.sample(data, len(data)), "section string, t int, x double")
+    own = tswin.expanding_median(df, "x", "section", ["t"], "a", 5, rows=rows)
+    got = {r["t"]: r for r in tswin.expanding_median(own, "x", None, ["t"], "b", 1, lagged=False, rows=rows).collect()}
+    assert len(got) == len(data)
+    for s, t, _ in data:
+        before = [x for r, k, x in data if r == s and k < t and x is not None]
+        upto = [x for _, k, x in data if k <= t and x is not None]
         assert got[t]["a"] == (statistics.median(before) if len(before) >= 5 else None)
         assert got[t]["b"] == (statistics.median(upto) if upto else None)
+    assert tswin.expanding_median(df.limit(0), "x", None, ["t"]).collect() == []
 
 
 def test_hac_t_of_long_series(spark):
