@@ -5,25 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
+from pitwright.sources.files import written
 
 
-def global_rank(df: DataFrame, value: str, out: str, *tie: Column, descending: bool = False, ranges: int = RANGES) -> DataFrame:
+def global_rank(df: DataFrame, value: str, out: str, *tie: Column, descending: bool = False, rows: int = 1_000_000) -> DataFrame:
     """df with out: 1, 2, ... in order of value (NULL last), then tie.
 
-    Values are cut into ranges at their quantiles; ranks within a range start where the ranges before it end, which takes a
-    row for each range on the driver. Of ties without a tie breaker the order is arbitrary.
+    The rows lie in ranges of about `rows` in that order, which divide equal values too if tie tells them apart; ranks within a range start
+    where the ranges before it end, which takes a row for each range on the driver. Of ties without a tie breaker the order is arbitrary.
     """
     x = F.col(value).cast("double")
-    x = -x if descending else x
-    cuts = sorted(set(df.select(x.alias("x")).where("x is not null").approxQuantile("x", [k / ranges for k in range(1, ranges)], 0.002)))
-    bucket = F.when(x.isNull(), len(cuts) + 1).otherwise(sum((F.when(x > c, 1).otherwise(0) for c in cuts), F.lit(0)))
-    placed = df.withColumn("__bucket", bucket)
-    counts = {r[0]: r[1] for r in placed.groupBy("__bucket").count().collect()}
+    order = [F.col("__x").asc_nulls_last(), *tie]
+    n = max(1, -(-df.count() // rows))
+    placed = written(df.withColumn("__x", -x if descending else x).repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()))
+    counts = {r[0]: r[1] for r in placed.groupBy("__range").count().collect()}
     before, start = [], 0
-    for b in sorted(counts):
-        before.append((b, start))
-        start += counts[b]
-    offsets = df.sparkSession.createDataFrame(before, "__bucket int, __before long")
-    w = Window.partitionBy("__bucket").orderBy(x.asc_nulls_last(), *tie)
-    return placed.join(F.broadcast(offsets), "__bucket").withColumn(out, F.row_number().over(w) + F.col("__before")).drop("__bucket", "__before")
+    for k in sorted(counts):
+        before.append((k, start))
+        start += counts[k]
+    offsets = df.sparkSession.createDataFrame(before, "__range int, __before long")
+    w = Window.partitionBy("__range").orderBy(*order)
+    return placed.join(F.broadcast(offsets), "__range").withColumn(out, F.row_number().over(w) + F.col("__before")).drop("__x", "__range", "__before")

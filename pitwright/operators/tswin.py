@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitwright.functions.exprs import safe_div
-from pitwright.sources.files import scratch
+from pitwright.sources.files import written
 
 
 def along(code: str = "code", time: str = "month"):
@@ -69,18 +69,11 @@ def ols_residual(df: DataFrame, y: str, q: str, t: str, w, rows: int = 36, ridge
     return a.withColumn("resid", F.when((F.col("__full") == rows) & (F.abs(d) > 0), y_ - fit)).drop("__x", "__ok", "__r", "__full", *(f"__s_{k}" for k in sums))
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """df from a table in the shared folder: numbers of partitions in it stay what they are when a task is run again."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _median_history(placed: DataFrame, n: int) -> DataFrame:
     """(__s, __block, __n, __lo, __x, __k): of the __n numbers in earlier blocks of a section those that can still become a median within the
     block, as runs of equal numbers; __lo lie before them. placed: __s, __block, __x, in n blocks."""
     numbers = placed.groupBy("__s", "__block", "__x").agg(F.count("__x").alias("__k"))
-    numbers = _written(numbers.where("__x is not null").repartitionByRange(n, "__s", "__x").withColumn("__bucket", F.spark_partition_id()))
+    numbers = written(numbers.where("__x is not null").repartitionByRange(n, "__s", "__x").withColumn("__bucket", F.spark_partition_id()))
     in_order = Window.partitionBy("__s").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     asking = placed.groupBy("__s", "__block").agg(F.count("__x").alias("__m")).withColumn("__n", F.sum("__m").over(in_order)).where("__n > 0")
     # each number of the block moves the middle by half a place at most
@@ -134,7 +127,7 @@ def expanding_median(df: DataFrame, x: str, section: str | None, order: list[str
 
     if n == 1:  # nothing lies before the only block
         return placed.groupBy("__s", "__block").applyInArrow(lambda block: medians(block), schema)
-    placed = _written(placed)
+    placed = written(placed)
     history = _median_history(placed.select("__s", "__block", "__x"), n)
     return placed.groupBy("__s", "__block").cogroup(history.groupBy("__s", "__block")).applyInArrow(medians, schema)
 

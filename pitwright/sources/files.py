@@ -21,6 +21,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df from a table in the shared folder: numbers of partitions in it stay what they are when a task is run again."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def put_version(df: DataFrame, path: str, version: int) -> None:
     """Write a version of a table beside those before it; what is there is never overwritten."""
     df.write.mode("error").parquet(f"{path}/version={version}")

@@ -90,12 +90,13 @@ def test_fuzzy_matches_of_names_with_one_beginning(spark):
         assert got.get(w) == ((best[1], round(-best[0], 6)) if -best[0] >= 92 else None), w
 
 
-def test_global_ranks(spark):
+@pytest.mark.parametrize("rows", [1_000_000, 90, 7])
+def test_global_ranks(spark, rows):
     rnd = random.Random(5)
-    rows = [(k, None if k % 50 == 0 else float(rnd.choice([1, 1, 1, rnd.random()]))) for k in range(700)]
-    df = spark.createDataFrame(rows, "code int, x double")
-    got = {r["code"]: r["n"] for r in ranks.global_rank(df, "x", "n", F.col("code"), descending=True, ranges=8).collect()}
-    order = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    data = [(k, None if k % 50 == 0 else float(rnd.choice([1, 1, 1, rnd.random()]))) for k in range(700)]
+    df = spark.createDataFrame(data, "code int, x double")
+    got = {r["code"]: r["n"] for r in ranks.global_rank(df, "x", "n", F.col("code"), descending=True, rows=rows).collect()}
+    order = sorted(data, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
     assert got == {c: k + 1 for k, (c, _) in enumerate(order)}
 
 
