@@ -9,7 +9,7 @@ from pitwright.functions import exprs as X
 from pitwright.operators import entity, ledger, pit, ranks, xsec
 from pitwright.plans import axes, packs, portfolio
 from pitwright.plans.axis_demos import _FP, _chain, _div, _dlog, _labelled, _mean, _r, _W, fpanel, rounded
-from pitwright.plans.demos import PRIORITIES, demo, r, table
+from pitwright.plans.demos import PRIORITIES, _det, demo, r, table
 from pitwright.sources.roles import role
 
 # ---- packs
@@ -81,13 +81,14 @@ def pack_employment(spark, sf):
     return a.select("code", "month", *(r(f"TP_N{k}").alias(f"tp_n{k}") for k in (1, 2, 3, 4)), r("E_N").alias("e_n"))
 
 
-_MAP = "(select distinct p_type as hs, p_partkey % 20 + 1 as code, 0.4 as weight from part)"
-_CUS = f"""(select code, month, sum(u) as exp_usd, sum(wgt * 0.4) as exp_wgt, sum(u * u) / (sum(u) * sum(u)) as hhi_dest, sum(case when grp in ('AMERICA', 'EUROPE') then u end) / sum(u) as adv_share, cast(last_day(cast(month + interval 1 day as date)) + interval 15 day as date) as knowledge_date
- from (select m.code, t.month, grp, wgt, usd * 0.4 as u from ({{trade}}) t join {_MAP} m on m.hs = t.hs) x group by code, month)"""
+_MAP = "(select distinct p_type as hs, p_partkey % 100 + 1 as code, 0.2 + ((length(p_type) * (p_partkey % 100 + 1)) % 97)::double / 190 as weight from part)"
+_CUS = f"""(select code, month, sum(u) as exp_usd, sum(wgt * weight) as exp_wgt, sum(u * u) / (sum(u) * sum(u)) as hhi_dest, sum(case when grp in ('AMERICA', 'EUROPE') then u end) / sum(u) as adv_share, cast(last_day(cast(month + interval 1 day as date)) + interval 15 day as date) as knowledge_date
+ from (select m.code, t.month, grp, wgt, m.weight, usd * m.weight as u from ({{trade}}) t join {_MAP} m on m.hs = t.hs) x group by code, month)"""
 
 
 def customs(spark, sf):
-    m = table(spark, sf, "part").select(F.col("p_type").alias("hs"), (F.col("p_partkey") % 20 + 1).alias("code"), F.lit(0.4).alias("weight")).distinct()
+    m = table(spark, sf, "part").select(F.col("p_type").alias("hs"), (F.col("p_partkey") % 100 + 1).alias("code")).distinct()
+    m = m.withColumn("weight", 0.2 + (F.length("hs") * F.col("code")) % 97 / 190)
     return packs.customs_panel(role(spark, sf, "trade"), m, ["AMERICA", "EUROPE"])
 
 
@@ -96,14 +97,26 @@ def weighted_alloc(spark, sf):
     return customs(spark, sf).select("code", "month", r("exp_usd", 2).alias("exp_usd"), r("exp_wgt", 2).alias("exp_wgt"), r("hhi_dest", 6).alias("hhi_dest"), r("adv_share", 6).alias("adv_share"), "knowledge_date")
 
 
-_X = f"""(select *, {_dlog("exp_wgt", "lag(exp_wgt, 12) over w")} as x1, lag(hhi_dest, 12) over w - hhi_dest as x3_1, adv_share - lag(adv_share, 12) over w as x3_2 from (select f.*, exp_usd, exp_wgt, hhi_dest, adv_share from {_FP} f asof left join {_CUS} k on f.code = k.code and f.month >= k.knowledge_date) a {_W})"""
+_SHIP = f"(select f.*, exp_usd, exp_wgt, hhi_dest, adv_share from {_FP} f asof left join {_CUS} k on f.code = k.code and f.month >= k.knowledge_date)"
+# the price of a unit and the sums of 36 months of it, of the weight and of time, that its trend is fitted by
+_UNIT = f"""(select *, count(y) over v as full_, count(*) over v as n, sum(x) over v as sx, sum(t) over v as st, sum(x * x) over v as sxx, sum(x * t) over v as sxt, sum(t * t) over v as stt, sum(y) over v as sy, sum(x * y) over v as sxy, sum(t * y) over v as sty, t - lag(t, 35) over w as span from
+ (select *, case when exp_usd > 0 and exp_wgt > 0 then ln(exp_usd / exp_wgt) end as y, case when exp_wgt > 0 then ln(exp_wgt) end as x, datediff('month', first_value(month) over w, month)::double as t from {_SHIP} a {_W}) b
+ window w as (partition by code order by month), v as (partition by code order by month rows between 35 preceding and current row))"""
+_REST = f"""(select *, case when full_ = 36 and span = 35 then y - ({_det("sy", "sx", "st", "sxy", "e", "sxt", "sty", "sxt", "i")} + {_det("n1", "sy", "st", "sx", "sxy", "sxt", "st", "sty", "i")} * x + {_det("n1", "sx", "sy", "sx", "e", "sxy", "st", "sxt", "sty")} * t) / {_det("n1", "sx", "st", "sx", "e", "sxt", "st", "sxt", "i")} end as rest
+ from (select *, n + ridge as n1, sxx + ridge as e, stt + ridge as i from (select *, 1e-8 * greatest(1, abs(n + sxx + stt) / 3) as ridge from {_UNIT} c) d) e0)"""
+_X = f"""(select *, case when count(rest) over y6 >= 4 and count(rest) over y36 >= 18 and stddev_samp(rest) over y36 > 1e-12 then round(avg(rest) over y6 / stddev_samp(rest) over y36, 4) end as x2, sgna - lag(sgna, 12) over w as d_sgna,
+ {_dlog("exp_wgt", "lag(exp_wgt, 12) over w")} as x1, lag(hhi_dest, 12) over w - hhi_dest as x3_1, adv_share - lag(adv_share, 12) over w as x3_2, case when abs(revenue_ttm * 5000) > 1e-12 and exp_usd is not null then least(2, greatest(0, exp_usd * 1300 / (revenue_ttm * 5000))) end as theta
+ from (select *, {_div("op_income_ttm", "(revenue_ttm * 5000)")} as sgna from {_REST} f0) g window w as (partition by code order by month), y6 as (partition by code order by month rows between 5 preceding and current row), y36 as (partition by code order by month rows between 35 preceding and current row))"""
+_XZ = f"(select *, z_x1 * z_x2 as tp1, z_x3_1 * z_x2 as tp2, z_x3_2 * -z_d_sgna as tp3 from {_chain(_labelled(_X), 'x1', 'x2', 'x3_1', 'x3_2', 'd_sgna')} h)"
 
 
-@demo(f"select code, month, {_r('x1', 'x3_1', 'x3_2', n=6)}, case when abs(revenue_ttm) > 1e-12 and exp_usd is not null then round(least(2, exp_usd * 1300 / revenue_ttm), 6) end as theta from {_X} b")
+#: The table's revenues are small beside its exports: they are read as 5,000 of a unit, so that shares of both sides of one occur.
+@demo(f"select code, month, {_r('x1', 'x3_1', 'x3_2', 'theta', n=6)}, x2, round(tp1, 4) as tp_x1, round(tp2, 4) as tp_x2, round(tp3, 4) as tp_x3, round({_mean('tp1', 'tp2', 'tp3')} * coalesce(least(1, case when theta > 0 then theta end), 0), 4) as e_x from {_XZ} t")
 def pack_trade(spark, sf):
     p = pit.asof_join(fpanel(spark, sf), customs(spark, sf), "code", "month", "knowledge_date", ["exp_usd", "exp_wgt", "hhi_dest", "adv_share"], ["month"])
-    f = packs.customs_features(p.withColumn("sgna_ttm", F.col("op_income_ttm")))
-    return rounded(f.withColumn("theta", F.col("theta_X")), ["code", "month"], ["x1", "x3_1", "x3_2", "theta"], 6)
+    f = xsec.cells(packs.customs_features(p.withColumns({"sgna_ttm": F.col("op_income_ttm"), "revenue_ttm": F.col("revenue_ttm") * 5000})).withColumn("x2", r("x2")), "month", "industry", "bucket")
+    a = packs.customs_axis(f.withColumns({f"__{c}": F.col(c) for c in ("x1", "x2", "x3_1", "x3_2")}))
+    return a.select("code", "month", *(r(f"__{c}", 6).alias(c) for c in ("x1", "x3_1", "x3_2")), r("theta_X", 6).alias("theta"), F.col("__x2").alias("x2"), *(r(f"TP_X{k}").alias(f"tp_x{k}") for k in (1, 2, 3)), r("E_X").alias("e_x"))
 
 
 @demo(f"select code, month, round({_mean('tp1', 'tp2', 'tp3')}, 4) as e_c, null::double as e_x from {_CAPZ} t")
