@@ -120,16 +120,20 @@ top as (select *, row_number() over (partition by row, item_id order by similari
 select doc_id, item_id, n_matched, round(similarity, 6) as similarity, shift as first_word from top join d on d.row = top.row where n = 1"""
 
 
-def op7(shards: int = 8, tries: int = 64, rounds: int = 4) -> str:
-    """The least capacity among `tries` of them, then between it and the one before, and so on; each is cut by joins to the ends."""
+def crc32(text: str) -> str:
     table = []
     for k in range(256):
         for _ in range(8):
             k = k >> 1 ^ (0xEDB88320 if k & 1 else 0)
         table.append(k)
     digit = lambda n: f"(strpos('0123456789ABCDEF', substr(h, {n}, 1)) - 1)"
-    octets = f"list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: 16 * {digit(1)} + {digit(2)})"
-    crc = f"xor(list_reduce(list_prepend(4294967295::bigint, {octets}), lambda c, b: xor(c >> 8, {table}[(xor(c, b) & 255) + 1])), 4294967295)"
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: 16 * {digit(1)} + {digit(2)})"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {octets}), lambda c, b: xor(c >> 8, {table}[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def op7(shards: int = 8, tries: int = 64, rounds: int = 4) -> str:
+    """The least capacity among `tries` of them, then between it and the one before, and so on; each is cut by joins to the ends."""
+    crc = crc32("coalesce(text, '')")
     steps = lambda p, start: ", ".join([f"{p}0 as ({start})", *(f"{p}{k} as (select s.cap, s.total, greatest(s.reached, coalesce(e.ending, 0)) as reached from {p}{k - 1} s asof left join e on s.reached + s.cap >= e.ending)" for k in range(1, shards + 1))])
     search = [
         steps(f"r{r}s", f"select distinct low + (high - low) * j // {tries - 1} as cap, total, 0::bigint as reached from p{r}, (select unnest(range({tries})) as j) t") + f""",
@@ -143,3 +147,31 @@ p0 as (select greatest(big, (total + {shards - 1}) // {shards}) as low, least(to
 {", ".join(search)}, {steps("f", f"select high as cap, total, 0::bigint as reached from p{rounds}")},
 cuts as ({" union all ".join(f"select reached from f{k}" for k in range(1, shards + 1))}), placed as (select e.key, (select count(*) from cuts where reached < e.ending)::int as shard from e)
 select doc_id, size, text_crc32, 'bytes' as law, shard, (row_number() over (partition by shard order by d.key, doc_id) - 1)::bigint as slot, null::int as grown_shard from d join placed on placed.key = d.key"""
+
+
+def op11(levels: int = 20) -> str:
+    """Windows of 2^k words that stand twice in a text, by the first place of their halves; of a window at least as long as the
+    period of the run that it lies in, the next place is one period on. Such periods are then tried on all words of the text."""
+    named = "n0 as (select row, i, min(i) over (partition by row, word) as name, lead(i) over (partition by row, word order by i) - i as gap, count(*) over (partition by row, word) as n from words)" + "".join(
+        f""",
+n{k + 1} as (select row, i, min(i) over (partition by row, a, b) as name, lead(i) over (partition by row, a, b order by i) - i as gap, count(*) over (partition by row, a, b) as n
+   from (select x.row, x.i, x.name as a, y.name as b from n{k} x join n{k} y on y.row = x.row and y.i = x.i + {1 << k} where x.n > 1 and y.n > 1) a)"""
+        for k in range(levels)
+    )
+    periods = " union ".join(f"select row, gap as q from n{k} where gap > {(1 << k) // 2} and gap <= {1 << k}" for k in range(levels + 1))
+    return f"""
+with s as (select row_number() over () as row, doc_id, list_filter(string_split_regex(coalesce(text, ''), '{_SPACE}+'), lambda x: x <> '') as w, ({crc32("doc_id::varchar")})::bigint as h from documents),
+a as (select *, len(w) as n, len(w) > 0 and h % 10 = 0 as planted, case when len(w) > 0 then (h // 10) % len(w) end as a from s), p as (select *, 1 + (n - a) // (3 + (h // 10) % 8) as p from a),
+d as (select row, doc_id, case when planted then list_transform(range(n), lambda i: w[1 + case when i < a then i else a + (i - a) % p end]) else w end as w from p),
+words as (select row, unnest(w) as word, unnest(range(len(w))) as i from d),
+{named},
+periods as ({periods}), same as (select q.row, q, x.i from periods q join words x on x.row = q.row join words y on y.row = q.row and y.i = x.i + q and y.word = x.word),
+island as (select row, q, i, i - row_number() over (partition by row, q order by i) as g from same),
+r as (select row, start, length, min(q) as period from (select row, q, min(i) as start, count(*) + q as length from island group by row, q, g) b where length >= greatest(6, 4 * q) group by row, start, length),
+gone as (select distinct row, i from (select row, unnest(range(start + period, start + length)) as i from r) b),
+left_over as (select row, string_agg(word, ' ' order by i) as text from words anti join gone using (row, i) where row in (select row from r) group by row),
+best as (select *, row_number() over (partition by row order by length desc, start, period) as k from r),
+every as (select row, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as runs from r group by row)
+select doc_id, coalesce(n_runs, 0)::bigint as n_runs, start::bigint as start, length::bigint as length, period::bigint as period, (1000 * length // period)::bigint as exponent_milli, sha256(coalesce(runs, '')) as runs_sha256,
+   sha256(coalesce(left_over.text, array_to_string(w, ' '))) as collapsed_sha256
+from d left join every using (row) left join best on best.row = d.row and k = 1 left join left_over on left_over.row = d.row"""
