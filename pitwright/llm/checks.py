@@ -175,3 +175,20 @@ every as (select row, count(*) as n_runs, string_agg(start || ',' || length || '
 select doc_id, coalesce(n_runs, 0)::bigint as n_runs, start::bigint as start, length::bigint as length, period::bigint as period, (1000 * length // period)::bigint as exponent_milli, sha256(coalesce(runs, '')) as runs_sha256,
    sha256(coalesce(left_over.text, array_to_string(w, ' '))) as collapsed_sha256
 from d left join every using (row) left join best on best.row = d.row and k = 1 left join left_over on left_over.row = d.row"""
+
+
+def op13() -> str:
+    """Nodes by whole lists of turns; every prefix of a node's list is an ancestor."""
+    return f"""
+with t as (select conv_id as c, row_number() over (partition by conv_id order by turn nulls first) as pos, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+own as (select c, list(md5(role || chr(0) || text) order by pos) as turns, list(octet_length(encode(text)) order by pos) as sizes from t group by c),
+b as (select x.c, ({crc32("x.c::varchar")}) % 9 as h, x.turns, x.sizes, coalesce(y.turns, []) as base, coalesce(y.sizes, []) as base_sizes from own x left join own y on y.c = x.c - x.c % 5),
+r as (select c, list_concat(base[1:h], turns[h + 1:]) as turns, list_concat(base_sizes[1:h], sizes[h + 1:]) as sizes from b),
+m as (select c, d, md5(array_to_string(turns[1:d], ',')) as node, md5(array_to_string(turns[1:d - 1], ',')) as parent, case when d > 0 then sizes[d] else 0 end as bytes, d = len(turns) as ending, turns from (select c, turns, sizes, unnest(range(len(turns) + 1)) as d from r) a),
+n as (select d, node, min(parent) as parent, min(c) as conv_id, count(*) as n_convs, max(bytes) as bytes, min(turns[1:d]) as line, sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (where ending), '')) as ends_sha256 from m group by d, node),
+kids as (select d - 1 as d, parent as node, count(*) as n_children from n where d > 0 group by all),
+v as (select n.*, coalesce(n_children, 0) as n_children from n left join kids using (d, node)),
+up as (select e as d, md5(array_to_string(line[1:e], ',')) as node, n_children = 0 as leaf, (n_convs - 1) * bytes as saved from (select *, unnest(range(d + 1)) as e from v) a),
+s as (select d, node, count(*) filter (where leaf) as n_leaves, sum(saved) as saved_tokens from up group by all)
+select v.conv_id, v.d::bigint as depth, p.conv_id as parent_conv_id, v.n_convs, v.n_children, s.n_leaves, s.saved_tokens::bigint as saved_tokens, v.ends_sha256
+from v join s on s.d = v.d and s.node = v.node left join n p on v.d > 0 and p.d = v.d - 1 and p.node = v.parent"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitwright.llm import checks, decontamination, html_extraction, license_scan, mixing, packing, periodic_runs, quality, sharding, simhash, toxicity, url_filter, warc
+from pitwright.llm import checks, conversation_trie, decontamination, html_extraction, license_scan, mixing, packing, periodic_runs, quality, sharding, simhash, toxicity, url_filter, warc
 
 #: The host and path rules of op3.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -91,11 +91,17 @@ def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations are rebuilt so that some begin alike; see conversation_trie.branched."""
+    turns = conversation_trie.ordered(_table(spark, sf_dir, "conversations"))
+    return conversation_trie.trie(*conversation_trie.branched(turns))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_url_filter, op4_html_extraction, op5_warc, op6_simhash, op7_sharding, op8_packing, op9_quality_rules, op10_license_scan, op11_periodic_runs, op12_mixing)
+    f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_url_filter, op4_html_extraction, op5_warc, op6_simhash, op7_sharding, op8_packing, op9_quality_rules, op10_license_scan, op11_periodic_runs, op12_mixing, op13_conversation_trie)
 }
 #: The others need fitted models, wrappers, tokens or hashes that SQL lacks; tests/llm holds them against plain Python.
 ORACLE: dict[str, str] = {
     "op2_decontamination": checks.op2(), "op3_url_filter": checks.op3(RULES), "op5_warc": checks.OP5, "op7_sharding": checks.op7(), "op9_quality_rules": checks.OP9, "op10_license_scan": checks.op10(),
-    "op11_periodic_runs": checks.op11(),
+    "op11_periodic_runs": checks.op11(), "op13_conversation_trie": checks.op13(),
 }
