@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitwright.functions.exprs import norm_text, similarity
+from pitwright.operators.names import edit_pairs
 from pitwright.operators.pit import latest
 
 
@@ -139,25 +140,27 @@ def _shortened(a: Column) -> Column:
 
 
 def fuzzy_match(left: DataFrame, right: DataFrame, name: str, code: str, block: int = 2, least: float = 92) -> DataFrame:
-    """(name, code, score): the best right name among those with the same first letters, if it is close enough.
+    """(name, code, score): the best right name, if it is close enough, among those with the same first `block` letters (0: all).
 
     Two names that are so close differ by at most as many edits as the longer one allows; within one or two of them they share
     what is left after so many letters are taken out of each. Names meet at such a rest (hashed), so a beginning that all
-    names have makes no pairs; longer names, which allow more edits, meet by their first letters and a length that is near.
+    names have makes no pairs; longer names, which allow more edits, meet at one of their rarest trigrams.
     """
     share = least / 100
+    allowed = lambda x: F.floor((1 - share) * F.floor(F.length(x) / share) + 1e-9).cast("int")
 
     def keyed(df: DataFrame, x: str) -> DataFrame:
-        allowed = F.floor((1 - share) * F.floor(F.length(x) / share) + 1e-9)
         one, two = _shortened(F.array(x)), _shortened(_shortened(F.array(x)))
-        rests = F.when(allowed == 0, F.array(x)).when(allowed == 1, one).when(allowed == 2, two)
-        return df.withColumn("__rests", rests).withColumn("__long", allowed > 1).withColumn("__start", F.substring(x, 1, block))
+        n = allowed(F.col(x))
+        return df.withColumn("__rests", F.when(n == 0, F.array(x)).when(n == 1, one).when(n == 2, two)).withColumn("__long", n > 1)
 
     lhs, rhs = keyed(left.select(name).distinct(), name), keyed(right.select(F.col(name).alias("__r"), code), "__r")
-    hashed = lambda df, x: df.where("__rests is not null").select("__start", *x, F.explode("__rests").alias("__rest")).select(*x, F.xxhash64("__start", "__rest").alias("__h"))
+    hashed = lambda df, x: df.where("__rests is not null").select(*x, F.explode("__rests").alias("__rest")).select(*x, F.xxhash64("__rest").alias("__h"))
     near = hashed(lhs, [name]).join(hashed(rhs, ["__r", code]), "__h").select(name, "__r", code)
     # a name that allows three edits or more may be close to one that allows two
-    wide = lhs.where("__long").join(rhs.where("__long").withColumnRenamed("__rests", "__r_rests").drop("__long"), "__start").where(F.col("__rests").isNull() | F.col("__r_rests").isNull())
-    wide = wide.where(F.least(F.length(name), F.length("__r")) >= share * F.greatest(F.length(name), F.length("__r"))).select(name, "__r", code)
-    pairs = near.unionAll(wide).distinct().where(F.substring(name, 1, block) == F.substring("__r", 1, block)).withColumn("score", similarity(F.col(name), F.col("__r"))).where(F.col("score") >= least)
-    return latest(pairs, [name], F.desc("score"), F.asc(code)).select(name, code, "score")
+    wide = edit_pairs(lhs.where("__long"), rhs.where("__long"), name, "__r", allowed).where(F.least(F.length(name), F.length("__r")) >= share * F.greatest(F.length(name), F.length("__r")))
+    pairs = near.unionAll(wide.join(rhs.select("__r", code), "__r").select(name, "__r", code)).distinct()
+    if block:
+        pairs = pairs.where(F.substring(name, 1, block) == F.substring("__r", 1, block))
+    scored = pairs.withColumn("score", similarity(F.col(name), F.col("__r"))).where(F.col("score") >= least)
+    return latest(scored, [name], F.desc("score"), F.asc(code)).select(name, code, "score")

@@ -403,7 +403,7 @@ def fuzzy_match(spark, sf):
     s = table(spark, sf, "supplier")
     left = s.select(F.replace("s_name", F.lit("#0"), F.lit("#1")).alias("name"))
     right = s.select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("code"))
-    return ledger.fuzzy_match(left, right, "name", "code", block=9).withColumn("score", r("score", 6))
+    return ledger.fuzzy_match(left, right, "name", "code", block=0).withColumn("score", r("score", 6))
 
 
 # ---- aggregations
