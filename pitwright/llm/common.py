@@ -57,11 +57,18 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType) or (isinstance(kind, T.ArrayType) and _has_map(kind.elementType))
+
+
 def row_key(df: DataFrame) -> list[Column]:
-    """Two 64-bit hashes over all columns (maps left out): equal for repeated rows, apart for all others. As the hash passes over
-    nulls, which columns are null is hashed as well."""
-    cols = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
-    nulls = F.concat(F.lit(""), *(c.isNull().cast("string") for c in cols))
+    """Two 64-bit hashes over all columns (those with maps in them as JSON): equal for repeated rows, apart for all others. As the
+    hash passes over nulls, which columns are null is hashed as well."""
+    named = [(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]
+    cols = [F.to_json(F.struct(c.alias("c"))) if _has_map(kind) else c for c, kind in named]
+    nulls = F.concat(F.lit(""), *(c.isNull().cast("string") for c, _ in named))
     return [F.xxhash64(F.lit(1), nulls, *cols).alias("__k1"), F.xxhash64(F.lit(2), nulls, *cols, F.lit(3)).alias("__k2")]
 
 

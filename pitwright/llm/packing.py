@@ -11,13 +11,15 @@ cut into windows whose lengths are powers of two, which need no padding.
 Rows are packed where they lie: tasks don't exchange documents, and the window ids of a task begin with its number.
 
 Defined results: a null text counts as empty; an empty text is one end token; equal rows are packed one by one; a very
-long text is cut into as many windows as it fills; an empty table has no pieces; extra columns are passed over. Which
+long text is cut into as many windows as it fills, long white space too; ids of rows are numbers (a text id is an error); an
+empty table has no pieces; extra columns are passed over. Which
 window a document is in depends on the order of rows; that every token is in one piece doesn't.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -29,6 +31,9 @@ from pyspark.sql import functions as F
 
 LENGTH, END = 1024, 0
 TOKENIZER = "byte_bpe_50k"
+#: Runs of white space of so many characters are cut out before words are searched for.
+BLANK = 50_000
+LONG_BLANK = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{BLANK},}}")
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
@@ -120,7 +125,19 @@ def encoder(folder_path: str):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     special = "<|endoftext|>"
     coding = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={special: len(ranks)})
-    return lambda text: np.asarray(coding.encode(text, allowed_special="all") if special in text else coding.encode_ordinary(text), dtype="<u4")
+    plain = lambda text: coding.encode(text, allowed_special="all") if special in text else coding.encode_ordinary(text)
+
+    def ids(text: str) -> np.ndarray:
+        found, at = [], 0
+        # a run of white space is one word of the pattern, but for a last character before other text; the pattern's own search
+        # gives up on very long ones
+        for run in LONG_BLANK.finditer(text) if len(text) >= BLANK else ():
+            end = run.end() if run.end() == len(text) or text.startswith(special, run.end()) else run.end() - 1
+            found += [*plain(text[at : run.start()]), *coding._encode_single_piece(text[run.start() : end])]
+            at = end
+        return np.asarray([*found, *plain(text[at:])] if at else plain(text), dtype="<u4")
+
+    return ids
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end: int = END, vocabulary: str | None = None) -> DataFrame:
