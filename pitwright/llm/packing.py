@@ -2,7 +2,8 @@
 
 A document's tokens are its ids and an end id. Full windows are cut off its front; the rest, of size s, is placed so that
 the sum over levels of the squared number of partially filled windows at that level becomes least: with n[h] windows
-filled to h, moving one from h to h + s changes the sum by 2 * (n[h + s] - n[h]) + 2 (less where h + s is full). The
+filled to h, moving one from h to h + s changes the sum by 2 * (n[h + s] - n[h]) + 2, a new one to s by 2 * n[s] + 1, and one
+that becomes full by 1 - 2 * n[h]. The
 level array holds the open windows of a task, at most one document rest for each piece; a window is written when it is
 full. At the end of a task's rows the level array is emptied from both ends: the emptiest windows are dissolved, and their
 pieces are cut to fill up the fullest ones, so that what moves is no more than what the open windows lack; the last rest is
@@ -62,12 +63,13 @@ class Packer:
 
     def place(self, piece: tuple) -> None:
         s, n = len(piece[2]), self.counts
-        change = n[s:].copy()  # at h: windows now at h + s
-        change[-1] = -1  # a full window leaves the sum
-        change[1:] -= n[1 : self.length - s + 1]
-        # a new window (h = 0) only adds one at level s; others must have a window at h
-        cost = np.where(n[: self.length - s + 1] > 0, change, np.iinfo(np.int64).max)
-        cost[0] = n[s]
+        gains = 2 * n[s:] + 2  # at h: by the window that comes to h + s
+        gains[0] -= 1  # a new window leaves no level
+        gains[-1] = 1  # a full one comes to none
+        gains[1:] -= 2 * n[1 : self.length - s + 1]
+        # at level 0 a window can always be opened; others must have one
+        cost = np.where(n[: self.length - s + 1] > 0, gains, np.iinfo(np.int64).max)
+        cost[0] = gains[0]
         h = int(len(cost) - 1 - np.argmin(cost[::-1]))  # of equal costs the fullest
         pieces = self.open[h].pop() if h else []
         n[h] -= h > 0
