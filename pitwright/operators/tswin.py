@@ -146,10 +146,19 @@ def underwater(df: DataFrame, keys: list[str], time: str, at: float = -1e-9) ->
     return df.select(*keys).distinct().join(longest, keys, "left").withColumn("underwater", F.coalesce("underwater", F.lit(0).cast("long")))
 
 
+def growth(r: Column, w=None) -> Column:
+    """The product of 1 + r, as an aggregate or over a window: sums of logarithms, with zeros and signs counted apart, so that parts can
+    be merged and a total loss makes it 0. NULLs are passed over; of NULLs alone it is NULL."""
+    f = 1 + r
+    over = (lambda e: e) if w is None else (lambda e: e.over(w))
+    logs, lost, minus = over(F.sum(F.when(f != 0, F.log(F.abs(f))))), over(F.count_if(f == 0)), over(F.count_if(f < 0))
+    return F.when(lost > 0, 0.0).otherwise(F.exp(logs) * F.when(minus % 2 == 1, -1).otherwise(1))
+
+
 def drawdown(df: DataFrame, r: str, keys: list[str], time: str) -> DataFrame:
     """df with wealth, peak and drawdown."""
     w = Window.partitionBy(*keys).orderBy(time).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    a = df.withColumn("wealth", F.exp(F.sum(F.log(1 + F.col(r))).over(w)))
+    a = df.withColumn("wealth", growth(F.col(r), w))
     a = a.withColumn("peak", F.greatest(F.lit(1.0), F.max("wealth").over(w)))
     return a.withColumn("drawdown", F.col("wealth") / F.col("peak") - 1)
 

@@ -301,19 +301,22 @@ def momentum_12(spark, sf):
 
 
 _MEANS = f"(select month, avg(ret) / 20 as m from {_RET} a where ret is not null group by month)"
-_DOWN = f"(select month, wealth, wealth / greatest(1, max(wealth) over (order by month)) - 1 as dd from (select month, exp(sum(ln(1 + m)) over (order by month)) as wealth from {_MEANS} b) c)"
+#: Beside the means an arm that loses all in a month.
+_WITH_LOSS = f"(select 'base' as arm, month, m from {_MEANS} b0 union all select 'lost', month, case when month = date '1997-06-30' then -1 else m end from {_MEANS} b1)"
+_DOWN = f"(select arm, month, wealth, wealth / greatest(1, max(wealth) over (partition by arm order by month)) - 1 as dd from (select arm, month, product(1 + m) over (partition by arm order by month) as wealth from {_WITH_LOSS} b) c)"
 
 
 def month_means(spark, sf):
-    return returns(spark, sf).where("ret is not null").groupBy("month").agg((F.avg("ret") / 20).alias("m")).withColumn("arm", F.lit("base"))
+    base = returns(spark, sf).where("ret is not null").groupBy("month").agg((F.avg("ret") / 20).alias("m"))
+    return base.select("month", F.explode(F.array(F.struct(F.lit("base").alias("arm"), "m"), F.struct(F.lit("lost").alias("arm"), F.when(F.col("month") == "1997-06-30", -1.0).otherwise(F.col("m")).alias("m")))).alias("x")).select("month", "x.*")
 
 
-@demo(f"select month, round(wealth, 4) as wealth, round(dd, 4) as drawdown from {_DOWN} d")
+@demo(f"select arm, month, round(wealth, 4) as wealth, round(dd, 4) as drawdown from {_DOWN} d")
 def drawdown(spark, sf):
-    return tswin.drawdown(month_means(spark, sf), "m", ["arm"], "month").select("month", r("wealth").alias("wealth"), r("drawdown").alias("drawdown"))
+    return tswin.drawdown(month_means(spark, sf), "m", ["arm"], "month").select("arm", "month", r("wealth").alias("wealth"), r("drawdown").alias("drawdown"))
 
 
-@demo(f"select 'base' as arm, coalesce(max(n), 0) as underwater from (select count(*) as n from (select dd < -1e-9 as low, row_number() over (order by month) - row_number() over (partition by dd < -1e-9 order by month) as run from {_DOWN} d) e where low group by run) f")
+@demo(f"select arm, max(n) as underwater from (select arm, count(*) filter (where low) as n from (select arm, dd < -1e-9 as low, row_number() over (partition by arm order by month) - row_number() over (partition by arm, dd < -1e-9 order by month) as run from {_DOWN} d) e group by arm, low, run) f group by arm")
 def underwater(spark, sf):
     return tswin.underwater(tswin.drawdown(month_means(spark, sf), "m", ["arm"], "month"), ["arm"], "month")
 
@@ -486,10 +489,12 @@ def backtest(spark, sf):
     return portfolio.backtest(panel)
 
 
-@demo(f"select year(month) as yr, round(exp(sum(ln(1 + m))) - 1, 4) as ret, count(*) as months from (select month, avg(ret) as m from {_RET} a where ret is not null group by month) b group by year(month)")
+@demo(f"""select arm, year(month) as yr, count(*) as months, round(product(1 + m) - 1, 4) as ret, round(avg(m), 6) as mean, round(avg((m > 0)::int), 4) as hit_rate, round(avg(n), 4) as names
+ from (select y.arm, y.month, y.m, c.n from {_WITH_LOSS} y join (select month, count(ret) as n from {_RET} a where ret is not null group by month) c on c.month = y.month) z group by arm, year(month)""")
 def yearly_perf(spark, sf):
-    m = returns(spark, sf).where("ret is not null").groupBy("month").agg(F.avg("ret").alias("m"))
-    return m.groupBy(F.year("month").cast("long").alias("yr")).agg(r(F.exp(F.sum(F.log(1 + F.col("m")))) - 1).alias("ret"), F.count("*").alias("months"))
+    names = returns(spark, sf).where("ret is not null").groupBy("month").agg(F.count("ret").alias("n"))
+    y = portfolio.yearly(month_means(spark, sf).join(names, "month"), "m", ["arm"], names="n")
+    return y.select("arm", F.col("year").alias("yr"), "months", r("ret").alias("ret"), r("mean", 6).alias("mean"), r("hit_rate").alias("hit_rate"), r("names").alias("names"))
 
 
 @demo(f"""select draw, round(avg(ret), 6) as mean_ret from (select draw, ret, row_number() over (partition by draw, month order by md5('s|' || draw || '|' || month || '|' || code)) as n from (select * from {_RET} a where ret is not null) b, (select unnest(range(20)) as draw) d) c where n <= 5 group by draw""")

@@ -72,11 +72,13 @@ def index(spark, sf):
 
 
 def small_returns(spark, sf):
-    """Mean returns of two arms, made small, so that wealth stays a number that can be shown."""
-    return month_returns(spark, sf).withColumn("ret", F.col("ret") / 20 - 0.2)
+    """Mean returns of arms, made small, so that wealth stays a number that can be shown; and the same arms with a month that loses all."""
+    x = F.col("ret") / 20 - 0.2
+    lost = F.when(F.col("month") == "1997-06-30", -1.0).otherwise(x)
+    return month_returns(spark, sf).select("month", F.explode(F.array(F.struct("arm", x.alias("ret")), F.struct(F.concat("arm", F.lit(" lost")).alias("arm"), lost.alias("ret")))).alias("x")).select("x.arm", "month", "x.ret")
 
 
-_SMALL = f"(select arm, month, ret / 20 - 0.2 as ret from {_MONTHS} m0)"
+_SMALL = f"(select arm, month, ret / 20 - 0.2 as ret from {_MONTHS} m0 union all select arm || ' lost', month, case when month = date '1997-06-30' then -1 else ret / 20 - 0.2 end from {_MONTHS} m1)"
 
 
 def _hac(src: str, key: str) -> str:
@@ -86,15 +88,15 @@ def _hac(src: str, key: str) -> str:
 
 
 @demo(f"""with b as (select q.arm, q.month, q.ret as x1, i.ret as x2, q.ret - i.ret as x from {_SMALL} q join {_IDX} i on i.month = q.month where q.ret is not null and i.ret is not null)
- select b.arm, count(*) as months, round(exp(sum(ln(1 + x1))) - 1, 5) as total, round(exp(sum(ln(1 + x2))) - 1, 5) as index_total, round(avg(x), 6) as excess_mean, round(any_value(h.t), 4) as t from b join {_hac("b", "arm")} h on h.arm = b.arm group by b.arm""")
+ select b.arm, count(*) as months, round(product(1 + x1) - 1, 5) as total, round(product(1 + x2) - 1, 5) as index_total, round(avg(x), 6) as excess_mean, round(any_value(h.t), 4) as t from b join {_hac("b", "arm")} h on h.arm = b.arm group by b.arm""")
 def bench_compare(spark, sf):
     c = portfolio.against_benchmark(small_returns(spark, sf), prices.benchmark(index(spark, sf)))
     return c.select("arm", "months", r("total", 5).alias("total"), r("index_total", 5).alias("index_total"), r("excess_mean", 6).alias("excess_mean"), r("t").alias("t"))
 
 
-@demo(f"""with a as (select arm, month, ret as x from {_SMALL} q), w as (select *, exp(sum(ln(1 + x)) over (partition by arm order by month)) as wealth from a), d as (select *, wealth / greatest(1, max(wealth) over (partition by arm order by month)) - 1 as dd from w),
+@demo(f"""with a as (select arm, month, ret as x from {_SMALL} q), w as (select *, product(1 + x) over (partition by arm order by month) as wealth from a), d as (select *, wealth / greatest(1, max(wealth) over (partition by arm order by month)) - 1 as dd from w),
  u as (select arm, coalesce(max(n), 0) as underwater from (select arm, count(*) as n from (select arm, dd < -1e-9 as low, row_number() over (partition by arm order by month) - row_number() over (partition by arm, dd < -1e-9 order by month) as run from d) e where low group by arm, run) f group by arm),
- s as (select arm, count(*) as n, pow(exp(sum(ln(1 + x))), 12 / count(*)) - 1 as cagr, stddev_samp(x) * sqrt(12) as vol, stddev_samp(case when x < 0 then x end) * sqrt(12) as low, min(dd) as mdd, avg((x > 0)::int) as hit, avg(x) as mean, exp(sum(ln(1 + x))) - 1 as total from d group by arm)
+ s as (select arm, count(*) as n, pow(product(1 + x), 12 / count(*)) - 1 as cagr, stddev_samp(x) * sqrt(12) as vol, stddev_samp(case when x < 0 then x end) * sqrt(12) as low, min(dd) as mdd, avg((x > 0)::int) as hit, avg(x) as mean, product(1 + x) - 1 as total from d group by arm)
  select s.arm, s.n, round(cagr, 5) as cagr, round(vol, 5) as vol, round(cagr / vol, 4) as sharpe, round(cagr / low, 4) as sortino, round(mdd, 5) as mdd, round(cagr / abs(mdd), 4) as calmar, round(hit, 5) as hit_rate, round(mean, 6) as mean, round(h.t, 4) as t, underwater, round(total, 4) as total
  from s join u on u.arm = s.arm join {_hac("a", "arm")} h on h.arm = s.arm""")
 def perf_stats(spark, sf):

@@ -128,7 +128,7 @@ def statistics(returns: DataFrame, arm: str, r: str, time: str = "month", per_ye
     a = returns.withColumn("__r", F.coalesce(r, F.lit(0.0)))
     down = tswin.drawdown(a, "__r", [arm], time)
     x = F.col("__r")
-    n, growth = F.count("*"), F.exp(F.sum(F.log(1 + x)))
+    n, growth = F.count("*"), tswin.growth(x)
     cagr = F.pow(growth, per_year / n) - 1
     low = F.stddev_samp(F.when(x < 0, x)) * per_year**0.5
     means = [F.avg(c).alias(c) for c in ("names", "turnover", "cost") if c in returns.columns]
@@ -139,6 +139,13 @@ def statistics(returns: DataFrame, arm: str, r: str, time: str = "month", per_ye
     return s.withColumns(ratios).drop("__low")
 
 
+def yearly(returns: DataFrame, r: str, keys: list[str], time: str = "month", names: str | None = None) -> DataFrame:
+    """keys, year, months, ret (a missing return counts as 0), mean, hit_rate (share of months above 0) and the mean number of names."""
+    x = F.col(r)
+    held = [F.avg(names).alias("names")] if names else []
+    return returns.groupBy(*keys, F.year(time).cast("long").alias("year")).agg(F.count("*").alias("months"), (tswin.growth(F.coalesce(x, F.lit(0.0))) - 1).alias("ret"), F.avg(x).alias("mean"), F.avg(F.coalesce((x > 0).cast("double"), F.lit(0.0))).alias("hit_rate"), *held)
+
+
 def held_returns(weights: DataFrame, returns: DataFrame, securities: DataFrame) -> DataFrame:
     """weights (arm, month, code, w) with ret: of a name without return 0, but -1 in the month after which it is gone; returns: code, month,
     fwd_ret; securities: code, delisting_date."""
@@ -191,7 +198,7 @@ def trade_costs(weights: DataFrame, months: DataFrame, keys: list[str], account:
 def against_benchmark(returns: DataFrame, index: DataFrame, arm: str = "arm", r: str = "ret") -> DataFrame:
     """(arm, months, total, index_total, excess_mean, t): over the months that both have. index: month, ret."""
     both = returns.select(arm, "month", F.col(r).alias("__r")).join(F.broadcast(index.select("month", F.col("ret").alias("__i"))), "month").where("__r is not null and __i is not null").withColumn("__x", F.col("__r") - F.col("__i"))
-    total = lambda c: F.exp(F.sum(F.log(1 + F.col(c)))) - 1
+    total = lambda c: tswin.growth(F.col(c)) - 1
     s = both.groupBy(arm).agg(F.count("*").alias("months"), total("__r").alias("total"), total("__i").alias("index_total"), F.avg("__x").alias("excess_mean"))
     return s.join(tswin.hac_t(both, "__x", [arm], "month").select(arm, "t"), arm)
 
