@@ -8,6 +8,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitwright.sources.files import written
+
+#: Up to so many keys with many rows are sent to all tasks.
+HOT_KEYS = 100_000
+
 
 def pit_frame(df: DataFrame, event: Column, known: Column, source: str) -> DataFrame:
     """df with event_date, knowledge_date (not before the event; rows without one go) and _src."""
@@ -54,39 +59,59 @@ def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, columns: list[str], tie: list[str], tolerance_days: int | None = None, spread_days: int | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, columns: list[str], tie: list[str], tolerance_days: int | None = None, rows: int = 1_000_000) -> DataFrame:
     """left with the columns of the newest right row of its key at or before its time. All left rows stay.
 
     One shuffle by key: both sides are laid in one order of time, and the last right row is carried forward. Rows of the
     right without a key are of no use; those of the left get NULLs.
 
-    spread_days, for tables in which a key holds much of the rows: the time axis of each key is cut into ranges of so many days,
+    Keys are counted first. Those with more than `rows` rows of both sides are laid in ranges of (key, time) of about so many rows,
     which may lie in different tasks, and the last right row of the ranges before is carried into each, from a table with one row
     for each key and range.
     """
     names = left.columns
     value = F.struct(F.col(right_time).alias("__t"), *columns)
-    r = right.where(F.col(by).isNotNull()).select(F.col(by).alias("__by"), F.col(right_time).alias("__at"), F.lit(0).alias("__side"), F.struct(*tie).alias("__tie"), value.alias("__v"), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("__l"))
+    known = right.where(F.col(by).isNotNull())
+    r = known.select(F.col(by).alias("__by"), F.col(right_time).alias("__at"), F.lit(0).alias("__side"), F.struct(*tie).alias("__tie"), value.alias("__v"), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("__l"))
     tie_type, v_type = r.schema["__tie"].dataType, r.schema["__v"].dataType
     lhs = left.select(F.col(by).alias("__by"), F.col(left_time).alias("__at"), F.lit(1).alias("__side"), F.lit(None).cast(tie_type).alias("__tie"), F.lit(None).cast(v_type).alias("__v"), F.struct(*names).alias("__l"))
+    both = r.unionByName(lhs)
+    sizes = known.select(by).unionAll(left.select(by)).groupBy(by).agg(F.count("*").alias("__n"))
+    hot = written(sizes.where((F.col("__n") > rows) & F.col(by).isNotNull()).select(F.col(by).alias("__by"), "__n"))
+    n_hot, in_hot = hot.agg(F.count("*"), F.coalesce(F.sum("__n"), F.lit(0))).first()
     # rows without a key never match: they needn't meet in one task
     apart = F.when(F.col("__by").isNull(), F.xxhash64("__l")).otherwise(0)
-    both = r.unionByName(lhs).withColumn("__range", F.lit(0) if spread_days is None else F.floor(F.unix_date(F.to_date("__at")) / spread_days).cast("int"))
-    w = Window.partitionBy("__by", apart, "__range").orderBy("__at", "__side", "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = both.withColumn("__v", F.last("__v", ignorenulls=True).over(w)).where("__side = 1")
-    if spread_days is not None:
+    order = ["__at", "__side", "__tie"]
+    carried = lambda *keys: F.last("__v", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    if not n_hot:
+        out = both.withColumn("__v", carried("__by", apart)).where("__side = 1").select("__at", "__v", "__l")
+    else:
+        few = F.broadcast(hot.select("__by")) if n_hot <= HOT_KEYS else hot.select("__by")
+        cold = both.join(few, "__by", "left_anti").withColumn("__v", carried("__by", apart)).where("__side = 1").select("__at", "__v", "__l")
+        spread = both.join(few, "__by", "left_semi").withColumn("__id", F.monotonically_increasing_id())
+        placed = written(spread.repartitionByRange(-(-in_hot // rows), "__by", *order, "__id").drop("__id").withColumn("__range", F.spark_partition_id()))
         own = F.col("__side") == 0
-        ends = both.where(F.col("__by").isNotNull()).groupBy("__by", "__range").agg(F.max_by(F.when(own, F.col("__v")), F.when(own, F.struct("__at", "__tie"))).alias("__end"))
+        ends = placed.groupBy("__by", "__range").agg(F.max_by(F.when(own, F.col("__v")), F.when(own, F.struct("__at", "__tie"))).alias("__end"))
         earlier = F.last("__end", ignorenulls=True).over(Window.partitionBy("__by").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
-        out = out.join(ends.select("__by", "__range", earlier.alias("__before")), ["__by", "__range"], "left").withColumn("__v", F.coalesce("__v", "__before"))
+        before = ends.select("__by", "__range", earlier.alias("__before"))
+        warm = placed.withColumn("__v", carried("__by", "__range")).where("__side = 1").join(F.broadcast(before), ["__by", "__range"], "left")  # two rows for each range at most
+        out = cold.unionByName(warm.select("__at", F.coalesce("__v", "__before").alias("__v"), "__l"))
     fresh = F.lit(True) if tolerance_days is None else F.datediff("__at", F.col("__v.__t")) <= tolerance_days
     return out.select("__l.*", *(F.when(fresh, F.col(f"__v.{c}")).alias(c) for c in columns))
 
 
 def valid_interval_join(facts: DataFrame, mapping: DataFrame, key: str, day: str, start: str = "valid_from", end: str = "valid_to") -> DataFrame:
-    """Inner join on key where day lies in the closed interval; NULL is open."""
-    d = F.col(day)
-    return facts.join(mapping, key).where((F.col(start).isNull() | (d >= F.col(start))) & (F.col(end).isNull() | (d <= F.col(end))))
+    """Inner join on key where day lies in the closed interval; NULL is open.
+
+    Intervals are dealt to the years of theirs that facts have, and rows meet by key and year, so the facts of one key are
+    divided by year and don't meet intervals of other years."""
+    d, names = F.col(day), [key, *(c for c in facts.columns if c != key), *(c for c in mapping.columns if c != key)]
+    first, last = facts.agg(F.year(F.min(day)), F.year(F.max(day))).first()
+    first, last = first or 0, last or 0
+    low, high = F.greatest(F.coalesce(F.year(start), F.lit(first)), F.lit(first)), F.least(F.coalesce(F.year(end), F.lit(last)), F.lit(last))
+    dealt = mapping.where(low <= high).withColumn("__year", F.explode(F.sequence(low, high)))
+    met = facts.withColumn("__year", F.year(d)).join(dealt, [key, "__year"])
+    return met.where((F.col(start).isNull() | (d >= F.col(start))) & (F.col(end).isNull() | (d <= F.col(end)))).select(*names)
 
 
 def policy_calendar(windows: DataFrame, horizon: DataFrame) -> DataFrame:
@@ -96,8 +121,10 @@ def policy_calendar(windows: DataFrame, horizon: DataFrame) -> DataFrame:
 
 
 def mask_windows(months: DataFrame, windows: DataFrame, halo: int = 6) -> DataFrame:
-    """month and masked: within halo months of the start of any window, or of the end of a closed one. windows: a short list."""
-    m = F.col("month")
-    near = m.between(F.add_months("start", -halo), F.add_months("start", halo)) | F.coalesce(m.between(F.add_months("end", -halo), F.add_months("end", halo)), F.lit(False))
-    hit = months.join(windows, near, "left_semi").select("month").distinct().withColumn("__hit", F.lit(1))
+    """month and masked: within halo months of the start of any window, or of the end of a closed one."""
+    # each edge of a window is dealt to the calendar months of its halo
+    around = lambda d: F.struct(F.add_months(d, -halo).alias("low"), F.add_months(d, halo).alias("high"))
+    edges = windows.select(F.explode(F.array(around("start"), around("end"))).alias("x")).select("x.*").where("low is not null").distinct()
+    dealt = edges.withColumn("__month", F.explode(F.sequence(F.trunc("low", "month"), F.trunc("high", "month"), F.expr("interval 1 month"))))
+    hit = months.withColumn("__month", F.trunc("month", "month")).join(dealt, "__month").where(F.col("month").between(F.col("low"), F.col("high"))).select("month").distinct().withColumn("__hit", F.lit(1))
     return months.join(hit, "month", "left").select("month", F.coalesce("__hit", F.lit(0)).alias("masked"))

@@ -1,4 +1,7 @@
-"""Ranks over all rows, without a window that holds all of them."""
+"""Ranks, running sums and quantiles over all rows or within groups, without a window that holds a whole group.
+
+What is ordered lies in ranges of (group, value); a range is one task's, a group may lie in many. Sums of the ranges before come
+from a row for each range on the driver."""
 
 from __future__ import annotations
 
@@ -26,3 +29,47 @@ def global_rank(df: DataFrame, value: str, out: str, *tie: Column, descending: b
     offsets = df.sparkSession.createDataFrame(before, "__range int, __before long")
     w = Window.partitionBy("__range").orderBy(*order)
     return placed.join(F.broadcast(offsets), "__range").withColumn(out, F.row_number().over(w) + F.col("__before")).drop("__x", "__range", "__before")
+
+
+def _ranges(df: DataFrame, order: list[Column], rows: int, tie: Column | None = None) -> DataFrame:
+    n = max(1, -(-df.count() // rows))
+    by = order if tie is None else [*order, tie]
+    return written(df.repartitionByRange(n, *by).withColumn("__range", F.spark_partition_id()))
+
+
+def running_sum(df: DataFrame, group: str, order: list[str], value: str, out: str, rows: int = 1_000_000) -> DataFrame:
+    """df with out: the sum of value (a whole number) along the order within the group, up to and with the row. group holds no NULL."""
+    placed = _ranges(df, [F.col(group), *map(F.col, order)], rows)
+    spans = placed.groupBy("__range").agg(F.min(group).alias("low"), F.max(group).alias("high"))
+    of_kind = df.schema[group].dataType.simpleString()
+    ends = placed.join(F.broadcast(spans), "__range").groupBy("__range", "low", "high").agg(*(F.sum(F.when(F.col(group) == F.col(k), F.col(value))).alias(f"of_{k}") for k in ("low", "high"))).collect()
+    before, last, carried = [], None, 0
+    for r in sorted(ends, key=lambda r: r["__range"]):
+        carried = carried if r["low"] == last else 0
+        before.append((r["__range"], r["low"], carried))
+        last, carried = r["high"], (r["of_high"] or 0) + (carried if r["low"] == r["high"] else 0)
+    offsets = df.sparkSession.createDataFrame(before, f"__range int, __low {of_kind}, __before long")
+    w = Window.partitionBy("__range", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = F.sum(value).over(w) + F.when(F.col(group) == F.col("__low"), F.col("__before")).otherwise(0)
+    return placed.join(F.broadcast(offsets), "__range").withColumn(out, total).drop("__range", "__low", "__before")
+
+
+def values_in_order(df: DataFrame, keys: list[str], x: str, rows: int = 1_000_000) -> DataFrame:
+    """keys, x, __n (rows of the group that have it), __upto (with all smaller values) and __all, for each distinct value of each group."""
+    counts = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("__n")).withColumn("__g", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
+    ordered = running_sum(counts, "__g", [x], "__n", "__upto", rows)
+    return ordered.join(ordered.groupBy("__g").agg(F.sum("__n").alias("__all")), "__g")
+
+
+def quantiles(df: DataFrame, keys: list[str], x: str, shares: dict[str, float], rows: int = 1_000_000) -> DataFrame:
+    """keys and, for each name of shares, the exact quantile of x with linear interpolation. A group may hold any share of the rows: what
+    is asked for are two places in its order, which are found among counts of its distinct values."""
+    v = values_in_order(df, keys, x, rows)
+    picked = []
+    for k, q in enumerate(shares.values()):
+        at = (F.col("__all") - 1) * F.lit(float(q))
+        for side, place in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            picked.append(F.max(F.when((place >= F.col("__upto") - F.col("__n")) & (place < F.col("__upto")), F.col(x).cast("double"))).alias(f"__{side}{k}"))
+        picked.append(F.max(at - F.floor(at)).alias(f"__part{k}"))
+    found = v.groupBy(*keys, "__g").agg(*picked)
+    return found.select(*keys, *((F.col(f"__lo{k}") + (F.col(f"__hi{k}") - F.col(f"__lo{k}")) * F.col(f"__part{k}")).alias(name) for k, name in enumerate(shares)))

@@ -12,19 +12,29 @@ def month_grid(spark, first: str, last: str) -> DataFrame:
 
 def members(months: DataFrame, securities: DataFrame, seasoned: str | None = None) -> DataFrame:
     """(month, code) listed on or before the month's end and not delisted by then; securities: code, listing_date, delisting_date, of
-    which an unknown one doesn't count against the security, unless both are. months is a short list, which is sent to the securities."""
+    which an unknown one doesn't count against the security, unless both are.
+
+    A range join by equality: a security is dealt to the years of its life within those of the months, and meets the months of
+    each year."""
+    first, last = months.agg(F.year(F.min("month")), F.year(F.max("month"))).first()
+    if first is None:
+        return securities.select(F.lit(None).cast("date").alias("month"), "code").where(F.lit(False))
     m, listed, left = F.col("month"), F.col("listing_date"), F.col("delisting_date")
-    on = (listed.isNull() | (listed <= m)) & (left.isNull() | (left > m)) & (listed.isNotNull() | left.isNotNull())
+    on = (listed.isNull() | (listed <= m)) & (left.isNull() | (left > m))
     if seasoned:
         on = on & (F.col(seasoned).isNull() | (F.col(seasoned) <= m))
-    return securities.join(F.broadcast(months), on).select("month", "code")
+    start, end = F.greatest(F.coalesce(F.year(listed), F.lit(first)), F.lit(first)), F.least(F.coalesce(F.year(left), F.lit(last)), F.lit(last))
+    dealt = securities.where(listed.isNotNull() | left.isNotNull()).where(start <= end).withColumn("__year", F.explode(F.sequence(start, end)))
+    return dealt.join(months.withColumn("__year", F.year("month")), "__year").where(on).select("month", "code")
 
 
 def snapshot_members(months: DataFrame, snapshots: DataFrame, days: int = 100) -> DataFrame:
     """(month, code) of the newest snapshot at or before each month's end, if it is at most so many days old. snapshots: code,
-    snap_date. Only the short lists of months and of snapshot days meet."""
-    dates = snapshots.select("snap_date").distinct()
-    newest = dates.join(F.broadcast(months.select("month")), F.col("snap_date") <= F.col("month")).groupBy("month").agg(F.max("snap_date").alias("snap_date")).where(F.datediff("month", "snap_date") <= days)
+    snap_date. A snapshot day is dealt to the months in which it can be the newest."""
+    near = F.sequence(F.trunc("snap_date", "month"), F.trunc(F.date_add("snap_date", days), "month"), F.expr("interval 1 month"))
+    dates = snapshots.select("snap_date").where("snap_date is not null").distinct().withColumn("__month", F.explode(near))
+    newest = dates.join(months.select("month", F.trunc("month", "month").alias("__month")), "__month").where((F.col("snap_date") <= F.col("month")) & (F.datediff("month", "snap_date") <= days))
+    newest = newest.groupBy("month").agg(F.max("snap_date").alias("snap_date"))  # a row for each month
     return snapshots.join(F.broadcast(newest), "snap_date").select("month", "code")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitwright.functions.exprs import dlog, row_mean, safe_div, state_label
-from pitwright.operators import xsec
+from pitwright.operators import ranks, xsec
 from pitwright.operators.tswin import along, slope
 
 CELLS = ("cell", "cell_l2", "cell_l3")
@@ -18,11 +18,7 @@ CELLS = ("cell", "cell_l2", "cell_l3")
 
 def standardised(df: DataFrame, features: dict[str, str], how=xsec.zscore, cells: tuple[str, ...] = CELLS, **options) -> DataFrame:
     """df with, for each out: column of features, the value of the first cell, from fine to coarse, that gives one."""
-    names = df.columns
-    for k, cell in enumerate(cells):
-        for out, x in features.items():
-            df = how(df, x, cell, f"__{out}_{k}", **options)
-    return df.select(*(c for c in names if c not in features), *(F.coalesce(*(f"__{out}_{k}" for k in range(len(cells)))).alias(out) for out in features))
+    return xsec.TOGETHER[how](df, features, list(cells), **options)
 
 
 def _back(c: str, rows: int = 12) -> Column:
@@ -101,7 +97,8 @@ def consensus(reports: DataFrame, days: int = 90) -> DataFrame:
     months = F.transform(F.sequence(F.lit(0), F.lit(days // 28)), lambda k: F.last_day(F.add_months(F.trunc("pub_date", "month"), k)))
     q = q.select("*", F.explode(months).alias("month")).where(F.col("pub_date") > F.date_sub("month", days))
     up, dn = (F.sum(F.coalesce((F.col("rev") * s > 0).cast("long"), F.lit(0))) for s in (1, -1))
-    a = q.groupBy("code", "month").agg(F.countDistinct("analyst").alias("n_analyst"), F.median("target").alias("tp_median"), up.alias("rev_up"), dn.alias("rev_dn"))
+    a = q.groupBy("code", "month").agg(F.countDistinct("analyst").alias("n_analyst"), up.alias("rev_up"), dn.alias("rev_dn"))
+    a = a.join(ranks.quantiles(q, ["code", "month"], "target", {"tp_median": 0.5}), ["code", "month"], "left")
     return a.withColumn("d2", -safe_div(F.col("rev_up"), F.col("n_analyst"))).withColumn("d4", -(F.col("n_analyst") - F.lag("n_analyst").over(along())))
 
 

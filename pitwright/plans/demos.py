@@ -129,12 +129,12 @@ def asof_join(spark, sf):
 
 @demo("select p.code, p.day, s.yr, s.q, round(s.ytd_revenue, 2) as ytd_revenue from (select case when code % 3 = 0 then 0 when code % 7 = 0 then null else code end as code, day from ({daily}) d) p asof left join (select case when code % 3 = 0 then 0 else code end as code, yr, q, ytd_revenue, knowledge_date + (code % 11)::int as known from ({statements}) s where code % 3 <> 0 or code = 3) s on p.code = s.code and p.day >= s.known")
 def asof_join_spread(spark, sf):
-    """A key that holds a third of all rows, in ranges of half a year."""
+    """A key that holds a third of all rows, which is counted, found and laid in ranges of 3,000 rows."""
     code = F.when(F.col("code") % 3 == 0, 0)
     d = role(spark, sf, "daily").select(code.when(F.col("code") % 7 == 0, None).otherwise(F.col("code")).alias("code"), "day")
     s = role(spark, sf, "statements").where("code % 3 <> 0 or code = 3").withColumn("known", F.date_add("knowledge_date", (F.col("code") % 11).cast("int")))
     s = s.withColumn("code", code.otherwise(F.col("code")))
-    return pit.asof_join(d, s, "code", "day", "known", ["yr", "q", "ytd_revenue"], ["period_end"], spread_days=183).withColumn("ytd_revenue", r("ytd_revenue", 2))
+    return pit.asof_join(d, s, "code", "day", "known", ["yr", "q", "ytd_revenue"], ["period_end"], rows=3000).withColumn("ytd_revenue", r("ytd_revenue", 2))
 
 
 @demo("""select code, month, members, cast(spend as double) as spend from (select s.code, m.month, count(*) as members, round(sum(price), 2) as spend from (select c_custkey, last_day(cast(o_orderdate as date)) as month, o_totalprice as price from orders join customer on c_custkey = o_custkey) m
@@ -203,7 +203,7 @@ def axis_corr(spark, sf):
 
 @demo("select month, round(quantile_cont(volume, 0.9), 4) as q90 from ({panel}) p group by month")
 def month_quantile(spark, sf):
-    return role(spark, sf, "panel").groupBy("month").agg(r(F.percentile("volume", 0.9)).alias("q90"))
+    return ranks.quantiles(role(spark, sf, "panel"), ["month"], "volume", {"q90": 0.9}, rows=500).withColumn("q90", r("q90"))
 
 
 # ---- windows along time
@@ -448,7 +448,9 @@ def revision(spark, sf):
 def consensus(spark, sf):
     m = F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.last_day(F.add_months("pub_date", k)))).alias("month")
     q = role(spark, sf, "reports").select("code", "analyst", "target", "pub_date", m).where((F.col("pub_date") > F.date_sub("month", 90)) & (F.col("pub_date") <= F.col("month")))
-    return q.groupBy("code", "month").agg(F.countDistinct("analyst").alias("analysts"), r(F.median("target")).alias("target"))
+    counts = q.groupBy("code", "month").agg(F.countDistinct("analyst").alias("analysts"))
+    middle = ranks.quantiles(q, ["code", "month"], "target", {"target": 0.5}).select(F.col("code").alias("c"), F.col("month").alias("m"), r("target").alias("target"))
+    return counts.join(middle, F.col("code").eqNullSafe(F.col("c")) & (F.col("month") == F.col("m")), "left").drop("c", "m")
 
 
 # ---- universe

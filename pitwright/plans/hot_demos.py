@@ -4,8 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pitwright.operators import names
-from pitwright.plans.demos import demo, r, table
+from pitwright.operators import names, xsec
+from pitwright.plans.demos import _ZPANEL, demo, r, table, zpanel
+
+# ---- cells that are too large for a task
+
+
+@demo(f"select code, month, round((rank() over (order by v) + (count(*) over (partition by v) - 1) / 2.0) / count(v) over (), 6) as p from {_ZPANEL} a")
+def xsec_rank_hot(spark, sf):
+    """Ranks in a cell that holds all rows, in ranges of 3,000 values."""
+    return xsec.rank_pct(zpanel(spark, sf).withColumn("all", F.lit("all")), "v", "all", "p", rows=3000).select("code", "month", r("p", 6).alias("p"))
+
 
 # ---- names as sets of words
 

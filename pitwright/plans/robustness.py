@@ -134,8 +134,7 @@ def cost_survival(returns: DataFrame) -> DataFrame:
 def factor_returns(panel: DataFrame, factors: list[str], least_rows: int = 30, least: int = 11) -> DataFrame:
     """(month, factor, ret): the mean return weighted by z above the month's least, over the plain mean. panel: cell, fwd_ret, factors."""
     a = panel.withColumn("__rows", F.count("*").over(Window.partitionBy("month"))).where(F.col("__rows") >= least_rows)
-    for f in factors:
-        a = xsec.zscore(a, f, "cell", f"__z_{f}")
+    a = xsec.zscores(a, {f"__z_{f}": f for f in factors}, ["cell"])
     long = a.select("month", "fwd_ret", F.explode(F.array(*(F.struct(F.lit(f).alias("factor"), F.col(f"__z_{f}").alias("z")) for f in factors))).alias("x")).select("month", "fwd_ret", "x.*")
     ok = long.where("z is not null and fwd_ret is not null")
     # weights are z - min(z) + 1e-9: sums of r, z and z r are enough
