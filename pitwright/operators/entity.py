@@ -72,12 +72,23 @@ def author_master(links: DataFrame) -> DataFrame:
     return a.withColumn("ambiguous", F.count("*").over(Window.partitionBy("name")) > 1)
 
 
-def linkage_audit(reports: DataFrame, links: DataFrame, by: Column, name: str) -> DataFrame:
-    """name, n, and the shares of reports with an author, a code and a target, for each value of by."""
-    linked = links.select("uid").distinct().withColumn("__linked", F.lit(1))
-    share = lambda c: F.avg(F.col(c).isNotNull().cast("double"))
-    a = reports.join(linked, "uid", "left").groupBy(by.alias(name))
-    return a.agg(F.count("*").alias("n"), share("__linked").alias("with_author"), share("code").alias("with_code"), share("target").alias("with_target"))
+def linkage_audit(reports: DataFrame, links: DataFrame, by: dict[str, Column]) -> DataFrame:
+    """(grouping, value, n, with_author, with_code, with_target, confidence, authors): for each value of each grouping (by: name to a
+    column of reports, or of links: method) the number of reports, the shares of them with an author, a code and a target, the mean
+    confidence of their links and the number of authors. All groupings come from one pass."""
+    of_report = links.groupBy("uid").agg(F.min("method").alias("method"), F.avg("confidence").alias("confidence"), F.collect_set("analyst_id").alias("who"))  # the authors of a report
+    linked = reports.join(of_report, "uid", "left").select("code", "target", "method", "confidence", F.posexplode_outer("who").alias("place", "analyst_id"), *(e.cast("string").alias(f"__by_{k}") for k, e in by.items()))
+    a = linked.withColumn("confidence", F.when(F.coalesce("place", F.lit(0)) == 0, F.col("confidence")))
+    one = F.coalesce("place", F.lit(0)) == 0  # one row for each report
+    share = lambda c: F.count_if(one & F.col(c).isNotNull()) / F.count_if(one)
+    columns = [F.col(f"__by_{k}") for k in by]
+    sets = a.groupingSets([[c] for c in columns], *columns)
+    of = F.grouping_id(*columns)
+    out = sets.agg(of.alias("__set"), F.count_if(one).alias("n"), share("place").alias("with_author"), share("code").alias("with_code"), share("target").alias("with_target"), F.avg("confidence").alias("confidence"), F.countDistinct("analyst_id").alias("authors"))
+    name, whole = F.lit(None).cast("string"), (1 << len(by)) - 1
+    for i, k in enumerate(by):
+        name = F.when(F.col("__set") == whole - (1 << (len(by) - 1 - i)), k).otherwise(name)
+    return out.select(name.alias("grouping"), F.coalesce(*columns).alias("value"), "n", "with_author", "with_code", "with_target", "confidence", "authors")
 
 
 def name_match(left: DataFrame, right: DataFrame, name: str, code: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pitwright.functions import exprs as X
 from pitwright.operators import pit, universe, vetoes, xsec
 from pitwright.plans import axes, portfolio, robustness
-from pitwright.plans.demos import _RET, _ZPANEL, ORACLE, demo, r, returns, table
+from pitwright.plans.demos import _LAGS, _RET, _SUMS, _ZPANEL, demo, ORACLE, r, returns, table
 from pitwright.sources.roles import for_checking, role
 
 _FUND = "revenue_ttm cogs_ttm op_income_ttm net_income_ttm cfo_ttm capex_ttm dep_ttm inventory receivable payable assets equity ppe payroll liabilities employees".split()
@@ -404,12 +404,6 @@ def firing_rate(spark, sf):
     return robustness.firing(p, masked_months(spark, sf), 300).select("masked", "months", r("rate", 6).alias("rate"))
 
 
-@demo()
-def factor_alpha(spark, sf):
-    f = factor_returns(spark, sf)
-    return robustness.alpha(month_returns(spark, sf), f, ["f_size", "f_qual"])
-
-
 _F = _labelled(f"(select a.*, ln(adv20) as f_size, {_div('equity', 'assets')} as f_qual, x.ret as fwd_ret from {_FP} a join {_RET} x on x.code = a.code and x.month = a.month)")
 
 
@@ -429,6 +423,19 @@ def factor_returns(spark, sf):
     return robustness.factor_returns(p, ["f_size", "f_qual"]).select("month", "factor", r("ret", 6).alias("ret"))
 
 
+_ALPHA = f"""with f as ({ORACLE["factor_returns"]}), w as (select month, max(case when factor = 'f_size' then ret end) as x1, max(case when factor = 'f_qual' then ret end) as x2 from f group by month having count(*) = 2),
+ a as (select q.arm, q.month, q.ret as y, x1, x2, count(*) over (partition by q.arm) as n from {_MONTHS} q join w on w.month = q.month),
+ b as (select arm, (covar_pop(x1, y) * var_pop(x2) - covar_pop(x2, y) * covar_pop(x1, x2)) / (var_pop(x1) * var_pop(x2) - covar_pop(x1, x2) ^ 2) as b1, (covar_pop(x2, y) * var_pop(x1) - covar_pop(x1, y) * covar_pop(x1, x2)) / (var_pop(x1) * var_pop(x2) - covar_pop(x1, x2) ^ 2) as b2 from a group by arm),
+ z as (select a.arm, month, y - b1 * x1 - b2 * x2 as v from a join b on b.arm = a.arm where n >= 24), e as (select arm, month, v - avg(v) over (partition by arm) as e, v, floor(4 * pow(count(*) over (partition by arm) / 100, 2.0 / 9)) as lags from z), l as (select *, {_LAGS} from e window w as (partition by arm order by month)),
+ s as (select arm, count(*) as n, avg(v) as m, sum(e * e) + {_SUMS} as s from l group by arm) select arm, n, round(m, 6) as alpha, case when n >= 12 and s > 0 then round(m / sqrt(s / n / n), 4) end as t from s"""
+
+
+@demo(_ALPHA)
+def factor_alpha(spark, sf):
+    f = factor_returns(spark, sf)
+    return robustness.alpha(month_returns(spark, sf), f, ["f_size", "f_qual"]).select("arm", "n", r("alpha", 6).alias("alpha"), r("t").alias("t"))
+
+
 @demo(f"select arm as subject, 'positive mean' as test, avg(ret) > 0 as passed, count(*)::double as n from {_MONTHS} q group by arm")
 def verdict_table(spark, sf):
     t = month_returns(spark, sf).groupBy("arm").agg(F.avg("ret").alias("mean_ret"), F.count("*").alias("n"))

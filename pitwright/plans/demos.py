@@ -499,10 +499,10 @@ def yearly_perf(spark, sf):
     return y.select("arm", F.col("year").alias("yr"), "months", r("ret").alias("ret"), r("mean", 6).alias("mean"), r("hit_rate").alias("hit_rate"), r("names").alias("names"))
 
 
-@demo(f"""select draw, round(avg(ret), 6) as mean_ret from (select draw, ret, row_number() over (partition by draw, month order by md5('s|' || draw || '|' || month || '|' || code)) as n from (select * from {_RET} a where ret is not null) b, (select unnest(range(20)) as draw) d) c where n <= 5 group by draw""")
+@demo(f"""select draw, round(avg(ret), 6) as mean_ret from (select draw, ret, row_number() over (partition by draw, month order by md5('s|' || draw || '|' || month || '|' || code)) as n from (select * from {_RET} a where ret is not null) b, (select unnest(range(1000)) as draw) d) c where n <= 5 group by draw""")
 def placebo(spark, sf):
     p = returns(spark, sf).where("ret is not null").select("month", "code", F.col("ret").alias("fwd_ret"))
-    return portfolio.placebo(p, 20, 5).select("draw", r("mean_ret", 6).alias("mean_ret"))
+    return portfolio.placebo(p, 1000, 5).select("draw", r("mean_ret", 6).alias("mean_ret"))
 
 
 @demo(f"""with s as (select code, count(*) as n, avg(ret) as m from {_RET} a where ret is not null group by code), p as (select code, 1 / (1 + abs(m) * n) as p from s), o as (select *, row_number() over (order by p) as k, count(*) over () as c from p)

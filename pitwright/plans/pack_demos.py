@@ -173,11 +173,16 @@ def analyst_master(spark, sf):
     return entity.author_master(entity.author_links(reports(spark, sf))).drop("analyst_id")
 
 
-@demo(f"select year(pub_date) as yr, count(*) as n, round(avg((name is not null)::int), 6) as with_author, round(avg((code is not null)::int), 6) as with_code, round(avg((target is not null)::int), 6) as with_target from {_LINKED} a group by year(pub_date)")
+_AUDITED = f"(select *, case when uid % 5 < 3 then 'list_field' when uid % 5 = 3 then 'pdf_header' end as method, case when uid % 5 < 3 then 0.98 when uid % 5 = 3 then 0.8 end as sure, case uid % 3 when 0 then 'a' when 1 then 'a+b' end as source from {_LINKED} l0)"
+
+
+@demo(" union all ".join(f"""select '{k}' as grouping, x.g as value, n, with_author, with_code, with_target, confidence, coalesce(authors, 0) as authors from (select ({e})::varchar as g, count(*) as n, round(avg((name is not null)::int), 6) as with_author, round(avg((code is not null)::int), 6) as with_code,
+ round(avg((target is not null)::int), 6) as with_target, round(avg(sure), 6) as confidence from {_AUDITED} a group by {e}) x left join (select ({e})::varchar as g, count(distinct w.who) as authors from {_AUDITED} a join (select distinct uid as u, name || '|' || broker as who from {_AUDITED} b where name is not null) w on w.u = a.uid group by {e}) y on x.g is not distinct from y.g""" for k, e in (("year", "year(pub_date)"), ("source", "source"), ("method", "method"), ("broker", "broker"))))
 def linkage_audit(spark, sf):
-    q = reports(spark, sf)
-    a = entity.linkage_audit(q, entity.author_links(q), F.year("pub_date").cast("long"), "yr")
-    return a.select("yr", "n", *(r(c, 6).alias(c) for c in ("with_author", "with_code", "with_target")))
+    k = F.col("uid") % 3
+    q = reports(spark, sf).withColumn("source", F.when(k == 0, "a").when(k == 1, "a+b"))
+    a = entity.linkage_audit(q, entity.author_links(q), {"year": F.year("pub_date"), "source": F.col("source"), "method": F.col("method"), "broker": F.col("broker")})
+    return a.select("grouping", "value", "n", *(r(c, 6).alias(c) for c in ("with_author", "with_code", "with_target", "confidence")), "authors")
 
 
 @demo("select s_suppkey, case when s_suppkey % 3 = 0 then lpad(cast(s_suppkey as varchar), 6, '0') when s_suppkey % 3 = 1 then '00593' || (s_suppkey % 10) else 'N' || s_suppkey end as code, case when s_suppkey % 3 = 0 then 'source' when s_suppkey % 3 = 1 then 'title' else 'name' end as code_from from supplier")

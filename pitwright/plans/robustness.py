@@ -147,15 +147,24 @@ def alpha(returns: DataFrame, factor_table: DataFrame, factors: list[str], least
     """(arm, n, alpha, t): the intercept of an arm's returns on those of the factors, by least squares over a row for each month, and
     the Newey-West t of what the factors leave (intercept and residual)."""
     wide = factor_table.groupBy("month").pivot("factor", factors).agg(F.first("ret")).dropna()
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.column_stack([np.ones(len(pdf)), pdf[factors].to_numpy(float)])
-        y = pdf["ret"].to_numpy(float)
-        left = y - x[:, 1:] @ np.linalg.lstsq(x, y, rcond=None)[0][1:] if len(pdf) >= least else np.full(len(pdf), np.nan)
-        return pdf[["arm", "month"]].assign(left=left)
-
-    rest = returns.join(wide, "month").select("arm", "month", "ret", *factors).groupBy("arm").applyInPandas(fit, "arm string, month date, left double")
-    rest = rest.withColumn("left", F.nanvl("left", F.lit(None).cast("double")))
+    a = returns.join(wide, "month").select("arm", "month", "ret", *factors)
+    x, k = [*factors, "ret"], len(factors)
+    # sums of products about the means, a row for each arm
+    means = a.groupBy("arm").agg(F.count("*").alias("__n"), *(F.avg(c).alias(f"__m_{c}") for c in x))
+    off = lambda c: F.col(c) - F.col(f"__m_{c}")
+    s = a.join(means, "arm").groupBy("arm", "__n").agg(*(F.sum(off(x[i]) * off(x[j])).alias(f"__s{j}{i}") for i in range(k + 1) for j in range(i, k + 1)))
+    # Cholesky, column by column: l[j][i] for j >= i; a factor that others make up has no pivot, and no part in the fit
+    for i in range(k):
+        pivot = F.col(f"__s{i}{i}") - sum((F.col(f"__l{i}{m}") * F.col(f"__l{i}{m}") for m in range(i)), F.lit(0.0))
+        s = s.withColumn(f"__l{i}{i}", F.when(pivot > 1e-12 * F.col(f"__s{i}{i}"), F.sqrt(F.greatest(pivot, F.lit(0.0)))))
+        for j in range(i + 1, k + 1):
+            rest = F.col(f"__s{j}{i}") - sum((F.col(f"__l{j}{m}") * F.col(f"__l{i}{m}") for m in range(i)), F.lit(0.0))
+            s = s.withColumn(f"__l{j}{i}", F.coalesce(rest / F.col(f"__l{i}{i}"), F.lit(0.0)))
+    for i in reversed(range(k)):
+        known = sum((F.col(f"__l{m}{i}") * F.col(f"__b{m}") for m in range(i + 1, k)), F.lit(0.0))
+        s = s.withColumn(f"__b{i}", F.coalesce((F.col(f"__l{k}{i}") - known) / F.col(f"__l{i}{i}"), F.lit(0.0)))
+    fit = sum((F.col(f"__b{i}") * F.col(f) for i, f in enumerate(factors)), F.lit(0.0))
+    rest = a.join(s.select("arm", "__n", *(f"__b{i}" for i in range(k))), "arm").select("arm", "month", F.when(F.col("__n") >= least, F.col("ret") - fit).alias("left"))
     t = hac_t(rest, "left", ["arm"], "month").select("arm", "t")
     return rest.groupBy("arm").agg(F.count("*").alias("n"), F.avg("left").alias("alpha")).join(t, "arm", "left")
 

@@ -52,7 +52,9 @@ def test_authors_and_links(spark):
     links = entity.author_links(q)
     assert {(r["uid"], r["name"], r["role"], r["confidence"]) for r in links.collect()} == {(1, "홍길동", "lead", 0.98), (1, "김철수", "co", 0.98), (2, "AnnLee", "lead", 0.8), (2, "Bo", "co", 0.8), (4, "홍길동", "lead", 0.98)}
     assert {r["name"] for r in entity.author_master(links).where("ambiguous").collect()} == {"홍길동"}
-    audit = entity.linkage_audit(q, links, F.year("pub_date"), "yr").first()
+    audits = {(r["grouping"], r["value"]): r for r in entity.linkage_audit(q, links, {"yr": F.year("pub_date"), "method": F.col("method")}).collect()}
+    audit = audits["yr", "2020"]
+    assert {k: (r["n"], r["authors"], r["confidence"]) for k, r in audits.items()} == {("yr", "2020"): (4, 5, pytest.approx(2.76 / 3)), ("method", "list_field"): (2, 3, pytest.approx(0.98)), ("method", "pdf_header"): (1, 2, pytest.approx(0.8)), ("method", None): (1, 0, None)}
     assert (audit["n"], audit["with_author"], audit["with_code"], audit["with_target"]) == (4, 0.75, 0.5, 0.25)
 
 
