@@ -131,16 +131,35 @@ def name_in_title(c: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(name, r"\s+", " ")), F.lit(""))
 
 
-def report_fields(c: Column) -> Column:
-    """struct(names, emails, target) of a report's text: names that stand before a title or an address, addresses (both of the first
-    6,000 characters, in order, each once) and the first target price of the first 8,000."""
-    head, title = F.substring(c, 1, 6000), "(?:연구원|애널리스트)"
-    paired = F.regexp_extract_all(head, F.lit(rf"([가-힣]{{2,4}})\s*(?:{title}|수석|책임|선임)?\s*[\d()\s.-]*[A-Za-z0-9._%+-]+@"), 1)
-    names = F.when(F.size(paired) > 0, paired).otherwise(F.regexp_extract_all(head, F.lit(rf"([가-힣]{{2,4}})\s*{title}"), 1))
-    mails = F.regexp_extract_all(head, F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), 0)
-    price = F.regexp_extract(F.substring(c, 1, 8000), r"(?:목표\s*주가|적정\s*주가|TP)\s*[:：(]?\s*(?:원\)?\s*)?([0-9][0-9,]{2,9})", 1)
+def report_fields(c: Column, head: int = 6000, price_head: int = 8000, names_length: int = 120, mails_length: int = 200) -> Column:
+    """struct(names, emails, target) of a report's text, of which the first `head` characters are read for people and `price_head` for
+    prices. People: the word before an address, over titles and telephone numbers, if it is a name (two to four Hangul letters), with
+    that address; where there is none, names before a title and all addresses. target: the first number that follows a price word."""
+    titles = ("연구원", "애널리스트")
+    ranks_ = (*titles, "수석", "책임", "선임")
+    glued = rf"(?<=.)(?:{'|'.join(ranks_)})$"
+    is_mail = lambda w: w.rlike(r"^[\w.%+-]+@[\w.-]*\w\.[A-Za-z]{2,}$")
+    is_name = lambda w: w.rlike("^[가-힣]{2,4}$") & ~w.isin(*ranks_)
+    bare = lambda w: F.regexp_replace(w, glued, "")
+
+    def people(words: Column) -> Column:
+        def before(k: Column) -> Column:
+            back = F.reverse(F.slice(words, F.greatest(k - 5, F.lit(1)), F.least(k, F.lit(6))))
+            return bare(F.get(F.filter(back, lambda w: ~w.isin(*ranks_) & ~w.rlike(r"^[\d.+-]+$")), F.lit(0)))
+
+        paired = F.transform(words, lambda w, k: F.when(is_mail(w) & (k > 0), F.struct(before(k).alias("name"), w.alias("mail"))))
+        paired = F.filter(paired, lambda p: p.isNotNull() & F.coalesce(is_name(p["name"]), F.lit(False)))
+        titled = F.transform(words, lambda w, k: F.when((F.get(words, k + 1).isin(*titles) | w.rlike(rf"..(?:{'|'.join(titles)})$")) & is_name(bare(w)), bare(w)))
+        alone = F.struct(F.filter(titled, lambda w: w.isNotNull()).alias("names"), F.filter(words, is_mail).alias("mails"))
+        both = F.struct(F.transform(paired, lambda p: p["name"]).alias("names"), F.transform(paired, lambda p: p["mail"]).alias("mails"))
+        return F.when(F.size(paired) > 0, both).otherwise(alone)
+
+    words = F.transform(F.split(F.substring(c, 1, head), r"[\s,;()<>]+"), lambda w: F.rtrim(w, F.lit(".")))
+    found = F.get(F.transform(F.array(words), people), F.lit(0))  # bound once
+    after = F.slice(F.split(F.substring(c, 1, price_head), r"(?:목표|적정)\s*주가|TP"), 2, price_head)
+    prices = F.filter(F.transform(after, lambda t: F.regexp_extract(t, r"^[\s:：(원)]*([0-9][0-9,]*)", 1)), lambda n: F.length(n).between(3, 10))
     joined = lambda a, n: F.substring(F.array_join(F.array_distinct(a), ","), 1, n)
-    return F.struct(joined(names, 120).alias("names"), joined(mails, 200).alias("emails"), target_price(price).alias("target"))
+    return F.struct(joined(found["names"], names_length).alias("names"), joined(found["mails"], mails_length).alias("emails"), target_price(F.get(prices, F.lit(0))).alias("target"))
 
 
 def section_cut(c: Column, pattern: str, length: int = 60_000) -> Column:

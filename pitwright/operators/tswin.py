@@ -69,6 +69,33 @@ def ols_residual(df: DataFrame, y: str, q: str, t: str, w, rows: int = 36, ridge
     return a.withColumn("resid", F.when((F.col("__full") == rows) & (F.abs(d) > 0), y_ - fit)).drop("__x", "__ok", "__r", "__full", *(f"__s_{k}" for k in sums))
 
 
+#: Children of a node in the tree over ranges of numbers.
+FAN = 16
+
+
+def _ranges_at(asking: DataFrame, sums: DataFrame, n: int) -> DataFrame:
+    """asking (__s, __block, __side, __rank) with __bucket, the range of numbers that holds that rank among the earlier blocks, and __below,
+    how many of their numbers lie in lower ranges. sums: __s, __bucket, __block, __k; n ranges.
+
+    The way down a tree over the ranges, a level a step: at each node the counts of its children up to the block are running sums
+    along the blocks, so a step costs the counts of a level and FAN rows for each question."""
+    levels = 1
+    while FAN**levels < n:
+        levels += 1
+    at = asking.withColumn("__node", F.lit(0).cast("long")).withColumn("__below", F.lit(0).cast("long"))
+    for level in reversed(range(levels)):
+        counts = sums.groupBy("__s", F.expr(f"__bucket div {FAN**level}").alias("__node"), "__block").agg(F.sum("__k").alias("__k"))
+        children = at.select("*", F.explode(F.sequence(F.lit(0), F.lit(FAN - 1))).alias("__child")).withColumn("__node", F.col("__node") * FAN + F.col("__child"))
+        both = children.withColumn("__k", F.lit(0).cast("long")).unionByName(counts, allowMissingColumns=True)
+        along_blocks = Window.partitionBy("__s", "__node").orderBy("__block", F.col("__side").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        held = both.withColumn("__held", F.sum("__k").over(along_blocks)).where("__side is not null")
+        upto = Window.partitionBy("__s", "__block", "__side").orderBy("__node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        held = held.withColumn("__end", F.col("__below") + F.sum("__held").over(upto))
+        held = held.where((F.col("__end") - F.col("__held") <= F.col("__rank")) & (F.col("__rank") < F.col("__end")))
+        at = written(held.select("__s", "__block", "__side", "__rank", "__node", (F.col("__end") - F.col("__held")).alias("__below")))
+    return at.withColumnRenamed("__node", "__bucket")
+
+
 def _median_history(placed: DataFrame, n: int) -> DataFrame:
     """(__s, __block, __n, __lo, __x, __k): of the __n numbers in earlier blocks of a section those that can still become a median within the
     block, as runs of equal numbers; __lo lie before them. placed: __s, __block, __x, in n blocks."""
@@ -78,19 +105,17 @@ def _median_history(placed: DataFrame, n: int) -> DataFrame:
     asking = placed.groupBy("__s", "__block").agg(F.count("__x").alias("__m")).withColumn("__n", F.sum("__m").over(in_order)).where("__n > 0")
     # each number of the block moves the middle by half a place at most
     asking = asking.select("__s", "__block", "__n", F.greatest(F.lit(0), F.floor((F.col("__n") - F.col("__m") - 1) / 2)).alias("__lo"), F.least(F.col("__n") - 1, F.floor((F.col("__n") + F.col("__m")) / 2)).alias("__hi"))
-    sums = numbers.groupBy("__s", "__bucket", "__block").agg(F.sum("__k").alias("__k"))
-    grid = asking.join(sums.select("__s", "__bucket").distinct(), "__s").select("__s", "__block", "__bucket", "__n", "__lo", "__hi", F.lit(0).cast("long").alias("__k"))
-    both = grid.unionByName(sums, allowMissingColumns=True).groupBy("__s", "__block", "__bucket").agg(F.max("__n").alias("__n"), F.max("__lo").alias("__lo"), F.max("__hi").alias("__hi"), F.sum("__k").alias("__k"))
-    earlier = Window.partitionBy("__s", "__bucket").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    held = both.withColumn("__held", F.sum("__k").over(earlier)).where("__n is not null and __held > 0")
-    below = Window.partitionBy("__s", "__block").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    held = held.withColumn("__below", F.sum("__held").over(below) - F.col("__held")).where("__below <= __hi and __below + __held > __lo")
-    wanted = held.select("__s", "__bucket", F.col("__block").alias("__of"), "__n", "__lo", "__hi", "__below")
-    found = numbers.join(wanted, ["__s", "__bucket"]).where("__block < __of").groupBy("__s", "__of", "__bucket", "__n", "__lo", "__hi", "__below", "__x").agg(F.sum("__k").alias("__k"))
-    upto = Window.partitionBy("__s", "__of", "__bucket").orderBy("__x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    asking = written(asking)
+    sides = asking.select("__s", "__block", F.explode(F.array(*(F.struct(F.lit(k).alias("__side"), F.col(k).alias("__rank")) for k in ("__lo", "__hi")))).alias("__a")).select("__s", "__block", "__a.*")
+    found = _ranges_at(sides, numbers.groupBy("__s", "__bucket", "__block").agg(F.sum("__k").alias("__k")), n)
+    low = found.where("__side = '__lo'").select("__s", "__block", F.col("__bucket").alias("__first"), "__below")
+    high = found.where("__side = '__hi'").select("__s", "__block", F.col("__bucket").alias("__last"))
+    wanted = asking.join(low, ["__s", "__block"]).join(high, ["__s", "__block"]).withColumnRenamed("__block", "__of").withColumn("__bucket", F.explode(F.sequence("__first", "__last")))
+    met = numbers.join(wanted, ["__s", "__bucket"]).where("__block < __of").groupBy("__s", "__of", "__n", "__lo", "__hi", "__below", "__x").agg(F.sum("__k").alias("__k"))
+    upto = Window.partitionBy("__s", "__of").orderBy("__x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.col("__below") + F.sum("__k").over(upto)
     taken = F.least(end, F.col("__hi") + 1) - F.greatest(end - F.col("__k"), F.col("__lo"))
-    return found.select("__s", F.col("__of").alias("__block"), "__n", "__lo", "__x", taken.alias("__k")).where("__k > 0")
+    return met.select("__s", F.col("__of").alias("__block"), "__n", "__lo", "__x", taken.alias("__k")).where("__k > 0")
 
 
 def expanding_median(df: DataFrame, x: str, section: str | None, order: list[str], out: str = "lagged_median", least: int = 30, lagged: bool = True, rows: int = 50_000) -> DataFrame:
@@ -98,13 +123,16 @@ def expanding_median(df: DataFrame, x: str, section: str | None, order: list[str
     row itself. order must tell rows apart.
 
     The rows lie in the order of section and time in blocks of about `rows`, which divide long sections. What came before a block
-    can give it only numbers near its middle, about as many as the block has rows; they are found by counts of blocks and ranges
-    of numbers, so no task holds a section. The counts are as many as the square of a section's blocks.
+    can give it only numbers near its middle, about as many as the block has rows; they are found by going down a tree over ranges of
+    numbers, for all blocks at once, so no task holds a section, and work is the rows times the logarithm of the blocks. Only
+    sections that lie in several blocks are looked at, at most one for each border between blocks.
     """
     names, schema = df.columns, T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
+    df = written(df)
     n = max(1, -(-df.count() // rows))
     s = F.to_json(F.struct(section)) if section else F.lit("")
-    placed = df.withColumns({"__s": s, "__x": F.col(x).cast("double")}).repartitionByRange(n, "__s", *order).withColumn("__block", F.spark_partition_id())
+    base = df.withColumns({"__s": s, "__x": F.col(x).cast("double")})
+    placed = base.repartitionByRange(n, "__s", *order).withColumn("__block", F.spark_partition_id())
 
     def medians(block: pa.Table, history: pa.Table | None = None) -> pa.Table:
         block = block.sort_by([(c, "ascending") for c in order])
@@ -128,7 +156,8 @@ def expanding_median(df: DataFrame, x: str, section: str | None, order: list[str
     if n == 1:  # nothing lies before the only block
         return placed.groupBy("__s", "__block").applyInArrow(lambda block: medians(block), schema)
     placed = written(placed)
-    history = _median_history(placed.select("__s", "__block", "__x"), n)
+    across = placed.groupBy("__s").agg(F.min("__block").alias("__a"), F.max("__block").alias("__b")).where("__a < __b").select("__s")
+    history = _median_history(written(placed.join(across, "__s", "left_semi").select("__s", "__block", "__x")), n)
     return placed.groupBy("__s", "__block").cogroup(history.groupBy("__s", "__block")).applyInArrow(medians, schema)
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pitwright.operators import names, xsec
+from pitwright.operators import names, tswin, xsec
 from pitwright.plans.demos import _ZPANEL, demo, r, table, zpanel
+from pitwright.sources.roles import role
 
 # ---- cells that are too large for a task
 
@@ -16,6 +17,13 @@ def xsec_rank_hot(spark, sf):
     return xsec.rank_pct(zpanel(spark, sf).withColumn("all", F.lit("all")), "v", "all", "p", rows=3000).select("code", "month", r("p", 6).alias("p"))
 
 
+@demo("""select code, month, case when row_number() over w > 30 then round(median(volume) over (partition by code % 7 order by month, code rows between unbounded preceding and 1 preceding), 4) end as lagged_median from ({panel}) p window w as (partition by code % 7 order by month, code)""")
+def expanding_median_blocks(spark, sf):
+    """Sections of a seventh of all rows, in blocks of 900."""
+    p = role(spark, sf, "panel").withColumn("g", F.col("code") % 7)
+    return tswin.expanding_median(p, "volume", "g", ["month", "code"], rows=900).select("code", "month", r("lagged_median").alias("lagged_median"))
+
+
 # ---- names as sets of words
 
 _WORDS = "(select s_suppkey as code, lower(n_name) || ' ' || translate(lpad(s_suppkey::varchar, 5, '0'), '0123456789', 'qwrtpsdfgh') || ' trading house' as name from supplier join nation on n_nationkey = s_nationkey)"

@@ -208,12 +208,12 @@ def norm_report(spark, sf):
     return table(spark, sf, "supplier").select(k, X.undo_repeat(F.concat("s_name", "s_name")).alias("title"), X.target_price(price).alias("target"), X.opinion(said).alias("opinion"), X.code_in_title(title).alias("told"), X.name_in_title(title).alias("firm"))
 
 
-@demo("""select s_suppkey, case when s_suppkey % 2 = 0 then '홍길동,김유신' else '이순신' end as names, case when s_suppkey % 2 = 0 then 'a' || s_suppkey || '@x.co.kr,b@y.com' else 'only@z.kr' end as emails, case when s_suppkey % 3 = 0 then cast(s_suppkey * 100 + 1000 as double) end as target from supplier where s_suppkey > 0""")
+@demo("""select s_suppkey, case when s_suppkey % 2 = 0 then '홍길동,김유신' else '이순신' end as names, case when s_suppkey % 2 = 0 then 'a' || s_suppkey || '@x.co.kr,b@y.com' else 'only@z.kr' end as emails, case when s_suppkey % 3 = 0 then cast(s_suppkey * 100 + 1000 as double) end as target from supplier""")
 def report_texts(spark, sf):
     k = F.col("s_suppkey")
     who = F.when(k % 2 == 0, F.concat(F.lit("홍길동 연구원 (02-123-4567) a"), k, F.lit("@x.co.kr\n김유신 b@y.com 김유신 b@y.com"))).otherwise("애널리스트 이순신 연구원 / only@z.kr")
     text = F.concat(who, F.when(k % 3 == 0, F.concat(F.lit(" 목표 주가: "), F.format_number(k * 100 + 1000, 0), F.lit("원"))).otherwise(" 목표주가 없음"))
-    return table(spark, sf, "supplier").where("s_suppkey > 0").select(k, X.report_fields(text).alias("x")).select("s_suppkey", "x.names", "x.emails", "x.target")
+    return table(spark, sf, "supplier").select(k, X.report_fields(text).alias("x")).select("s_suppkey", "x.names", "x.emails", "x.target")
 
 
 @demo("select s_suppkey, 'kg 12 Fi Corp' as wide, 'abc' || s_suppkey as firm from supplier")

@@ -11,14 +11,28 @@ from pyspark.sql import functions as F
 _FALLBACK: dict[str, str] = {}
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; in local mode, where that is unset, a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+def _folder(spark: SparkSession) -> str:
+    """The folder of this application below spark.checkpoint.dir; in local mode, where that is unset, a temporary one."""
+    base, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
     if not base:
         if not (spark.sparkContext.master or "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = _FALLBACK.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="pitwright-"))
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+        return _FALLBACK.setdefault(app, "file://" + tempfile.mkdtemp(prefix="pitwright-"))
+    return f"{base.rstrip('/')}/pitwright-{app}"
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder in that of this application."""
+    return f"{_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application has written between its steps. Results read them: call it when these lie elsewhere."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(_folder(spark))
+    if store.get_file_info(path).type == fs.FileType.Directory:
+        store.delete_dir_contents(path)
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -39,10 +53,10 @@ def versions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def newest_version(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of a table; the filter is on the folder's name, so the others aren't read."""
-    every = versions(spark, path)
-    newest = every.select("version").distinct().agg(F.max("version")).first()[0]
-    return every.where(F.col("version") == newest).drop("version")
+    """The newest version of a table. Which one that is stands in the folders' names; no rows are read to find it."""
+    parts = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.regexp_extract("path", r"/version=(\d+)/", 1).cast("int").alias("version"))
+    newest = parts.agg(F.max("version")).first()[0]
+    return spark.read.parquet(f"{path}/version={newest}")
 
 
 def put_csv(df: DataFrame, path: str) -> None:
@@ -58,11 +72,22 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.option("mode", "DROPMALFORMED").schema(schema).json(path)
 
 
+def _first_day(text: Column) -> Column:
+    """The first day of this century in a text: eight digits, with or without other signs between year, month and day."""
+
+    def tried(groups: Column) -> Column:
+        at = lambda k: F.coalesce(F.get(groups, k), F.lit(""))
+        digits = F.transform(groups, lambda g, k: F.when(F.length(g) >= 4, F.substring(F.concat(g, at(k + 1), at(k + 2)), 1, 8)))
+        days = F.transform(digits, lambda d: F.when(d.rlike(r"^20\d{6}$"), F.concat_ws("-", F.substring(d, 1, 4), F.substring(d, 5, 2), F.substring(d, 7, 2)).try_cast("date")))
+        return F.get(F.filter(days, lambda d: d.isNotNull()), F.lit(0))
+
+    return F.get(F.transform(F.array(F.split(text, r"\D+")), tried), F.lit(0))
+
+
 def day_in_path(path: Column) -> Column:
-    """The last day of this century (20yy-mm-dd, with -, _, . or nothing between) in a path; NULL where there is none."""
-    found = F.regexp_extract(path, r".*(20\d{2})[-_.]?(0[1-9]|1[0-2])[-_.]?([0-2]\d|3[01])(?!\d)", 0)
-    parts = [F.regexp_extract(found, r".*(20\d{2})[-_.]?(0[1-9]|1[0-2])[-_.]?([0-2]\d|3[01])$", k) for k in (1, 2, 3)]
-    return F.concat_ws("-", *parts).try_cast("date")
+    """The first day in the file's name, else the first in its folder's; NULL where there is none."""
+    parts = F.split(path, "/")
+    return F.coalesce(_first_day(F.element_at(parts, -1)), _first_day(F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), "/")))
 
 
 def inventory(spark: SparkSession, path: str, kinds: dict[str, str]) -> DataFrame:

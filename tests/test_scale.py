@@ -138,5 +138,9 @@ def test_names_texts_and_files(spark):
     assert one(X.amount(F.lit("−1,234"))) == -1234 and one(X.amount(F.lit("x"))) is None
     assert one(X.norm_company(F.lit("(주)가나다 Co., Ltd."))) == "가나다" and one(X.norm_company(F.lit("주식회사가나다"))) == "가나다"
     assert one(files.day_in_path(F.lit("/a/2019-01-02/b_20210430.pdf"))) == D(2021, 4, 30) and one(files.day_in_path(F.lit("/a/1999-01-02/x"))) is None
+    assert one(files.day_in_path(F.lit("/a/2019-01-02/rep_20200304_20210506.pdf"))) == D(2020, 3, 4) and one(files.day_in_path(F.lit("/a/2019.01.02/2018/rep_20201399.pdf"))) == D(2019, 1, 2)
+    people = one(X.report_fields(F.lit("담당 홍길동연구원 (02-123-4567) hong.gd@x.co.kr. / 김유신 수석 kim@y.com\nTP(원) 12,500 목표주가 9,000")))
+    assert (people["names"], people["emails"], people["target"]) == ("홍길동,김유신", "hong.gd@x.co.kr,kim@y.com", 12500.0)
+    assert one(X.report_fields(F.lit("no one")))["names"] == "" and one(X.report_fields(F.lit(None).cast("string")))["target"] is None
     with pytest.raises(ValueError):
         audits.unique_columns(spark.range(1).select("id", "id"))
