@@ -95,6 +95,21 @@ def fired_products(df: DataFrame, products: list[str], above: float = 1.0) -> Da
     return wide.select(F.explode(F.array(*parts)).alias("x")).select("x.*")
 
 
+def state_mix(df: DataFrame, state: str = "D_state") -> DataFrame:
+    """(state, n, share): how many rows are in each state, and their share of all rows."""
+    counts = df.groupBy(F.col(state).alias("state")).agg(F.count("*").alias("n"))  # a row for each state
+    return counts.crossJoin(F.broadcast(df.agg(F.count("*").alias("__all")))).select("state", "n", (F.col("n") / F.greatest("__all", F.lit(1))).alias("share"))
+
+
+def merge_violations(merged: DataFrame, again: DataFrame, key: str) -> DataFrame:
+    """Q8: keys of a merge that merging again loses, adds or changes, and keys that stand in it more than once."""
+    columns = [c for c in merged.columns if c != key]
+    hashed = lambda df, name: df.groupBy(key).agg(F.count("*").alias(f"{name}_n"), F.min(F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\1")) for c in columns))).alias(name))
+    both = hashed(merged, "a").join(hashed(again, "b"), key, "full")
+    a, b = F.col("a"), F.col("b")
+    return _counts(both, lost=b.isNull(), added=a.isNull(), changed=a.isNotNull() & b.isNotNull() & (a != b), twice=F.greatest("a_n", "b_n") > 1)
+
+
 def axis_coverage(df: DataFrame, axes: list[str], ranks: list[str]) -> DataFrame:
     """(axis, coverage, upper): the share of rows that have an axis, and that rank at a half or above."""
     share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))

@@ -80,10 +80,13 @@ def coverage_gaps(held: DataFrame, wanted: DataFrame, key: str, day: str, start:
     return gaps.join(fresh, key, "left").where(F.col("__asked").isNull() | (F.col("from_day") < F.col("__asked"))).drop("__asked")
 
 
-def set_coverage(df: DataFrame, group: str, kind: str, required: list[str]) -> DataFrame:
-    """(group, missing): missing is the number of required kinds that the group lacks."""
-    need = F.array(*(F.lit(x) for x in required))
-    return df.groupBy(group).agg(F.size(F.array_except(need, F.collect_set(kind))).alias("missing"))
+def set_coverage(df: DataFrame, group: str, kind: str, required: list[str] | None = None) -> DataFrame:
+    """(group, missing): missing is the number of required kinds that the group lacks; required: by default all kinds of df."""
+    if required is not None:
+        need = F.array(*(F.lit(x) for x in required))
+        return df.groupBy(group).agg(F.size(F.array_except(need, F.collect_set(kind))).alias("missing"))
+    pairs = df.select(group, kind).distinct()
+    return pairs.groupBy(group).agg(F.count(kind).alias("__n")).crossJoin(F.broadcast(df.agg(F.count_distinct(kind).alias("__all")))).select(group, (F.col("__all") - F.col("__n")).alias("missing"))
 
 
 #: What stands for a missing value in a text column.

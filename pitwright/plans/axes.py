@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pitwright.functions.exprs import dlog, row_mean, safe_div, state_label
 from pitwright.operators import ranks, xsec
+from pitwright.operators.pit import asof_join
 from pitwright.operators.tswin import along, slope
 
 CELLS = ("cell", "cell_l2", "cell_l3")
@@ -144,16 +145,29 @@ def score(df: DataFrame, axes: list[str], least_axes: int = 2) -> DataFrame:
     return a.withColumnsRenamed({f"{c}_0": c for c in ("E_raw", "E", "FLOOR", "Signal", "Signal_rank")})
 
 
-def award_features(awards: DataFrame) -> DataFrame:
-    """(code, month, award, win_rate, hhi_org, q1, q2, q3): growth of 12-row sums (6 at least), and 12-row changes of rate and concentration."""
+def award_months(awards: DataFrame, delay_days: int = 15) -> DataFrame:
+    """(code, month, known, award, win_rate, hhi_org, n_award): the awards of a month, known so many days after its end."""
     rate = F.when(F.col("rate").between(50, 120), F.col("rate")).otherwise(safe_div(F.col("award"), F.col("plan")) * 100)
-    g = awards.withColumn("__rate", rate).groupBy("code", "month", "org").agg(F.sum("award").alias("a"), F.sum("__rate").alias("r"), F.count("__rate").alias("n"))
-    a = g.groupBy("code", "month").agg(F.sum("a").alias("award"), safe_div(F.sum("r"), F.sum("n")).alias("win_rate"), (F.sum(F.col("a") * F.col("a")) / F.pow(F.sum("a"), F.lit(2))).alias("hhi_org"))
+    g = awards.withColumn("__rate", rate).groupBy("code", "month", "org").agg(F.sum("award").alias("a"), F.sum("__rate").alias("r"), F.count("__rate").alias("n"), F.count("*").alias("k"))
+    return g.groupBy("code", "month").agg(F.date_add("month", delay_days).alias("known"), F.sum("a").alias("award"), safe_div(F.sum("r"), F.sum("n")).alias("win_rate"), (F.sum(F.col("a") * F.col("a")) / F.pow(F.sum("a"), F.lit(2))).alias("hhi_org"), F.sum("k").alias("n_award"))
+
+
+def award_features(panel: DataFrame, awards: DataFrame) -> DataFrame:
+    """panel with the newest awards that were known, and q1, q2, q3: growth of 12-row sums (6 at least), and 12-row changes of rate and
+    concentration."""
+    a = asof_join(panel, award_months(awards), "code", "month", "known", ["award", "win_rate", "hhi_org", "n_award"], ["month"])
     f = along().rowsBetween(-11, 0)
     a = a.withColumn("__sum", F.when(F.count("award").over(f) >= 6, F.sum("award").over(f)))
     return a.withColumns({"q1": dlog(F.col("__sum"), _back("__sum")), "q2": F.col("win_rate") - _back("win_rate"), "q3": _back("hhi_org") - F.col("hhi_org")}).drop("__sum")
 
 
+def procurement_axis(df: DataFrame) -> DataFrame:
+    """df with TP_Q1, TP_Q2 and E_P: orders that grow, or come from more places, while the rate of winning holds."""
+    a = standardised(df, {f"__z_{c}": c for c in ("q1", "q2", "q3")})
+    a = a.withColumns({"TP_Q1": F.col("__z_q1") * F.col("__z_q2"), "TP_Q2": F.col("__z_q3") * F.col("__z_q2")})
+    return a.withColumn("E_P", row_mean(F.col("TP_Q1"), F.col("TP_Q2"))).drop("__z_q1", "__z_q2", "__z_q3")
+
+
 def text_similarity(texts: DataFrame, keys: list[str], order: str, gap: int = 2) -> DataFrame:
     """keys, order and sim: cosine of the word counts of each text and the one before it of the same key, if at most gap apart.
 

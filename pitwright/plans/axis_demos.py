@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pitwright.functions import exprs as X
 from pitwright.operators import pit, universe, vetoes, xsec
 from pitwright.plans import axes, portfolio, robustness
-from pitwright.plans.demos import _LAGS, _RET, _SUMS, _ZPANEL, demo, ORACLE, r, returns, table
+from pitwright.plans.demos import _LAGS, _RET, _SUMS, _ZPANEL, demo, ORACLE, r, returns, table, zpanel
 from pitwright.sources.roles import for_checking, role
 
 _FUND = "revenue_ttm cogs_ttm op_income_ttm net_income_ttm cfo_ttm capex_ttm dep_ttm inventory receivable payable assets equity ppe payroll liabilities employees".split()
@@ -237,11 +237,15 @@ def consensus_signals(spark, sf):
     return c.select("code", "month", "n_analyst", r("tp_median").alias("tp_median"), "rev_up", "rev_dn", r("d2", 6).alias("d2"), "d4")
 
 
-@demo(f"""select code, month, round(q1, 4) as q1, round(q2, 4) as q2, round(q3, 4) as q3 from (select code, month, {_dlog("s12", "lag(s12, 12) over w")} as q1, win_rate - lag(win_rate, 12) over w as q2, lag(hhi, 12) over w - hhi as q3 from (select *, case when count(award) over v >= 6 then sum(award) over v end as s12 from
- (select code, month, sum(a) as award, sum(rr) / sum(n) as win_rate, sum(a * a) / (sum(a) * sum(a)) as hhi from (select code, month, org, sum(award) as a, sum(case when rate between 50 and 120 then rate else award / plan * 100 end) as rr, count(*) as n from ({{awards}}) z group by code, month, org) y group by code, month) x
- window v as (partition by code order by month rows between 11 preceding and current row)) u {_W}) t""")
+_AWARDED = """(select code, month, cast(month + interval 15 day as date) as known, sum(a) as award, sum(rr) / sum(n) as win_rate, sum(a * a) / (sum(a) * sum(a)) as hhi from (select code, month, org, sum(award) as a, sum(case when rate between 50 and 120 then rate else award / plan * 100 end) as rr, count(*) as n from ({awards}) z group by code, month, org) y group by code, month)"""
+_Q_PANEL = f"""(select *, {_dlog("s12", "lag(s12, 12) over w")} as q1, win_rate - lag(win_rate, 12) over w as q2, lag(hhi, 12) over w - hhi as q3 from (select *, case when count(award) over v >= 6 then sum(award) over v end as s12 from
+ (select p.*, t.award, t.win_rate, t.hhi from {_ZPANEL} p asof left join {_AWARDED} t on t.code = p.code and p.month >= t.known) x window v as (partition by code order by month rows between 11 preceding and current row)) u {_W})"""
+
+
+@demo(f"""select code, month, round(q1, 4) as q1, round(q2, 4) as q2, round(q3, 4) as q3, round(tp1, 4) as tp_q1, round(tp2, 4) as tp_q2, round({_mean("tp1", "tp2")}, 4) as e_p from (select *, z_q1 * z_q2 as tp1, z_q3 * z_q2 as tp2 from {_chain(_labelled(_Q_PANEL), "q1", "q2", "q3")} t) u""")
 def procurement_pack(spark, sf):
-    return rounded(axes.award_features(role(spark, sf, "awards")), ["code", "month"], ["q1", "q2", "q3"])
+    p = axes.procurement_axis(xsec.cells(axes.award_features(zpanel(spark, sf), role(spark, sf, "awards")), "month", "industry", "bucket"))
+    return rounded(p.withColumnsRenamed({"TP_Q1": "tp_q1", "TP_Q2": "tp_q2", "E_P": "e_p"}), ["code", "month"], ["q1", "q2", "q3", "tp_q1", "tp_q2", "e_p"])
 
 
 @demo("""with t as (select conv_id, role, turn, w, count(*)::double as n from (select conv_id, role, turn, unnest(string_split_regex(regexp_replace(text, '[^\\p{L}\\p{N}]', ' ', 'g'), ' +')) as w from conversations) a where length(w) >= 2 group by all),

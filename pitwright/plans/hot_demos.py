@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pitwright.operators import names, tswin, xsec
+from pitwright.operators import audits, ledger, names, tswin, xsec
+from pitwright.plans.axis_demos import _D, dpanel
 from pitwright.plans.demos import _ZPANEL, demo, r, table, zpanel
 from pitwright.sources.roles import role
 
@@ -52,3 +53,23 @@ def token_matches(spark, sf):
     for i, e in enumerate(kinds):
         changed = F.when(k % 6 == i, e).otherwise(changed)
     return names.token_set_matches(right.select(changed.alias("name")), right, "name", "code").withColumn("score", r("score", 6))
+
+
+# ---- audits
+
+
+@demo(f"""select state, count(*) as n, round(count(*) / (select count(*) from {_D} e), 6) as share from (select case when dlog_e > 0 and dlog_m <= 0 then 'neglect' when dlog_e > 0 and dlog_m > 0 then 'growth' when dlog_e <= 0 and dlog_m > 0 then 'hope' else 'decline' end as state from {_D} d) s group by state""")
+def state_mix(spark, sf):
+    return audits.state_mix(dpanel(spark, sf)).select("state", "n", r("share", 6).alias("share"))
+
+
+@demo("""with m as (select o_custkey as key, min(o_orderkey) as uid, max(o_totalprice) as target from orders group by o_custkey), x as (select key, case when key % 7 = 1 then target + 1 else target end as target from m where key % 5 > 0 union all select -key, target from m where key % 11 = 2),
+ j as (select m.key as a, x.key as b, m.target as t, x.target as u from m full join x on x.key = m.key) select 'lost' as rule, count(*) filter (b is null) as violations from j union all select 'added', count(*) filter (a is null) from j union all select 'changed', count(*) filter (t <> u) from j union all select 'twice', 0""")
+def check_merge(spark, sf):
+    """A merge of orders by customer, against one in which keys are lost, added and changed."""
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("uid"), F.to_date("o_orderdate").alias("pub_date"), F.col("o_orderpriority").alias("title"), F.col("o_totalprice").alias("target"), F.lit("a").alias("source"))
+    once = ledger.ledger_merge(o, "key")
+    k = F.col("key")
+    again = ledger.ledger_merge(once.unionByName(o), "key")
+    wrong = again.where(k % 5 > 0).withColumn("target", F.when(k % 7 == 1, F.col("target") + 1).otherwise(F.col("target")))
+    return audits.merge_violations(once, wrong.unionByName(again.where(k % 11 == 2).withColumn("key", -k)), "key")

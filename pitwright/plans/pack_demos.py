@@ -224,9 +224,9 @@ def norm_wide(spark, sf):
     return s.withColumn("wide", F.replace("wide", F.lit("fi"), F.lit("Fi")))
 
 
-@demo("select page_id, substr(substr(t, strpos(t, ' the ')), 1, 200) as part from (select page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') as t from pages) p where strpos(t, ' the ') > 0")
+@demo("select page_id, substr(substr(t, strpos(t, ' the ')), 1, 60000) as part from (select page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') as t from pages) p where strpos(t, ' the ') > 0")
 def section_extract(spark, sf):
-    return table(spark, sf, "pages").select("page_id", X.section_cut(F.col("html"), " the ", 200).alias("part")).where("part is not null")
+    return table(spark, sf, "pages").select("page_id", X.section_cut(F.col("html"), " the ").alias("part")).where("part is not null")
 
 
 # ---- tables, audits, cards

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pitwright.functions import exprs as X
-from pitwright.operators import audits, entity, ledger, pit, prices, statements, tswin, universe
+from pitwright.operators import audits, entity, ledger, pit, prices, statements, tswin, universe, vetoes, xsec
 from pitwright.plans import axes, texts
-from pitwright.plans.axis_demos import _SNAP, snapshots
-from pitwright.plans.demos import _PRICES, demo, gapped, r, table
+from pitwright.plans.axis_demos import _SNAP, _labelled, _sql_rank, _sql_z, snapshots
+from pitwright.plans.demos import _PRICES, _ZPANEL, demo, gapped, r, table, zpanel
 from pitwright.sources import files
 from pitwright.sources.roles import role
 
@@ -244,7 +244,22 @@ def pack_text(spark, sf):
     return out.select(F.col("corp").alias("code"), "month", r("sim_risk", 9).alias("sim_risk"), r("sim_all", 9).alias("sim_all"))
 
 
-@demo(f"select corp, section, n, w, k::bigint as k, place from (select *, row_number() over (partition by corp, section, n order by k desc, w) as place from {_TOK} t) x where place <= 5")
+_FILED = f"(select p.*, round(t.sim_risk, 6) as sim_risk, round(t.sim_all, 6) as sim_all from (select *, code % 40 as corp from {_ZPANEL} z0) p asof left join (select corp, day, avg(norm) filter (section in ('de', 'fr')) as sim_risk, avg(norm) as sim_all from {_NORM} n0 group by corp, day) t on t.corp = p.corp and p.month >= t.day)"
+
+
+@demo(f"""select code, month, round(pct, 6) as sim_risk_pct, round(e_d, 4) as e_d, case when coalesce(round(pct, 6) < 0.05, false) then 0 else 1 end as v7 from {_sql_z(_sql_rank(_labelled(_FILED), "sim_risk", "pct"), "sim_all", "e_d")} f""")
+def text_axis(spark, sf):
+    """The text axis in the cells of a panel, and the veto of sections that differ most from those before."""
+    s = axes.text_similarity(filings(spark, sf), ["corp", "section"], "n").withColumn("sim", r("sim", 6))
+    s = s.join(filings(spark, sf).select("corp", "section", "n", "day"), ["corp", "section", "n"])
+    t = texts.by_filing(texts.normalised(s, "sim", "section", ["day", "corp"]), "corp", "day", ["de", "fr"])
+    p = pit.asof_join(zpanel(spark, sf).withColumn("corp", F.col("code") % 40), t, "corp", "month", "day", ["sim_risk", "sim_all"], ["corp"])
+    p = p.withColumns({"sim_risk": r("sim_risk", 6), "sim_all": r("sim_all", 6)})
+    a = texts.text_axis(xsec.cells(p, "month", "industry", "bucket")).withColumn("sim_risk_pct", r("sim_risk_pct", 6))
+    return vetoes.vetoes(a).select("code", "month", "sim_risk_pct", r("E_D").alias("e_d"), F.col("V7").alias("v7"))
+
+
+@demo(f"select corp, section, n, w, k::bigint as k, place from (select *, row_number() over (partition by corp, section, n order by k desc, w) as place from {_TOK} t) x where place <= 400")
 def top_tokens(spark, sf):
-    t = texts.top_tokens(filings(spark, sf), ["corp", "section", "n"], "text", 5)
+    t = texts.top_tokens(filings(spark, sf), ["corp", "section", "n"], "text")
     return t.select("corp", "section", "n", F.col("token").alias("w"), F.col("count").alias("k"), "place")
