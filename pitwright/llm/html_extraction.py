@@ -76,7 +76,11 @@ FURNITURE = set("head nav footer aside form button select menu dialog input fiel
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 CLASS_WORDS = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer cookie cookies consent gdpr "
-    "notice popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments disqus widget toolbar pagination pager skip paywall masthead".split()
+    "notice popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments disqus widget toolbar pagination pager skip paywall masthead "
+    # comments, adverts and notices of other themes and languages
+    "commentlist commentform respond replies discussion discuss kommentar kommentare kommentarliste commentaire commentaires comentario comentarios respuestas reponses antworten diskussion "
+    "werbung werbeanzeige anzeige anzeigen publicidad anuncio anuncios publicite reclame hinweis hinweise aviso avisos avertissement disclaimer alert seitenleiste fusszeile kopfzeile barre "
+    "pied menue verwandt relacionados".split()
 )
 #: Words that leave a name of furniture one.
 NEUTRAL_WORDS = set(
@@ -84,7 +88,10 @@ NEUTRAL_WORDS = set(
     "list local main message mobile module outer page panel placeholder post posts primary region right row section secondary site slot small sticky text thread title top unit view wide wrap wrapper zone".split()
 )
 #: Of CLASS_WORDS, those that name what may be longer than the article, not how a page is laid out; and the shares of a page's text from which on class words don't count.
-ASIDE_WORDS = set("ad ads advert adverts advertisement advertising cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login related recommended comment comments disqus paywall".split())
+ASIDE_WORDS = set(
+    "ad ads advert adverts advertisement advertising cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login related recommended comment comments disqus paywall "
+    "commentlist commentform respond replies discussion discuss kommentar kommentare kommentarliste commentaire commentaires comentario comentarios respuestas reponses antworten diskussion "
+    "werbung werbeanzeige anzeige anzeigen publicidad anuncio anuncios publicite reclame hinweis hinweise aviso avisos avertissement disclaimer alert verwandt relacionados".split())
 MOST = {"c": 0.5, "t": 0.9}
 NEVER_BY_CLASS = {"html", "body", "main", "article"}
 TEXTUAL = set("p h1 h2 h3 h4 h5 h6 blockquote pre li td th dd dt figcaption".split())

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from pitwright.llm.common import cut, new_path
 
-ARCHIVE_BYTES, CHUNK = 256 << 20, 1 << 20
+ARCHIVE_BYTES, CHUNK = 256 << 20, 1 << 16
 _EPOCH = "1970-01-01T00:00:00Z"  # records carry no clock: equal tables make equal archives
 
 
@@ -41,8 +41,12 @@ def record_urn(page_id: int | None) -> str:
     return f"<urn:uuid:{uuid.UUID(int=1 << 64 if page_id is None else page_id % (1 << 64))}>"
 
 
-def urn_id(urn: str) -> int | None:
-    n = uuid.UUID(urn.strip("<>").removeprefix("urn:uuid:")).int
+def urn_id(urn: str | None) -> int | None:
+    """The page id in a record's id; None for ids that others have given."""
+    try:
+        n = uuid.UUID((urn or "").strip("<>").removeprefix("urn:uuid:")).int
+    except ValueError:
+        return None
     return None if n >> 64 else n - (1 << 64) if n >> 63 else n
 
 
@@ -75,23 +79,40 @@ def members(stream, chunk: int = CHUNK) -> Iterator[bytes]:
 
 
 def _fields(head: bytes) -> dict[str, str]:
-    return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode("utf-8").split("\r\n")[1:])}
+    lines = head.decode("utf-8", "replace").replace("\r\n ", " ").replace("\r\n\t", " ").split("\r\n")  # a line may be folded
+    return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
+
+
+def _agrees(told: str | None, data: bytes) -> bool:
+    """Whether data has the digest that a field tells, in base32 or hexadecimal; one that isn't told, or of an unknown kind, counts."""
+    kind, _, value = (told or "").partition(":")
+    if kind.lower() not in ("sha1", "sha256", "md5"):
+        return True
+    own = hashlib.new(kind.lower(), data).digest()
+    return value.rstrip("=").upper() in (base64.b32encode(own).decode().rstrip("="), own.hex().upper())
+
+
+#: Records whose block is an HTTP message.
+HTTP_RECORDS = ("response", "revisit", "request")
 
 
 def decode_record(data: bytes) -> dict:
+    """The parts of a record of any type. Digests are verified where they are told; a response's length where HTTP tells it."""
     head, found, rest = data.partition(b"\r\n\r\n")
-    if not found or not head.startswith(b"WARC/1."):
+    if not found or not head.startswith(b"WARC/"):
         raise ValueError("not a WARC record")
     f = _fields(head)
-    n = int(f["content-length"])
+    n, kind, name = int(f["content-length"]), f.get("warc-type", "unknown"), f.get("warc-record-id")
     block = rest[:n]
-    if len(block) != n or rest[n:] != b"\r\n\r\n" or f["warc-block-digest"] != f"sha1:{digest(block)}":
-        raise ValueError(f"record {f['warc-record-id']}: its block doesn't verify")
-    http, _, payload = block.partition(b"\r\n\r\n")
-    size, kind, sha = int(_fields(http)["content-length"]), f["warc-type"], f["warc-payload-digest"].removeprefix("sha1:")
-    if kind == "response" and (len(payload) != size or digest(payload) != sha):
-        raise ValueError(f"record {f['warc-record-id']}: its payload doesn't verify")
-    return {"id": urn_id(f["warc-record-id"]), "url": f.get("warc-target-uri"), "payload": payload if kind == "response" else None, "payload_bytes": size, "payload_digest": sha, "record_type": kind, "refers_to": urn_id(f["warc-refers-to"]) if kind == "revisit" else None}
+    if len(block) != n or rest[n:] != b"\r\n\r\n" or not _agrees(f.get("warc-block-digest"), block):
+        raise ValueError(f"record {name}: its block doesn't verify")
+    http, between, payload = block.partition(b"\r\n\r\n") if kind in HTTP_RECORDS and not f.get("content-type", "application/http").startswith("text/") else (b"", b"", block)
+    told = _fields(http).get("content-length") if between else None
+    size = int(told) if told and told.isdigit() and kind != "request" else len(payload)
+    if kind == "response" and (len(payload) != size or not _agrees(f.get("warc-payload-digest"), payload)):
+        raise ValueError(f"record {name}: its payload doesn't verify")
+    sha = f.get("warc-payload-digest", "").removeprefix("sha1:") or (None if kind == "revisit" else digest(payload))
+    return {"id": urn_id(name), "record_id": name, "url": f.get("warc-target-uri"), "payload": None if kind == "revisit" else payload, "payload_bytes": size, "payload_digest": sha, "record_type": kind, "refers_to": urn_id(f.get("warc-refers-to")) if kind == "revisit" else None}
 
 
 def _filesystem(uri: str):
@@ -120,7 +141,7 @@ def write(pages: DataFrame, folder: str | None = None, id_col: str = "page_id",
             for page_id, url, n, sha, to, payload in zip(b["id"], b["url"], b["size"], b["sha"], b["refers_to"], b["payload"], strict=True):
                 if sink is None:
                     name, records, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
-                    sink = fs.open_output_stream(f"{base}/{name}")
+                    sink = fs.open_output_stream(f"{base}/{name}", compression=None)  # by the name it would compress again
                 known = None if pd.isna(page_id) else int(page_id)
                 data = encode_record(known, url, payload or b"", int(n), base64.b32encode(bytes.fromhex(sha)).decode(), None if pd.isna(to) else int(to))
                 sink.write(data)
@@ -139,11 +160,12 @@ def write(pages: DataFrame, folder: str | None = None, id_col: str = "page_id",
 
 
 def read(manifest: DataFrame, payloads: bool = True) -> DataFrame:
-    """A row for each record of the manifest's archives: id, url, payload (of responses, if asked for), payload_bytes,
-    payload_digest, record_type, refers_to."""
+    """A row for each record of the manifest's archives: id, record_id, url, payload (if asked for; revisits have none),
+    payload_bytes, payload_digest, record_type, refers_to. Archives of others are read too: their manifest has NULL for records,
+    and their records' ids are in record_id alone."""
     n = max(1, manifest.count())
-    columns = ["id", "url", *(["payload"] if payloads else []), "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    kinds = {"id": "decimal(20,0)", "url": "string", "payload": "binary", "payload_bytes": "long", "payload_digest": "string", "record_type": "string", "refers_to": "decimal(20,0)"}
+    columns = ["id", "record_id", "url", *(["payload"] if payloads else []), "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    kinds = {"id": "decimal(20,0)", "record_id": "string", "url": "string", "payload": "binary", "payload_bytes": "long", "payload_digest": "string", "record_type": "string", "refers_to": "decimal(20,0)"}
 
     def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from decimal import Decimal
@@ -152,7 +174,7 @@ def read(manifest: DataFrame, payloads: bool = True) -> DataFrame:
             for archive, expected in zip(b["archive"], b["records"], strict=True):
                 fs, path = _filesystem(archive)
                 some, held, seen = [], 0, 0
-                with fs.open_input_stream(path) as stream:
+                with fs.open_input_stream(path, compression=None) as stream:
                     for data in members(stream):
                         r = decode_record(data)
                         some.append([Decimal(r[c]) if c in ("id", "refers_to") and r[c] is not None else r[c] for c in columns])
@@ -160,7 +182,7 @@ def read(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                         if held >= 8 << 20 or len(some) >= 10_000:
                             yield pd.DataFrame(some, columns=columns)
                             some, held = [], 0
-                if seen != expected:
+                if not pd.isna(expected) and seen != expected:
                     raise ValueError(f"{archive}: {seen} records, {expected} expected")
                 yield pd.DataFrame(some, columns=columns)
 
