@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
 
@@ -37,6 +38,31 @@ ROLES = {
 }
 
 
+#: What roles read of each table.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_nationkey int, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_type string",
+    "orders": "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_shipdate timestamp",
+}
+#: Types that are read as a declared one without loss.
+READ_AS = {"int": {"int", "smallint", "tinyint"}, "bigint": {"bigint", "int", "smallint", "tinyint"}, "double": {"double", "float", "bigint", "int"}, "timestamp": {"timestamp", "timestamp_ntz", "date"}, "string": {"string"}, "date": {"date"}}
+
+
+def conforming(df: DataFrame, schema: str) -> DataFrame:
+    """df with the declared columns in their declared types, other columns as they are; an error names all that are absent or of a type
+    that can't be read as the declared one without loss."""
+    kinds = dict(df.dtypes)
+    wanted = {f.name: f.dataType.simpleString() for f in T.StructType.fromDDL(schema).fields}
+    wrong = [f"{c} {k}: {kinds.get(c, 'absent')}" for c, k in wanted.items() if kinds.get(c) not in READ_AS.get(k, {k})]
+    if wrong:
+        raise TypeError("not as declared: " + ", ".join(wrong))
+    return df.withColumns({c: df[c].cast(k) for c, k in wanted.items() if kinds[c] != k})
+
+
 def expanded(sql: str) -> str:
     """sql with roles written out; what is left in braces are tables."""
     while True:
@@ -50,7 +76,8 @@ def expanded(sql: str) -> str:
 
 def role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = expanded(ROLES[name])
-    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"{{{t}}}" in sql}
+    read = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"{{{t}}}" in sql}
+    used = {t: conforming(df, SCHEMAS[t]) if t in SCHEMAS else df for t, df in read.items()}
     return spark.sql(sql, **used)
 
 

@@ -11,9 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitwright.functions import exprs as X
-from pitwright.operators import audits, entity, ledger, pit, ranks, tswin
+from pitwright.operators import audits, entity, ledger, pit, ranks, tswin, universe
 from pitwright.plans import portfolio
-from pitwright.sources import files
+from pitwright.sources import files, roles
 
 D = dt.date
 
@@ -144,3 +144,30 @@ def test_names_texts_and_files(spark):
     assert one(X.report_fields(F.lit("no one")))["names"] == "" and one(X.report_fields(F.lit(None).cast("string")))["target"] is None
     with pytest.raises(ValueError):
         audits.unique_columns(spark.range(1).select("id", "id"))
+
+
+def test_declared_types_are_kept_and_wrong_ones_refused(spark):
+    df = spark.createDataFrame([(1, "x", 2.0)], "l_orderkey int, extra string, l_tax double")
+    assert dict(roles.conforming(df, "l_orderkey long, l_tax double").dtypes) == {"l_orderkey": "bigint", "extra": "string", "l_tax": "double"}
+    with pytest.raises(TypeError, match="l_tax bigint: double, l_lost string: absent"):
+        roles.conforming(df, "l_orderkey long, l_tax bigint, l_lost string")
+
+
+def test_range_joins_have_no_nested_loops(spark):
+    D_ = lambda m, d=1: D(2020, m, d)
+    months = spark.createDataFrame([(D(2019, 12, 31),), (D_(1, 31),), (D_(6, 30),), (D(2021, 1, 31),)], "month date")
+    sec = spark.createDataFrame([("a", D(2018, 1, 1), D_(6, 30)), ("b", None, D_(2, 1)), ("c", D_(2, 1), None), ("d", None, None), ("e", D(2022, 1, 1), None)], "code string, listing_date date, delisting_date date")
+    got = universe.members(months, sec)
+    assert {tuple(r) for r in got.collect()} == {(D(2019, 12, 31), "a"), (D_(1, 31), "a"), (D(2019, 12, 31), "b"), (D_(1, 31), "b"), (D_(6, 30), "c"), (D(2021, 1, 31), "c")}
+    windows = spark.createDataFrame([(D_(1, 15), D_(3, 1)), (D(2023, 1, 1), None)], "start date, end date")
+    masked = pit.mask_windows(months, windows, 2)
+    assert {r["month"]: r["masked"] for r in masked.collect()} == {D(2019, 12, 31): 1, D_(1, 31): 1, D_(6, 30): 0, D(2021, 1, 31): 0}
+    facts = spark.createDataFrame([("k", D(2019, 5, 1)), ("k", D_(5, 1)), ("k", D(2021, 5, 1)), ("x", D_(5, 1))], "key string, day date")
+    mapping = spark.createDataFrame([("k", 1, None, D(2019, 12, 31)), ("k", 2, D_(1, 1), None), ("x", 3, D_(6, 1), D_(7, 1))], "key string, to int, valid_from date, valid_to date")
+    joined = pit.valid_interval_join(facts, mapping, "key", "day")
+    assert {(r["day"], r["to"]) for r in joined.collect()} == {(D(2019, 5, 1), 1), (D_(5, 1), 2), (D(2021, 5, 1), 2)}
+    snaps = spark.createDataFrame([("a", D(2019, 11, 30)), ("b", D_(1, 31)), ("c", D_(2, 28))], "code string, snap_date date")
+    newest = universe.snapshot_members(months, snaps, 100)
+    assert {tuple(r) for r in newest.collect()} == {(D(2019, 12, 31), "a"), (D_(1, 31), "b")}
+    for df in (got, masked, joined, newest):
+        assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
