@@ -651,7 +651,7 @@ def test_pipeline_stages(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_queries_equal_sql(spark, name):
     con = pytest.importorskip("duckdb").connect()
-    for table in ("documents", "pages", "benchmark"):
+    for table in ("documents", "pages", "benchmark", "conversations"):
         con.execute(f"create view {table} as select * from read_parquet('{DATA}/{table}.parquet')")
     df = queries.QUERIES[name](spark, DATA)
     rel = con.execute(queries.ORACLE[name])
