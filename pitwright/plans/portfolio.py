@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitwright.functions.exprs import SALES_TAX, impact, sales_tax
+from pitwright.functions.exprs import impact, sales_tax
 from pitwright.operators import ranks, tswin
 from pitwright.sources.files import written
 
@@ -55,72 +53,68 @@ def raw_weights(df: DataFrame, keys: list[str], signal: str) -> DataFrame:
     return a.withColumn("raw", F.col("__p") / F.sum("__p").over(w)).drop("__s", "__d", "__spread", "__p")
 
 
-def weights(signal: np.ndarray, adv: np.ndarray, account: float, cap: float = CAP) -> np.ndarray:
-    """Shares by distance above the median, capped by size and liquidity; what the caps leave is dealt again, the rest is cash."""
-    if not len(signal):
-        return np.zeros(0)
-    above = signal - np.median(signal)
-    spread = np.abs(above).mean()
-    raw = (np.maximum(above, 0) + 1e-9) ** min(2.0, 0.5 + 8 * spread) if spread >= 1e-6 else np.ones(len(signal))
-    adv = np.nan_to_num(adv)
-    limit = np.minimum(cap, np.where(adv > 0, np.maximum(TAKEN * adv / account, LEAST_CAP), cap))
-    w, free = np.zeros(len(signal)), np.ones(len(signal), dtype=bool)
-    while free.any():
-        left = 1 - w[~free].sum()
-        if left <= 1e-12:
-            break
-        share = left * raw * free / raw[free].sum()
-        over = free & (share > limit)
-        w = np.where(free, np.minimum(share, limit), w)
-        if not over.any():
-            break
-        free &= ~over
-    return w
+def _known(c: Column) -> Column:
+    """NaN as NULL."""
+    return F.when(~F.isnan(c), c)
 
 
-def cost_rate(change: np.ndarray, adv: np.ndarray, tax: float, account: float) -> np.ndarray:
-    """Cost of each change of weight, as a share of it: commission, square-root impact, and the tax on sales."""
-    impact = np.where(adv > 0, 0.10 * np.sqrt(np.minimum(1.0, np.abs(change) * account / np.where(adv > 0, adv, 1))), 0.02)
-    return COMMISSION + impact + np.where(change < 0, tax, 0.0)
+def candidates(panel: DataFrame, arm: str = "arm", hold: int = 24) -> DataFrame:
+    """The rows of panel that its fold can look at, with __i, the number of the arm's month: those of codes picked in the month or in the
+    hold + 1 months before. What is held was picked at most hold months ago, and is sold a month later at most, so an arm has no more
+    than hold + 2 months' picks in a month, however many codes there are."""
+    months = panel.select(arm, "month").distinct().withColumn("__i", F.row_number().over(Window.partitionBy(arm).orderBy("month")))
+    lately = F.max((F.col("picked") == 1).cast("int")).over(Window.partitionBy(arm, "code").orderBy("__i").rangeBetween(-hold - 1, 0))
+    return panel.join(months, [arm, "month"]).withColumn("__lately", lately).where("__lately = 1").drop("__lately")
 
 
-def tax_on(day) -> float:
-    return [rate for start, rate in SALES_TAX if str(day)[:10] >= start or start == SALES_TAX[0][0]][-1]
+def members(near: DataFrame, arm: str = "arm", hold: int = 24, most: int = 25) -> DataFrame:
+    """(arm, __i, code, age): what each arm holds in each month, and the months it has been held before; near: candidates().
+
+    The one step that runs from month to month. An arm's months are an array, each with its candidates in the order in which they would be
+    taken, and the state handed on is what is held: `most` codes with their ages. A month without candidates empties it."""
+    kind = near.schema["code"].dataType.simpleString()
+    signal = F.col("signal").cast("double")
+    name = F.struct(signal.isNull().alias("none"), (-F.coalesce(signal, F.lit(0.0))).alias("low"), "code", (F.coalesce("picked", F.lit(0)) == 1).alias("picked"), (F.coalesce(F.col("exits").cast("int"), F.lit(1)) == 0).alias("stays"))
+    months = near.groupBy(arm, "__i").agg(F.array_sort(F.collect_list(name)).alias("names"))
+    arms = months.groupBy(arm).agg(F.array_sort(F.collect_list(F.struct("__i", "names"))).alias("months"))
+    nothing = F.expr(f"cast(map() as map<{kind}, int>)")
+    start = F.struct(F.lit(0).alias("at"), nothing.alias("held"), F.expr(f"cast(array() as array<struct<i: int, held: map<{kind}, int>>>)").alias("past"))
+
+    def step(state: Column, month: Column) -> Column:
+        held = F.when(month["__i"] == state["at"] + 1, state["held"]).otherwise(nothing)
+        age = lambda c: F.try_element_at(held, c["code"])
+        may = F.filter(month["names"], lambda c: c["picked"] | (c["stays"] & F.coalesce(age(c) < hold, F.lit(False))))
+        now = F.map_from_entries(F.transform(F.slice(may, 1, most), lambda c: F.struct(c["code"], F.coalesce(age(c) + 1, F.lit(0)))))
+        past = F.concat(state["past"], F.array(F.struct(state["at"].alias("i"), state["held"].alias("held"))))
+        return F.struct(month["__i"].alias("at"), now.alias("held"), past.alias("past"))
+
+    whole = lambda s: F.concat(s["past"], F.array(F.struct(s["at"].alias("i"), s["held"].alias("held"))))
+    out = arms.select(arm, F.explode(F.aggregate("months", start, step, whole)).alias("x"))
+    return out.select(arm, F.col("x.i").alias("__i"), F.explode("x.held").alias("code", "age"))
 
 
 def backtest(panel: DataFrame, arm: str = "arm", account: float = ACCOUNT, hold: int = 24, most: int = 25) -> DataFrame:
     """(arm, month, names, turnover, cost, ret_gross, ret): held names stay until they exit, age out or rank too low; new picks join.
 
-    panel: arm, month, code, signal, picked 0/1, exits 0/1, adv, fwd_ret and, if known, delisting_date, only of codes that an
-    arm ever picks: the state runs from month to month, so an arm is a task, and scale comes from the number of arms. A
-    missing return counts as 0, and as -1 in the month of a delisting.
-    """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: dict = {}  # months held so far
-        before: dict = {}
-        out = []
-        for month, g in sorted(pdf.groupby("month"), key=lambda x: x[0]):
-            g = g.sort_values("code").set_index("code")
-            stay = [c for c, a in held.items() if c in g.index and not g.at[c, "exits"] and a < hold]
-            target = g.loc[sorted({*g.index[g["picked"] == 1], *stay})].reset_index()
-            target = target.sort_values(["signal", "code"], ascending=[False, True], na_position="last").head(most).set_index("code")
-            ww = dict(zip(target.index, weights(target["signal"].fillna(0).to_numpy(float), target["adv"].to_numpy(float), account), strict=True))
-            names = sorted({*ww, *before})
-            change = np.array([ww.get(c, 0.0) - before.get(c, 0.0) for c in names])
-            adv = np.nan_to_num(np.array([g["adv"].get(c, 0.0) for c in names], dtype=float))
-            cost = float((np.abs(change) * cost_rate(change, adv, tax_on(month), account)).sum())
-            r = target["fwd_ret"].to_numpy(float)
-            if "delisting_date" in target:
-                first, gone = pd.Timestamp(month), pd.to_datetime(target["delisting_date"])
-                r = np.where(np.isnan(r) & ((gone > first) & (gone <= first + pd.offsets.MonthEnd(1))).to_numpy(), -1.0, r)
-            gross = float((np.array([ww[c] for c in target.index]) * np.nan_to_num(r)).sum())
-            out.append((pdf[arm].iloc[0], month, len(ww), float(np.abs(change).sum()), cost, gross, gross - cost))
-            held = {c: held.get(c, -1) + 1 for c in ww}
-            before = ww
-        return pd.DataFrame(out, columns=[arm, "month", "names", "turnover", "cost", "ret_gross", "ret"])
-
-    return panel.groupBy(arm).applyInPandas(fold, f"{arm} string, month date, names long, turnover double, cost double, ret_gross double, ret double")
+    panel: arm, month, code (a row for each), signal, picked 0/1, exits 0/1 (missing: it exits), adv, fwd_ret and, if known,
+    delisting_date. A missing return counts as 0, and as -1 in the month of a delisting. Only what is held runs from month to month
+    (members), over rows whose number in an arm's month is bounded; weights, trades and returns are spread over arms and months."""
+    number = lambda c: _known(F.col(c).cast("double")).alias(c)
+    gone = F.col("delisting_date").cast("date") if "delisting_date" in panel.columns else F.lit(None).cast("date")
+    rows = panel.select(arm, F.col("month").cast("date").alias("month"), "code", number("signal"), "picked", "exits", number("adv"), number("fwd_ret"), gone.alias("delisting_date"))
+    near = written(candidates(rows, arm, hold))
+    held = near.join(members(near, arm, hold, most), [arm, "__i", "code"])
+    w = capped_weights(held, [arm, "__i"], "signal", "adv", account).select(arm, "__i", "code", "w")
+    both = written(near.join(w, [arm, "__i", "code"], "left").select(arm, "month", "code", "w", "adv", "fwd_ret", "delisting_date"))
+    months = rows.select(arm, "month").distinct()
+    costs = trade_costs(both.withColumn("w", F.coalesce("w", F.lit(0.0))), months, [arm], account)
+    end = F.last_day(F.when(F.col("month") == F.last_day("month"), F.date_add("month", 1)).otherwise(F.col("month")))
+    lost = (F.col("delisting_date") > F.col("month")) & (F.col("delisting_date") <= end)
+    ret = F.coalesce("fwd_ret", F.when(lost, F.lit(-1.0)), F.lit(0.0))
+    earned = both.where("w is not null").groupBy(arm, "month").agg(F.count("*").alias("names"), F.sum(F.col("w") * ret).alias("ret_gross"))
+    out = months.join(earned, [arm, "month"], "left").join(costs, [arm, "month"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    return out.select(arm, "month", F.coalesce("names", F.lit(0)).cast("long").alias("names"), zero("turnover"), zero("cost"), zero("ret_gross")).withColumn("ret", F.col("ret_gross") - F.col("cost"))
 
 
 def statistics(returns: DataFrame, arm: str, r: str, time: str = "month", per_year: int = 12, riskless: float = 0.0) -> DataFrame:
@@ -187,11 +181,14 @@ def capped_weights(df: DataFrame, keys: list[str], signal: str, adv: str, accoun
 
 def trade_costs(weights: DataFrame, months: DataFrame, keys: list[str], account: float = 30_000_000) -> DataFrame:
     """keys, month, turnover and cost: of each change of weight against the month before commission, square-root impact, and the tax of
-    the day on sales. weights: keys, month, code, w, adv. months: the months of the plan, a short list."""
-    at = months.select("month", F.row_number().over(Window.orderBy("month")).alias("__i"))
-    here = weights.join(F.broadcast(at), "month").select(*keys, "code", "__i", "w", "adv")
-    both = here.unionAll(here.select(*keys, "code", (F.col("__i") + 1).alias("__i"), (-F.col("w")).alias("w"), F.lit(None).cast("double").alias("adv")))
-    net = both.groupBy(*keys, "__i", "code").agg(F.sum("w").alias("d"), F.max("adv").alias("adv")).join(F.broadcast(at), "__i")
+    the day on sales. weights: keys, month, code, w, adv; a row with weight 0 gives the adv of what is sold. months: the months of the
+    plan, a short list, or keys and months if each has its own."""
+    own = [k for k in keys if k in months.columns]
+    at = months.select(*own, "month", F.row_number().over(Window.partitionBy(*own).orderBy("month")).alias("__i"))
+    at = at if own else F.broadcast(at)
+    here = weights.join(at, [*own, "month"]).select(*keys, "code", "__i", "w", "adv")
+    sold = here.where("w <> 0").select(*keys, "code", (F.col("__i") + 1).alias("__i"), (-F.col("w")).alias("w"), F.lit(None).cast("double").alias("adv"))
+    net = here.unionAll(sold).groupBy(*keys, "__i", "code").agg(F.sum("w").alias("d"), F.max("adv").alias("adv")).join(at, [*own, "__i"])
     rate = COMMISSION + impact(F.col("d") * account, F.col("adv")) + F.when(F.col("d") < 0, sales_tax(F.col("month"))).otherwise(0.0)
     return net.groupBy(*keys, "month").agg(F.sum(F.abs("d")).alias("turnover"), F.sum(F.abs("d") * rate).alias("cost"))
 

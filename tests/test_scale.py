@@ -14,6 +14,7 @@ from pitwright.functions import exprs as X
 from pitwright.operators import audits, entity, ledger, pit, ranks, tswin, universe
 from pitwright.plans import portfolio
 from pitwright.sources import files, roles
+from tests import plain
 
 D = dt.date
 
@@ -106,7 +107,7 @@ def test_capped_weights_equal_the_loop(spark):
     got = portfolio.capped_weights(spark.createDataFrame(rows, "month string, code string, signal double, adv double"), ["month"], "signal", "adv").collect()
     for m, g in itertools.groupby(sorted(got, key=lambda r: (r["month"], r["code"])), key=lambda r: r["month"]):
         own = sorted((r for r in rows if r[0] == m), key=lambda r: r[1])
-        want = portfolio.weights(np.array([r[2] for r in own]), np.array([np.nan if r[3] is None else r[3] for r in own]), portfolio.ACCOUNT)
+        want = plain.weights(np.array([r[2] for r in own]), np.array([np.nan if r[3] is None else r[3] for r in own]), portfolio.ACCOUNT)
         assert np.allclose([r["w"] for r in g], want, atol=1e-9)
 
 
@@ -120,12 +121,12 @@ def test_backtest_equals_a_plain_loop(spark):
         here = {x[2]: x for x in rows if x[1] == m}
         names = {c for c, x in here.items() if x[4]} | {c for c, a in age.items() if c in here and not here[c][5] and a < 3}
         names = sorted(names, key=lambda c: (-here[c][3], c))[:4]
-        w = dict(zip(names, portfolio.weights(np.array([here[c][3] for c in names]), np.array([here[c][6] for c in names]), portfolio.ACCOUNT)))
+        w = dict(zip(names, plain.weights(np.array([here[c][3] for c in names]), np.array([here[c][6] for c in names]), portfolio.ACCOUNT)))
         turnover = cost = 0.0
         for c in sorted({*w, *before}):
             d, adv = w.get(c, 0) - before.get(c, 0), here[c][6] if c in here else 0.0
             turnover += abs(d)
-            cost += abs(d) * (1.5e-4 + (0.1 * math.sqrt(min(1, abs(d) * portfolio.ACCOUNT / adv)) if adv else 0.02) + (portfolio.tax_on(m) if d < 0 else 0))
+            cost += abs(d) * (1.5e-4 + (0.1 * math.sqrt(min(1, abs(d) * portfolio.ACCOUNT / adv)) if adv else 0.02) + (plain.tax_on(m) if d < 0 else 0))
         gross = sum(v * (here[c][7] or 0) for c, v in w.items())
         assert (r["names"], round(r["turnover"], 9), round(r["cost"], 9), round(r["ret"], 9)) == (len(w), round(turnover, 9), round(cost, 9), round(gross - cost, 9))
         age, before = {c: age.get(c, -1) + 1 for c in w}, w
@@ -171,3 +172,31 @@ def test_range_joins_have_no_nested_loops(spark):
     assert {tuple(r) for r in newest.collect()} == {(D(2019, 12, 31), "a"), (D_(1, 31), "b")}
     for df in (got, masked, joined, newest):
         assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_members_of_many_arms_equal_a_plain_loop(spark):
+    """Arms with months of their own, months in which nothing can be held, codes that are gone for a while, missing signals and exits."""
+    rnd = random.Random(8)
+    rows = []
+    for arm, hold_off in (("a", 0), ("b", 7), ("c", 3)):
+        for k in range(26):
+            if arm == "b" and k % 5 == 2:
+                continue  # a month that the arm doesn't have
+            for c in range(12):
+                if rnd.random() < 0.8:
+                    quiet = hold_off <= k < hold_off + 6 and arm != "a"
+                    rows.append((arm, D(2020 + k // 12, k % 12 + 1, 28), c, rnd.choice([None, float("nan"), 0.5, rnd.random(), rnd.random()]), 0 if quiet else int(rnd.random() < 0.15), rnd.choice([0, 0, 0, 0, 1, None]), None, 0.01))
+    df = spark.createDataFrame(rows, "arm string, month date, code int, signal double, picked int, exits int, adv double, fwd_ret double")
+    near = portfolio.candidates(df.withColumn("signal", portfolio._known(F.col("signal"))), hold=4)
+    got = {(r["arm"], r["__i"], r["code"]): r["age"] for r in portfolio.members(near, hold=4, most=5).collect()}
+    want = {}
+    for arm in "abc":
+        held = {}
+        for i, (m, g) in enumerate(itertools.groupby(sorted((r for r in rows if r[0] == arm), key=lambda r: r[1]), key=lambda r: r[1])):
+            names = [r for r in g if r[4] or (r[2] in held and r[5] == 0 and held[r[2]] < 4)]
+            low = lambda r: (r[3] is None or math.isnan(r[3]), -(r[3] or 0) if r[3] == r[3] else 0, r[2])
+            held = {r[2]: held.get(r[2], -1) + 1 for r in sorted(names, key=low)[:5]}
+            want |= {(arm, i + 1, c): a for c, a in held.items()}
+    assert got == want and {a for a, _, _ in got} == set("abc")
+    assert sorted(r["names"] for r in portfolio.backtest(df.where("picked = 0")).collect()) == [0] * df.select("arm", "month").where("picked = 0").distinct().count()
+    assert portfolio.backtest(df.limit(0)).count() == 0
