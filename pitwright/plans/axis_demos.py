@@ -350,58 +350,26 @@ def regimes(spark, sf):
     return robustness.regimes(month_returns(spark, sf), up, split="1998-06-01").select("arm", "regime", "n", r("mean_ret", 6).alias("mean_ret"), r("hit_rate", 6).alias("hit_rate"))
 
 
-@demo()
+@demo(f"""with a as (select arm, ret as x, avg(ret) over (partition by arm) as m from {_MONTHS} q), b as (select arm, count(*) as n, any_value(m) as m, sqrt(sum((x - m) ^ 2) / (count(*) - 1)) as sd, avg((x - m) ^ 3) / avg((x - m) ^ 2) ^ 1.5 as skew, avg((x - m) ^ 4) / avg((x - m) ^ 2) ^ 2 as kurt from a group by arm),
+ c as (select *, m / sd as sr, sqrt(2 * ln(12)) * (1 - 0.5772156649) + 0.5772156649 * sqrt(2 * ln(12 * exp(1))) as best from b), z as (select arm, n, sr, (sr - best / sqrt(n)) * sqrt(n - 1) / sqrt(greatest(1e-12, 1 - skew * sr + (kurt - 1) / 4 * sr * sr)) as z from c)
+ select arm, n, round(sr, 6) as sharpe, case when n >= 12 then round(0.5 + sign(z) * sum(exp((2 * k + 1) * ln(abs(z)) - z * z / 2 - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1))) / sqrt(2 * pi()), 6) end as dsr from z, range(150) t(k) group by arm, n, sr, z""")
 def deflated_sharpe(spark, sf):
-    return robustness.deflated_sharpe(month_returns(spark, sf))
+    return robustness.deflated_sharpe(month_returns(spark, sf)).select("arm", "n", r("sharpe", 6).alias("sharpe"), r("dsr", 6).alias("dsr"))
 
 
 _PLAN = ("code", "month", "signal", "adv20", "fwd_ret")
 
 
-@demo()
-def leak_test(spark, sf):
-    return robustness.compared(robustness.run(robustness.leak_arms(plan_panel(spark, sf).select(*_PLAN))), "base")
-
-
 def with_returns(spark, sf):
     ret = returns(spark, sf).select("code", "month", F.col("ret").alias("fwd_ret"))
     return scored_panel(spark, sf).join(ret, ["code", "month"], "left")
 
 
-@demo()
-def noise_test(spark, sf):
-    return robustness.compared(robustness.run(robustness.noise_arms(with_returns(spark, sf), [1, 2, 3], ["E_X", "E_Y", "E_Z"])), "base")
-
-
-@demo()
-def product_test(spark, sf):
-    p = axes.standardised(with_returns(spark, sf), {"z_x": "E_X", "z_y": "E_Y", "z_z": "E_Z"})
-    p = p.withColumns({"TP_1": F.col("z_x") * F.col("z_y"), "TP_2": F.col("z_x") * F.col("z_z")})
-    return robustness.compared(robustness.run(robustness.product_arms(p, ["TP_1", "TP_2"], ["E_X", "E_Y"])), "plain")
-
-
-@demo()
-def ablation(spark, sf):
-    p = scored_panel(spark, sf).join(returns(spark, sf).select("code", "month", F.col("ret").alias("fwd_ret")), ["code", "month"], "left")
-    return robustness.compared(robustness.run(robustness.ablation_arms(p, ["E_X", "E_Y", "E_Z"])), "all")
-
-
-@demo()
-def cost_survival(spark, sf):
-    return robustness.cost_survival(robustness.run(robustness.arms_of(plan_panel(spark, sf).select(*_PLAN), {"base": F.col("signal")})))
-
-
 def masked_months(spark, sf):
     windows = spark.sql("select * from values (date '1996-03-31', date '1996-09-30') as t(start, end)")
     return pit.mask_windows(role(spark, sf, "panel").select("month").distinct(), windows)
 
 
-@demo()
-def policy_test(spark, sf):
-    p = plan_panel(spark, sf).select(*_PLAN)
-    return robustness.compared(robustness.run(robustness.clean_month_arms(p, masked_months(spark, sf))), "full")
-
-
 @demo(f"""select masked, count(*) as months, round(avg(s), 6) as rate from (select month, case when month between date '1995-09-30' and date '1997-03-30' then 1 else 0 end as masked, avg((volume > 300)::int) as s from ({{panel}}) p group by month) a group by masked""")
 def firing_rate(spark, sf):
     p = role(spark, sf, "panel").select("month", F.col("volume").alias("signal"))

@@ -480,16 +480,6 @@ def topn_month(spark, sf):
     return portfolio.picks(signals(spark, sf), ["arm"], "signal").select("month", "code", "place")
 
 
-@demo()
-def backtest(spark, sf):
-    s = signals(spark, sf)
-    arms = s.unionByName(s.withColumn("signal", -F.col("volume")).withColumn("arm", F.lit("inverse")))
-    best = portfolio.picks(arms, ["arm"], "signal").select("arm", "month", "code", F.lit(1).alias("p"))
-    few = arms.join(best.select("arm", "code").distinct(), ["arm", "code"], "left_semi").join(best, ["arm", "month", "code"], "left")
-    panel = few.select("arm", "month", "code", "signal", F.coalesce("p", F.lit(0)).alias("picked"), (F.col("volume") < 50).cast("int").alias("exits"), F.col("amount").alias("adv"), F.col("ret").alias("fwd_ret"))
-    return portfolio.backtest(panel)
-
-
 @demo(f"""select arm, year(month) as yr, count(*) as months, round(product(1 + m) - 1, 4) as ret, round(avg(m), 6) as mean, round(avg((m > 0)::int), 4) as hit_rate, round(avg(n), 4) as names
  from (select y.arm, y.month, y.m, c.n from {_WITH_LOSS} y join (select month, count(ret) as n from {_RET} a where ret is not null group by month) c on c.month = y.month) z group by arm, year(month)""")
 def yearly_perf(spark, sf):

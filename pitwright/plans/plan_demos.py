@@ -137,11 +137,19 @@ def arm_scores(spark, sf):
     return a.select("arm", "code", "month", r("signal").alias("signal"))
 
 
-_NOISE = _sql_rank(f"(select *, (('0x' || substr(md5('1|' || code || '|' || month), 1, 5))::bigint + 0.5) / 1048576 as noise from {_SCORED} n0)", "noise", "e_noise")
-_NOISED = _sql_rank(f"(select *, coalesce(e_noise, 0) * u * veto * floor_ as s_noise from {_NOISE} n1)", "s_noise", "r_noise", ("month",), 1)
+def _noised(seed: int) -> str:
+    ranked = _sql_rank(f"(select *, (('0x' || substr(md5('{seed}|' || code || '|' || month), 1, 5))::bigint + 0.5) / 1048576 as noise from {_SCORED} n0)", "noise", "e_noise")
+    return _sql_rank(f"(select *, coalesce(e_noise, 0) * u * veto * floor_ as s_noise from {ranked} n1)", "s_noise", "r_noise", ("month",), 1)
 
 
-@demo(f"select 'base' as arm, code, month, case when signal > 0 then round(signal_rank, 4) end as signal from {_SCORED} a union all select 'noise_1', code, month, case when s_noise > 0 then round(r_noise, 4) end from {_NOISED} b")
+_BASE_ARM = f"select 'base' as arm, code, month, case when signal > 0 then round(signal_rank, 4) end as signal from {_SCORED} a"
+
+
+def _noise_arm(seed: int) -> str:
+    return f"select 'noise_{seed}' as arm, code, month, case when s_noise > 0 then round(r_noise, 4) end as signal from {_noised(seed)} b{seed}"
+
+
+@demo(f"{_BASE_ARM} union all {_noise_arm(1)}")
 def noise_scores(spark, sf):
     a = robustness.noise_arms(with_returns(spark, sf), [1], ["E_X", "E_Y", "E_Z"])
     return a.select("arm", "code", "month", r("signal").alias("signal"))

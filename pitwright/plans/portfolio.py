@@ -101,8 +101,9 @@ def backtest(panel: DataFrame, arm: str = "arm", account: float = ACCOUNT, hold:
     (members), over rows whose number in an arm's month is bounded; weights, trades and returns are spread over arms and months."""
     number = lambda c: _known(F.col(c).cast("double")).alias(c)
     gone = F.col("delisting_date").cast("date") if "delisting_date" in panel.columns else F.lit(None).cast("date")
-    rows = panel.select(arm, F.col("month").cast("date").alias("month"), "code", number("signal"), "picked", "exits", number("adv"), number("fwd_ret"), gone.alias("delisting_date"))
-    near = written(candidates(rows, arm, hold))
+    # written once: months, candidates and what is held all read it
+    rows = written(panel.select(arm, F.col("month").cast("date").alias("month"), "code", number("signal"), "picked", "exits", number("adv"), number("fwd_ret"), gone.alias("delisting_date")))
+    near = candidates(rows, arm, hold)
     held = near.join(members(near, arm, hold, most), [arm, "__i", "code"])
     w = capped_weights(held, [arm, "__i"], "signal", "adv", account).select(arm, "__i", "code", "w")
     both = written(near.join(w, [arm, "__i", "code"], "left").select(arm, "month", "code", "w", "adv", "fwd_ret", "delisting_date"))

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from pitwright.functions import exprs as X
 from pitwright.operators import tswin, universe, vetoes
-from pitwright.plans import axis_demos, plan_demos, demos, portfolio, robustness
+from pitwright.plans import axis_demos, demos, fold_demos, plan_demos, portfolio, robustness  # noqa: F401
 from tests.test_panel import DATA, _plain, duck  # noqa: F401
 
 D = dt.date
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="tables are absent")
-@pytest.mark.parametrize("name", ["axis_b", "axis_c", "axis_d", "vetoes_table", "consensus_signals", "procurement_pack", "text_cosine", "attrition", "partial_snapshot_filter", "delist_infer", "master_merge", "trade_cost", "raw_weights", "block_pbo", "regimes", "factor_returns", "hac_t"])
+@pytest.mark.parametrize("name", ["axis_b", "axis_c", "axis_d", "vetoes_table", "consensus_signals", "procurement_pack", "text_cosine", "attrition", "partial_snapshot_filter", "delist_infer", "master_merge", "trade_cost", "raw_weights", "block_pbo", "regimes", "factor_returns", "hac_t", "backtest", "leak_test", "cost_survival", "deflated_sharpe"])
 def test_demo_equals_sql(spark, duck, name):  # noqa: F811
     df = demos.QUERIES[name](spark, DATA)
     cols = sorted(df.columns)
@@ -28,7 +28,7 @@ def test_demo_equals_sql(spark, duck, name):  # noqa: F811
 
 
 def test_queries_of_both_modules_are_listed():
-    assert demos.QUERIES["ablation"] is axis_demos.ablation
+    assert demos.QUERIES["ablation"] is fold_demos.ablation
 
 
 def test_unknown_changes_hold_and_count_as_decline(spark):
@@ -81,3 +81,10 @@ def test_dsr_equals_formula(spark):
     best = (math.sqrt(2 * math.log(12)) * (1 - 0.5772156649) + 0.5772156649 * math.sqrt(2 * math.log(12 * math.e))) / math.sqrt(60)
     z = (sr - best) * math.sqrt(59) / math.sqrt(1 - skew * sr + (kurt - 1) / 4 * sr * sr)
     assert robustness.deflated_sharpe(df).first()["dsr"] == pytest.approx(0.5 * (1 + math.erf(z / math.sqrt(2))))
+
+
+def test_normal_share_equals_the_error_function(spark):
+    z = [None, -40.0, -8.4, -3.0, -0.5, 0.0, 1e-9, 1.96, 6.0, 8.4, 40.0]
+    got = spark.createDataFrame([(v,) for v in z], "z double").select("z", robustness.normal_share(F.col("z")).alias("p")).collect()
+    assert [r["p"] for r in got if r["z"] is None] == [None]
+    assert all(r["p"] == pytest.approx(0.5 * (1 + math.erf(r["z"] / math.sqrt(2))), abs=1e-13) for r in got if r["z"] is not None)
