@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitwright.operators import pit
+
 
 def month_grid(spark, first: str, last: str) -> DataFrame:
     return spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"), F.expr("interval 1 month"))).alias("d")).select(F.last_day("d").alias("month"))
@@ -60,6 +62,20 @@ def base_panel(members: DataFrame, prices: DataFrame) -> DataFrame:
     return members.join(prices, ["code", "month"], "left")
 
 
+def labelled(panel: DataFrame, securities: DataFrame, label: str, dated: DataFrame | None = None) -> DataFrame:
+    """panel with label as it was in the row's month, and the current one where that isn't known.
+
+    securities: code (a row for each) and label. dated: code, valid_from, valid_to (closed, NULL is open) and label; of several that hold,
+    the one that began last, then the last in order. Without dated rows the current label stands for all months."""
+    now = panel.join(securities.select("code", F.col(label).alias("__now")), "code", "left")
+    if dated is None:
+        return now.withColumnRenamed("__now", label)
+    held = pit.valid_interval_join(panel.select("code", "month").distinct(), dated.where(F.col(label).isNotNull()).select("code", "valid_from", "valid_to", label), "code", "month")
+    began = F.coalesce("valid_from", F.lit("0001-01-01").cast("date"))
+    then = held.groupBy("code", "month").agg(F.max(F.struct(began, F.col(label)))[label].alias("__then"))
+    return now.join(then, ["code", "month"], "left").withColumn(label, F.coalesce("__then", "__now")).drop("__then", "__now")
+
+
 def seasoning(securities: DataFrame, calendar: DataFrame, days: int = 250) -> DataFrame:
     """code and seasoned: the trading day `days` after the first one at or after listing (listing + 365 before the calendar begins,
     2100-01-01 beyond its end). calendar: column day, one row for each trading day, a short list: each day is laid out for the days

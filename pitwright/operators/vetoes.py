@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitwright.functions.exprs import safe_div
+from pitwright.operators.ranks import quantiles
 from pitwright.operators.tswin import along
 
 #: Fixed value: the least average value traded a day.
@@ -20,7 +21,8 @@ def _unless(bad: Column) -> Column:
 def vetoes(df: DataFrame, least_adv: float = LEAST_ADV, administrative: DataFrame | None = None) -> DataFrame:
     """df with V1 to V8 and their product VETO; columns that df lacks count as missing.
 
-    One shuffle by code for the changes over time and one by month for the quantile. administrative: codes, a short list.
+    One shuffle by code for the changes over time; the quantile of a month is two places in the order of its values, so a month may hold
+    most rows. administrative: codes, a short list.
     """
     names, wanted = df.columns, ("revenue_ttm", "inventory", "receivable", "bad_3q", "dilution", "equity", "adv20", "close", "sim_risk_pct", "n1", "d_eff_tax")
     absent = [c for c in wanted if c not in names]
@@ -28,7 +30,11 @@ def vetoes(df: DataFrame, least_adv: float = LEAST_ADV, administrative: DataFram
     w = along()
     change = {c: F.col(c) - F.lag(c, 12).over(w) for c in ("revenue_ttm", "inventory", "receivable")}
     a = a.select("*", *(e.alias(f"__d_{c}") for c, e in change.items()), F.sum("dilution").over(w.rowsBetween(-2, 0)).alias("__issues"))
-    a = a.withColumn("__n1_high", F.percentile("n1", 0.9).over(Window.partitionBy("month")))
+    if "n1" in absent:
+        a = a.withColumn("__n1_high", F.lit(None).cast("double"))
+    else:
+        high = quantiles(df.select("month", "n1"), ["month"], "n1", {"__n1_high": 0.9})
+        a = a.join(F.broadcast(high), "month", "left")  # a row for each month
     stock = F.coalesce("__d_inventory", F.lit(0.0)) + F.coalesce("__d_receivable", F.lit(0.0))
     listed = F.lit(False)
     if administrative is not None:

@@ -47,6 +47,18 @@ def base_panel(spark, sf):
     return p.select("month", "code", *(r(c, 8).alias(c) for c in ("close", "exec_px", "fwd_ret")))
 
 
+_DATED = """(select code, null::date as valid_from, date '1996-12-31' as valid_to, industry || ' before' as industry from ({security}) s1 where code % 3 = 0 union all select code, date '1996-06-30', date '1998-06-30', industry || ' between' from ({security}) s2 where code % 6 = 0)"""
+
+
+@demo(f"""select p.code, p.month, coalesce((select max_by(d.industry, coalesce(d.valid_from, date '0001-01-01')) from {_DATED} d where d.code = p.code and p.month >= coalesce(d.valid_from, p.month) and p.month <= coalesce(d.valid_to, p.month)), s.industry) as industry from ({{panel}}) p join ({{security}}) s on s.code = p.code""")
+def industry_asof(spark, sf):
+    """A third of the codes had another industry before 1997, half of these a third one from mid 1996 on, whose start is later."""
+    s, k = role(spark, sf, "security"), F.col("code")
+    was = lambda rows, start, end, name: rows.select("code", F.lit(start).cast("date").alias("valid_from"), F.lit(end).cast("date").alias("valid_to"), F.concat("industry", F.lit(name)).alias("industry"))
+    dated = was(s.where(k % 3 == 0), None, "1996-12-31", " before").unionAll(was(s.where(k % 6 == 0), "1996-06-30", "1998-06-30", " between"))
+    return universe.labelled(role(spark, sf, "panel").select("code", "month"), s, "industry", dated)
+
+
 @demo(f"""select u.month, u.code, industry, round(revenue_ttm, 2) as revenue_ttm, round(ytd_revenue, 2) as ytd_revenue, null::double as contract_liab from (select u.month, u.code, s.industry from {_UNI} u left join {_SEC} s on s.code = u.code) u
  asof left join ({{fund}}) f on f.code = u.code and u.month >= f.knowledge_date asof left join (select code as c2, ytd_revenue, knowledge_date as known2 from ({{statements}}) t) t on t.c2 = u.code and u.month >= t.known2""")
 def fundamentals_asof(spark, sf):

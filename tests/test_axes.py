@@ -88,3 +88,13 @@ def test_normal_share_equals_the_error_function(spark):
     got = spark.createDataFrame([(v,) for v in z], "z double").select("z", robustness.normal_share(F.col("z")).alias("p")).collect()
     assert [r["p"] for r in got if r["z"] is None] == [None]
     assert all(r["p"] == pytest.approx(0.5 * (1 + math.erf(r["z"] / math.sqrt(2))), abs=1e-13) for r in got if r["z"] is not None)
+
+
+def test_label_of_a_month_and_the_current_one(spark):
+    rows = [("A", D(2019, 1, 31)), ("A", D(2019, 1, 31)), ("A", D(2020, 6, 30)), ("A", D(2022, 1, 31)), ("B", D(2020, 6, 30)), ("C", D(2020, 6, 30))]
+    panel = spark.createDataFrame(rows, "code string, month date")
+    now = spark.createDataFrame([("A", "new"), ("B", "b")], "code string, industry string")
+    dated = spark.createDataFrame([("A", None, D(2020, 12, 31), "old"), ("A", D(2020, 1, 1), D(2020, 12, 31), "mid"), ("A", D(2020, 1, 1), D(2020, 12, 31), None), ("B", D(2021, 1, 1), None, "later")], "code string, valid_from date, valid_to date, industry string")
+    got = sorted((r["code"], r["month"].year, r["industry"]) for r in universe.labelled(panel, now, "industry", dated).collect() if r["industry"])
+    assert got == [("A", 2019, "old"), ("A", 2019, "old"), ("A", 2020, "mid"), ("A", 2022, "new"), ("B", 2020, "b")]
+    assert universe.labelled(panel, now, "industry").count() == universe.labelled(panel, now, "industry", dated.limit(0)).count() == 6
