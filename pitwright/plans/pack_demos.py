@@ -260,9 +260,10 @@ def diag_card(spark, sf):
     return c.select("month", "code", "place", r("signal").alias("signal"), F.col("evidence.volume").alias("e_volume"), r("evidence.net_flow", 2).alias("e_flow"))
 
 
-@demo("select code, firm, adv, row_number() over (order by adv desc, code) as place from (select d.code, s.name as firm, round(median(amount), 2) as adv from ({daily}) d join ({security}) s on s.code = d.code group by d.code, s.name) x")
+@demo("select code, firm, adv, row_number() over (order by adv desc, code) as place from (select d.code, s.name as firm, round(median(round(amount * 100))) / 100 as adv from ({daily}) d join ({security}) s on s.code = d.code group by d.code, s.name) x")
 def liquidity_priority(spark, sf):
-    d = role(spark, sf, "daily").groupBy("code").agg(r(F.median("amount"), 2).alias("adv"))
+    """Medians of amounts in whole cents, half a cent rounded up: sums of doubles don't tell on which side of it they lie."""
+    d = role(spark, sf, "daily").groupBy("code").agg((r(F.median(r(F.col("amount") * 100, 0)), 0) / 100).alias("adv"))
     s = role(spark, sf, "security").select("code", F.col("name").alias("firm"))
     return ranks.global_rank(d.join(s, "code"), "adv", "place", F.col("code"), descending=True).select("code", "firm", "adv", "place")
 
