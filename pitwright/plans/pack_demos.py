@@ -199,8 +199,9 @@ def text_fields(spark, sf):
     return e.select("doc_id", F.size("e").cast("long").alias("n"), F.array_join("e", ",").alias("emails"))
 
 
-@demo("""select s_suppkey, s_name as title, case when s_suppkey % 2 = 0 and s_suppkey > 0 then cast(s_suppkey * 1000 as double) end as target, case s_suppkey % 4 when 0 then 'BUY' when 1 then 'HOLD' when 2 then 'Wait and see for a w' end as opinion, case when s_suppkey % 3 = 0 then '00593' || s_suppkey % 10 end as told, case when s_suppkey % 3 = 0 then 'Firm ' || s_suppkey end as firm from supplier""")
+@demo("""select s_suppkey, s_name as title, case when s_suppkey % 2 = 0 and s_suppkey > 0 and s_suppkey <= 50000 then cast(s_suppkey * 1000 as double) end as target, case s_suppkey % 4 when 0 then 'BUY' when 1 then 'HOLD' when 2 then 'Wait and see for a w' end as opinion, case when s_suppkey % 3 = 0 then '00593' || s_suppkey % 10 end as told, case when s_suppkey % 3 = 0 then 'Firm ' || s_suppkey end as firm from supplier""")
 def norm_report(spark, sf):
+    """Prices above 50,000,000 are no target prices, so keys above 50,000 have none."""
     k = F.col("s_suppkey")
     price = F.when(k % 2 == 0, F.concat(F.format_number(k * 1000, 0), F.lit("원"))).otherwise("0")
     said = F.when(k % 4 == 0, "Strong Buy").when(k % 4 == 1, "중립").when(k % 4 == 2, "Wait and see for a while").otherwise("Not Rated")
