@@ -9,7 +9,7 @@ from pitwright.functions import exprs as X
 from pitwright.operators import entity, ledger, pit, ranks, xsec
 from pitwright.plans import axes, packs, portfolio
 from pitwright.plans.axis_demos import _FP, _chain, _div, _dlog, _labelled, _mean, _r, _W, fpanel, rounded
-from pitwright.plans.demos import PRIORITIES, _det, demo, r, table
+from pitwright.plans.demos import PRIORITIES, demo, r, table
 from pitwright.sources.roles import role
 
 # ---- packs
@@ -98,12 +98,13 @@ def weighted_alloc(spark, sf):
 
 
 _SHIP = f"(select f.*, exp_usd, exp_wgt, hhi_dest, adv_share from {_FP} f asof left join {_CUS} k on f.code = k.code and f.month >= k.knowledge_date)"
-# the price of a unit and the sums of 36 months of it, of the weight and of time, that its trend is fitted by
-_UNIT = f"""(select *, count(y) over v as full_, count(*) over v as n, sum(x) over v as sx, sum(t) over v as st, sum(x * x) over v as sxx, sum(x * t) over v as sxt, sum(t * t) over v as stt, sum(y) over v as sy, sum(x * y) over v as sxy, sum(t * y) over v as sty, t - lag(t, 35) over w as span from
+# the price of a unit and its trend over 36 months, fitted about the means: sums that aren't centred would lose the digits that x2 is made of
+_UNIT = f"""(select *, count(y) over v as full_, count(*) over v as n, sum(x * x) over v as sxx, sum(t * t) over v as stt, avg(x) over v as mx, avg(t) over v as mt, avg(y) over v as my, covar_pop(x, x) over v as cxx, covar_pop(x, t) over v as cxt, covar_pop(t, t) over v as ctt, covar_pop(x, y) over v as cxy, covar_pop(t, y) over v as cty, t - lag(t, 35) over w as span from
  (select *, case when exp_usd > 0 and exp_wgt > 0 then ln(exp_usd / exp_wgt) end as y, case when exp_wgt > 0 then ln(exp_wgt) end as x, datediff('month', first_value(month) over w, month)::double as t from {_SHIP} a {_W}) b
  window w as (partition by code order by month), v as (partition by code order by month rows between 35 preceding and current row))"""
-_REST = f"""(select *, case when full_ = 36 and span = 35 then y - ({_det("sy", "sx", "st", "sxy", "e", "sxt", "sty", "sxt", "i")} + {_det("n1", "sy", "st", "sx", "sxy", "sxt", "st", "sty", "i")} * x + {_det("n1", "sx", "sy", "sx", "e", "sxy", "st", "sxt", "sty")} * t) / {_det("n1", "sx", "st", "sx", "e", "sxt", "st", "sxt", "i")} end as rest
- from (select *, n + ridge as n1, sxx + ridge as e, stt + ridge as i from (select *, 1e-8 * greatest(1, abs(n + sxx + stt) / 3) as ridge from {_UNIT} c) d) e0)"""
+_REST = f"""(select *, case when full_ = 36 and span = 35 then (y - my) - b1 * (x - mx) - b2 * (t - mt) + (my - b1 * mx - b2 * mt) * kept end as rest from (select *, (xy * tt - ty * xt) / (xx * tt - xt * xt) as b1, (ty * xx - xy * xt) / (xx * tt - xt * xt) as b2
+ from (select *, n * (cxx + mx * mx * kept) + ridge as xx, n * (cxt + mx * mt * kept) as xt, n * (ctt + mt * mt * kept) + ridge as tt, n * (cxy + mx * my * kept) as xy, n * (cty + mt * my * kept) as ty
+ from (select *, ridge / (n + ridge) as kept from (select *, 1e-8 * greatest(1, abs(n + sxx + stt) / 3) as ridge from {_UNIT} c) d) e0) e1) e2)"""
 _X = f"""(select *, case when count(rest) over y6 >= 4 and count(rest) over y36 >= 18 and stddev_samp(rest) over y36 > 1e-12 then round(avg(rest) over y6 / stddev_samp(rest) over y36, 4) end as x2, sgna - lag(sgna, 12) over w as d_sgna,
  {_dlog("exp_wgt", "lag(exp_wgt, 12) over w")} as x1, lag(hhi_dest, 12) over w - hhi_dest as x3_1, adv_share - lag(adv_share, 12) over w as x3_2, case when abs(revenue_ttm * 5000) > 1e-12 and exp_usd is not null then least(2, greatest(0, exp_usd * 1300 / (revenue_ttm * 5000))) end as theta
  from (select *, {_div("op_income_ttm", "(revenue_ttm * 5000)")} as sgna from {_REST} f0) g window w as (partition by code order by month), y6 as (partition by code order by month rows between 5 preceding and current row), y36 as (partition by code order by month rows between 35 preceding and current row))"""
