@@ -2,19 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import heapq
+from collections import Counter
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pitwright.operators import xsec
 from pitwright.operators.tswin import expanding_median
-from pitwright.plans.axes import standardised
+from pitwright.plans.axes import cleaned, standardised, words_of
 
 
 def top_tokens(texts: DataFrame, keys: list[str], text: str, n: int = 400) -> DataFrame:
-    """keys, token, count, place: the n most frequent words (letters and digits, two at least) of each text; ties in order of the word."""
-    words = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}]", " "), " +")
-    counts = texts.select(*keys, F.explode(words).alias("token")).where(F.length("token") >= 2).groupBy(*keys, "token").agg(F.count("*").alias("count"))
-    return counts.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("count"), "token"))).where(F.col("place") <= n)
+    """keys, token, count, place: the n most frequent words (letters and digits, two at least) of each text; ties in order of the word. keys
+    tell texts apart. Texts are dealt to tasks by them, then a text's words are counted where it lies: words are never shuffled, and a task
+    holds those of few texts at a time."""
+    schema = T.StructType([*texts.select(*keys).schema.fields, T.StructField("token", T.StringType()), T.StructField("count", T.LongType()), T.StructField("place", T.IntegerType())])
+
+    def counted(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):  # a bounded number of rows comes of each
+                part = batch.slice(start, 64)
+                best = [heapq.nsmallest(n, Counter(words_of(t.as_py())).items(), key=lambda e: (-e[1], e[0])) for t in part["__text"]]
+                of = pa.array([i for i, b in enumerate(best) for _ in b], pa.int64())
+                found = pa.array([w for b in best for w, _ in b], pa.string()), pa.array([k for b in best for _, k in b], pa.int64()), pa.array([p for b in best for p in range(1, len(b) + 1)], pa.int32())
+                yield pa.RecordBatch.from_arrays([*(part[k].take(of) for k in keys), *found], names=schema.names)
+
+    return texts.select(*keys, cleaned(text).alias("__text")).repartition(*keys).mapInArrow(counted, schema)
 
 
 def normalised(df: DataFrame, sim: str, section: str, order: list[str], least: int = 30) -> DataFrame:
