@@ -1,6 +1,6 @@
-"""SimHash near-duplicates with vantage-point trees.
+"""SimHash near-duplicates: vantage-point trees for few bits, keys of least hashes in front of a similarity.
 
-Fingerprints are SimHashes of word shingles. A tree of vantage points, grown on the driver from a bounded sample, cuts
+Fingerprints are SimHashes of word shingles. For links by few bits, a tree of vantage points, grown on the driver from a bounded sample, cuts
 the space by distance: at a node with vantage v and radius r, points with d(v, x) <= r are inside, the others outside,
 and by the triangle inequality a linked pair can only cross the sphere if both its points lie within the link distance
 of it. So each split makes three shards: inside, outside, and the boundary, where only inside-outside pairs are
@@ -9,12 +9,16 @@ block hands on a spanning forest of its links, and connected components over the
 link is lost, and no group of copies is ever expanded into pairs.
 
 Two rules of linking, each a conjunction of metrics:
-- bits: 64-bit fingerprints that differ in at most `within` bits (the tree splits by Hamming distance);
+- bits: 64-bit fingerprints that differ in at most `within` bits;
 - similarity s: the cosine of the sets of shingles, which is what the bits of a SimHash estimate (the shared shingles over
-  the geometric mean of both sizes), is at least s. 256-bit fingerprints within a radius that a pair at s passes but for six
-  standard deviations, and set sizes of a ratio of at least s squared, only name candidates; see `verified`. So wide a radius
-  holds most of a random 64-bit neighbourhood, where no Hamming sphere can prune; there the tree splits by the logarithm of
-  the set's size, which is a metric as well.
+  the geometric mean of both sizes), is at least s. 512-bit fingerprints within a radius that a pair at s passes but for six
+  standard deviations, and set sizes of a ratio of at least s squared, only name candidates; see `verified`. (In 256 bits,
+  unrelated texts pass by chance about once in a million pairs, so that all of a large corpus would be one cluster.) So wide a
+  radius holds most of a random neighbourhood, where no Hamming sphere can prune: only texts with a key in common are
+  compared. A key is WIDTH of the least values that hashes take on the set; sets at s share at least s squared of their union,
+  so with as many keys as `keys_for` says a pair at s has one in common but for a chance of MISSED. Which texts have a key in
+  common is found from ids alone, so work and disk follow the number of texts, not its square; only texts that share much are
+  compared in squares, and those near the first of a group are linked through it.
 
 Defined results: a null or empty text has fingerprint zero and links like any other; repeated rows and copies share
 a fingerprint; an empty table gives an empty result; null ids take part, but are never a component's id unless all
@@ -30,7 +34,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitwright.llm.common import LOWER, UPPER, cut, positional, row_key
@@ -45,15 +49,20 @@ LEAF, LEAF_UNTIL, LEAF_POWER = 12_000, 50_000, 0.4
 #: A split must shrink the comparisons to this share, or the node stays a shard.
 WORTH = 0.9
 MAX_DEPTH = 24
-#: Candidates may differ in this many standard deviations more bits, of the first 128 and of all 256, than a pair at the similarity.
+#: Least values in a key, and the chance that a pair at the similarity has no key in common.
+WIDTH, MISSED = 3, 1e-7
+#: Groups of so many texts with a common key are compared many to a task, of about TOGETHER rows; larger ones each in blocks.
+SMALL, TOGETHER = 64, 50_000
+#: Candidates may differ in this many standard deviations more bits, of the first 128 and of all 512, than a pair at the similarity.
 FIRST_ROOM, ROOM = 5, 6
 #: Rows of a cluster of candidates that one task compares: those apart from its hub, and all.
 APART, ALL = 256, 1_024
 BROADCAST_NODES = 200_000
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
-_LANES = np.uint64(0x0101010101010101)
-_MIX = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15], dtype=np.uint64)
+_MIX = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
+#: Columns of a wide fingerprint.
+WORDS = ["fp", *(f"e{k + 1}" for k in range(len(_MIX)))]
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -73,16 +82,11 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
 def majority(hashes: np.ndarray) -> np.ndarray:
     """For hashes of shape (n, words): the words whose bits are set in over half of the rows."""
     n, words = hashes.shape
-    if not n:
-        return np.zeros(words, dtype=np.uint64)
-    rows = -(-n // 255) * 255
-    padded = np.zeros((rows, words), dtype=np.uint64)
-    padded[:n] = hashes
-    counts = np.empty((words, 8, 8), dtype=np.int64)  # word, byte, bit
-    for bit in range(8):
-        lanes = ((padded >> np.uint64(bit)) & _LANES).reshape(-1, 255, words).sum(axis=1, dtype=np.uint64)  # 255 ones fit a byte
-        counts[:, :, bit] = np.ascontiguousarray(lanes.astype("<u8")).view(np.uint8).reshape(-1, words, 8).sum(axis=0, dtype=np.int64)
-    return np.packbits((2 * counts > n).reshape(words, 64), axis=1, bitorder="little").view("<u8").reshape(words).astype(np.uint64)
+    counts = np.zeros(64 * words, dtype=np.int64)
+    for at in range(0, n, 255):  # as many ones fit a byte
+        bits = np.unpackbits(np.ascontiguousarray(hashes[at : at + 255].astype("<u8")).view(np.uint8), axis=1, bitorder="little")
+        counts += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > n, bitorder="little").view("<u8").astype(np.uint64)
 
 
 def fingerprint_of(text: str | None, shingle: int) -> int:
@@ -99,25 +103,50 @@ def fingerprint(text: Column, shingle: int = 3) -> Column:
     return simhash(text)
 
 
-def wide_fingerprint(text: Column, shingle: int = 5) -> Column:
-    """struct(fp, e1, e2, e3, size): a 256-bit SimHash of the set of shingles in four longs and the set's size (1 at least)."""
+def keys_for(s: float) -> int:
+    """So many keys of WIDTH least values have sets of cosine s in common at least one of, but for MISSED."""
+    return 1 if s >= 1 else math.ceil(math.log(MISSED) / math.log1p(-(s ** (2 * WIDTH))))
 
-    @F.pandas_udf("fp long, e1 long, e2 long, e3 long, size long")
+
+def least_keys(hashes: np.ndarray, n: int) -> np.ndarray:
+    """n keys of 32 bits, each made of the least values that WIDTH hashes take on a set that isn't empty. That texts which share
+    nothing may have equal keys does no harm: what a key brings together is compared."""
+    odd = (np.arange(1, n * WIDTH + 1, dtype=np.uint64) * _MIX[2] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    values, least = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32), np.empty(n * WIDTH, dtype=np.uint32)
+    step = max(1, (1 << 14) // len(values))  # tables that stay in the cache
+    for at in range(0, n * WIDTH, step):
+        x = values[None, :] * odd[at : at + step, None]
+        x = (x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+        least[at : at + step] = (x ^ (x >> np.uint32(12))).min(axis=1)
+    least = least.astype(np.uint64).reshape(n, WIDTH)
+    key = np.zeros(n, dtype=np.uint64)
+    for k in range(WIDTH):
+        key = (key ^ least[:, k]) * _MIX[0]
+        key ^= key >> np.uint64(29)
+    return (key >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def wide_fingerprint(text: Column, shingle: int = 5, keys: int = 1) -> Column:
+    """struct(WORDS, size, keys): a 512-bit SimHash of the set of shingles in eight longs, the set's size (1 at least), and its keys
+    (none of a set that is empty)."""
+
+    @F.pandas_udf(", ".join(f"{c} long" for c in [*WORDS, "size"]) + ", keys array<int>")
     def simhash(texts: pd.Series) -> pd.DataFrame:
-        out, sizes = np.zeros((len(texts), 4), dtype=np.uint64), np.ones(len(texts), dtype=np.int64)
+        out, sizes, found = np.zeros((len(texts), len(WORDS)), dtype=np.uint64), np.ones(len(texts), dtype=np.int64), []
         for k, t in enumerate(texts):
             h = np.unique(shingle_hashes(t, shingle))
             mixed = (h ^ (h >> np.uint64(31)))[:, None] * _MIX[None, :]
             out[k] = majority(np.concatenate([h[:, None], mixed ^ (mixed >> np.uint64(29))], axis=1))
             sizes[k] = max(1, len(h))
-        return pd.DataFrame(out.view(np.int64), columns=["fp", "e1", "e2", "e3"]).assign(size=sizes)
+            found.append(least_keys(h, keys) if len(h) else np.zeros(0, dtype=np.int32))
+        return pd.DataFrame(out.view(np.int64), columns=WORDS).assign(size=sizes, keys=pd.Series(found, dtype=object))
 
     return simhash(text)
 
 
 @dataclass(frozen=True)
 class Rule:
-    """When two points link (for similarity: may link). within: bits of the first `words` longs; total, ratio: bits of 256 and ratio
+    """When two points link (for similarity: may link). within: bits of the first `words` longs; total, ratio: bits of 512 and ratio
     of sizes, or None; cosine: the similarity that a link is verified at."""
 
     within: int
@@ -136,18 +165,27 @@ class Rule:
     @staticmethod
     def similarity(s: float) -> Rule:
         p = math.acos(min(1.0, s)) / math.pi  # of a bit to differ
-        return Rule(*(int(n * p + room * math.sqrt(n * p * (1 - p))) for n, room in ((128, FIRST_ROOM), (256, ROOM))), s * s, s)
+        return Rule(*(int(n * p + room * math.sqrt(n * p * (1 - p))) for n, room in ((128, FIRST_ROOM), (64 * len(WORDS), ROOM))), s * s, s)
 
     @property
     def reach(self) -> float:
         """In the logarithm of sizes, with room for rounding."""
         return -math.log(self.ratio) + 1e-9 if self.ratio else math.inf
 
+    def near(self, wide: np.ndarray, log_size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the pairs of places i, j may link."""
+        ok = np.bitwise_count(wide[i, : self.words] ^ wide[j, : self.words]).sum(axis=1) <= self.within
+        if self.total is not None:
+            at = np.flatnonzero(ok)
+            i, j = i[at], j[at]
+            ok[at] = (np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1) <= self.total) & (np.abs(log_size[i] - log_size[j]) <= self.reach)
+        return ok
+
 
 @dataclass
 class Points:
     fp: np.ndarray
-    log_size: np.ndarray
+    log_size: np.ndarray  # passed over: the tree is for bits
 
     def __len__(self) -> int:
         return len(self.fp)
@@ -155,8 +193,8 @@ class Points:
     def __getitem__(self, at) -> Points:
         return Points(self.fp[at], self.log_size[at])
 
-    def distances(self, metric: str, vantage: float) -> np.ndarray:
-        return np.bitwise_count(self.fp ^ np.uint64(vantage)).astype(np.int16) if metric == "bits" else np.abs(self.log_size - vantage)
+    def distances(self, vantage: int) -> np.ndarray:
+        return np.bitwise_count(self.fp ^ np.uint64(vantage)).astype(np.int16)
 
 
 @dataclass
@@ -165,8 +203,7 @@ class Node:
 
     cross: bool
     shard: int = -1
-    metric: str = "bits"
-    vantage: float = 0
+    vantage: int = 0
     radius: float = 0
     reach: float = 0
     children: tuple = ()  # inside, outside, then one or two boundaries
@@ -195,13 +232,10 @@ def grow(sample: Points, total: int, rule: Rule, leaf: int = LEAF) -> Node:
     def split(pts: Points, side: np.ndarray, cross: bool, depth: int) -> Node:
         if len(pts) * scale > leaf and depth < MAX_DEPTH and len(pts) >= 32:
             best, least = None, WORTH * _work(side, cross)
-            # (a vantage for similarity would have to reach as far as the first 64 bits alone can differ: all of them)
-            tries = [("bits", pts.fp[(k * 2654435761) % len(pts)], rule.within) for k in range(8)] if rule.total is None else []
-            if rule.ratio:
-                tries += [("size", float(pts.log_size.min()) - 1, rule.reach)]
-            for metric, vantage, reach in tries:
-                d = pts.distances(metric, vantage)
-                node = Node(cross, -1, metric, vantage, float(np.median(d)), reach)
+            for k in range(8):
+                vantage = pts.fp[(k * 2654435761) % len(pts)]
+                d = pts.distances(vantage)
+                node = Node(cross, -1, vantage, float(np.median(d)), rule.within)
                 parts = node.deal(d, side)
                 cost = sum(_work(s[m], cross or k > 1) for k, (m, s) in enumerate(parts))
                 if cost <= least:
@@ -229,7 +263,7 @@ def route(root: Node, pts: Points) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             shards.append(np.full(len(at), node.shard, dtype=np.int32))
             sides.append(side if node.cross else np.full(len(at), -1, dtype=np.int8))
             continue
-        for child, (mask, s) in zip(node.children, node.deal(pts[at].distances(node.metric, node.vantage), side), strict=True):
+        for child, (mask, s) in zip(node.children, node.deal(pts[at].distances(node.vantage), side), strict=True):
             stack.append((child, at[mask], s[mask]))
     return np.concatenate(places), np.concatenate(shards), np.concatenate(sides)
 
@@ -267,7 +301,7 @@ def forest(wide: np.ndarray, log_size: np.ndarray, part: np.ndarray, same: bool,
         ahead = label[i] != label[j]
         i, j = i[ahead], j[ahead]
         if rule.total is not None:
-            ok = (np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1) <= rule.total) & (np.abs(log_size[i] - log_size[j]) <= rule.reach)
+            ok = rule.near(wide, log_size, i, j)
             i, j = i[ok], j[ok]
         label = merge(label, i, j)
     member = np.flatnonzero(label != np.arange(len(label)))
@@ -275,21 +309,19 @@ def forest(wide: np.ndarray, log_size: np.ndarray, part: np.ndarray, same: bool,
 
 
 def links(points: DataFrame, rule: Rule, sample: int = SAMPLE, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
-    """(a, b): a spanning forest of the links of each compared block. points: distinct, with columns node, fp, size and
-    for similarity e1, e2, e3."""
+    """(a, b): a spanning forest of the links of each compared block. points: distinct, with columns node and fp."""
     total = points.count()
-    picked = np.array([tuple(r) for r in points.select("fp", "size").orderBy(F.xxhash64("node"), "node").limit(sample).collect()], dtype=np.int64).reshape(-1, 2)
-    tree = grow(Points(np.ascontiguousarray(picked[:, 0]).view(np.uint64), np.log(np.maximum(1, picked[:, 1]))), total, rule, leaf)
-    extra = ["e1", "e2", "e3"] if rule.total is not None else []
+    picked = np.array([r["fp"] for r in points.select("fp").orderBy(F.xxhash64("node"), "node").limit(sample).collect()], dtype=np.int64).view(np.uint64)
+    tree = grow(Points(picked, np.zeros(len(picked))), total, rule, leaf)
 
     def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            places, shards, sides = route(tree, Points(b["fp"].to_numpy(np.int64).view(np.uint64), np.log(np.maximum(1, b["size"].to_numpy()))))
+            places, shards, sides = route(tree, Points(b["fp"].to_numpy(np.int64).view(np.uint64), np.zeros(len(b))))
             for s in range(0, len(places), 1 << 17):
                 some = slice(s, s + (1 << 17))
                 yield b.iloc[places[some]].assign(shard=shards[some], side=sides[some])
 
-    columns = ["node", "fp", "size", *extra]
+    columns = ["node", "fp"]
     placed = cut(points.select(*columns).mapInPandas(routed, ", ".join(f"{c} long" for c in columns) + ", shard int, side int"), "shards")
     sizes = placed.groupBy("shard").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))  # as many rows as the tree has shards, which the sample bounds
     own, other = F.col("block"), F.col("other")
@@ -305,14 +337,71 @@ def links(points: DataFrame, rule: Rule, sample: int = SAMPLE, leaf: int = LEAF,
 
     def compare(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         same = not key[1] and key[2] == key[3]
-        wide = np.ascontiguousarray(b[["fp", *extra]].to_numpy(np.int64)).view(np.uint64)
-        i, j = forest(wide, np.log(np.maximum(1, b["size"].to_numpy())), b["part"].to_numpy(), same, rule)
+        i, j = forest(np.ascontiguousarray(b[["fp"]].to_numpy(np.int64)).view(np.uint64), np.zeros(len(b)), b["part"].to_numpy(), same, rule)
         node = b["node"].to_numpy(np.int64)
         return pd.DataFrame({"a": node[i], "b": node[j]}, dtype=np.int64)
 
     return cells.select(*columns, "shard", "cross", "i", "j", "part").groupBy("shard", "cross", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
+def _wide(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints and logarithms of sizes."""
+    return np.ascontiguousarray(b[WORDS].to_numpy(np.int64)).view(np.uint64), np.log(np.maximum(1, b["size"].to_numpy(np.int64)))
+
+
+def _edges(node: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+    out = pd.DataFrame({"a": node[i], "b": node[j]}, dtype=np.int64)
+    return out[out["a"] != out["b"]]
+
+
+def candidates(own: DataFrame, points: DataFrame, rule: Rule, block: int = BLOCK) -> DataFrame:
+    """(a, b): pairs of nodes with a key in common that may link, as many as join each class of a compared block. own: node, keys, of
+    equal nodes one row or more; points: distinct, with columns node, WORDS and size."""
+    keyed = own.dropDuplicates(["node"]).select("node", F.posexplode("keys").alias("place", "key"))
+    w = Window.partitionBy("place", "key")
+    shared = keyed.withColumn("n", F.count("*").over(w)).where("n > 1").groupBy("place", "key").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
+    # the same texts have many keys in common
+    groups = cut(shared.select("nodes").distinct().select(F.xxhash64("nodes").alias("of"), F.size("nodes").alias("n"), "nodes"), "groups")
+    rows = lambda on: groups.where(on).select("of", "n", F.explode("nodes").alias("node")).join(points, "node")
+    n_small = groups.where(F.col("n") <= SMALL).agg(F.sum("n")).first()[0] or 0
+
+    def compare_small(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("of", kind="stable")
+        wide, log_size = _wide(b)
+        of, (node, at) = b["of"].to_numpy(np.int64), np.unique(b["node"].to_numpy(np.int64), return_inverse=True)
+        label = np.arange(len(node))
+        for d in range(1, SMALL):
+            i = np.flatnonzero(of[d:] == of[:-d])
+            if not len(i):
+                break
+            i = i[rule.near(wide, log_size, i, i + d)]
+            label = merge(label, at[i], at[i + d])
+        member = np.flatnonzero(label != np.arange(len(label)))
+        return _edges(node, member, label[member])
+
+    def compare_large(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        (wide, log_size), node, part = _wide(b), b["node"].to_numpy(np.int64), b["part"].to_numpy()
+        if key[1] != key[2]:
+            return _edges(node, *forest(wide, log_size, part, False, rule))
+        # what is near the first one is linked through it; the others are laid beside all
+        every = np.arange(len(node))
+        near = rule.near(wide, log_size, np.zeros(len(node), dtype=np.int64), every)
+        both = np.concatenate([np.flatnonzero(~near), every])
+        i, j = forest(wide[both], log_size[both], np.repeat([0, 1], [len(both) - len(node), len(node)]), False, rule)
+        return pd.concat([_edges(node, np.flatnonzero(near), np.zeros(near.sum(), dtype=np.int64)), _edges(node, both[i], both[j])])
+
+    parts = F.pmod("of", F.lit(max(1, -(-n_small // TOGETHER))))
+    small = rows(F.col("n") <= SMALL).groupBy(parts.alias("part")).applyInPandas(compare_small, "a long, b long")
+    own_block = F.pmod(F.xxhash64("node", F.lit(7)), F.ceil(F.col("n") / block)).cast("int")
+    cells = (
+        rows(F.col("n") > SMALL)
+        .withColumn("own", own_block)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / block) - 1).cast("int"))))  # 0 for nearly all groups
+        .select("of", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("part"), "node", *WORDS, "size")
+    )
+    return small.unionAll(cells.groupBy("of", "i", "j").applyInPandas(compare_large, "a long, b long")).distinct()
+
+
 def cosine(a: np.ndarray, b: np.ndarray) -> float:
     """Of two arrays without repeats, as sets; 1 for two empty ones."""
     if not len(a) or not len(b):
@@ -358,7 +447,7 @@ def verified(roots: DataFrame, points: DataFrame, sets: DataFrame, rule: Rule) -
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([cosine(np.asarray(x, dtype=np.int64), np.asarray(y, dtype=np.int64)) for x, y in zip(a, b, strict=True)], dtype=float)
 
-    members = cut(roots.join(points.select("node", "fp", "e1", "e2", "e3"), "node").join(sets, "node"), "members")
+    members = cut(roots.join(points.select("node", *WORDS), "node").join(sets, "node"), "members")
     hubs = cut(members.where("node = root").select(F.col("root").alias("of"), F.col("sh").alias("hub_sh")), "hubs")
     judged = cut(members.join(hubs, F.col("root") == F.col("of")).select(*members.columns, (alike("sh", "hub_sh") >= floor).alias("hub")), "judged")
     star = judged.where("hub and node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
@@ -367,13 +456,13 @@ def verified(roots: DataFrame, points: DataFrame, sets: DataFrame, rule: Rule) -
     rows = judged.join(sizes, F.col("root") == F.col("of"))
     own = lambda n: F.pmod(F.xxhash64("node", F.lit(11)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["root", "node", "fp", "e1", "e2", "e3", "sh", "hub"]
+    columns = ["root", "node", *WORDS, "sh", "hub"]
     cells = rows.where("not hub").select(*columns, own("ni").alias("i"), every("nj").alias("j"), F.lit(0).alias("part"))
     cells = cells.unionAll(rows.select(*columns, every("ni").alias("i"), own("nj").alias("j"), F.lit(1).alias("part")))
 
     def compare(b: pd.DataFrame) -> pd.DataFrame:
         # a node that is in both parts is linked to itself by a similarity of 1, which joins its two places
-        words = np.ascontiguousarray(b[["fp", "e1", "e2", "e3"]].to_numpy(np.int64)).view(np.uint64)
+        words = np.ascontiguousarray(b[WORDS].to_numpy(np.int64)).view(np.uint64)
         pairs = linked_apart(words, [np.asarray(x, dtype=np.int64) for x in b["sh"]], b["part"].to_numpy(), b["hub"].to_numpy(bool), rule)
         node = b["node"].to_numpy(np.int64)
         return pd.DataFrame([(node[i], node[j]) for i, j in pairs if node[i] != node[j]], columns=["a", "b"], dtype=np.int64)
@@ -385,7 +474,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, fp long, component_id): one row for each row of docs; component_id is the smallest id reachable over links."""
     own = cut(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), shingle).alias("fp")), "fingerprints")
     mins = cut(own.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = cut(components(links(mins.select(F.col("fp").alias("node"), "fp", F.lit(1).cast("long").alias("size")), Rule.bits(within), **sizes), "a", "b"), "roots")
+    roots = cut(components(links(mins.select(F.col("fp").alias("node"), "fp"), Rule.bits(within), **sizes), "a", "b"), "roots")
     named = mins.join(roots, mins["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     best = cut(named.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     of = cut(named.select("fp", "root").join(best, "root").select(F.col("fp").alias("of"), "component_id"), "by-fingerprint")
@@ -399,10 +488,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs, at = positional(docs)
     id_col, text_col = at[id_col], at[text_col]
     k1, k2 = row_key(docs)
-    own = cut(docs.select(F.col(id_col).alias("id"), k1, k2, wide_fingerprint(F.col(text_col), shingle).alias("w")).select("id", "__k1", "__k2", "w.*").withColumn("node", F.xxhash64("fp", "e1", "e2", "e3", "size")), "fingerprints")
-    mins = cut(own.groupBy("node", "fp", "e1", "e2", "e3", "size").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "__k1", "__k2")).alias("least")), "distinct")
+    wide = wide_fingerprint(F.col(text_col), shingle, keys_for(similarity)).alias("w")
+    own = cut(docs.select(F.col(id_col).alias("id"), k1, k2, wide).select("id", "__k1", "__k2", "w.*").withColumn("node", F.xxhash64(*WORDS, "size")), "fingerprints")
+    mins = cut(own.groupBy("node", *WORDS, "size").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "__k1", "__k2")).alias("least")), "distinct")
     rule = Rule.similarity(similarity)
-    clusters = cut(components(links(mins.drop("least"), rule, **sizes), "a", "b"), "clusters")
+    clusters = cut(components(candidates(own.select("node", "keys"), mins.drop("least"), rule, **sizes), "a", "b"), "clusters")
     named = cut(clusters.join(mins, "node").select("node", F.col("least.__k1").alias("w1"), F.col("least.__k2").alias("w2")), "representatives")
     few = F.broadcast(named) if named.count() <= BROADCAST_NODES else named
     texts = docs.select(k1, k2, F.col(text_col).alias("__text")).join(few, (F.col("__k1") == F.col("w1")) & (F.col("__k2") == F.col("w2"))).select("node", "__text").dropDuplicates(["node"])
