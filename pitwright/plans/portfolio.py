@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitwright.functions.exprs import impact, sales_tax
+from pitwright.operators import draws as keyed
 from pitwright.operators import ranks, tswin
 from pitwright.sources.files import written
 
@@ -206,20 +207,21 @@ def placebo(panel: DataFrame, draws: int, k: int, seed: str = "s") -> DataFrame:
     """(draw, mean_ret): k rows of each month without replacement, by order of a keyed hash; panel: month, code, fwd_ret.
 
     Where a month has n rows, the k smallest hashes lie below about k / n of their range; what is above a threshold some
-    deviations higher is left out as it is made, so few rows more than are drawn are shuffled. Draws that the threshold leaves short are
-    drawn again from the whole month."""
+    deviations higher is left out as it is made, by the beginning of the hash (draws.below), so few rows more than are drawn are shuffled.
+    Draws that the threshold leaves short are drawn again from the whole month."""
     rows = written(panel.select("month", "code", "fwd_ret"))
     sizes = rows.groupBy("month").agg(F.count("*").alias("__n"))  # a row for each month
     part = F.least(F.lit(1.0), F.lit(k + 8 * k**0.5 + 16) / F.col("__n"))
-    bound = F.when(part < 1, F.lpad(F.lower(F.hex(F.floor(part * 2**52))), 13, "0")).otherwise("g")  # above all digits
+    bound = F.when(part < 1, F.floor(part * 2**32)).otherwise(2**32)
     key = F.md5(F.concat_ws("|", F.lit(seed), "draw", "month", "code"))
 
     def drawn(spread: DataFrame) -> DataFrame:
         w = Window.partitionBy("draw", "month").orderBy("__h")
         return spread.withColumn("__place", F.row_number().over(w)).where(F.col("__place") <= k).select("draw", "month", "fwd_ret")
 
-    spread = rows.join(F.broadcast(sizes.select("month", bound.alias("__bound"))), "month").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    first = written(drawn(spread.withColumn("__h", key).where(F.substring("__h", 1, 13) < F.col("__bound"))))
+    tail = F.concat_ws("", *(F.concat(F.lit("|"), F.col(c).cast("string")) for c in ("month", "code")))
+    bounded = rows.join(F.broadcast(sizes.select("month", bound.alias("__bound"))), "month").withColumn("__tail", tail)
+    first = written(drawn(keyed.below(bounded, draws, seed, "__tail", "__bound", rows.count()).withColumn("__h", key)))
     every = sizes.select("month", "__n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     found = first.groupBy("draw", "month").agg(F.count("*").alias("__found"))
     short = written(every.join(found, ["draw", "month"], "left").where(F.coalesce("__found", F.lit(0)) < F.least(F.col("__n"), F.lit(k))).select("draw", "month"))
